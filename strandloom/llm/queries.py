@@ -23,6 +23,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.token_files import read_token_files, token_folder, write_token_files
+
+    folder = token_folder(spark)
+    write_token_files(table(spark, sf_dir, "documents"), folder)
+    return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.mixing import mix
 
@@ -44,6 +52,6 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op5_mixing, op8_quality, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_files, op5_mixing, op8_quality, op10_topk)}
 
 ORACLE_SQL: dict[str, str] = {}
