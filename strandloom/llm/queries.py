@@ -31,6 +31,13 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.packing import pack_documents
+
+    out = pack_documents(table(spark, sf_dir, "documents"), 4096, with_ids=False)
+    return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.mixing import mix
 
@@ -52,6 +59,6 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_files, op5_mixing, op8_quality, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_files, op3_packing, op5_mixing, op8_quality, op10_topk)}
 
 ORACLE_SQL: dict[str, str] = {}
