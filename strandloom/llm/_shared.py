@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -62,6 +63,12 @@ def staged(df: DataFrame, name: str, codec: str = "lz4") -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more, which it else does at its next collection of garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def has_exchange(df: DataFrame) -> bool:
     """Whether rows may be dealt to other partitions in another run of the plan."""
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -53,12 +53,19 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.substring import dedup_substrings
+
+    out = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", "n_copied", "removed_bytes", "removed_spans")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.topk import top_k
 
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_files, op3_packing, op5_mixing, op8_quality, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_files, op3_packing, op5_mixing, op8_quality, op9_substring, op10_topk)}
 
 ORACLE_SQL: dict[str, str] = {}
