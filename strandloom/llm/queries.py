@@ -38,6 +38,22 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: all documents enter under two tokenizers; those with an even n_chars leave the second; English ones are revised from the first to the second; a batch comes twice."""
+    from strandloom.llm._shared import new_folder
+    from strandloom.llm.rollups import Rollup, changes
+
+    docs, store = table(spark, sf_dir, "documents"), Rollup(spark, new_folder(spark, "rollup"))
+    store.commit("words", changes(docs, "insert", "words-1"))
+    store.commit("pieces", changes(docs, "insert", "pieces-1"))
+    gone = changes(docs.where(F.col("n_chars") % 2 == 0), "delete", "pieces-1")
+    store.commit("withdrawn", gone)
+    store.compact()
+    store.commit("revised", changes(docs.where(F.col("lang") == "en"), "revise", "pieces-1", old=("text", "words-1")))
+    store.commit("withdrawn", gone)  # a batch that comes again changes nothing
+    return store.totals()
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.mixing import mix
 
@@ -46,6 +62,16 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "shard")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.language import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    coder = fit(docs, remainder != 0)
+    out = predict(docs.select("doc_id", "text"), coder)
+    return out.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.quality import judge
 
@@ -66,6 +92,23 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_files, op3_packing, op5_mixing, op8_quality, op9_substring, op10_topk)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_files, op3_packing, op4_token_counts, op5_mixing, op7_language, op8_quality, op9_substring, op10_topk)}
+
+_OP4_SQL = r"""
+WITH counted AS (
+  SELECT source, lang, n_chars,
+         CAST(length(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', '@', 'g')) - length(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS words,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[0-9]|[^\x20\x09-\x0DA-Za-z0-9]+')) AS BIGINT) AS pieces
+  FROM documents),
+signed AS (
+  SELECT source, lang, 'words-1' AS tokenizer, 1 AS n, words AS t FROM counted
+  UNION ALL SELECT source, lang, 'pieces-1', 1, pieces FROM counted
+  UNION ALL SELECT source, lang, 'pieces-1', -1, -pieces FROM counted WHERE n_chars % 2 = 0
+  UNION ALL SELECT source, lang, 'pieces-1', 1, pieces FROM counted WHERE lang = 'en'
+  UNION ALL SELECT source, lang, 'words-1', -1, -words FROM counted WHERE lang = 'en')
+SELECT source, lang, tokenizer, CAST(sum(n) AS BIGINT) AS n_docs, CAST(sum(t) AS BIGINT) AS n_tokens
+FROM signed GROUP BY ALL HAVING sum(n) <> 0 OR sum(t) <> 0
+"""
+
+#: Hashes of 8-word windows come from word numbers: equal windows are equal lists.
+ORACLE_SQL: dict[str, str] = {"op4_token_counts": _OP4_SQL}
