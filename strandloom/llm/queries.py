@@ -62,6 +62,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "shard")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.jaccard import similar_components
+
+    return similar_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.language import fit, predict
 
@@ -92,7 +98,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_files, op3_packing, op4_token_counts, op5_mixing, op7_language, op8_quality, op9_substring, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_files, op3_packing, op4_token_counts, op5_mixing, op6_jaccard, op7_language, op8_quality, op9_substring, op10_topk)}
 
 _OP4_SQL = r"""
 WITH counted AS (

@@ -101,8 +101,9 @@ def _counts(batches):
     """Occurrences of each id in a partition."""
     total = np.zeros(1, np.int64)
     for batch in batches:
-        for ids in (np.frombuffer(i, "<u2" if w == 2 else "<u4") for i, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            found = np.bincount(ids)
+        blobs, widths = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+        for width, kind in ((2, "<u2"), (4, "<u4")):
+            found = np.bincount(np.frombuffer(b"".join(blobs[k] for k in np.flatnonzero(widths == width).tolist()), kind))
             if len(found) > len(total):
                 total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
             total[: len(found)] += found

@@ -10,18 +10,30 @@ ids equal those of encoding the whole text; tests hold both against each other.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pyarrow.compute as pc
 
 #: Words kept in a worker; past it new words are dropped again after their batch.
-MOST_WORDS = 800_000
+MOST_WORDS = 400_000
 #: No UTF-8 text holds this byte: it stands between documents.
 _BETWEEN = b"\xff"
 _TAIL = b".,;:!?)]}*#$%&|\""
-_ENDING = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D])")
+_LOWER, _WHITE = np.zeros(256, bool), np.zeros(256, bool)
+_LOWER[97:123] = True
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _apart(text: bytes) -> bytes:
+    """A blank before each full stop or comma that ends a word of letters: the pre-tokeniser splits there."""
+    raw = np.frombuffer(text, np.uint8)
+    at = np.flatnonzero((raw == 44) | (raw == 46))
+    at = at[(at > 0) & (at < len(raw) - 1)]
+    at = at[_LOWER[raw[at - 1]] & _WHITE[raw[at + 1]]]
+    return np.insert(raw, at, 32).tobytes() if len(at) else text
+
 
 
 def tokenizer_path(name: str) -> str:
@@ -49,7 +61,10 @@ class WordEncoder:
         self.flat, self.used, self.words = np.zeros(1 << 18, np.int32), 0, 1
 
     def _encode(self, words: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
+        out = []
+        for low in range(0, len(words), 8192):
+            out += [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words[low : low + 8192]], add_special_tokens=False)]
+        return out
 
     def _add(self, words: list[bytes]) -> None:
         """Gives new words their places. Heads and tails are encoded once each."""
@@ -86,7 +101,7 @@ class WordEncoder:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         # bytes.lower() touches A to Z only, which the vocabulary's own lower-casing maps alike.
         joined = (b" " + _BETWEEN + b" ").join((t or "").encode("utf-8") for t in texts).lower()
-        words = _ENDING.sub(rb" \1", joined).split()
+        words = _apart(joined).split()
         at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(at < 0).tolist()
         before_words, before_used = self.words, self.used
@@ -116,12 +131,12 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def encoded(batches: Iterator, path: str, text_at: int, bytes_at_once: int = 4 << 20) -> Iterator:
+def encoded(batches: Iterator, path: str, text_at: int, bytes_at_once: int = 3 << 20) -> Iterator:
     """For each slice of a batch: the slice, the ids of its texts in a row, and their numbers."""
     words = encoder(path)
     for batch in batches:
         texts = batch.column(text_at)
-        sizes = np.cumsum([len(t) if t is not None else 0 for t in texts.to_pylist()]) if batch.num_rows else np.zeros(0)
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         low = 0
         while low < batch.num_rows:
             high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + bytes_at_once)))
