@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from strandloom.llm._shared import staged
 from strandloom.llm.tokens import encoded, tokenizer_path
 
-#: Rows that a task sweeps.
-SWEEP_ROWS = 100_000
+#: Rows that a task sweeps; what is left goes through its last rounds in one task once it is no more than this.
+SWEEP_ROWS = 32_768
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, row long, ids binary"
 ITEMS = "kind int, id long, size int, seq long, offset int"
@@ -101,41 +101,65 @@ def _bundles(pieces: DataFrame, short: int) -> DataFrame:
     return staged(dealt.mapInArrow(join, "row long, length int, id long, inner int"), "pack-bundles")
 
 
+def sweep(rows: list[tuple]) -> tuple[list[tuple], list[tuple], list[tuple], list[tuple]]:
+    """Best fit, one piece to a gap, over rows (kind, id, size, seq, offset) sorted largest first with gaps before pieces of their size. Out: placed (id, size, seq, offset), shrunk gaps (size, seq, offset), pieces without a gap (id, size) and gaps without a piece, both in order."""
+    stack: list[tuple] = []
+    placed, shrunk, pieces = [], [], []
+    for kind, item, size, seq, offset in rows:
+        if kind == GAP:
+            stack.append((size, seq, offset))
+        elif stack:
+            gap, seq, offset = stack.pop()
+            placed.append((item, size, seq, offset))
+            if gap > size:
+                shrunk.append((gap - size, seq, offset + size))
+        else:
+            pieces.append((item, size))
+    return placed, shrunk, pieces, stack
+
+
+def _rows(batches) -> list[tuple]:
+    return [row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)]
+
+
+def _swept(rows: list[tuple], names: list[str]):
+    kinds = {"kind": pa.int32(), "id": pa.int64(), "size": pa.int32(), "seq": pa.int64(), "offset": pa.int32(), "part": pa.int32(), "rank": pa.int64()}
+    columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[n]) for c, n in zip(columns, names, strict=True)], names=names)
+
+
 def _sweep(batches):
-    """Best fit within one range. Rows come largest first, gaps before pieces of their size. Out: what is placed (kind 2: the piece's id and its seq and offset), what stays open, and its rank in the range's run."""
+    """The sweep of one range. Kind 2: what is placed; 3: shrunk gaps; pieces and gaps that are left have their rank in the range's run."""
     at = TaskContext.get().partitionId()
-    stack: list[tuple] = []
-    opened = 0
-    cols: list[list] = [[] for _ in range(7)]
-
-    def put(kind, item, size, seq, offset, rank):
-        for c, v in zip(cols, (kind, item, size, seq, offset, at, rank), strict=True):
-            c.append(v)
-
-    def flush():
-        nonlocal cols
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "id", "size", "seq", "offset", "part", "rank"])
-        cols = [[] for _ in range(7)]
-        return out
-
-    for batch in batches:
-        for kind, item, size, seq, offset in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            if kind == GAP:
-                stack.append((size, seq, offset))
-            elif stack:
-                gap, seq, offset = stack.pop()
-                put(2, item, size, seq, offset, None)
-                if gap > size:
-                    put(3, None, gap - size, seq, offset + size, None)
+    placed, shrunk, pieces, gaps = sweep(_rows(batches))
+    rows = [(2, i, size, seq, offset, at, None) for i, size, seq, offset in placed]
+    rows += [(3, None, size, seq, offset, at, None) for size, seq, offset in shrunk]
+    rows += [(PIECE, i, size, None, None, at, rank) for rank, (i, size) in enumerate(pieces)]
+    rows += [(GAP, None, size, seq, offset, at, rank) for rank, (size, seq, offset) in enumerate(gaps)]
+    yield _swept(rows, ["kind", "id", "size", "seq", "offset", "part", "rank"])
+
+
+def _last_rounds(capacity: int):
+    """All rounds over what one task holds: id, seq and offset of every piece."""
+
+    def run(batches):
+        state, done = _rows(batches), []
+        while any(row[0] == PIECE for row in state):
+            state.sort(key=lambda r: (-r[2], r[0], r[1] if r[0] == PIECE else r[3]))
+            waiting = [r for r in state if r[0] == PIECE]
+            gaps = [r for r in state if r[0] == GAP and r[2] >= waiting[-1][2]]
+            if gaps:
+                placed, shrunk, pieces, left = sweep([r for r in state if r[0] == PIECE or r[2] >= waiting[-1][2]])
+                done += [(i, seq, offset) for i, _, seq, offset in placed]
+                state = [(PIECE, i, size, None, None) for i, size in pieces]
+                state += [(GAP, None, size, seq, offset) for size, seq, offset in [*shrunk, *left]]
             else:
-                put(PIECE, item, size, None, None, opened)
-                opened += 1
-        if len(cols[0]) > 50_000:
-            yield flush()
-    for rank, (size, seq, offset) in enumerate(stack):
-        put(GAP, None, size, seq, offset, rank)
-    yield flush()
+                n = -(-sum(r[2] for r in waiting) // capacity)
+                done += [(r[1], r[1], 0) for r in waiting[:n]]
+                state = waiting[n:] + [(GAP, None, capacity - r[2], r[1], r[2]) for r in waiting[:n] if r[2] < capacity]
+        yield _swept(done, ["id", "seq", "offset"])
+
+    return run
 
 
 SWEPT = "kind int, id long, size int, seq long, offset int, part int, rank long"
@@ -240,18 +264,22 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     items = bundles.groupBy("id").agg(F.sum("length").cast("int").alias("size"))
     none = F.lit(None)
     state = items.select(F.lit(PIECE).alias("kind"), "id", "size", none.cast("long").alias("seq"), none.cast("int").alias("offset"))
-    state, all_placed, number = staged(state, "pack-state"), [], 0
+    all_placed, number = [], 0
     while True:
         found = {r["kind"]: r for r in state.groupBy("kind").agg(F.count("*").alias("n"), F.sum("size").alias("ids"), F.min("size").alias("least"), F.max("size").alias("most")).collect()}
         if PIECE not in found:
             break
         waiting, gaps = found[PIECE], found.get(GAP)
+        if waiting["n"] + (gaps["n"] if gaps else 0) <= SWEEP_ROWS:
+            rows = state.select("kind", "id", "size", "seq", "offset").coalesce(1)
+            all_placed.append(staged(rows.mapInArrow(_last_rounds(capacity), "id long, seq long, offset int"), "pack-last"))
+            break
         if gaps is None or gaps["most"] < waiting["least"]:
             placed, state = _open(state, waiting["ids"], capacity, number)
+            state = staged(state, f"pack-state-{number}")
         else:
             placed, state = _round(state, waiting["n"] + gaps["n"], waiting["least"], number)
-        all_placed.append(staged(placed, f"pack-placed-{number}"))
-        state = staged(state, f"pack-state-{number}")
+        all_placed.append(placed)
         number += 1
     where = all_placed[0] if all_placed else items.select("id", F.col("id").alias("seq"), F.lit(0).alias("offset")).limit(0)
     for more in all_placed[1:]:

@@ -206,6 +206,8 @@ def copied_chunks(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     chunks = staged(rows.mapInArrow(_emit, CHUNKS), "chunks")
     looked_up = chunks.where(~F.col("again"))
     owners = looked_up.groupBy("digest").agg(F.min("id").alias("owner"), F.max("id").alias("other")).where(F.col("owner") < F.col("other")).select("digest", "owner")
+    owners = staged(owners, "chunk-owners")
+    release(docs.sparkSession)
     elsewhere = looked_up.join(owners, "digest").where(F.col("id") != F.col("owner")).select("id", "spot")
     copies = chunks.where("again").select("id", "spot").unionByName(elsewhere)
     place = F.col("spot").bitwiseAND(F.lit((1 << 20) - 1))
