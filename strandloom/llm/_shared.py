@@ -6,6 +6,8 @@ import atexit
 import gc
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors through Spark, once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_strandloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    target = Path(tempfile.mkdtemp(prefix="strandloom-package-")) / "strandloom.zip"  # on the driver, from where Spark serves it
+    with zipfile.ZipFile(target, "w") as out:
+        for source in sorted((root / "strandloom").rglob("*.py")):
+            out.write(source, source.relative_to(root))
+    context.addPyFile(str(target))
+    context._strandloom_shipped = True
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -35,6 +35,10 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
 
+#: Columns that judge adds or uses.
+OUTPUT = ("word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words", "_words", "_lines", "_hashes", "_windows", "_pairs", "_starts", "base_failed", "kept")
+
+
 @dataclass(frozen=True)
 class Rule:
     """A measure, and the least and greatest value that pass (None: no bound)."""
@@ -91,8 +95,7 @@ def _covered(starts: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop_words and n_lines, all long."""
-    names = ("word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words", "_words", "_lines", "_hashes", "_windows", "_pairs", "_starts")
-    keep = [c for c in docs.columns if c.lower() not in names]
+    keep = [c for c in docs.columns if c.lower() not in OUTPUT]
     parts = docs.select(*keep, *(v.alias(k) for k, v in _counts(F.col(text)).items()))
     zero = F.lit(0).cast("long")
     size = lambda c: F.when(F.col(c).isNull(), zero).otherwise(F.size(c).cast("long"))
@@ -145,4 +148,7 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     """docs with the measures, base_failed and kept."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     found = measure(docs, text)
-    return found.select(*[c for c in found.columns if c.lower() not in ("base_failed", "kept")], failed.alias("base_failed"), (~failed & compile_rules(rules)).alias("kept"))
+    keep = [c for c in found.columns if c.lower() not in ("base_failed", "kept")]
+    # Out of a generator of one row: a later filter on kept can't be pushed into the projection, which would compute the measures again for each use.
+    verdict = F.array(F.struct(failed.alias("base_failed"), (~failed & compile_rules(rules)).alias("kept")))
+    return found.select(*keep, F.inline(verdict))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm._shared import n_words, table
+from strandloom.llm._shared import ship, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +100,16 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_files, op3_packing, op4_token_counts, op5_mixing, op6_jaccard, op7_language, op8_quality, op9_substring, op10_topk)}
+def _shipped(query):
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _shipped(f) for f in (op1_sharding, op2_token_files, op3_packing, op4_token_counts, op5_mixing, op6_jaccard, op7_language, op8_quality, op9_substring, op10_topk)}
 
 _OP4_SQL = r"""
 WITH counted AS (

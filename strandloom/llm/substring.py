@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +43,7 @@ MIN_WORDS = 18
 #: Bytes that the gear hash looks back, and the blanks before each text, so that no text sees another.
 LOOK_BACK = 16
 _GAP = b" " * LOOK_BACK
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 CHUNKS = "id long, spot long, digest long, again boolean"
@@ -69,19 +70,25 @@ def word_table(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(edges, starts, side="right") - 1
 
 
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse up to n, kept by the worker."""
+    if len(_POWERS[0]) <= n:
+        size = max(n + 1, 1 << 20)
+        for k, base in enumerate((int(_P), pow(int(_P), -1, 1 << 64))):
+            out = np.full(size, base, np.uint64)
+            out[0] = 1
+            _POWERS[k] = np.multiply.accumulate(out)
+    return _POWERS[0], _POWERS[1]
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes: differences of one running polynomial sum, brought to a common power."""
-    n = len(raw)
-    powers = np.empty(n + 1, np.uint64)
-    powers[0] = 1
-    powers[1:] = _P
-    np.multiply.accumulate(powers, out=powers)
-    inverse = np.uint64(pow(int(_P), -1, 1 << 64))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(GEAR[raw] * powers[:-1], out=sums[1:])
-    back = np.full(n + 1, inverse, np.uint64)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
+    powers, back = _powers(len(raw))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(GEAR[raw] * powers[: len(raw)], out=sums[1:])
     return _mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
@@ -127,15 +134,13 @@ def chunks_of(texts: list[bytes]) -> dict[str, np.ndarray]:
 def slices(batches, text_at: int):
     """Parts of batches with their texts as bytes, BYTES_AT_ONCE at a time or one text."""
     for batch in batches:
-        texts = [(t or "").encode("utf-8") for t in batch.column(text_at).to_pylist()]
-        low = size = 0
-        for k, t in enumerate(texts):
-            if k > low and size + len(t) > BYTES_AT_ONCE:
-                yield batch.slice(low, k - low), texts[low:k]
-                low, size = k, 0
-            size += len(t)
-        if low < len(texts):
-            yield batch.slice(low), texts[low:]
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        low = 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + BYTES_AT_ONCE)))
+            part = batch.slice(low, high - low)
+            yield part, [t or b"" for t in part.column(text_at).cast(pa.binary()).to_pylist()]
+            low = high
 
 
 def _spots(text_hash: np.ndarray, place: np.ndarray) -> np.ndarray:
