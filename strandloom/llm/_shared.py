@@ -79,6 +79,12 @@ def staged(df: DataFrame, name: str, codec: str = "lz4") -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def drop_staged(df: DataFrame) -> None:
+    """Deletes the table behind a result of staged() that nothing will read again."""
+    for file in df.inputFiles()[:1]:
+        delete_path(df.sparkSession, file.rpartition("/")[0])
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that nothing refers to any more, which it else does at its next collection of garbage."""
     gc.collect()

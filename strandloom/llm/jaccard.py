@@ -2,11 +2,13 @@
 
 A document's set has its distinct shingles (64-bit hashes of SHINGLE words; A-Z
 lower-cased). Documents with equal sets are one from here on. Two sets of
-Jaccard similarity t or more share one of their first n - ceil(t n) + 1
-shingles in any common order; sets that share such a shingle are neighbours,
-and a block holds all neighbours of neighbours. The order puts shingles last that
-are frequent in a bounded sample of documents, which only keeps blocks small:
-any order finds all links.
+Jaccard similarity t or more share k of their first n - ceil(t n) + k shingles
+in any common order. With k = n / PREFIX_PARTS, a set of which fewer than
+ceil(t n / PREFIX_PARTS) of these shingles are in other sets' has no link (a partner is
+not smaller than t n). Sets left that share such a shingle are neighbours, and a block
+holds all neighbours of neighbours. The order puts shingles last that are
+frequent in a bounded sample of documents, which only keeps blocks small: any
+order finds all links.
 
 Within a block the sets are points: shingles are hashed into DIMS groups, and a
 point counts its shingles in each. The points are packed into the leaves of an
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm._shared import release, staged
+from strandloom.llm._shared import drop_staged, release, staged
 from strandloom.llm.components import components
 from strandloom.llm.substring import _mix, slices, word_hashes, word_table
 
@@ -43,6 +45,7 @@ SHINGLE = 5
 PERCENT = 80
 DIMS = 64
 LEAF = 64
+PREFIX_PARTS = 16
 CELL_ROWS = 4096
 #: Documents whose shingles decide which ones are frequent, how many must hold one, and how many are kept.
 SAMPLE_DOCS = 8_000
@@ -92,9 +95,9 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return values, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))])
 
 
-def prefix_size(n: int) -> int:
-    """Shingles of which two sets of similarity PERCENT share one, in any common order."""
-    return n - -(-PERCENT * n // 100) + 1 if n else 0
+def prefix_sizes(n: np.ndarray) -> np.ndarray:
+    """How many shingles of a set, in the common order, are looked up: two sets of similarity PERCENT share n / PREFIX_PARTS of them, for the smaller n."""
+    return n - -(-PERCENT * n // 100) + -(-n // PREFIX_PARTS)
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
@@ -116,7 +119,7 @@ def _describe(frequent: np.ndarray):
             owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
             order = np.lexsort((values, late, owner))
             n = np.diff(bounds)
-            want = n - -(-PERCENT * n // 100) + (n > 0)
+            want = prefix_sizes(n)
             rank = np.arange(len(values)) - bounds[owner]
             chosen = values[order][rank < want[owner]]
             offsets = np.concatenate([[0], np.cumsum(want)]).astype(np.int32)
@@ -310,6 +313,12 @@ def _in_cells(members: DataFrame) -> DataFrame:
     return small.unionByName(placed.select(F.explode(cells).alias("c"), "sid", "shingles").select("c.cell", "sid", "c.side", "shingles"))
 
 
+def several(postings: DataFrame) -> DataFrame:
+    """Tokens of two sets or more, with the least set. Minima are taken within each task before rows move."""
+    ends = postings.groupBy("token").agg(F.min("sid").alias("first"), F.max("sid").alias("last"))
+    return ends.where(F.col("first") < F.col("last")).select("token", "first")
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_shingles and component_id (the least id reachable by links)."""
     spark = docs.sparkSession
@@ -318,12 +327,23 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     described = staged(rows.mapInArrow(lambda batches: _describe(frequent.value)(batches), SETS), "jaccard-sets")
     # Equal sets are one.
     full = described.where("n > 0")
-    merged = staged(full.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("*", F.monotonically_increasing_id().alias("sid")), "jaccard-merged")
+    merged = full.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    merged = staged(merged.select("*", F.monotonically_increasing_id().alias("sid")), "jaccard-merged")
+    described, wide = staged(described.drop("prefix"), "jaccard-rows"), described
+    drop_staged(wide)
+    release(spark)
+    # Shingles of prefixes that two sets or more have, and the sets that have enough of them.
+    postings = merged.select(F.explode("prefix").alias("token"), "sid", "n")
+    lists = staged(several(postings).select("token"), "jaccard-lists")
+    release(spark)
+    shared = staged(postings.join(lists, "token"), "jaccard-shared")
     release(spark)
-    # Neighbours: sets that share a shingle of their prefixes; each is linked to the least set of the shingle's list.
-    postings = merged.select(F.explode("prefix").alias("token"), "sid")
-    lists = postings.groupBy("token").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where(F.col("first") < F.col("last"))
-    near = staged(postings.join(lists.select("token", "first"), "token").where(F.col("sid") > F.col("first")).select(F.col("sid").alias("a"), F.col("first").alias("b")).distinct(), "jaccard-near")
+    enough = F.ceil(F.col("n") * PERCENT / (100 * PREFIX_PARTS))
+    able = shared.groupBy("sid", "n").count().where(F.col("count") >= enough).select("sid")
+    shared = shared.join(able, "sid").select("token", "sid")
+    # Each is linked to the least set of the shingle's list.
+    near = shared.join(several(shared), "token").where(F.col("sid") > F.col("first"))
+    near = staged(near.select(F.col("sid").alias("a"), F.col("first").alias("b")).distinct(), "jaccard-near")
     release(spark)
     block_of = components(near)
     blocks = staged(block_of.select(F.col("node").alias("sid"), F.col("component").alias("block")).unionByName(block_of.select(F.col("component").alias("sid"), F.col("component").alias("block")).distinct()), "jaccard-blocks")

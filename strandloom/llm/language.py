@@ -35,7 +35,7 @@ SAMPLE_PER_LANGUAGE = 1_000
 STEPS = 150
 AMBIGUOUS = 0.2
 UNKNOWN = "und"
-BYTES_AT_ONCE = 2 << 20
+BYTES_AT_ONCE = 1 << 19
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -140,7 +140,8 @@ def training_rows(docs: DataFrame, id_col: str, text: str, label: str, where: Co
     near = F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53) < share
     keys = rows.where(near & F.col(text).rlike(r"\p{L}")).select(F.col(label).alias("label"), h.alias("h"), F.col(text).alias("text"))
     order = Window.partitionBy("label").orderBy("h", "text")
-    return keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_PER_LANGUAGE).orderBy("label", "rank").select("text", "label").collect()
+    found = keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_PER_LANGUAGE).collect()
+    return [(r["text"], r["label"]) for r in sorted(found, key=lambda r: (r["label"], r["rank"]))]
 
 
 def fit(docs: DataFrame, where: Column, id_col: str = "doc_id", text: str = "text", label: str = "lang") -> Coder | None:

@@ -18,8 +18,11 @@ import pyarrow.compute as pc
 
 #: Words kept in a worker; past it new words are dropped again after their batch.
 MOST_WORDS = 400_000
+COMMON_WORDS = 2_000
 #: No UTF-8 text holds this byte: it stands between documents.
 _BETWEEN = b"\xff"
+#: Letters before this one are single code points in normal form.
+_LATIN_END = "\u0250"
 _TAIL = b".,;:!?)]}*#$%&|\""
 _LOWER, _WHITE = np.zeros(256, bool), np.zeros(256, bool)
 _LOWER[97:123] = True
@@ -53,18 +56,32 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # The byte-level alphabet: printable Latin-1 bytes are themselves, the others follow from U+0100.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        self.of_byte = [chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)]
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[bytes, int] = {_BETWEEN: 0}
+        self.common: dict[bytes, int] = {}
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used, self.words = np.zeros(1 << 18, np.int32), 0, 1
 
     def _encode(self, words: list[bytes]) -> list[list[int]]:
-        out = []
-        for low in range(0, len(words), 8192):
-            out += [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words[low : low + 8192]], add_special_tokens=False)]
-        return out
+        """Ids of words. One of lower-case Latin letters alone is one pre-token in normal form, so the library's model takes it as it is, byte by byte."""
+        out: list[list[int] | None] = []
+        rest: list[str] = []
+        tokenize = self.tokenizer.model.tokenize
+        for word in words:
+            text = word.decode("utf-8")
+            if text.isalpha() and max(text) < _LATIN_END and text == text.lower():
+                out.append([t.id for t in tokenize(text if text.isascii() else "".join(map(self.of_byte.__getitem__, word)))])
+            else:
+                out.append(None)
+                rest.append(text)
+        others = (e.ids for low in range(0, len(rest), 8192) for e in self.tokenizer.encode_batch_fast(rest[low : low + 8192], add_special_tokens=False))
+        return [x if x is not None else next(others) for x in out]
 
     def _add(self, words: list[bytes]) -> None:
         """Gives new words their places. Heads and tails are encoded once each."""
@@ -102,7 +119,10 @@ class WordEncoder:
         # bytes.lower() touches A to Z only, which the vocabulary's own lower-casing maps alike.
         joined = (b" " + _BETWEEN + b" ").join((t or "").encode("utf-8") for t in texts).lower()
         words = _apart(joined).split()
-        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        # Few words make up most of a text: a small dictionary stays in the processor's cache.
+        at = np.fromiter(map(self.common.get, words, repeat(-1)), np.int64, len(words))
+        rare = np.flatnonzero(at < 0)
+        at[rare] = np.fromiter(map(self.place.get, map(words.__getitem__, rare.tolist()), repeat(-1)), np.int64, len(rare))
         new = np.flatnonzero(at < 0).tolist()
         before_words, before_used = self.words, self.used
         if new:
@@ -112,6 +132,10 @@ class WordEncoder:
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)]
+        if not self.common:
+            top = np.argsort(-np.bincount(at))[:COMMON_WORDS].tolist()
+            names = dict(zip(self.place.values(), self.place, strict=True))
+            self.common = {names[k]: k for k in top}
         if self.words > MOST_WORDS and new:
             for _ in range(self.words - before_words):
                 self.place.popitem()
