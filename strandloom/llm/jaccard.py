@@ -5,10 +5,10 @@ lower-cased). Documents with equal sets are one from here on. Two sets of
 Jaccard similarity t or more share k of their first n - ceil(t n) + k shingles
 in any common order. With k = n / PREFIX_PARTS, a set of which fewer than
 ceil(t n / PREFIX_PARTS) of these shingles are in other sets' has no link (a partner is
-not smaller than t n). Sets left that share such a shingle are neighbours, and a block
-holds all neighbours of neighbours. The order puts shingles last that are
-frequent in a bounded sample of documents, which only keeps blocks small: any
-order finds all links.
+not smaller than t n). Sets left are neighbours if they share a shingle that more than
+SHORT sets have, or k of the others; a block holds all neighbours of neighbours.
+The order puts shingles last that are frequent in a bounded sample of
+documents, which only keeps blocks small: any order finds all links.
 
 Within a block the sets are points: shingles are hashed into DIMS groups, and a
 point counts its shingles in each. The points are packed into the leaves of an
@@ -46,6 +46,8 @@ PERCENT = 80
 DIMS = 64
 LEAF = 64
 PREFIX_PARTS = 16
+#: Lists of at most so many sets are taken pair by pair.
+SHORT = 16
 CELL_ROWS = 4096
 #: Documents whose shingles decide which ones are frequent, how many must hold one, and how many are kept.
 SAMPLE_DOCS = 8_000
@@ -314,9 +316,26 @@ def _in_cells(members: DataFrame) -> DataFrame:
 
 
 def several(postings: DataFrame) -> DataFrame:
-    """Tokens of two sets or more, with the least set. Minima are taken within each task before rows move."""
-    ends = postings.groupBy("token").agg(F.min("sid").alias("first"), F.max("sid").alias("last"))
-    return ends.where(F.col("first") < F.col("last")).select("token", "first")
+    """Tokens of two sets or more, with the number and the least of them and a digest of who they are. All is summed within each task before rows move."""
+    one, other = F.xxhash64("sid"), F.xxhash64(F.lit(1), "sid")
+    ends = postings.groupBy("token").agg(F.count("*").alias("c"), F.min("sid").alias("first"), F.bit_xor(one).alias("x1"), F.bit_xor(other).alias("x2"))
+    return ends.where("c > 1")
+
+
+def neighbours(postings: DataFrame) -> DataFrame:
+    """Links a, b that connect all sets that may be similar. postings: token, sid, n.
+
+    Tokens with the same sets are one list with a weight. Sets that share a list of more than SHORT are all linked to its least. Two sets that share
+    no such list must share n / PREFIX_PARTS tokens of short ones: their pairs are few for each row, and only those with that weight are links."""
+    lists = several(postings).groupBy("c", "x1", "x2", "first").agg(F.min("token").alias("token"), F.count("*").alias("weight"))
+    members = staged(postings.join(lists.select("token", "c", "first", "weight"), "token"), "jaccard-members")
+    long = members.where((F.col("c") > SHORT) & (F.col("sid") > F.col("first"))).select(F.col("sid").alias("a"), F.col("first").alias("b"))
+    rows = members.where(F.col("c") <= SHORT).groupBy("token", "weight").agg(F.array_sort(F.collect_list(F.struct("sid", "n"))).alias("m"))
+    pairs = F.flatten(F.transform("m", lambda x, k: F.transform(F.slice("m", k + 2, SHORT), lambda y: F.struct(y["sid"].alias("a"), x["sid"].alias("b"), y["n"].alias("na"), x["n"].alias("nb")))))
+    found = rows.select("weight", F.explode(pairs).alias("p")).select("weight", "p.*")
+    found = found.where((100 * F.col("na") >= PERCENT * F.col("nb")) & (100 * F.col("nb") >= PERCENT * F.col("na")))
+    found = found.groupBy("a", "b", "na", "nb").agg(F.sum("weight").alias("shared")).where(F.col("shared") >= F.ceil(F.least("na", "nb") / PREFIX_PARTS))
+    return long.unionByName(found.select("a", "b")).distinct()
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -340,10 +359,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     release(spark)
     enough = F.ceil(F.col("n") * PERCENT / (100 * PREFIX_PARTS))
     able = shared.groupBy("sid", "n").count().where(F.col("count") >= enough).select("sid")
-    shared = shared.join(able, "sid").select("token", "sid")
-    # Each is linked to the least set of the shingle's list.
-    near = shared.join(several(shared), "token").where(F.col("sid") > F.col("first"))
-    near = staged(near.select(F.col("sid").alias("a"), F.col("first").alias("b")).distinct(), "jaccard-near")
+    near = staged(neighbours(staged(shared.join(able, "sid").select("token", "sid", "n"), "jaccard-able")), "jaccard-near")
+    drop_staged(shared)
     release(spark)
     block_of = components(near)
     blocks = staged(block_of.select(F.col("node").alias("sid"), F.col("component").alias("block")).unionByName(block_of.select(F.col("component").alias("sid"), F.col("component").alias("block")).distinct()), "jaccard-blocks")
