@@ -30,7 +30,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = token_folder(spark)
     write_token_files(table(spark, sf_dir, "documents"), folder)
-    return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_token_files(spark, folder, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

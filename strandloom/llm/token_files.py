@@ -47,10 +47,15 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     n = len(ranks)
     full = np.zeros(-(-n // 4) * 4, np.uint32)
     full[:n] = ranks
-    code = (full > 0xFF).astype(np.uint8) + (full > 0xFFFF) + (full > 0xFFFFFF)
-    control = (code.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
-    wide = full.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), wide[np.arange(4) <= code[:, None]].tobytes()
+    code, width, most = np.zeros(len(full), np.uint8), 1, int(full.max(initial=0))
+    while width < 4 and most >= 1 << (8 * width):
+        code += full >= 1 << (8 * width)
+        width += 1
+    a, b, c, d = (code[k::4] for k in range(4))
+    control = a | (b << 2) | (c << 4) | (d << 6)
+    # Only as many byte columns as the largest number needs.
+    columns = full.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]
+    return control.tobytes(), columns[np.arange(width, dtype=np.uint8) <= code[:, None]].tobytes()
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -162,8 +167,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     blocks.write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 
-def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens, ids (little-endian unsigned 32-bit) and their crc32."""
+def read_token_files(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens, ids (little-endian unsigned 32-bit; null unless wanted) and their crc32."""
     vocab = spark.read.schema("rank int, id int").parquet(f"{folder}/vocab").orderBy("rank").select("id")
     ids_of = np.array([r[0] for r in vocab.collect()], np.uint32)  # the vocabulary at most
 
@@ -173,11 +178,12 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 ids = ids_of[decode_ranks(control, data, n)].astype("<u4")
                 sizes = np.array(lengths, np.int64)
                 ends = np.cumsum(sizes)
-                raw = ids.tobytes()
+                raw = memoryview(ids.tobytes())
                 cuts = zip((4 * (ends - sizes)).tolist(), (4 * ends).tolist(), strict=True)
                 blobs = [raw[a:b] for a, b in cuts]
+                kept = pa.array([bytes(b) for b in blobs] if with_ids else [None] * len(blobs), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(first + ends - sizes, pa.int64()), pa.array(sizes), pa.array(blobs, pa.binary()), pa.array([zlib.crc32(b) for b in blobs], pa.int64())],
+                    [pa.array(docs, pa.int64()), pa.array(first + ends - sizes, pa.int64()), pa.array(sizes), kept, pa.array([zlib.crc32(b) for b in blobs], pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids", "ids_crc32"],
                 )
 
