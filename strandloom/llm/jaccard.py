@@ -146,7 +146,7 @@ def frequent_shingles(docs: DataFrame, text: str, count: int) -> np.ndarray:
 
 
 def _points(batches):
-    """Sets and points of the texts; a set that a task has had already is left out."""
+    """Sets of the texts with their cells; a set that a task has had already is left out. Columns: sid, text, h1, cells."""
     seen: set[int] = set()
     for batch, texts in slices(batches, 1):
         fresh = []
@@ -155,12 +155,12 @@ def _points(batches):
                 seen.add(sid)
                 fresh.append(k)
         values, bounds = shingle_sets([texts[k] for k in fresh])
-        h1, wanted = _sums(values, bounds, 0x51), batch.column(2).take(pa.array(fresh, pa.int64())).to_numpy(zero_copy_only=False)
-        raw = values.tobytes()
-        keep = np.flatnonzero(h1 == wanted).tolist()
-        sids = batch.column(0).take(pa.array(fresh, pa.int64())).take(pa.array(keep, pa.int64()))
+        part = batch.take(pa.array(fresh, pa.int64()))
+        keep = np.flatnonzero(_sums(values, bounds, 0x51) == part.column(2).to_numpy(zero_copy_only=False))  # another text of that id has another set
+        raw, keep = values.tobytes(), keep.tolist()
+        part = part.take(pa.array(keep, pa.int64()))
         blobs = [raw[8 * bounds[k] : 8 * bounds[k + 1]] for k in keep]
-        yield pa.RecordBatch.from_arrays([sids, pa.array(np.diff(bounds)[keep], pa.int64()), pa.array(blobs, pa.binary())], names=["sid", "n", "shingles"])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(blobs, pa.binary())], names=["sid", "cells", "shingles"])
 
 
 def count_points(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -292,27 +292,29 @@ def _size_class(n):
     return F.floor(F.ln(n.cast("double")) / float(np.log(100 / PERCENT)) + 1e-9).cast("long")
 
 
-def _in_cells(members: DataFrame) -> DataFrame:
-    """cell, sid, side and shingles: each member in all pairs of cells that it belongs to. members: block, sid, n, shingles."""
-    blocks = members.groupBy("block").agg(F.count("*").alias("m"))
-    small = members.join(blocks.where(F.col("m") <= CELL_ROWS).select("block"), "block")
-    small = small.select(F.concat_ws("/", "block").alias("cell"), "sid", F.lit(0).alias("side"), "shingles")
-    large = members.join(blocks.where(F.col("m") > CELL_ROWS).select("block"), "block").withColumn("class", _size_class(F.col("n")))
-    tiles = large.groupBy("block", "class").agg(F.ceil(F.count("*") / (CELL_ROWS // 2)).cast("long").alias("tiles"))
+CELLS = "array<struct<cell: string, side: int>>"
+
+
+def in_cells(members: DataFrame) -> DataFrame:
+    """members (block, sid, n and others) with the cells, and the side in each, in which a set is compared. Narrow: the sets come later."""
+    sizes = members.groupBy("block").agg(F.count("*").alias("m"))
+    rows = members.join(sizes, "block").withColumn("class", F.when(F.col("m") > CELL_ROWS, _size_class(F.col("n"))))
+    tiles = rows.where("class is not null").groupBy("block", "class").agg(F.ceil(F.count("*") / (CELL_ROWS // 2)).cast("long").alias("tiles"))
     up = tiles.select("block", (F.col("class") + 1).alias("class"), F.col("tiles").alias("below"))
     down = tiles.select("block", (F.col("class") - 1).alias("class"), F.col("tiles").alias("above"))
-    placed = large.join(tiles, ["block", "class"]).join(up, ["block", "class"], "left").join(down, ["block", "class"], "left")
-    placed = placed.withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")))
+    rows = rows.join(tiles, ["block", "class"], "left").join(up, ["block", "class"], "left").join(down, ["block", "class"], "left")
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")))
     zero = F.lit(0).cast("long")
     upto = lambda c: F.when(F.coalesce(F.col(c), zero) > 0, F.sequence(zero, F.col(c) - 1)).otherwise(F.array().cast("array<long>"))
-    name = lambda c1, t1, c2, t2: F.concat_ws("/", "block", c1, t1, c2, t2)
+    name = lambda *parts: F.concat_ws("/", "block", *parts)
     own, cls = F.col("tile"), F.col("class")
-    cells = F.concat(
+    split = F.concat(
         F.transform(upto("tiles"), lambda k: F.struct(name(cls, F.least(own, k), cls, F.greatest(own, k)).alias("cell"), (own > k).cast("int").alias("side"))),
         F.transform(upto("above"), lambda k: F.struct(name(cls, own, cls + 1, k).alias("cell"), F.lit(0).alias("side"))),
         F.transform(upto("below"), lambda k: F.struct(name(cls - 1, k, cls, own).alias("cell"), F.lit(1).alias("side"))),
     )
-    return small.unionByName(placed.select(F.explode(cells).alias("c"), "sid", "shingles").select("c.cell", "sid", "c.side", "shingles"))
+    whole = F.array(F.struct(name().alias("cell"), F.lit(0).alias("side")))
+    return rows.select(*members.columns, F.when(cls.isNull(), whole).otherwise(split).cast(CELLS).alias("cells"))
 
 
 def several(postings: DataFrame) -> DataFrame:
@@ -364,14 +366,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     release(spark)
     block_of = components(near)
     blocks = staged(block_of.select(F.col("node").alias("sid"), F.col("component").alias("block")).unionByName(block_of.select(F.col("component").alias("sid"), F.col("component").alias("block")).distinct()), "jaccard-blocks")
-    wanted = staged(merged.join(blocks, "sid").select("sid", "block", "least", "h1"), "jaccard-wanted")
+    wanted = staged(in_cells(merged.join(blocks, "sid").select("sid", "block", "n", "least", "h1")), "jaccard-wanted")
     release(spark)
-    # The sets of block members, from the texts of their least ids.
-    texts = rows.join(wanted.select(F.col("least").alias("id"), "sid", "h1"), "id").select("sid", "text", "h1")
-    sets = staged(texts.mapInArrow(_points, "sid long, n long, shingles binary"), "jaccard-points", "uncompressed")
+    # The sets of block members, from the texts of their least ids. Neither side has a bound, so both are sorted.
+    texts = rows.join(wanted.select(F.col("least").alias("id"), "sid", "h1", "cells").hint("merge"), "id").select("sid", "text", "h1", "cells")
+    sets = staged(texts.mapInArrow(_points, f"sid long, cells {CELLS}, shingles binary"), "jaccard-points", "uncompressed")
     release(spark)
-    cells = _in_cells(sets.join(wanted.select("sid", "block"), "sid"))
-    found = cells.repartition("cell").sortWithinPartitions("cell").select("cell", "sid", "side", "shingles").mapInArrow(_cells, "a long, b long")
+    placed = sets.select(F.explode("cells").alias("c"), "sid", "shingles").select("c.cell", "sid", "c.side", "shingles")
+    found = placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells, "a long, b long")
     linked = components(staged(found, "jaccard-links"))
     release(spark)
     # Components are named by the least id among their sets.
