@@ -2,5 +2,35 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The driver's tables by name."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a function of Tables under its name, with the SQL it must agree with."""
+
+    def register(f):
+        key = name or f.__name__
+        QUERIES[key] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            ORACLE_SQL[key] = sql
+        return f
+
+    return register
+
+
+from strandloom.plans import aggregates, annotation, lookups, regions, scalars, search, texts, validation  # noqa: E402, F401
