@@ -68,9 +68,9 @@ def source_filter(t: Tables):
     return t.documents.where(filters.source_is(kind, "ALL")).select("doc_id", "source")
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE n_name ILIKE '%an%' OR n_name = upper('an')")
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_name ILIKE '%n%1%' OR n_name = upper('n%1')")
 def xdbref_lookup(t: Tables):
-    return t.nation.where(filters.database_ref(F.col("n_name"), F.col("n_name"), "an")).select("n_nationkey", "n_name")
+    return t.nation.where(filters.database_ref(F.col("n_name"), F.col("n_name"), "n%1")).select("n_nationkey", "n_name")
 
 
 @query("SELECT doc_id, source FROM documents WHERE source IN (SELECT DISTINCT source FROM documents WHERE lang = 'fr') AND source NOT IN ('src3') AND NOT starts_with(source, 'src1')")

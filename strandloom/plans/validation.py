@@ -17,10 +17,10 @@ def enum_violations(t: Tables):
     return D.validate(t.customer.select("c_custkey", "c_mktsegment"), {"properties": {"c_mktsegment": {"enum": _SEGMENTS}}}, "c_custkey")
 
 
-@query("SELECT conv_id, turn, 'required field `text` is empty' AS message FROM conversations WHERE text IS NULL OR text = ''")
+@query("SELECT conv_id, turn, 'required field `speaker` is empty' AS message FROM conversations WHERE role IS NULL OR role = 'user'")
 def required_nulls(t: Tables):
-    rows = t.conversations.select("conv_id", "turn", F.explode(D.errors({"required": ["text"]}, ["text"])).alias("message"))
-    return rows
+    rows = t.conversations.withColumn("speaker", F.nullif("role", F.lit("user")))
+    return rows.select("conv_id", "turn", F.explode(D.errors({"required": ["speaker"]}, ["speaker"])).alias("message"))
 
 
 @query("SELECT doc_id, doc_id % 3 = 0 AS md5_ok, doc_id % 2 = 0 AS pubmed_ok FROM documents")
