@@ -23,7 +23,7 @@ that can hold a link are tasks of their own.
 
 Defined results: null texts and texts without words have an empty set, link with
 nothing and are their own component. Fewer words than SHINGLE make one shingle.
-Rows with a null id take part, but are named by no component; a group of only such
+Rows with a null id take part, but name no component; a group of only such
 rows has a null component. Repeated rows have equal sets and so one
 component. Ties don't matter. An empty table gives an empty result. Other
 columns are not read.
@@ -57,7 +57,7 @@ MOST_FREQUENT = 200_000
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _STEPS = np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-SETS = "id long, n long, h1 long, h2 long, prefix array<long>"
+SETS = "id long, n long, h1 long, h2 long, text_key long, prefix array<long>"
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +126,7 @@ def _describe(frequent: np.ndarray):
             chosen = values[order][rank < want[owner]]
             offsets = np.concatenate([[0], np.cumsum(want)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(chosen, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(_sums(values, bounds, 0x51)), pa.array(_sums(values, bounds, 0x7F4A7C15)), prefix], names=["id", "n", "h1", "h2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(_sums(values, bounds, 0x51)), pa.array(_sums(values, bounds, 0x7F4A7C15)), batch.column(2), prefix], names=["id", "n", "h1", "h2", "text_key", "prefix"])
 
     return run
 
@@ -344,13 +344,15 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     """One row for each row of docs: id, n_shingles and component_id (the least id reachable by links)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    # Texts are found again by id; those without one by a hash of the text.
+    rows = rows.withColumn("text_key", F.when(F.col("id").isNull(), F.xxhash64("text")))
     frequent = spark.sparkContext.broadcast(frequent_shingles(rows, "text", rows.count()))
     described = staged(rows.mapInArrow(lambda batches: _describe(frequent.value)(batches), SETS), "jaccard-sets")
     # Equal sets are one.
     full = described.where("n > 0")
-    merged = full.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    merged = full.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.first("prefix").alias("prefix"))
     merged = staged(merged.select("*", F.monotonically_increasing_id().alias("sid")), "jaccard-merged")
-    described, wide = staged(described.drop("prefix"), "jaccard-rows"), described
+    described, wide = staged(described.drop("prefix", "text_key"), "jaccard-rows"), described
     drop_staged(wide)
     release(spark)
     # Shingles of prefixes that two sets or more have, and the sets that have enough of them.
@@ -366,10 +368,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     release(spark)
     block_of = components(near)
     blocks = staged(block_of.select(F.col("node").alias("sid"), F.col("component").alias("block")).unionByName(block_of.select(F.col("component").alias("sid"), F.col("component").alias("block")).distinct()), "jaccard-blocks")
-    wanted = staged(in_cells(merged.join(blocks, "sid").select("sid", "block", "n", "least", "h1")), "jaccard-wanted")
+    wanted = staged(in_cells(merged.join(blocks, "sid").select("sid", "block", "n", "least", "h1", "text_key")), "jaccard-wanted")
     release(spark)
     # The sets of block members, from the texts of their least ids. Neither side has a bound, so both are sorted.
-    texts = rows.join(wanted.select(F.col("least").alias("id"), "sid", "h1", "cells").hint("merge"), "id").select("sid", "text", "h1", "cells")
+    key = lambda c: (F.coalesce(c, "text_key").alias("key"), F.col(c).isNull().alias("by_text"))
+    texts = rows.select("text", *key("id")).join(wanted.select(*key("least"), "sid", "h1", "cells").hint("merge"), ["key", "by_text"]).select("sid", "text", "h1", "cells")
     sets = staged(texts.mapInArrow(_points, f"sid long, cells {CELLS}, shingles binary"), "jaccard-points", "uncompressed")
     release(spark)
     placed = sets.select(F.explode("cells").alias("c"), "sid", "shingles").select("c.cell", "sid", "c.side", "shingles")

@@ -29,13 +29,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandloom.llm.substring import slices
+
 BITS = 13
 BUCKETS = 1 << BITS
 SAMPLE_PER_LANGUAGE = 1_000
 STEPS = 150
 AMBIGUOUS = 0.2
 UNKNOWN = "und"
-BYTES_AT_ONCE = 1 << 19
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -159,22 +160,15 @@ def predict(docs: DataFrame, coder: Coder | None, text: str = "text") -> DataFra
 
     def run(batches):
         coder = shipped.value
-        for batch in batches:
+        for batch, texts in slices(batches, text_at):
             lettered = batch.column(fields).to_pylist()
-            texts = batch.column(text_at).to_pylist()
             names, scores, close = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
             wanted = [k for k, ok in enumerate(lettered) if ok] if coder else []
-            low = 0
-            while low < len(wanted):
-                high, size, part = low, 0, []
-                while high < len(wanted) and (high == low or size < BYTES_AT_ONCE):
-                    part.append(texts[wanted[high]].encode("utf-8"))
-                    size += len(part[-1])
-                    high += 1
-                best, share, near = coder.decode(coder.values(part))
-                for k, b, s, n in zip(wanted[low:high], best.tolist(), share.tolist(), near.tolist(), strict=True):
-                    names[k], scores[k], close[k] = coder.languages[b], s, n
-                low = high
+            if wanted:
+                best, share, near = coder.decode(coder.values([texts[k] for k in wanted]))
+                scores[wanted], close[wanted] = share, near
+                for k, n in zip(wanted, best.tolist(), strict=True):
+                    names[k] = coder.languages[n]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(fields)), pa.array(names), pa.array(scores), pa.array(close)], names=[*batch.schema.names[:fields], "lang_pred", "score", "ambiguous"])
 
     schema = T.StructType([*docs.select(*keep).schema, *T.StructType.fromDDL("lang_pred string, score double, ambiguous boolean")])
