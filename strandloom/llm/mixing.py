@@ -180,4 +180,6 @@ def mix(docs: DataFrame, n_shards: int = 64, seed: int = 20240307, id_col: str =
     draw = F.col("epoch") * BLOCKS + _bits(F.col("_h"), BLOCKS)
     rows = rows.select(*keep, "size", "source_size", "target", "copies", "epoch", F.get("shards", draw.cast("int")).alias("shard"), F.xxhash64(F.lit(seed), "_h", "epoch").alias("shuffle_key"))
     lane = F.pmod("shuffle_key", F.lit(lanes))
-    return rows.repartition(F.col("shard"), lane).sortWithinPartitions("shard", lane, "shuffle_key")
+    # Rows that no shard takes are dealt out like the others.
+    to = F.coalesce("shard", F.pmod("shuffle_key", F.lit(n_shards)).cast("int"))
+    return rows.repartition(to, lane).sortWithinPartitions("shard", lane, "shuffle_key")
