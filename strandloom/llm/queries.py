@@ -127,5 +127,49 @@ SELECT source, lang, tokenizer, CAST(sum(n) AS BIGINT) AS n_docs, CAST(sum(t) AS
 FROM signed GROUP BY ALL HAVING sum(n) <> 0 OR sum(t) <> 0
 """
 
-#: Hashes of 8-word windows come from word numbers: equal windows are equal lists.
-ORACLE_SQL: dict[str, str] = {"op4_token_counts": _OP4_SQL}
+_OP6_SQL = r"""
+WITH RECURSIVE
+words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN w ELSE w[k:k + 4] END AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+links AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN sizes m ON m.doc_id = p.a JOIN sizes n ON n.doc_id = p.b WHERE 100 * i >= 80 * (m.n + n.n - i)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT r.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.other) AS component_id FROM reach r LEFT JOIN sizes n ON n.doc_id = r.doc_id GROUP BY r.doc_id, n.n
+"""
+
+
+def _op8_sql() -> str:
+    from strandloom.llm.quality import RULES, STOP_WORDS
+
+    bounds = {r.measure: r for r in RULES}
+    stops = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+    return rf"""
+WITH parts AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+windows AS (SELECT doc_id, k, w[k:k + 7] AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM parts WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, v FROM windows GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT k + j) AS n FROM windows JOIN twice USING (doc_id, v), range(0, 8) AS r(j) GROUP BY 1),
+measures AS (
+  SELECT p.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+         coalesce(c.n, 0) AS n_repeat_words, len(list_filter(w, lambda x: rtrim(x, '.,') IN ({stops}))) AS n_stop, len(l) AS n_lines
+  FROM parts p LEFT JOIN covered c ON c.doc_id = p.doc_id),
+base AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measures)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND word_chars / n_words BETWEEN {bounds["mean_word_length"].least} AND {bounds["mean_word_length"].most} AND n_symbols / n_words <= {bounds["symbol_ratio"].most}
+       AND n_stop / n_words >= {bounds["stop_word_ratio"].least} AND n_dup_lines / n_lines <= {bounds["dup_line_ratio"].most} AS kept
+FROM base
+"""
+
+
+_OP10_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_token_counts": _OP4_SQL, "op6_jaccard": _OP6_SQL, "op8_quality": _op8_sql(), "op10_topk": _OP10_SQL}
