@@ -63,7 +63,7 @@ def allele_freq_parse(t: Tables):
     return m.select("p_partkey", F.try_element_at("m", F.lit("GnomAD")).alias("gnomad"), F.map_contains_key("m", F.lit("1000Genomes")).alias("has_kg"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 0.3 WHEN p_size % 3 = 1 THEN 0.2 ELSE 0.1 END AS frequency FROM part")
+@query("SELECT p_partkey, CAST(CASE WHEN p_size % 3 = 0 THEN 0.3 WHEN p_size % 3 = 1 THEN 0.2 ELSE 0.1 END AS DOUBLE) AS frequency FROM part")
 def colocated_pick(t: Tables):
     v = lambda name, f: F.struct(F.lit(name).alias("id"), F.lit(f).alias("frequencies"))
     k = F.col("p_size") % 3
