@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,6 +92,18 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Texts go to Python by so many rows while the block runs, which must execute what it builds: batches of the default size hold too many long texts at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def has_exchange(df: DataFrame) -> bool:
     """Whether rows may be dealt to other partitions in another run of the plan."""
     plan = df._jdf.queryExecution().executedPlan().toString()

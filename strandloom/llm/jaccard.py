@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm._shared import drop_staged, release, staged
+from strandloom.llm._shared import drop_staged, release, small_batches, staged
 from strandloom.llm.components import components
 from strandloom.llm.substring import _mix, slices, word_hashes, word_table
 
@@ -347,7 +347,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     # Texts are found again by id; those without one by a hash of the text.
     rows = rows.withColumn("text_key", F.when(F.col("id").isNull(), F.xxhash64("text")))
     frequent = spark.sparkContext.broadcast(frequent_shingles(rows, "text", rows.count()))
-    described = staged(rows.mapInArrow(lambda batches: _describe(frequent.value)(batches), SETS), "jaccard-sets")
+    with small_batches(spark):
+        described = staged(rows.mapInArrow(lambda batches: _describe(frequent.value)(batches), SETS), "jaccard-sets")
     # Equal sets are one.
     full = described.where("n > 0")
     merged = full.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.first("prefix").alias("prefix"))
@@ -373,7 +374,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     # The sets of block members, from the texts of their least ids. Neither side has a bound, so both are sorted.
     key = lambda c: (F.coalesce(c, "text_key").alias("key"), F.col(c).isNull().alias("by_text"))
     texts = rows.select("text", *key("id")).join(wanted.select(*key("least"), "sid", "h1", "cells").hint("merge"), ["key", "by_text"]).select("sid", "text", "h1", "cells")
-    sets = staged(texts.mapInArrow(_points, f"sid long, cells {CELLS}, shingles binary"), "jaccard-points", "uncompressed")
+    with small_batches(spark):
+        sets = staged(texts.mapInArrow(_points, f"sid long, cells {CELLS}, shingles binary"), "jaccard-points", "uncompressed")
     release(spark)
     placed = sets.select(F.explode("cells").alias("c"), "sid", "shingles").select("c.cell", "sid", "c.side", "shingles")
     found = placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells, "a long, b long")

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm._shared import staged
+from strandloom.llm._shared import small_batches, staged
 from strandloom.llm.tokens import encoded, tokenizer_path
 
 #: Rows that a task sweeps; what is left goes through its last rounds in one task once it is no more than this.
@@ -291,5 +291,6 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
 def pack_documents(docs: DataFrame, capacity: int = 4096, path: str | None = None, end: int = 1, id_col: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """The pieces of docs with their ids (if wanted), sequence_id and offset."""
-    pieces = staged(cut_pieces(docs, capacity, path, end, id_col, text, with_ids), "pack-pieces")
+    with small_batches(docs.sparkSession):
+        pieces = staged(cut_pieces(docs, capacity, path, end, id_col, text, with_ids), "pack-pieces")
     return pack(pieces, capacity).drop("row")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm._shared import fresh, release, staged
+from strandloom.llm._shared import fresh, release, small_batches, staged
 
 #: A chunk ends at one word in MEAN_WORDS, on average.
 MEAN_WORDS = 5
@@ -208,7 +208,8 @@ def copied_chunks(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """id, text_key (leading bits of the text's hash) and the places of the chunks that are copies; documents without any are absent."""
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    chunks = staged(rows.mapInArrow(_emit, CHUNKS), "chunks")
+    with small_batches(docs.sparkSession):
+        chunks = staged(rows.mapInArrow(_emit, CHUNKS), "chunks")
     looked_up = chunks.where(~F.col("again"))
     owners = looked_up.groupBy("digest").agg(F.min("id").alias("owner"), F.max("id").alias("other")).where(F.col("owner") < F.col("other")).select("digest", "owner")
     owners = staged(owners, "chunk-owners")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm._shared import new_folder, staged
+from strandloom.llm._shared import new_folder, small_batches, staged
 from strandloom.llm.tokens import encoded, tokenizer_path
 
 BLOCK_IDS = 1 << 19
@@ -123,7 +123,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("at"))
     ordered = narrow.repartitionByRange(parts, "doc_id", "at").sortWithinPartitions("doc_id", "at").select("doc_id", "text")
-    tokens = staged(ordered.mapInArrow(_tokenise(path, end), "doc_id long, ids binary, n long, part int, width int, before long"), "token-ids", "zstd")
+    with small_batches(spark):
+        tokens = staged(ordered.mapInArrow(_tokenise(path, end), "doc_id long, ids binary, n long, part int, width int, before long"), "token-ids", "zstd")
     # Ranks: at most one row for each entry of the vocabulary.
     counts = tokens.select("ids", "width").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = [r[0] for r in counts.orderBy(F.desc("n"), "id").select("id").collect()]

@@ -75,8 +75,10 @@ class WordEncoder:
         tokenize = self.tokenizer.model.tokenize
         for word in words:
             text = word.decode("utf-8")
-            if text.isalpha() and max(text) < _LATIN_END and text == text.lower():
-                out.append([t.id for t in tokenize(text if text.isascii() else "".join(map(self.of_byte.__getitem__, word)))])
+            if word.isalpha():  # A to Z are lower-case by now
+                out.append([t.id for t in tokenize(text)])
+            elif text.isalpha() and max(text) < _LATIN_END and text == text.lower():
+                out.append([t.id for t in tokenize("".join(map(self.of_byte.__getitem__, word)))])
             else:
                 out.append(None)
                 rest.append(text)
@@ -126,7 +128,7 @@ class WordEncoder:
         new = np.flatnonzero(at < 0).tolist()
         before_words, before_used = self.words, self.used
         if new:
-            self._add(sorted({words[i] for i in new}))
+            self._add(list({words[i] for i in new}))
             at[new] = [self.place[words[i]] for i in new]
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
