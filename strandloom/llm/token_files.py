@@ -77,16 +77,18 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def _tokenise(path: str, end: int):
-    """doc_id, its ids with the end id, the task's partition, and the ids before in it."""
+    """doc_id, its ids with the end id, the task's partition, and the ids before in it; last a row (n -1) with the occurrences of each id in the task."""
+    names = ["doc_id", "ids", "n", "part", "width", "before", "counts"]
 
     def run(batches):
-        part, before = TaskContext.get().partitionId(), 0
+        part, before, total = TaskContext.get().partitionId(), 0, np.zeros(1, np.int64)
         for batch, ids, sizes in encoded(batches, path, 1):
             ends = np.cumsum(sizes + 1)
             full = np.full(int(ends[-1]), end, np.int32)
             mask = np.ones(len(full), bool)
             mask[ends - 1] = False
             full[mask] = ids
+            total = _added(total, np.bincount(full))
             small = full.astype("<u2") if int(full.max()) < 1 << 16 else full.astype("<u4")
             width = small.itemsize
             offsets = pa.py_buffer(np.concatenate([[0], ends * width]).astype(np.int32))
@@ -95,23 +97,28 @@ def _tokenise(path: str, end: int):
             starts = before + ends - sizes - 1
             before += len(full)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), blob, pa.array(sizes + 1, pa.int64()), pa.array(np.full(n, part), pa.int32()), pa.array(np.full(n, width), pa.int32()), pa.array(starts, pa.int64())],
-                names=["doc_id", "ids", "n", "part", "width", "before"],
+                [batch.column(0), blob, pa.array(sizes + 1, pa.int64()), pa.array(np.full(n, part), pa.int32()), pa.array(np.full(n, width), pa.int32()), pa.array(starts, pa.int64()), pa.nulls(n, pa.binary())],
+                names=names,
             )
+        last = [(None, pa.int64()), (None, pa.binary()), (-1, pa.int64()), (part, pa.int32()), (0, pa.int32()), (0, pa.int64()), (total.tobytes(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in last], names=names)
 
     return run
 
 
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of two count arrays; the shorter one goes on with zeros."""
+    short, long = (a, b.copy()) if len(a) < len(b) else (b, a)
+    long[: len(short)] += short
+    return long
+
+
 def _counts(batches):
-    """Occurrences of each id in a partition."""
+    """Occurrences of each id over the counts of some tasks."""
     total = np.zeros(1, np.int64)
     for batch in batches:
-        blobs, widths = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-        for width, kind in ((2, "<u2"), (4, "<u4")):
-            found = np.bincount(np.frombuffer(b"".join(blobs[k] for k in np.flatnonzero(widths == width).tolist()), kind))
-            if len(found) > len(total):
-                total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-            total[: len(found)] += found
+        for blob in batch.column(0).to_pylist():
+            total = _added(total, np.frombuffer(blob, np.int64))
     there = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], names=["id", "n"])
 
@@ -124,15 +131,15 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("at"))
     ordered = narrow.repartitionByRange(parts, "doc_id", "at").sortWithinPartitions("doc_id", "at").select("doc_id", "text")
     with small_batches(spark):
-        tokens = staged(ordered.mapInArrow(_tokenise(path, end), "doc_id long, ids binary, n long, part int, width int, before long"), "token-ids", "zstd")
+        tokens = staged(ordered.mapInArrow(_tokenise(path, end), "doc_id long, ids binary, n long, part int, width int, before long, counts binary"), "token-ids", "zstd")
     # Ranks: at most one row for each entry of the vocabulary.
-    counts = tokens.select("ids", "width").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.where("counts is not null").select("counts").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = [r[0] for r in counts.orderBy(F.desc("n"), "id").select("id").collect()]
     spark.createDataFrame([(k, i) for k, i in enumerate(ranked)], "rank int, id int").coalesce(1).write.parquet(f"{folder}/vocab")
     rank_of = np.zeros(max(ranked, default=0) + 1, np.uint32)
     rank_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
     # Where each range starts: one row for each partition.
-    totals = sorted((r[0], r[1]) for r in tokens.groupBy("part").agg(F.sum("n")).collect())
+    totals = sorted((r[0], r[1]) for r in tokens.where("n >= 0").groupBy("part").agg(F.sum("n")).collect())
     firsts, before = {}, 0
     for part, n in totals:
         firsts[part], before = before, before + n
@@ -164,7 +171,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         if held:
             yield flush()
 
-    blocks = tokens.select("doc_id", "ids", "part", "width", "before").mapInArrow(block_up, BLOCKS)
+    blocks = tokens.where("n >= 0").select("doc_id", "ids", "part", "width", "before").mapInArrow(block_up, BLOCKS)
     blocks.write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 
