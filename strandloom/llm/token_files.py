@@ -33,6 +33,8 @@ from strandloom.llm._shared import new_folder, small_batches, staged
 from strandloom.llm.tokens import encoded, tokenizer_path
 
 BLOCK_IDS = 1 << 19
+#: Words that a worker keeps: more than by default, since encoding is most of the work.
+KEPT_WORDS = 800_000
 BLOCKS = "first long, doc_ids array<long>, lengths array<long>, n long, control binary, data binary"
 
 #: Of each control byte: the lengths of its four ranks, and where each starts.
@@ -82,7 +84,7 @@ def _tokenise(path: str, end: int):
 
     def run(batches):
         part, before, total = TaskContext.get().partitionId(), 0, np.zeros(1, np.int64)
-        for batch, ids, sizes in encoded(batches, path, 1):
+        for batch, ids, sizes in encoded(batches, path, 1, most=KEPT_WORDS):
             ends = np.cumsum(sizes + 1)
             full = np.full(int(ends[-1]), end, np.int32)
             mask = np.ones(len(full), bool)

@@ -16,8 +16,8 @@ from itertools import repeat
 import numpy as np
 import pyarrow.compute as pc
 
-#: Words kept in a worker; past it new words are dropped again after their batch.
-MOST_WORDS = 800_000
+#: Words kept in a worker unless said otherwise; past it new words are dropped again after their batch.
+MOST_WORDS = 400_000
 COMMON_WORDS = 2_000
 #: No UTF-8 text holds this byte: it stands between documents.
 _BETWEEN = b"\xff"
@@ -48,7 +48,7 @@ def tokenizer_path(name: str) -> str:
 class WordEncoder:
     """Ids of texts by way of their words."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST_WORDS):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -56,6 +56,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.most = most
         # The byte-level alphabet: printable Latin-1 bytes are themselves, the others follow from U+0100.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
@@ -138,7 +139,7 @@ class WordEncoder:
             top = np.argsort(-np.bincount(at))[:COMMON_WORDS].tolist()
             names = dict(zip(self.place.values(), self.place, strict=True))
             self.common = {names[k]: k for k in top}
-        if self.words > MOST_WORDS and new:
+        if self.words > self.most and new:
             for _ in range(self.words - before_words):
                 self.place.popitem()
             self.words, self.used = before_words, before_used
@@ -150,16 +151,17 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """The worker's encoder of this vocabulary file."""
+def encoder(path: str, most: int = MOST_WORDS) -> WordEncoder:
+    """The worker's encoder of this vocabulary file; one for each file, with the bound that was asked for last."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = WordEncoder(path, most)
+    _ENCODERS[path].most = most
     return _ENCODERS[path]
 
 
-def encoded(batches: Iterator, path: str, text_at: int, bytes_at_once: int = 3 << 20) -> Iterator:
+def encoded(batches: Iterator, path: str, text_at: int, bytes_at_once: int = 3 << 20, most: int = MOST_WORDS) -> Iterator:
     """For each slice of a batch: the slice, the ids of its texts in a row, and their numbers."""
-    words = encoder(path)
+    words = encoder(path, most)
     for batch in batches:
         texts = batch.column(text_at)
         sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
