@@ -101,6 +101,15 @@ def transaction_tally(t: Tables):
 
 @query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS v FROM (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey <= 100) a FULL JOIN (SELECT s_suppkey + 50 AS k, s_name AS v FROM supplier) b ON a.k = b.k")
 def merge_track_lists(t: Tables):
-    a = t.customer.where("c_custkey <= 100").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
+    return _merged(t, t.customer.where("c_custkey <= 100"))
+
+
+@query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS v FROM (SELECT c_custkey AS k, c_name AS v FROM customer) a FULL JOIN (SELECT s_suppkey + 50 AS k, s_name AS v FROM supplier) b ON a.k = b.k")
+def merge_track_lists_whole(t: Tables):
+    return _merged(t, t.customer)
+
+
+def _merged(t: Tables, customers):
+    a = customers.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
     b = t.supplier.select((F.col("s_suppkey") + 50).alias("k"), F.col("s_name").alias("w"))
     return a.join(b, "k", "full").select("k", F.coalesce("v", "w").alias("v"))

@@ -61,7 +61,16 @@ def gene_associations(t: Tables):
 
 @query("SELECT p_partkey, l_orderkey, l_linenumber, coalesce(nullif(l_returnflag, 'N'), o_orderstatus) AS test_allele FROM part JOIN lineitem ON l_partkey = p_partkey LEFT JOIN orders ON o_orderkey = l_orderkey WHERE p_partkey % 100 = 1")
 def variant_associations(t: Tables):
-    parts = t.part.where("p_partkey % 100 = 1").join(t.lineitem, F.col("l_partkey") == F.col("p_partkey"))
+    return _associations(t, t.part.where("p_partkey % 100 = 1"))
+
+
+@query("SELECT p_partkey, l_orderkey, l_linenumber, coalesce(nullif(l_returnflag, 'N'), o_orderstatus) AS test_allele FROM part JOIN lineitem ON l_partkey = p_partkey LEFT JOIN orders ON o_orderkey = l_orderkey")
+def variant_associations_whole(t: Tables):
+    return _associations(t, t.part)
+
+
+def _associations(t: Tables, parts):
+    parts = parts.join(t.lineitem, F.col("l_partkey") == F.col("p_partkey"))
     joined = parts.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return joined.select("p_partkey", "l_orderkey", "l_linenumber", F.coalesce(F.nullif("l_returnflag", F.lit("N")), "o_orderstatus").alias("test_allele"))
 

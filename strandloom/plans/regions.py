@@ -45,21 +45,34 @@ def overlap_join(t: Tables):
 _PT = "SELECT l_orderkey AS k, l_linenumber AS n, l_suppkey % 25 AS c, l_orderkey * 10 + l_linenumber AS p FROM lineitem"
 
 
-def _near(t: Tables):
+def _near(t: Tables, genes: str = "true"):
     points = t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 25).alias("l_c"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("l_p"))
-    genes = _intervals(t, "r_").where("r_id % 50 = 0")
-    return I.point_join(points, genes, ("l_c", "r_c"), WIDTH, 500)
+    return I.point_join(points, _intervals(t, "r_").where(genes), ("l_c", "r_c"), WIDTH, 500)
 
 
 @query(f"SELECT p.k AS l_orderkey, p.n AS l_linenumber, g.id AS gene FROM ({_PT}) p JOIN (SELECT * FROM ({_IV}) WHERE id % 50 = 0) g ON p.c = g.c AND p.p BETWEEN g.s - 500 AND g.e + 500")
 def flank_join(t: Tables):
+    return _near(t, "r_id % 50 = 0").select("l_orderkey", "l_linenumber", F.col("r_id").alias("gene"))
+
+
+@query(f"SELECT p.k AS l_orderkey, p.n AS l_linenumber, g.id AS gene FROM ({_PT}) p JOIN ({_IV}) g ON p.c = g.c AND p.p BETWEEN g.s - 500 AND g.e + 500")
+def flank_join_whole(t: Tables):
     return _near(t).select("l_orderkey", "l_linenumber", F.col("r_id").alias("gene"))
 
 
+def _positions(near):
+    where = R.relative_position(F.col("l_p"), F.col("r_s"), F.col("r_e")).alias("relative_position")
+    return near.groupBy(F.col("r_id").alias("gene"), where).agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT g.id AS gene, CASE WHEN p.p < g.s THEN 'upstream' WHEN p.p > g.e THEN 'downstream' ELSE 'in gene' END AS relative_position, count(*) AS n FROM ({_PT}) p JOIN (SELECT * FROM ({_IV}) WHERE id % 50 = 0) g ON p.c = g.c AND p.p BETWEEN g.s - 500 AND g.e + 500 GROUP BY 1, 2")
 def relative_position(t: Tables):
-    where = R.relative_position(F.col("l_p"), F.col("r_s"), F.col("r_e")).alias("relative_position")
-    return _near(t).groupBy(F.col("r_id").alias("gene"), where).agg(F.count("*").alias("n"))
+    return _positions(_near(t, "r_id % 50 = 0"))
+
+
+@query(f"SELECT g.id AS gene, CASE WHEN p.p < g.s THEN 'upstream' WHEN p.p > g.e THEN 'downstream' ELSE 'in gene' END AS relative_position, count(*) AS n FROM ({_PT}) p JOIN ({_IV}) g ON p.c = g.c AND p.p BETWEEN g.s - 500 AND g.e + 500 GROUP BY 1, 2")
+def relative_position_whole(t: Tables):
+    return _positions(_near(t))
 
 
 @query(f"WITH i AS ({_IV}) SELECT a.id, string_agg(CAST(b.id AS VARCHAR), ',' ORDER BY b.id) FILTER (WHERE b.id % 3 = a.id % 3) AS alternative, string_agg(CAST(b.id AS VARCHAR), ',' ORDER BY b.id) FILTER (WHERE b.id % 3 <> a.id % 3) AS colocated FROM i a JOIN i b ON a.c = b.c AND a.s <= b.e AND b.s <= a.e AND a.id <> b.id GROUP BY a.id")
@@ -120,8 +133,23 @@ def zero_one_based(t: Tables):
 
 @query(f"SELECT id, 'chr' || (c + 1) || ':' || s || '-' || e || CASE WHEN id % 2 = 0 THEN ':-' ELSE '' END AS region, 'chr' || (c + 1) AS chromosome, s AS start FROM ({_IV}) WHERE c < 22")
 def region_format(t: Tables):
-    rows = _intervals(t).where("c < 22")
-    chrom = F.concat(F.lit("chr"), (F.col("c") + 1).cast("string"))
+    return _formatted(_intervals(t).where("c < 22"))
+
+
+_NAME = "CASE WHEN c = 22 THEN 'chrX' WHEN c = 23 THEN 'chrY' WHEN c = 24 THEN 'chrM' ELSE 'chr' || (c + 1) END"
+
+
+@query(f"SELECT id, {_NAME} || ':' || s || '-' || e || CASE WHEN id % 2 = 0 THEN ':-' ELSE '' END AS region, {_NAME} AS chromosome, s AS start FROM ({_IV})")
+def region_format_whole(t: Tables):
+    return _formatted(_intervals(t))
+
+
+def _chromosome():
+    return F.when(F.col("c") == 22, "chrX").when(F.col("c") == 23, "chrY").when(F.col("c") == 24, "chrM").otherwise(F.concat(F.lit("chr"), (F.col("c") + 1).cast("string")))
+
+
+def _formatted(rows):
+    chrom = _chromosome()
     strand = F.when(F.col("id") % 2 == 0, "-").otherwise("+")
     plain = R.format_region(chrom, F.col("s"), F.col("e"))
     parsed = rows.select("id", R.format_region(chrom, F.col("s"), F.col("e"), strand).alias("region"), R.parse_region(plain).alias("p"))
@@ -132,11 +160,22 @@ def region_format(t: Tables):
 def chrom_sort(t: Tables):
     from pyspark.sql import Window
 
-    name = F.when(F.col("c") == 22, "chrX").when(F.col("c") == 23, "chrY").when(F.col("c") == 24, "chrM").otherwise(F.concat(F.lit("chr"), (F.col("c") + 1).cast("string")))
-    rows = _intervals(t).where("id <= 5000").withColumn("ord", R.chromosome_order(name).cast("int"))
+    rows = _intervals(t).where("id <= 5000").withColumn("ord", R.chromosome_order(_chromosome()).cast("int"))
     return rows.select("id", "ord", F.row_number().over(Window.orderBy("ord", "s", "id")).cast("long").alias("place"))
 
 
+@query(f"SELECT id, CASE WHEN c = 22 THEN 23 WHEN c = 23 THEN 24 WHEN c = 24 THEN 25 ELSE CAST(c + 1 AS INTEGER) END AS ord, row_number() OVER (ORDER BY CASE WHEN c = 22 THEN 23 WHEN c = 23 THEN 24 WHEN c = 24 THEN 25 ELSE c + 1 END, s, id) AS place FROM ({_IV})")
+def chrom_sort_whole(t: Tables):
+    """Places within each chromosome, after the rows of the chromosomes before it, so that no task sorts all rows."""
+    from pyspark.sql import Window
+
+    rows = _intervals(t).withColumn("ord", R.chromosome_order(_chromosome()).cast("int"))
+    ends = rows.groupBy("ord").agg(F.count("*").alias("n"))  # one row for each chromosome
+    before = ends.select("ord", (F.sum("n").over(Window.orderBy("ord")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("ord").orderBy("s", "id"))
+    return rows.withColumn("inside", inside).join(F.broadcast(before), "ord").select("id", "ord", (F.col("inside") + F.col("before")).cast("long").alias("place"))
+
+
 @query("SELECT user_id AS track_id, count(*) AS num_overlaps FROM events WHERE value BETWEEN 20 AND 60 GROUP BY 1")
 def informative_tracks(t: Tables):
     return t.events.where(F.col("value").between(20, 60)).groupBy(F.col("user_id").alias("track_id")).agg(F.count("*").alias("num_overlaps"))
@@ -148,6 +187,13 @@ def counts_with_zeros(t: Tables):
     return I.counts_with_zeros(t.spark.range(200).select(F.col("id").alias("track_id")), counts, "track_id", "n")
 
 
+@query("SELECT user_id AS track_id, count(*) FILTER (WHERE value > 50) AS n FROM events WHERE user_id IS NOT NULL GROUP BY 1")
+def counts_with_zeros_whole(t: Tables):
+    tracks = t.events.where("user_id is not null").select(F.col("user_id").alias("track_id"))
+    counts = t.events.where("value > 50").groupBy(F.col("user_id").alias("track_id")).agg(F.count("*").alias("n"))
+    return I.counts_with_zeros(tracks.distinct(), counts, "track_id", "n")
+
+
 @query("SELECT DISTINCT user_id AS track_id FROM events WHERE event_type = 'click' AND user_id IN (SELECT user_id FROM events WHERE value > 50)")
 def matching_informative(t: Tables):
     mine = t.events.where("event_type = 'click'").select(F.col("user_id").alias("track_id")).distinct()
