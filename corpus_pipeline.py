@@ -62,9 +62,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences of at most CAPACITY ids."""
+    """Pieces of documents with their ids and their places in sequences of at most CAPACITY ids."""
     ship(spark)
-    return packing.pack_documents(docs, CAPACITY, with_ids=False).drop("ids")
+    return packing.pack_documents(docs, CAPACITY)
 
 
 STAGES = [

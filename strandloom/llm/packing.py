@@ -292,5 +292,5 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 def pack_documents(docs: DataFrame, capacity: int = 4096, path: str | None = None, end: int = 1, id_col: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """The pieces of docs with their ids (if wanted), sequence_id and offset."""
     with small_batches(docs.sparkSession):
-        pieces = staged(cut_pieces(docs, capacity, path, end, id_col, text, with_ids), "pack-pieces")
+        pieces = staged(cut_pieces(docs, capacity, path, end, id_col, text, with_ids), "pack-pieces", "zstd")
     return pack(pieces, capacity).drop("row")
