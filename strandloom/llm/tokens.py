@@ -135,14 +135,14 @@ class WordEncoder:
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)]
-        if not self.common:
-            top = np.argsort(-np.bincount(at))[:COMMON_WORDS].tolist()
-            names = dict(zip(self.place.values(), self.place, strict=True))
-            self.common = {names[k]: k for k in top}
         if self.words > self.most and new:
             for _ in range(self.words - before_words):
                 self.place.popitem()
             self.words, self.used = before_words, before_used
+        elif not self.common:  # of words that stay: the places of dropped ones are given anew
+            top = np.argsort(-np.bincount(at))[:COMMON_WORDS].tolist()
+            names = dict(zip(self.place.values(), self.place, strict=True))
+            self.common = {names[k]: k for k in top}
         cuts = np.flatnonzero(at == 0)
         before = np.concatenate([[0], ends[cuts], [total]]) if len(ends) else np.zeros(len(texts) + 1, np.int64)
         return ids, np.diff(before)
