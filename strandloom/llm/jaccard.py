@@ -149,15 +149,17 @@ def _points(batches):
     """Sets of the texts with their cells; a set that a task has had already is left out. Columns: sid, text, h1, cells."""
     seen: set[int] = set()
     for batch, texts in slices(batches, 1):
-        fresh = []
-        for k, sid in enumerate(batch.column(0).to_pylist()):
-            if sid not in seen:
-                seen.add(sid)
-                fresh.append(k)
+        sids = batch.column(0).to_pylist()
+        fresh = [k for k, sid in enumerate(sids) if sid not in seen]
         values, bounds = shingle_sets([texts[k] for k in fresh])
         part = batch.take(pa.array(fresh, pa.int64()))
-        keep = np.flatnonzero(_sums(values, bounds, 0x51) == part.column(2).to_numpy(zero_copy_only=False))  # another text of that id has another set
-        raw, keep = values.tobytes(), keep.tolist()
+        keep = []
+        for k in np.flatnonzero(_sums(values, bounds, 0x51) == part.column(2).to_numpy(zero_copy_only=False)).tolist():  # another text of that id has another set
+            sid = sids[fresh[k]]
+            if sid not in seen:
+                seen.add(sid)
+                keep.append(k)
+        raw = values.tobytes()
         part = part.take(pa.array(keep, pa.int64()))
         blobs = [raw[8 * bounds[k] : 8 * bounds[k + 1]] for k in keep]
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(blobs, pa.binary())], names=["sid", "cells", "shingles"])
