@@ -4,12 +4,14 @@ ASCII white space always ends a token in the vocabularies that this module
 accepts (white space is dropped by the pre-tokeniser), so a text is split there
 and every distinct word is encoded once by the library; a bounded dictionary in
 each Python worker keeps the ids. A word that ends in ASCII punctuation after a
-letter is looked up in two parts, since the pre-tokeniser splits there too. The
+letter is looked up in two parts, since the pre-tokeniser splits there too.
+Special tokens that stand in a text literally are one id each, as in the library. The
 ids equal those of encoding the whole text; tests hold both against each other.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -55,7 +57,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = {t.content: k for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.most = most
         # The byte-level alphabet: printable Latin-1 bytes are themselves, the others follow from U+0100.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -84,7 +87,11 @@ class WordEncoder:
                 out.append(None)
                 rest.append(text)
         others = (e.ids for low in range(0, len(rest), 8192) for e in self.tokenizer.encode_batch_fast(rest[low : low + 8192], add_special_tokens=False))
-        return [x if x is not None else next(others) for x in out]
+        self.tokenizer.encode_special_tokens = True  # special tokens are taken out of the text before; one that comes of lower-casing is none
+        try:
+            return [x if x is not None else next(others) for x in out]
+        finally:
+            self.tokenizer.encode_special_tokens = False
 
     def _add(self, words: list[bytes]) -> None:
         """Gives new words their places. Heads and tails are encoded once each."""
@@ -115,12 +122,22 @@ class WordEncoder:
         self.place.update(zip(new, range(self.words, self.words + count)))
         self.words, self.used = self.words + count, self.used + total
 
+    def _around_special(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """encode() where texts hold special tokens literally: the library cuts a text there first, in its own case."""
+        cut = [self.cut_special.split(t or "") for t in texts]  # special tokens are at odd places
+        ids, sizes = self.encode([x for parts in cut for x in parts[::2]])
+        between = iter(np.split(ids, np.cumsum(sizes)[:-1]))
+        out = [np.concatenate([np.array([self.special[x]], np.int32) if n % 2 else next(between) for n, x in enumerate(parts)]) for parts in cut]
+        return np.concatenate(out), np.array(list(map(len, out)), np.int64)
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another (int32), and how many each has; null is an empty text."""
         if not texts:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         # bytes.lower() touches A to Z only, which the vocabulary's own lower-casing maps alike.
         joined = (b" " + _BETWEEN + b" ").join((t or "").encode("utf-8") for t in texts).lower()
+        if any(x.lower().encode("utf-8") in joined for x in self.special) and any(self.cut_special.search(t or "") for t in texts):
+            return self._around_special(texts)
         words = _apart(joined).split()
         # Few words make up most of a text: a small dictionary stays in the processor's cache.
         at = np.fromiter(map(self.common.get, words, repeat(-1)), np.int64, len(words))
