@@ -33,9 +33,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset and one process is all there is (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = getattr(spark.sparkContext, "_strandloom_root", None)
         if not root:
             root = "file://" + tempfile.mkdtemp(prefix="strandloom-")
@@ -77,13 +79,14 @@ def staged(df: DataFrame, name: str, codec: str = "lz4") -> DataFrame:
     spark = df.sparkSession
     where = new_folder(spark, name)
     df.write.option("compression", codec).parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    out = spark.read.schema(df.schema).parquet(where)
+    out._staged_at = where
+    return out
 
 
 def drop_staged(df: DataFrame) -> None:
     """Deletes the table behind a result of staged() that nothing will read again."""
-    for file in df.inputFiles()[:1]:
-        delete_path(df.sparkSession, file.rpartition("/")[0])
+    delete_path(df.sparkSession, df._staged_at)
 
 
 def release(spark: SparkSession) -> None:

@@ -1,50 +1,62 @@
 """Bulk-synchronous best-fit packing of documents into sequences.
 
-Documents are tokenised and cut into pieces of at most `capacity` ids. Then
-rounds of a distributed best-fit follow. A round range-sorts what is left to
-place together with the gaps of open sequences, largest first. A sweep down that
-order is a stack: a gap is pushed, a piece takes the gap on top, which is the
-smallest that holds it (its successor). Each task sweeps its own range; what
-stays open in a range is a run of pieces, then a run of gaps, so only the two
-run lengths of each range go to the driver, which matches runs with the same
-stack. The n-th piece of a run meets the n-th gap of the run it is matched
-with: conflicts are resolved by rank, a gap takes one piece in a round. Then the
-gaps shrink, full sequences leave, and pieces without any gap open new sequences:
-the largest of them, as many as their lengths need together. The rounds end when
-all pieces are placed. Short pieces are first joined in order of length into
-bundles, so a sequence takes a bounded number of rounds.
-
-Defined results: a null text is empty and has the end id alone; repeated rows and
-equal ids are packed as often as they stand; ties go by length, then by a hash
-of the row number. An empty table gives an empty result. The input is read once and its
-pieces are written to the shared folder, as is the state of every round.
+Documents are tokenised and cut into pieces of at most `capacity` ids. Pieces of one
+length are a run: one row of state with a count, whatever their number; sequences that
+have been filled alike are a run of equal gaps. The longest pieces open as many sequences as all ids
+need together. Then come rounds: the runs of pieces and gaps are range-sorted,
+largest first, and each task sweeps its range down. The sweep is a stack: a run of gaps is pushed, and a run
+of pieces takes the gaps on top, which are the smallest that hold it (its
+successors), as many pieces in a gap as it holds. Conflicts are resolved by rank: the
+pieces of a run meet the gaps of a run in the order of their numbers. The gaps shrink, and go on in the
+same sweep where their new size is in the task's range, else in the next round. Each round has
+half as many ranges as the one before; the last has one, in which pieces that
+found no gap anywhere open new sequences. A run leaves the state when its pieces are placed, a gap when
+it is full. Lengths are whole numbers up to the capacity, so runs, rounds and the
+state are bounded by the capacity and do not grow with the corpus.
+
+Pieces get their places by number: they are range-sorted by length once (ties by a
+hash, so copies do not stay together), which numbers them all, and a match of
+runs is an interval of numbers. Intervals and pieces meet in blocks of consecutive numbers.
+
+Defined results: a null text is empty and has the end id alone; very long texts are
+cut into pieces, and no task holds more of one than its slice of ids; repeated rows and
+equal ids are packed as often as they stand; ties of length go by a hash of the row
+number. An empty table gives an empty result. Only the id and the text are read, so other columns
+don't matter. The input is read once; its pieces, the order and the packed pieces are written to the shared
+folder, as is the state of every round.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm._shared import small_batches, staged
-from strandloom.llm.tokens import encoded, tokenizer_path
+from strandloom.llm._shared import drop_staged, release, small_batches, staged
+from strandloom.llm.tokens import encoded, tokenizer_path, vocabulary_size
 
-#: Rows that a task sweeps; what is left goes through its last rounds in one task once it is no more than this.
-SWEEP_ROWS = 32_768
+#: Runs that a task sweeps in the first round.
+SWEEP_RUNS = 512
+#: Pieces that a task puts in order, and consecutive numbers in a block.
+ORDER_ROWS = 1 << 16
+BLOCK = 1 << 10
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, row long, ids binary"
-ITEMS = "kind int, id long, size int, seq long, offset int"
-#: kind of an item: an open gap (seq, offset where it starts) or a piece to place.
-GAP, PIECE = 0, 1
+#: kind of a run: gaps (sequences from `first` with `size` ids free), pieces (numbers from `first` of `size` ids), or a match.
+GAP, PIECE, MATCH = 0, 1, 2
+RUNS = "kind int, size int, first long, n long"
+SWEPT = RUNS + ", per long, seq long, offset int"
 
 
 def cut_pieces(docs: DataFrame, capacity: int, path: str | None = None, end: int = 1, id_col: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
-    """The pieces of each document: doc_id, piece, start, length, ids_crc32, row (a number for each piece) and ids (unsigned 32-bit; null unless wanted)."""
+    """The pieces of each document: doc_id, piece, start, length, ids_crc32, row (a number for each piece) and ids (null unless wanted; two bytes each where the vocabulary allows, else four)."""
     path = path or tokenizer_path("word_bpe_49k.json")
+    kept = id_type(path, end)
 
     def run(batches):
         row = TaskContext.get().partitionId() << 40
@@ -61,18 +73,14 @@ def cut_pieces(docs: DataFrame, capacity: int, path: str | None = None, end: int
             length = np.minimum(capacity, (sizes + 1)[doc] - start)
             at = (ends - sizes - 1)[doc] + start
             raw = memoryview(full.astype("<u4").tobytes())
-            cuts = [raw[4 * a : 4 * (a + n)] for a, n in zip(at.tolist(), length.tolist(), strict=True)]
             n = len(doc)
+            crc = [zlib.crc32(raw[4 * a : 4 * (a + m)]) for a, m in zip(at.tolist(), length.tolist(), strict=True)]
+            # Pieces stand one after another in the ids, so one buffer holds them all.
+            flat = full.astype(kept)
+            offsets = np.concatenate([at, [len(full)]]).astype(np.int32) * np.int32(flat.itemsize)
+            blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(flat.tobytes())]) if with_ids else pa.nulls(n, pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(doc)),
-                    pa.array(piece, pa.int32()),
-                    pa.array(start, pa.int64()),
-                    pa.array(length, pa.int32()),
-                    pa.array([zlib.crc32(c) for c in cuts], pa.int64()),
-                    pa.array(row + np.arange(n), pa.int64()),
-                    pa.array([bytes(c) for c in cuts] if with_ids else [None] * n, pa.binary()),
-                ],
+                [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(row + np.arange(n), pa.int64()), blobs],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "row", "ids"],
             )
             row += n
@@ -80,217 +88,143 @@ def cut_pieces(docs: DataFrame, capacity: int, path: str | None = None, end: int
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
 
 
-def _bundles(pieces: DataFrame, short: int) -> DataFrame:
-    """id and size of what is placed, and for each piece its bundle and offset there. Pieces below short join neighbours in order of length, up to twice short together; bundles do not cross tasks."""
-
-    def join(batches):
-        at, bundle, fill = TaskContext.get().partitionId(), None, 0
-        for batch in batches:
-            rows, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ids, offsets = [], []
-            for row, size in zip(rows, sizes, strict=True):
-                if size >= short or bundle is None or fill + size > 2 * short:
-                    bundle, fill = row, 0
-                ids.append(bundle)
-                offsets.append(fill)
-                fill = fill + size if size < short else 2 * short
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(offsets, pa.int32())], names=["row", "length", "id", "inner"])
-
-    count = pieces.count()
-    dealt = pieces.select("row", "length").repartitionByRange(max(1, -(-count // SWEEP_ROWS)), F.desc("length"), F.xxhash64("row")).sortWithinPartitions(F.desc("length"), F.xxhash64("row"))
-    return staged(dealt.mapInArrow(join, "row long, length int, id long, inner int"), "pack-bundles")
-
-
-def sweep(rows: list[tuple]) -> tuple[list[tuple], list[tuple], list[tuple], list[tuple]]:
-    """Best fit, one piece to a gap, over rows (kind, id, size, seq, offset) sorted largest first with gaps before pieces of their size. Out: placed (id, size, seq, offset), shrunk gaps (size, seq, offset), pieces without a gap (id, size) and gaps without a piece, both in order."""
-    stack: list[tuple] = []
-    placed, shrunk, pieces = [], [], []
-    for kind, item, size, seq, offset in rows:
-        if kind == GAP:
-            stack.append((size, seq, offset))
-        elif stack:
-            gap, seq, offset = stack.pop()
-            placed.append((item, size, seq, offset))
-            if gap > size:
-                shrunk.append((gap - size, seq, offset + size))
-        else:
-            pieces.append((item, size))
-    return placed, shrunk, pieces, stack
-
-
-def _rows(batches) -> list[tuple]:
-    return [row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)]
-
-
-def _swept(rows: list[tuple], names: list[str]):
-    kinds = {"kind": pa.int32(), "id": pa.int64(), "size": pa.int32(), "seq": pa.int64(), "offset": pa.int32(), "part": pa.int32(), "rank": pa.int64()}
-    columns = zip(*rows, strict=True) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[n]) for c, n in zip(columns, names, strict=True)], names=names)
-
-
-def _sweep(batches):
-    """The sweep of one range. Kind 2: what is placed; 3: shrunk gaps; pieces and gaps that are left have their rank in the range's run."""
-    at = TaskContext.get().partitionId()
-    placed, shrunk, pieces, gaps = sweep(_rows(batches))
-    rows = [(2, i, size, seq, offset, at, None) for i, size, seq, offset in placed]
-    rows += [(3, None, size, seq, offset, at, None) for size, seq, offset in shrunk]
-    rows += [(PIECE, i, size, None, None, at, rank) for rank, (i, size) in enumerate(pieces)]
-    rows += [(GAP, None, size, seq, offset, at, rank) for rank, (size, seq, offset) in enumerate(gaps)]
-    yield _swept(rows, ["kind", "id", "size", "seq", "offset", "part", "rank"])
+def id_type(path: str, end: int) -> str:
+    """The narrowest of two kinds of unsigned numbers that holds all ids."""
+    return "<u2" if max(vocabulary_size(path), end + 1) <= 1 << 16 else "<u4"
 
 
-def _last_rounds(capacity: int):
-    """All rounds over what one task holds: id, seq and offset of every piece."""
+def _widened(kept: str, ids_at: int):
+    """ids with four bytes each."""
 
     def run(batches):
-        state, done = _rows(batches), []
-        while any(row[0] == PIECE for row in state):
-            state.sort(key=lambda r: (-r[2], r[0], r[1] if r[0] == PIECE else r[3]))
-            waiting = [r for r in state if r[0] == PIECE]
-            gaps = [r for r in state if r[0] == GAP and r[2] >= waiting[-1][2]]
-            if gaps:
-                placed, shrunk, pieces, left = sweep([r for r in state if r[0] == PIECE or r[2] >= waiting[-1][2]])
-                done += [(i, seq, offset) for i, _, seq, offset in placed]
-                state = [(PIECE, i, size, None, None) for i, size in pieces]
-                state += [(GAP, None, size, seq, offset) for size, seq, offset in [*shrunk, *left]]
-            else:
-                n = -(-sum(r[2] for r in waiting) // capacity)
-                done += [(r[1], r[1], 0) for r in waiting[:n]]
-                state = waiting[n:] + [(GAP, None, capacity - r[2], r[1], r[2]) for r in waiting[:n] if r[2] < capacity]
-        yield _swept(done, ["id", "seq", "offset"])
+        for batch in batches:
+            ids = batch.column(ids_at)
+            if kept != "<u4" and ids.null_count < len(ids):
+                offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+                flat = np.frombuffer(ids.buffers()[2], kept, count=(offsets[-1] - offsets[0]) // 2, offset=offsets[0])
+                ids = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(((offsets - offsets[0]) * 2).astype(np.int32)), pa.py_buffer(flat.astype("<u4").tobytes())])
+            yield pa.RecordBatch.from_arrays([ids if k == ids_at else batch.column(k) for k in range(batch.num_columns)], names=batch.schema.names)
 
     return run
 
 
-SWEPT = "kind int, id long, size int, seq long, offset int, part int, rank long"
-
-
-def match_runs(runs: list[tuple[int, int, int]]) -> list[tuple[str, int, int, int, int]]:
-    """(kind, part, from rank, number, first match number) for runs (part, open pieces, open gaps) in order of part: a stack over whole runs. Gaps are taken from the end of a run, pieces from its start."""
-    stack: list[list[int]] = []
-    out, number = [], 0
-    for part, pieces, gaps in runs:
-        taken = 0
-        while taken < pieces and stack:
-            other, left = stack[-1]
-            n = min(pieces - taken, left)
-            out.append((PIECE, part, taken, n, number))
-            out.append((GAP, other, left - n, n, number))
-            number, taken, left = number + n, taken + n, left - n
-            if left:
-                stack[-1][1] = left
-            else:
-                stack.pop()
-        if gaps:
-            stack.append([part, gaps])
-    return out
-
+def sweep(runs: list[tuple[int, int, int, int]], capacity: int, opened: int | None = None) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """Best fit over runs (kind, size, first, n), largest first with gaps before pieces of their size.
 
-def _numbered(intervals: list[tuple[int, int, int, int, int]]):
-    """Marks rows of runs with the number of their match (null: none). Within a match the pieces count up and the gaps down."""
-    table: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for kind, part, start, n, number in intervals:
-        table.setdefault((kind, part), []).append((start, n, number))
-    sorted_table = {k: (np.array([x[0] for x in sorted(v)]), sorted(v)) for k, v in table.items()}
+    Out: matches (first piece, number of pieces, pieces in a gap, first sequence, offset there, length), and the runs of pieces and of gaps that are left, (size, first, n).
+    opened: the number of the next new sequence; without it pieces that find no gap are left."""
+    stack: list[tuple[int, int, int]] = []  # the smallest gaps on top
+    shrunk: list[tuple[int, int, int]] = []  # a heap: gaps to come, the largest first
+    matches, pieces = [], []
+    for kind, size, first, n in runs:
+        while shrunk and -shrunk[0][0] >= size:
+            gap, seq, m = heapq.heappop(shrunk)
+            stack.append((-gap, seq, m))
+        if kind == GAP:
+            stack.append((size, first, n))
+            continue
+        while n:
+            if not stack:
+                if opened is None:
+                    pieces.append((size, first, n))
+                    break
+                wanted = -(-n // (capacity // size))
+                stack.append((capacity, opened, wanted))
+                opened += wanted
+            gap, seq, m = stack.pop()
+            per = gap // size
+            if full := min(m, n // per):
+                matches.append((first, full * per, per, seq, capacity - gap, size))
+                if gap > per * size:
+                    heapq.heappush(shrunk, (per * size - gap, seq, full))
+                first, n, seq, m = first + full * per, n - full * per, seq + full, m - full
+            if m and n:  # fewer pieces than the next gap holds
+                matches.append((first, n, n, seq, capacity - gap, size))
+                heapq.heappush(shrunk, (n * size - gap, seq, 1))
+                n, seq, m = 0, seq + 1, m - 1
+            if m:
+                stack.append((gap, seq, m))
+    return matches, pieces, stack + [(-gap, seq, m) for gap, seq, m in shrunk]
+
+
+def _sweeper(capacity: int, opened: int | None):
+    """The sweep of one range of runs."""
 
     def run(batches):
-        for batch in batches:
-            kinds, parts, ranks = (batch.column(k).to_pylist() for k in (0, 5, 6))
-            marks: list[int | None] = []
-            for kind, part, rank in zip(kinds, parts, ranks, strict=True):
-                mark = None
-                if (kind, part) in sorted_table:
-                    starts, rows = sorted_table[kind, part]
-                    k = int(np.searchsorted(starts, rank, side="right")) - 1
-                    if k >= 0 and rank < rows[k][0] + rows[k][1]:
-                        start, n, number = rows[k]
-                        mark = number + (rank - start if kind == PIECE else n - 1 - (rank - start))
-                marks.append(mark)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(marks, pa.int64())], names=["kind", "id", "size", "seq", "offset", "match"])
+        runs = [row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)]
+        matches, pieces, gaps = sweep(runs, capacity, opened)
+        rows = [(MATCH, size, first, n, per, seq, offset) for first, n, per, seq, offset, size in matches]
+        rows += [(kind, size, first, n, None, None, None) for kind, left in ((PIECE, pieces), (GAP, gaps)) for size, first, n in left]
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "size", "first", "n", "per", "seq", "offset"])
 
     return run
 
 
-def _round(state: DataFrame, rows: int, smallest: int, number: int) -> tuple[DataFrame, DataFrame]:
-    """What a round places (id, seq, offset), and the next state."""
-    order = (F.desc("size"), "kind", F.xxhash64("id", "seq"))
-    ranges = state.repartitionByRange(max(1, -(-rows // SWEEP_ROWS)), *order).sortWithinPartitions(*order)
-    swept = staged(ranges.mapInArrow(_sweep, SWEPT), f"pack-swept-{number}")
-    runs: dict[int, list[int]] = {}
-    for part, kind, n in swept.where("kind < 2").groupBy("part", "kind").count().collect():  # two rows for each range
-        runs.setdefault(part, [0, 0])[1 - kind] = n
-    intervals = match_runs(sorted((p, a, b) for p, (a, b) in runs.items()))
-    placed = swept.where("kind = 2").select("id", "seq", "offset")
-    state = swept.where("kind = 3").selectExpr(f"{GAP} as kind", "id", "size", "seq", "offset")
-    still = swept.where("kind < 2")
-    if intervals:
-        marked = still.mapInArrow(_numbered(intervals), f"{ITEMS}, match long")
-        gaps = marked.where((F.col("kind") == GAP) & F.col("match").isNotNull()).select("match", F.col("size").alias("gap"), F.col("seq").alias("to"), F.col("offset").alias("at"))
-        met = marked.where((F.col("kind") == PIECE) & F.col("match").isNotNull()).join(gaps, "match")
-        met = staged(met.select("id", "size", "gap", "to", "at"), f"pack-met-{number}")
-        placed = placed.unionByName(met.select("id", F.col("to").alias("seq"), F.col("at").alias("offset")))
-        shrunk = met.select(F.lit(GAP).alias("kind"), F.lit(None).cast("long").alias("id"), (F.col("gap") - F.col("size")).alias("size"), F.col("to").alias("seq"), (F.col("at") + F.col("size")).alias("offset"))
-        state = state.unionByName(shrunk)
-        still = marked.where(F.col("match").isNull()).select("kind", "id", "size", "seq", "offset")
-    else:
-        still = still.select("kind", "id", "size", "seq", "offset")
-    return placed, state.unionByName(still).where((F.col("kind") == PIECE) | (F.col("size") >= smallest))
-
-
-def _open(state: DataFrame, ids: int, capacity: int, number: int) -> tuple[DataFrame, DataFrame]:
-    """Opens sequences for the largest pieces, as many as the pieces need together, each named by its first piece. Sizes are whole numbers up to the capacity, so counts by size say where the cut is; ties at the cut go by hash."""
-    wanted = max(1, -(-ids // capacity))
-    waiting = state.where(F.col("kind") == PIECE)
-    sizes = sorted(((r[0], r[1]) for r in waiting.groupBy("size").count().collect()), reverse=True)  # capacity rows at most
-    left, edge, share = wanted, 0, (0, 1)
-    for size, n in sizes:
-        if n >= left:
-            edge, share = size, (left, n)
-            break
-        left -= n
-    # Of the pieces of the edge size a share by hash, the right number on average; the next round evens out.
-    lucky = F.pmod(F.xxhash64(F.lit(number), "id"), F.lit(1 << 30)) * share[1] < share[0] * (1 << 30)
-    chosen = (F.col("size") > edge) | ((F.col("size") == edge) & (lucky | F.lit(share[0] == share[1])))
-    opened = waiting.where(chosen)
-    placed = opened.select("id", F.col("id").alias("seq"), F.lit(0).alias("offset"))
-    gaps = opened.select(F.lit(GAP).alias("kind"), F.lit(None).cast("long").alias("id"), (F.lit(capacity) - F.col("size")).alias("size"), F.col("id").alias("seq"), F.col("size").alias("offset"))
-    rest = state.where((F.col("kind") == GAP) | ~chosen)
-    return placed, rest.unionByName(gaps).where(F.col("size") > 0)
+def match_runs(lengths: DataFrame, capacity: int) -> DataFrame:
+    """The matches of all pieces, from the number of pieces (n) of each size: first, n, per, seq, offset and size."""
+    longer = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each size: capacity at most
+    lengths = staged(lengths.select("size", "n", F.coalesce(F.sum("n").over(longer), F.lit(0)).alias("before")), "pack-sizes")
+    runs, ids = lengths.agg(F.count("*"), F.sum(F.col("size") * F.col("n"))).first()
+    opened = -(-(ids or 0) // capacity)
+    opens = F.greatest(F.lit(0).cast("long"), F.least("n", F.lit(opened) - F.col("before")))
+    gaps = lengths.select(F.lit(GAP).alias("kind"), (F.lit(capacity) - F.col("size")).cast("int").alias("size"), F.col("before").alias("first"), opens.alias("n"))
+    waiting = lengths.select(F.lit(PIECE).alias("kind"), "size", (F.col("before") + opens).alias("first"), (F.col("n") - opens).alias("n"))
+    state = gaps.unionByName(waiting).where("n > 0 AND size > 0")
+    # The piece with number k opens sequence k.
+    matches = lengths.sparkSession.createDataFrame([(0, opened, 1, 0, 0, 0)] if opened else [], "first long, n long, per long, seq long, offset int, size int")
+    ranges = max(1, -(-2 * runs // SWEEP_RUNS))
+    while True:
+        order = (F.desc("size"), "kind", "first")
+        dealt = state.repartitionByRange(ranges, *order) if ranges > 1 else state.coalesce(1)
+        swept = staged(dealt.sortWithinPartitions(*order).mapInArrow(_sweeper(capacity, opened if ranges == 1 else None), SWEPT), f"pack-swept-{ranges}")
+        matches = matches.unionByName(swept.where(F.col("kind") == MATCH).drop("kind"))
+        if ranges == 1:
+            return matches
+        state = swept.where(F.col("kind") != MATCH).select("kind", "size", "first", "n")
+        ranges //= 2
+
+
+def numbered(pieces: DataFrame, count: int) -> DataFrame:
+    """row and number of every piece: from 0, the longest first."""
+    order = (F.desc("length"), F.xxhash64("row"), "row")
+    ranges = pieces.select("row", "length").repartitionByRange(max(1, -(-count // ORDER_ROWS)), *order).sortWithinPartitions(*order)
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = staged(ranges.select("row", F.spark_partition_id().alias("part"), within.alias("within")), "pack-order")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = dealt.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    return dealt.join(starts, "part").select("row", (F.col("start") + F.col("within")).alias("number"))
+
+
+def placed(numbers: DataFrame, matches: DataFrame) -> DataFrame:
+    """row, sequence_id and offset: each number is in one interval of the matches. Intervals are cut at blocks of numbers, and go before the pieces there."""
+    last = F.floor((F.col("first") + F.col("n") - 1) / BLOCK)
+    cut = matches.select(F.explode(F.sequence(F.floor(F.col("first") / BLOCK), last)).alias("block"), F.struct("first", "per", "seq", "offset", "size").alias("match"))
+    cut = cut.select("block", F.greatest("match.first", F.col("block") * BLOCK).alias("number"), F.lit(None).cast("long").alias("row"), "match")
+    both = numbers.select(F.floor(F.col("number") / BLOCK).alias("block"), "number", "row", F.lit(None).cast(cut.schema["match"].dataType).alias("match")).unionByName(cut)
+    in_block = Window.partitionBy("block").orderBy("number", F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.select("number", "row", F.last("match", ignorenulls=True).over(in_block).alias("m")).where("row IS NOT NULL")
+    at = F.col("number") - F.col("m.first")
+    return found.select("row", (F.col("m.seq") + F.floor(at / F.col("m.per"))).alias("sequence_id"), (F.col("m.offset") + at % F.col("m.per") * F.col("m.size")).cast("long").alias("offset"))
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """pieces (row, length and whatever else) with sequence_id and offset. pieces must be a written table."""
-    bundles = _bundles(pieces, max(1, capacity // 64))
-    items = bundles.groupBy("id").agg(F.sum("length").cast("int").alias("size"))
-    none = F.lit(None)
-    state = items.select(F.lit(PIECE).alias("kind"), "id", "size", none.cast("long").alias("seq"), none.cast("int").alias("offset"))
-    all_placed, number = [], 0
-    while True:
-        found = {r["kind"]: r for r in state.groupBy("kind").agg(F.count("*").alias("n"), F.sum("size").alias("ids"), F.min("size").alias("least"), F.max("size").alias("most")).collect()}
-        if PIECE not in found:
-            break
-        waiting, gaps = found[PIECE], found.get(GAP)
-        if waiting["n"] + (gaps["n"] if gaps else 0) <= SWEEP_ROWS:
-            rows = state.select("kind", "id", "size", "seq", "offset").coalesce(1)
-            all_placed.append(staged(rows.mapInArrow(_last_rounds(capacity), "id long, seq long, offset int"), "pack-last"))
-            break
-        if gaps is None or gaps["most"] < waiting["least"]:
-            placed, state = _open(state, waiting["ids"], capacity, number)
-            state = staged(state, f"pack-state-{number}")
-        else:
-            placed, state = _round(state, waiting["n"] + gaps["n"], waiting["least"], number)
-        all_placed.append(placed)
-        number += 1
-    where = all_placed[0] if all_placed else items.select("id", F.col("id").alias("seq"), F.lit(0).alias("offset")).limit(0)
-    for more in all_placed[1:]:
-        where = where.unionByName(more)
-    placed = bundles.join(where, "id").select("row", F.col("seq").alias("sequence_id"), (F.col("offset") + F.col("inner")).cast("long").alias("offset"))
-    keep = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
-    return pieces.select(*keep).join(placed, "row")
+    lengths = pieces.groupBy(F.col("length").cast("int").alias("size")).agg(F.count("*").alias("n"))
+    matches = match_runs(lengths, capacity)
+    places = placed(numbered(pieces, pieces.count()), matches)
+    return pieces.select(*[c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]).join(places, "row")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 4096, path: str | None = None, end: int = 1, id_col: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
-    """The pieces of docs with their ids (if wanted), sequence_id and offset."""
-    with small_batches(docs.sparkSession):
+    """The pieces of docs with their ids (if wanted; little-endian unsigned 32-bit), sequence_id and offset: a table in the shared folder."""
+    spark = docs.sparkSession
+    path = path or tokenizer_path("word_bpe_49k.json")
+    with small_batches(spark):
         pieces = staged(cut_pieces(docs, capacity, path, end, id_col, text, with_ids), "pack-pieces", "zstd")
-    return pack(pieces, capacity).drop("row")
+        out = pack(pieces, capacity).drop("row")
+        out = staged(out.mapInArrow(_widened(id_type(path, end), out.columns.index("ids")), out.schema), "packed", "zstd")
+    drop_staged(pieces)
+    release(spark)
+    return out

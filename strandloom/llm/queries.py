@@ -34,10 +34,9 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strandloom.llm._shared import staged
     from strandloom.llm.packing import pack_documents
 
-    out = staged(pack_documents(table(spark, sf_dir, "documents"), 4096), "packed", "zstd")
+    out = pack_documents(table(spark, sf_dir, "documents"), 4096)
     length = F.octet_length("ids") / 4
     return out.select("doc_id", "piece", "start", length.cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 

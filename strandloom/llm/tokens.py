@@ -40,13 +40,19 @@ def _apart(text: bytes) -> bytes:
     return np.insert(raw, at, 32).tobytes() if len(at) else text
 
 
-
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of this vocabulary file."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab().values()) + 1
+
+
 class WordEncoder:
     """Ids of texts by way of their words."""
 

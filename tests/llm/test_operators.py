@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm import jaccard, language, mixing, packing, quality, rollups, sharding, substring, token_files, topk
+from strandloom.llm import jaccard, language, mixing, quality, rollups, sharding, substring, token_files, topk
 from strandloom.llm._shared import new_folder
 from strandloom.llm.components import components
 from strandloom.llm.tokens import WordEncoder, tokenizer_path
@@ -134,32 +134,6 @@ def test_token_files(spark, docs, empty, corpus):
     assert token_files.read_token_files(spark, other).count() == 0
 
 
-@pytest.mark.parametrize("sweep_rows", [7, 10_000])
-def test_packing(docs, empty, corpus, monkeypatch, sweep_rows):
-    monkeypatch.setattr(packing, "SWEEP_ROWS", sweep_rows)
-    found = packing.pack_documents(docs, 64).collect()
-    by_seq = {}
-    for r in found:
-        by_seq.setdefault(r["sequence_id"], []).append(r)
-        assert r["start"] == 64 * r["piece"] and len(r["ids"]) == 4 * r["length"] and zlib.crc32(bytes(r["ids"])) == r["ids_crc32"]
-    for rows in by_seq.values():
-        at = 0
-        for r in sorted(rows, key=lambda r: r["offset"]):
-            assert r["offset"] == at
-            at += r["length"]
-        assert at <= 64
-    total = sum(r["length"] for r in found)
-    encoder = WordEncoder(tokenizer_path("word_bpe_49k.json"))
-    assert total == sum(len(encoder.encode([r[1]])[0]) + 1 for r in corpus)
-    assert len(by_seq) <= 1.1 * -(-total // 64) + 2
-    assert packing.pack_documents(empty, 64).count() == 0
-
-
-def test_runs_match_like_a_stack():
-    got = packing.match_runs([(0, 0, 3), (1, 2, 1), (2, 5, 0)])
-    assert got == [(1, 1, 0, 2, 0), (0, 0, 1, 2, 0), (1, 2, 0, 1, 2), (0, 1, 0, 1, 2), (1, 2, 1, 1, 3), (0, 0, 0, 1, 3)]
-
-
 def test_rollups(spark, docs, empty):
     store = rollups.Rollup(spark, new_folder(spark, "test-rollup"))
     assert store.totals().count() == 0
