@@ -8,18 +8,20 @@ draws. A binary tree over the output shards splits the quotas: at each node the
 left half gets a multivariate hypergeometric draw of the node's quotas, so every
 shard holds the same number of draws, and each draw is in one shard. Draws of a
 source are consecutive places of its permutation: disjoint blocks. Rows are then
-dealt to their shards and put into random order there.
+dealt to their shards and put into random order there, in lanes whose number follows from the rows and words of the input.
 
 Targets: sources by code point, null last, weigh 1, 2, 3, repeating; a target
 stops at MOST times the size of its source, and the excess goes to the others by
 weight (water filling, solved by one pass over the sources in order of cap over
 weight).
 
-Defined results: null texts have size 0 (they follow their block). Rows with the
-same id and text share one hash and are drawn together. A source of size 0 gets
+Defined results: null and empty texts have size 0 and follow their block; no row comes
+more than MOST times. Long texts are words like others: a row is never cut, so a source meets its target to
+half the size of one row. Rows with the same id and text share one hash and are drawn together, so repeated
+rows and ties go the same way. A source of size 0 gets
 target 0. An empty table gives an empty table. Input columns named like an
-output column are replaced by it. One result for one table and seed, however
-the table is partitioned.
+output column are replaced by it; other names don't clash. One result for one table and seed, however
+the table is partitioned. Sources are as many as a row of the tree holds numbers: thousands, not millions.
 """
 
 from __future__ import annotations
@@ -29,10 +31,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm._shared import n_words, staged
+from strandloom.llm._shared import fresh, n_words, staged
 
 BLOCKS = 256
+#: Buckets of a source in which its draw is looked for, at least, and rows of one bucket, about, in larger tables.
 BUCKETS = 4096
+BUCKET_ROWS = 1 << 20
+#: What one task puts into random order, about: so many words or rows.
+LANE_WORDS = 4_000_000
+LANE_ROWS = 500_000
 MOST = 3
 OUTPUT = ("size", "source_size", "target", "copies", "epoch", "shard", "shuffle_key")
 
@@ -135,18 +142,18 @@ def targets(sizes: DataFrame, most: float = MOST) -> DataFrame:
     return filled.select("source", "source_size", "place", F.least("cap", F.coalesce(F.col("water") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def plan(sized: DataFrame, n_shards: int, seed: int) -> DataFrame:
+def plan(sized: DataFrame, n_shards: int, seed: int, buckets: int = BUCKETS) -> DataFrame:
     """One row for each source: target, base (draws of every row), last (greatest hash of the rows drawn once more) and the shard of each block draw. sized: source, h, size."""
-    cell = sized.select("source", _bits(F.col("h"), BUCKETS).alias("bucket"), "size", "h")
+    cell = sized.select("source", _bits(F.col("h"), buckets).alias("bucket"), "size", "h")
     cells = staged(cell.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-cells")
     aims = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")))
     part = F.least(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(MOST))
     aims = aims.select("*", F.coalesce(part, F.lit(0)).cast("int").alias("base"))
     aims = staged(aims.select("*", F.when(F.col("base") >= MOST, F.lit(0.0)).otherwise(F.col("target") - F.col("base") * F.col("source_size")).alias("residual")), "mix-aims")
-    # The bucket in which the residual ends, then the row.
+    # The bucket in which the residual ends, then the row. Sources without a residual have no such bucket.
     running = cells.select("*", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")).alias("upto"))
     same = running["source"].eqNullSafe(aims["source"])
-    edge = running.join(aims.select("source", "residual"), same).select(running["*"], "residual").where(F.col("upto") > F.col("residual"))
+    edge = running.join(aims.where("residual > 0").select("source", "residual"), same).select(running["*"], "residual").where(F.col("upto") > F.col("residual"))
     edge = edge.groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"), "residual"), "bucket").alias("e"))
     edge = staged(edge.select("source", "e.*"), "mix-edge")
     at_edge = cell.join(edge, cell["source"].eqNullSafe(edge["source"]) & (cell["bucket"] == edge["bucket"])).select(cell["*"], "before", "residual")
@@ -156,7 +163,7 @@ def plan(sized: DataFrame, n_shards: int, seed: int) -> DataFrame:
     edge = edge.join(nearest, edge["source"].eqNullSafe(nearest["source"]), "left").select(edge["*"], "n")
     none = F.col("n").isNull() | (F.col("n.off") >= F.abs(F.col("before") - F.col("residual")))
     # None of the edge bucket: the last hash is the one before its first.
-    start = F.shiftleft((F.col("bucket") - BUCKETS // 2).cast("long"), 64 - BUCKETS.bit_length() + 1)
+    start = F.shiftleft((F.col("bucket") - buckets // 2).cast("long"), 64 - buckets.bit_length() + 1)
     nothing = none & (F.col("bucket") == 0)
     edge = edge.select("source", F.when(nothing, F.lit(None)).when(none, start - 1).otherwise(F.col("n.h")).alias("last"))
     aims = aims.join(edge, aims["source"].eqNullSafe(edge["source"]), "left").select(aims["*"], "last")
@@ -166,19 +173,28 @@ def plan(sized: DataFrame, n_shards: int, seed: int) -> DataFrame:
     return staged(aims.join(shards, "place", "left"), "mix-sources")
 
 
-def mix(docs: DataFrame, n_shards: int = 64, seed: int = 20240307, id_col: str = "doc_id", text: str = "text", source: str = "source", lanes: int = 16) -> DataFrame:
-    """docs once for each time that the mix takes it (copies in all; epoch from 0), with its shard, in random order there by shuffle_key. A row that the mix takes no time comes once, with copies 0 and null epoch and shard. lanes: parts of a shard that are put into order alone."""
+def lanes_for(rows: int, words: int, n_shards: int) -> int:
+    """Parts of a shard that are put into order alone: the mix holds as many words as the input."""
+    return max(1, -(-max(rows * LANE_WORDS // LANE_ROWS, words) // (LANE_WORDS * n_shards)))
+
+
+def mix(docs: DataFrame, n_shards: int = 64, seed: int = 20240307, id_col: str = "doc_id", text: str = "text", source: str = "source", lanes: int | None = None) -> DataFrame:
+    """docs once for each time that the mix takes it (copies in all; epoch from 0), with its shard, in random order there by shuffle_key. A row that the mix takes no time comes once, with copies 0 and null epoch and shard. lanes: parts of a shard that are put into order alone, by default from the size of the input."""
     keep = [c for c in docs.columns if c.lower() not in OUTPUT]
     sized = staged(docs.select(F.col(source).alias("source"), permutation_hash(id_col, text, seed).alias("h"), n_words(F.col(text)).alias("size")), "mix-sizes")
-    per_source = plan(sized, n_shards, seed).select(F.col("source").alias("_of"), "source_size", "target", "base", "last", "shards")
-    rows = docs.select(*keep, n_words(F.col(text)).alias("size"), permutation_hash(id_col, text, seed).alias("_h"))
-    rows = rows.join(per_source, rows[source].eqNullSafe(per_source["_of"]), "left")
-    copies = F.col("base") + F.when(F.col("_h") <= F.col("last"), 1).otherwise(0)
-    rows = rows.select(*keep, "size", "source_size", "target", "shards", "_h", copies.cast("int").alias("copies"))
+    rows_in, words_in = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    buckets = max(BUCKETS, 1 << (rows_in // BUCKET_ROWS).bit_length())
+    lanes = lanes or lanes_for(rows_in, words_in, n_shards)
+    of, base, last, shards, h = fresh(docs.select(*keep), "of_", "base_", "last_", "shards_", "h_")
+    per_source = plan(sized, n_shards, seed, buckets).select(F.col("source").alias(of), "source_size", "target", F.col("base").alias(base), F.col("last").alias(last), F.col("shards").alias(shards))
+    rows = docs.select(*keep, n_words(F.col(text)).alias("size"), permutation_hash(id_col, text, seed).alias(h))
+    rows = rows.join(per_source, rows[source].eqNullSafe(per_source[of]), "left")
+    copies = F.col(base) + F.when(F.col(h) <= F.col(last), 1).otherwise(0)
+    rows = rows.select(*keep, "size", "source_size", "target", shards, h, copies.cast("int").alias("copies"))
     epochs = F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1))
     rows = rows.select("*", F.explode_outer(epochs).alias("epoch"))
-    draw = F.col("epoch") * BLOCKS + _bits(F.col("_h"), BLOCKS)
-    rows = rows.select(*keep, "size", "source_size", "target", "copies", "epoch", F.get("shards", draw.cast("int")).alias("shard"), F.xxhash64(F.lit(seed), "_h", "epoch").alias("shuffle_key"))
+    draw = F.col("epoch") * BLOCKS + _bits(F.col(h), BLOCKS)
+    rows = rows.select(*keep, "size", "source_size", "target", "copies", "epoch", F.get(shards, draw.cast("int")).alias("shard"), F.xxhash64(F.lit(seed), h, "epoch").alias("shuffle_key"))
     lane = F.pmod("shuffle_key", F.lit(lanes))
     # Rows that no shard takes are dealt out like the others.
     to = F.coalesce("shard", F.pmod("shuffle_key", F.lit(n_shards)).cast("int"))
