@@ -16,7 +16,8 @@ smallest id of each digest is aggregated (with partial sums), and only digests
 of two documents or more are joined back, so a hot passage is one row on one
 side of a join whose other side can be split.
 
-Defined results: null texts stay null with no chunks; empty texts stay empty.
+Defined results: null texts stay null with no chunks; empty texts stay empty. A text may be as long as
+a string can be: it is hashed in blocks of bytes, though its chunks are in memory together.
 Rows with a null id are left as they are. Rows with one id count as one
 document: they don't remove each other's text. A text whose words are all
 removed becomes empty. Repeated rows are returned as often as they stand. An
@@ -44,6 +45,8 @@ MIN_WORDS = 18
 LOOK_BACK = 16
 _GAP = b" " * LOOK_BACK
 BYTES_AT_ONCE = 1 << 20
+#: Bits of a chunk's place in its text: a string has less than 2^31 bytes, a chunk and the blank behind it two at least.
+PLACE_BITS = 30
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 CHUNKS = "id long, spot long, digest long, again boolean"
@@ -70,36 +73,48 @@ def word_table(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(edges, starts, side="right") - 1
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+def _powers(base: int) -> np.ndarray:
+    """Powers of base for the bytes of one block."""
+    out = np.full(BYTES_AT_ONCE, base & (1 << 64) - 1, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's base and of its inverse up to n, kept by the worker."""
-    if len(_POWERS[0]) <= n:
-        size = max(n + 1, 1 << 20)
-        for k, base in enumerate((int(_P), pow(int(_P), -1, 1 << 64))):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            _POWERS[k] = np.multiply.accumulate(out)
-    return _POWERS[0], _POWERS[1]
+_UP, _DOWN = _powers(int(_P)), _powers(pow(int(_P), -1, 1 << 64))
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: differences of one running polynomial sum, brought to a common power."""
-    powers, back = _powers(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(GEAR[raw] * powers[: len(raw)], out=sums[1:])
-    return _mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
-
-
-def gear(raw: np.ndarray) -> np.ndarray:
-    """The gear hash after each byte, over the LOOK_BACK bytes up to it: windows are doubled instead of a loop."""
-    h, w = GEAR[raw].astype(np.uint32), 1
-    while w < LOOK_BACK:
-        wider = h.copy()
-        wider[w:] += h[:-w] << np.uint32(w)
-        h, w = wider, 2 * w
-    return h
+    """A 64-bit hash of each word's bytes: differences of one running polynomial sum, brought to a common power. The sum runs over the bytes in blocks."""
+    sums, back = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+    before, up, down = np.uint64(0), 1, 1
+    for low in range(0, len(raw), BYTES_AT_ONCE):
+        part = raw[low : low + BYTES_AT_ONCE]
+        running = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(GEAR[part] * _UP[: len(part)], out=running[1:])
+        running = running * np.uint64(up) + before
+        a, b = np.searchsorted(starts, (low, low + len(part)))
+        sums[a:b] -= running[starts[a:b] - low]
+        back[a:b] = _DOWN[starts[a:b] - low] * np.uint64(down)
+        a, b = np.searchsorted(ends, (low, low + len(part)), side="right")  # an end is past its word's last byte
+        sums[a:b] += running[ends[a:b] - low]
+        before = running[-1]
+        up, down = up * int(_UP[-1]) * int(_P) % (1 << 64), down * int(_DOWN[-1]) * int(_DOWN[1]) % (1 << 64)
+    return _mix(sums * back + (ends - starts).astype(np.uint64))
+
+
+def gear(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The gear hash after the bytes at these places, over the LOOK_BACK bytes up to each: windows are doubled instead of a loop."""
+    out = np.zeros(len(at), np.uint32)
+    for low in range(0, len(raw), BYTES_AT_ONCE):
+        a, b = np.searchsorted(at, (low, low + BYTES_AT_ONCE))
+        from_here = max(0, low - LOOK_BACK)
+        h, w = GEAR[raw[from_here : low + BYTES_AT_ONCE]].astype(np.uint32), 1
+        while w < LOOK_BACK:
+            wider = h.copy()
+            wider[w:] += h[:-w] << np.uint32(w)
+            h, w = wider, 2 * w
+        out[a:b] = h[at[a:b] - from_here]
+    return out
 
 
 def chunks_of(texts: list[bytes]) -> dict[str, np.ndarray]:
@@ -111,7 +126,7 @@ def chunks_of(texts: list[bytes]) -> dict[str, np.ndarray]:
     if not len(starts):
         none = np.zeros(0, np.int64)
         return {k: none for k in ("doc", "place", "digest", "words", "first", "last")}
-    value = (gear(raw)[ends - 1].astype(np.uint64) * np.uint64(MEAN_WORDS)) >> np.uint64(32)
+    value = (gear(raw, ends - 1).astype(np.uint64) * np.uint64(MEAN_WORDS)) >> np.uint64(32)
     new_doc = np.concatenate([[True], docs[1:] != docs[:-1]])
     cut_before = new_doc.copy()
     cut_before[1:] |= value[:-1] == 0
@@ -144,10 +159,8 @@ def slices(batches, text_at: int):
 
 
 def _spots(text_hash: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """A chunk's place in its text (20 bits) with the leading bits of the text's hash, which tell apart texts of one id."""
-    if len(place) and int(place.max()) >= 1 << 20:
-        raise ValueError("a text has more than 2^20 chunks")
-    return (text_hash & ~np.int64((1 << 20) - 1)) | place
+    """A chunk's place in its text (PLACE_BITS) with the leading bits of the text's hash, which tell apart texts of one id."""
+    return (text_hash & ~np.int64((1 << PLACE_BITS) - 1)) | place
 
 
 def _emit(batches):
@@ -216,8 +229,8 @@ def copied_chunks(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     release(docs.sparkSession)
     elsewhere = looked_up.join(owners, "digest").where(F.col("id") != F.col("owner")).select("id", "spot")
     copies = chunks.where("again").select("id", "spot").unionByName(elsewhere)
-    place = F.col("spot").bitwiseAND(F.lit((1 << 20) - 1))
-    marked = copies.select("id", F.shiftright("spot", 20).alias("text_key"), place.cast("int").alias("place"))
+    place = F.col("spot").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    marked = copies.select("id", F.shiftright("spot", PLACE_BITS).alias("text_key"), place.cast("int").alias("place"))
     out = staged(marked.groupBy("id", "text_key").agg(F.collect_set("place").alias("places")), "copied")  # the chunks of one text
     del chunks, looked_up, owners, elsewhere, copies, marked
     release(docs.sparkSession)
@@ -230,7 +243,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     docs = docs.select(*keep)
     key, places, owner = fresh(docs, "text_key_", "places_", "id_")
     marks = copied_chunks(docs, id_col, text).toDF(owner, key + "_", places)
-    rows = docs.select("*", F.shiftright(F.xxhash64(text), 20).alias(key))
+    rows = docs.select("*", F.shiftright(F.xxhash64(text), PLACE_BITS).alias(key))
     joined = rows.join(marks, (rows[id_col].cast("long") == marks[owner]) & (rows[key] == marks[key + "_"]), "left").select(*[rows[c] for c in keep], places)
     extra = T.StructType.fromDDL("n_copied int, removed_bytes long, removed_spans array<struct<start: long, stop: long>>")
     return joined.mapInArrow(_cutter(len(keep), keep.index(text), min_words), T.StructType([*docs.schema, *extra]))
