@@ -1,14 +1,15 @@
 """Exact top-k inner products by norm buckets.
 
 Vectors become whole numbers, floor(1024 x). They are sorted by length and cut
-into buckets; the long vectors come first. Each query takes a first threshold
-from the longest bucket: its k-th best product there. In every other bucket
+into buckets; the long vectors come first. Each block of queries first meets FIRST_BUCKETS of the long
+buckets, dealt out so that a bucket gets few blocks; the k-th best product there is a query's first
+threshold. In every other bucket
 the threshold over the two lengths is the least cosine that can still matter.
 Above 1 the bucket is skipped; a high cosine prunes by the query's
 largest coordinates, each bounding the same coordinate of a candidate; a low
 one prunes by length alone. Products of what is left are exact whole
-numbers. Pairs of query block and bucket that no query can need are dropped
-before any vector moves; the rest meet by an equality join on block numbers.
+numbers. The buckets that a block can need are the first ones in order of length, so
+a block meets them by their rank: an equality join whose keys are spread.
 
 Defined results: null vectors, and those with null or non-finite components,
 take no part; vectors meet only others with as many components. Equal scores
@@ -16,7 +17,8 @@ go to the smaller id. A query with fewer than k candidates gets all. Rows with
 a null id can't be named in a result and take no part. Repeated ids are
 candidates as often as they stand in the table; a query is excluded from its
 own candidates by id. Empty tables give empty results. Only the id and the
-vector are read, so other columns don't matter.
+vector are read, so other columns don't matter. Scores are 64-bit: a vector whose squared length in whole
+numbers is 2^63 or more (a length of about 2.9 million before scaling) raises an error, since its products need not fit; below, none can overflow.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm._shared import staged
@@ -37,6 +39,9 @@ BLOCK_QUERIES = 256
 COORDINATE_COSINE = 0.3
 FOCUS = 6
 SLACK = 1e-9
+#: Buckets that give a block its first thresholds, and blocks that one of them gets, about.
+FIRST_BUCKETS = 2
+BLOCKS_OF_A_BUCKET = 16
 
 PACKED = "number long, dim int, n int, longest double, shortest double, ids binary, vectors binary"
 FOUND = "query_id long, vec_id long, score long"
@@ -47,8 +52,12 @@ def quantised(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     doubles = F.transform(F.col(vector), lambda x: x.cast("double"))
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     rows = df.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).where(fine)
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(doubles, lambda x: F.floor(x * SCALE)).alias("ints"))
-    return rows.select("id", F.size("ints").alias("dim"), "ints", F.aggregate("ints", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")).alias("norm2"))
+    norm2 = F.aggregate(doubles, F.lit(0.0), lambda a, x: a + F.pow(F.floor(x * SCALE).cast("double"), 2.0))
+    large = F.lit(float(1 << 63) * (1 - SLACK))
+    # floor() ends at the limits of long, whose squares are beyond the bound too.
+    checked = F.when(F.col("norm2") < large, F.col("norm2")).otherwise(F.raise_error(F.lit("a vector is too long for 64-bit products")).cast("double"))
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(doubles, lambda x: F.floor(x * SCALE)).alias("ints"), norm2.alias("norm2"))
+    return rows.select("id", F.size("ints").alias("dim"), "ints", checked.alias("norm2"))
 
 
 def _pack(limit: int):
@@ -190,35 +199,57 @@ def _members(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(numbers, np.int64), [len(x) for x in ids])), pa.array(np.concatenate(ids) if ids else np.array([], np.int64))], names=["number", "id"])
 
 
-def _match(blocks: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
-    """What query blocks with bounds find in the buckets. The grid of numbers comes first; vectors follow for its pairs only."""
-    stats = buckets.select("number", "dim", "longest")
-    heads = blocks.select(F.col("number").alias("q_number"), "dim", "least_need")
-    grid = heads.join(stats, "dim").where(F.col("least_need") <= F.col("longest") * (1 + SLACK)).select("q_number", "number")
+def _met(grid: DataFrame, blocks: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
+    """What query blocks with bounds find in buckets, for the pairs (q_number, dim, rank) of a grid."""
     q = blocks.select(F.col("number").alias("q_number"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "bounds")
-    joined = grid.join(q, "q_number").join(buckets.select("number", "dim", "n", "ids", "vectors"), "number")
+    joined = grid.join(q, "q_number").join(buckets.select("dim", "rank", "n", "ids", "vectors"), ["dim", "rank"])
     return joined.select("dim", "n", "ids", "vectors", "q_ids", "q_vectors", "bounds").mapInArrow(_matcher(k), FOUND)
 
 
+def first_ranks(block: Column, of_dim: Column, blocks: Column) -> Column:
+    """Ranks of the buckets that a block (numbered from 0 within its dim) meets first: among the long ones, FIRST_BUCKETS to a block, BLOCKS_OF_A_BUCKET to a bucket about."""
+    wide = F.least(of_dim, F.greatest(F.lit(FIRST_BUCKETS), F.ceil(blocks * FIRST_BUCKETS / BLOCKS_OF_A_BUCKET))).cast("long")
+    return F.array_distinct(F.array(*((block * FIRST_BUCKETS + j) % wide for j in range(FIRST_BUCKETS))))
+
+
+def needed(blocks: DataFrame, buckets: DataFrame) -> DataFrame:
+    """q_number, dim and rank of each bucket that is long enough for a block: one cumulative count over both in order of length. One narrow row for each block and bucket."""
+    lengths = buckets.select("dim", F.col("longest").alias("length"), F.lit(None).cast("long").alias("q_number"))
+    needs = blocks.select("dim", (F.col("least_need") / (1 + SLACK)).alias("length"), F.col("number").alias("q_number"))
+    order = Window.partitionBy("dim").orderBy(F.desc("length"), F.col("q_number").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = lengths.unionByName(needs).select("dim", "q_number", F.count(F.when(F.col("q_number").isNull(), 1)).over(order).alias("m")).where("q_number IS NOT NULL AND m > 0")
+    return upto.select("q_number", "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("rank"))
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score: the k candidates of the largest product for each row for which is_query (a Column over id) holds."""
     rows = staged(quantised(vectors, id_col, vector), "topk-rows")
     count = rows.count()
     parts = max(1, -(-count // (4 * BUCKET_ROWS)))
-    ordered = rows.repartitionByRange(parts, F.desc("norm2"), "id")
-    buckets = staged(ordered.select("id", "dim", "ints").mapInArrow(_pack(BUCKET_ROWS), PACKED), "topk-buckets")
+    order = (F.desc("norm2"), "id")
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    buckets = ordered.select("id", "dim", "ints").mapInArrow(_pack(BUCKET_ROWS), PACKED)
+    rank = F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("longest"), "number")) - 1  # a row for each bucket
+    buckets = staged(buckets, "topk-packed")
+    ranks = buckets.select("number", rank.cast("long").alias("rank"), F.count("*").over(Window.partitionBy("dim")).alias("of_dim"))
+    buckets = staged(buckets.join(ranks, "number"), "topk-buckets")
     queries = rows.where(is_query)
     blocks = queries.repartition(max(1, -(-count // (100 * BLOCK_QUERIES))), "id").select("id", "dim", "ints").mapInArrow(_pack(BLOCK_QUERIES), PACKED)
     blocks = staged(blocks, "topk-queries")
     known = "array<struct<id: long, bound: long>>"
     bounded = "number long, dim int, ids binary, vectors binary, bounds binary, least_need double"
-    # First the longest bucket of each dim alone, without bounds.
-    first = buckets.groupBy("dim").agg(F.min_by("number", F.struct((-F.col("longest")).alias("l"), F.col("number").alias("n"))).alias("number"))
+    # First some long buckets of each dim, without bounds.
+    of_dim = Window.partitionBy("dim")
+    place = blocks.select(F.col("number").alias("q_number"), "dim", (F.row_number().over(of_dim.orderBy("number")) - 1).cast("long").alias("place"), F.count("*").over(of_dim).alias("n_blocks"))
+    dims = buckets.groupBy("dim").agg(F.max("of_dim").alias("of_dim"))
+    first = place.join(dims, "dim").select("q_number", "dim", F.explode(first_ranks(F.col("place"), F.col("of_dim"), F.col("n_blocks"))).alias("rank"))
+    first = staged(first, "topk-first-pairs")
     none = blocks.withColumn("known", F.lit(None).cast(known)).select("number", "dim", "ids", "vectors", "known").mapInArrow(_with_bounds, bounded)
-    head = staged(_top(_match(none, buckets.join(first, ["dim", "number"], "left_semi"), k), k), "topk-first")
+    head = staged(_top(_met(first, none, buckets, k), k), "topk-first")
     kth = head.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
     of_block = staged(blocks.select("number", "ids").mapInArrow(_members, "number long, id long"), "topk-members")
     marks = of_block.join(kth, "id").groupBy("number").agg(F.collect_list(F.struct("id", "bound")).alias("known"))  # a block's queries at most
-    ready = blocks.join(marks, "number", "left").select("number", "dim", "ids", "vectors", "known").mapInArrow(_with_bounds, bounded)
-    rest = _match(staged(ready, "topk-ready"), buckets.join(first, ["dim", "number"], "left_anti"), k)
-    return _top(head.select("query_id", "vec_id", "score").unionByName(rest), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ready = staged(blocks.join(marks, "number", "left").select("number", "dim", "ids", "vectors", "known").mapInArrow(_with_bounds, bounded), "topk-ready")
+    rest = needed(ready, buckets).join(first, ["q_number", "dim", "rank"], "left_anti")
+    found = head.select("query_id", "vec_id", "score").unionByName(_met(rest, ready, buckets, k))
+    return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
