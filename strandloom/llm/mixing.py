@@ -19,7 +19,7 @@ Defined results: null and empty texts have size 0 and follow their block; no row
 more than MOST times. Long texts are words like others: a row is never cut, so a source meets its target to
 half the size of one row. Rows with the same id and text share one hash and are drawn together, so repeated
 rows and ties go the same way. A source of size 0 gets
-target 0. An empty table gives an empty table. Input columns named like an
+target 0 and none of its rows is taken. An empty table gives an empty table. Input columns named like an
 output column are replaced by it; other names don't clash. One result for one table and seed, however
 the table is partitioned. Sources are as many as a row of the tree holds numbers: thousands, not millions.
 """
@@ -147,8 +147,8 @@ def plan(sized: DataFrame, n_shards: int, seed: int, buckets: int = BUCKETS) ->
     cell = sized.select("source", _bits(F.col("h"), buckets).alias("bucket"), "size", "h")
     cells = staged(cell.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-cells")
     aims = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")))
-    part = F.least(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(MOST))
-    aims = aims.select("*", F.coalesce(part, F.lit(0)).cast("int").alias("base"))
+    part = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0))
+    aims = aims.select("*", F.least(part, F.lit(MOST)).cast("int").alias("base"))
     aims = staged(aims.select("*", F.when(F.col("base") >= MOST, F.lit(0.0)).otherwise(F.col("target") - F.col("base") * F.col("source_size")).alias("residual")), "mix-aims")
     # The bucket in which the residual ends, then the row. Sources without a residual have no such bucket.
     running = cells.select("*", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")).alias("upto"))
