@@ -107,10 +107,19 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(name, before)
 
 
-def has_exchange(df: DataFrame) -> bool:
-    """Whether rows may be dealt to other partitions in another run of the plan."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return "Exchange" in plan or "InMemory" in plan or "Python" in plan
+#: Nodes of a logical plan that give each partition the same rows in every run.
+_STEADY = {"Project", "Filter", "LogicalRelation", "LocalRelation", "Range", "LogicalRDD"}
+
+
+def steady(df: DataFrame, name: str) -> DataFrame:
+    """df itself if all that it does is to read, filter and project, so that rows keep their partitions and places whenever it runs; else staged."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in _STEADY and plan.deterministic():
+        below = plan.children()
+        if below.isEmpty():
+            return df
+        plan = below.head()
+    return staged(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,10 +8,10 @@ from the root to its own leaf with random numbers seeded by the tree node, so
 no task and not the driver holds more than one row of the matrix. A task deals
 its rows out by a random permutation, the rows are exchanged once, and each
 block is put into random order. Places in a shard follow from the block sizes,
-so no task ever sees a whole shard.
+so no task ever sees a whole shard, and how many bytes one puts into order does not grow with the input.
 
-Defined results: shard sizes differ by one at most; nulls, empty texts and
-repeated rows are rows like others; an empty table gives an empty table. Input
+Defined results: shard sizes differ by one at most; nulls, empty and very long texts and
+repeated rows are rows like others, and equal texts are dealt apart from each other like any two rows; an empty table gives an empty table. Input
 columns named like an output column are replaced by it. The same input
 partitions and seed give the same result.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm._shared import fresh, has_exchange, staged
+from strandloom.llm._shared import fresh, steady
 
 #: numpy's own sampler takes populations below this.
 NUMPY_LIMIT = 10**9
@@ -96,11 +96,10 @@ def block_sizes(rows: int, shards: int, per_block: int) -> tuple[int, np.ndarray
     return k, np.array([n // k + (j < n % k) for n in of_shard for j in range(k)], dtype=np.int64)
 
 
-def shard(df: DataFrame, n_shards: int, seed: int = 20240229, block_rows: int = 32_768) -> DataFrame:
+def shard(df: DataFrame, n_shards: int, seed: int = 20240229, block_rows: int = 4096) -> DataFrame:
     """df with shard (0 to n_shards - 1) and slot (gapless from 0 in each shard). block_rows bounds what is put into order at once."""
     df = df.select(*[c for c in df.columns if c.lower() not in ("shard", "slot")])
-    if has_exchange(df):  # partitions must hold the same rows in both jobs below
-        df = staged(df, "shard-input")
+    df = steady(df, "shard-input")  # partitions must hold the same rows in both jobs below
     found = {r[0]: r[1] for r in df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()}  # a row for each partition
     counts = [found.get(p, 0) for p in range(max(found, default=-1) + 1)]
     k, sizes = block_sizes(sum(counts), n_shards, block_rows)
