@@ -11,19 +11,24 @@ The order puts shingles last that are frequent in a bounded sample of
 documents, which only keeps blocks small: any order finds all links.
 
 Within a block the sets are points: shingles are hashed into DIMS groups, and a
-point counts its shingles in each. The points are packed into the leaves of an
-R-tree (by size, then by coordinates). The sum of coordinate minima bounds an
-intersection from above, for points as for the upper corners of boxes; pairs of
-leaves, then pairs of points that cannot reach the threshold are left out, and
+point counts its shingles in each. The points are packed into an
+R-tree (by size, then by coordinates): leaves of LEAF points, inner nodes of FAN
+children, each with its upper corner and its least and greatest size. The sum of coordinate minima bounds an
+intersection from above, for points as for upper corners. The tree is joined with itself from the root down: pairs of
+nodes, then pairs of points that cannot reach the threshold are left out, and
 the intersections of the rest are counted exactly from the sets. Pairs that are connected already are not
 counted again, so what a task returns is a forest and not all pairs of a group.
-A block of more than CELL_ROWS sets is split by size class (sizes that differ by
-more than the threshold allows never meet) and hash into cells; all pairs of cells
-that can hold a link are tasks of their own.
+
+A block of more than CELL_ROWS sets is searched in two steps. First it is cut by size class (sizes that differ by
+more than the threshold allows never meet) and hash into tiles, and each tile is
+searched alone, together with the block's HUBS sets of least hash, which connect tiles of one family. Then only pairs
+from different components are left: sets outside the block's largest component meet all others, in cells of a tile
+each. A block that is one family costs one pass over its sets, whatever its size.
 
 Defined results: null texts and texts without words have an empty set, link with
-nothing and are their own component. Fewer words than SHINGLE make one shingle.
-Rows with a null id take part, but name no component; a group of only such
+nothing and are their own component. Fewer words than SHINGLE make one shingle. A very long text is one
+set in one task's memory, like a row.
+Rows are told apart by their number, so rows with a null id, and different texts under one id, take part like others; a null id names no component, and a group of only such
 rows has a null component. Repeated rows have equal sets and so one
 component. Ties don't matter. An empty table gives an empty result. Other
 columns are not read.
@@ -36,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm._shared import drop_staged, release, small_batches, staged
+from strandloom.llm._shared import drop_staged, fresh, release, small_batches, staged, steady
 from strandloom.llm.components import components
 from strandloom.llm.substring import _mix, slices, word_hashes, word_table
 
@@ -44,11 +49,13 @@ SHINGLE = 5
 #: Similarity in percent.
 PERCENT = 80
 DIMS = 64
-LEAF = 64
+LEAF = 32
+FAN = 8
 PREFIX_PARTS = 16
 #: Lists of at most so many sets are taken pair by pair.
 SHORT = 16
 CELL_ROWS = 4096
+HUBS = 32
 #: Documents whose shingles decide which ones are frequent, how many must hold one, and how many are kept.
 SAMPLE_DOCS = 8_000
 FREQUENT_DOCS = 4
@@ -57,7 +64,7 @@ MOST_FREQUENT = 200_000
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _STEPS = np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-SETS = "id long, n long, h1 long, h2 long, text_key long, prefix array<long>"
+SETS = "id long, row long, n long, h1 long, h2 long, prefix array<long>"
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,10 +116,10 @@ def _sums(values: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
 
 
 def _describe(frequent: np.ndarray):
-    """id, set size, set hashes and prefix of each text."""
+    """id, row, set size, set hashes and prefix of each text."""
 
     def run(batches):
-        for batch, texts in slices(batches, 1):
+        for batch, texts in slices(batches, 2):
             values, bounds = shingle_sets(texts)
             late = np.zeros(len(values), bool)
             if len(frequent) and len(values):
@@ -126,7 +133,7 @@ def _describe(frequent: np.ndarray):
             chosen = values[order][rank < want[owner]]
             offsets = np.concatenate([[0], np.cumsum(want)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(chosen, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(_sums(values, bounds, 0x51)), pa.array(_sums(values, bounds, 0x7F4A7C15)), batch.column(2), prefix], names=["id", "n", "h1", "h2", "text_key", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(_sums(values, bounds, 0x51)), pa.array(_sums(values, bounds, 0x7F4A7C15)), prefix], names=["id", "row", "n", "h1", "h2", "prefix"])
 
     return run
 
@@ -146,23 +153,12 @@ def frequent_shingles(docs: DataFrame, text: str, count: int) -> np.ndarray:
 
 
 def _points(batches):
-    """Sets of the texts with their cells; a set that a task has had already is left out. Columns: sid, text, h1, cells."""
-    seen: set[int] = set()
+    """Sets of the texts. Columns: sid, text, cells."""
     for batch, texts in slices(batches, 1):
-        sids = batch.column(0).to_pylist()
-        fresh = [k for k, sid in enumerate(sids) if sid not in seen]
-        values, bounds = shingle_sets([texts[k] for k in fresh])
-        part = batch.take(pa.array(fresh, pa.int64()))
-        keep = []
-        for k in np.flatnonzero(_sums(values, bounds, 0x51) == part.column(2).to_numpy(zero_copy_only=False)).tolist():  # another text of that id has another set
-            sid = sids[fresh[k]]
-            if sid not in seen:
-                seen.add(sid)
-                keep.append(k)
+        values, bounds = shingle_sets(texts)
         raw = values.tobytes()
-        part = part.take(pa.array(keep, pa.int64()))
-        blobs = [raw[8 * bounds[k] : 8 * bounds[k + 1]] for k in keep]
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(blobs, pa.binary())], names=["sid", "cells", "shingles"])
+        blobs = [raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(blobs, pa.binary())], names=["sid", "cells", "shingles"])
 
 
 def count_points(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -172,7 +168,7 @@ def count_points(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def pack_leaves(sizes: np.ndarray, points: np.ndarray) -> list[np.ndarray]:
-    """Leaves of an R-tree by sort-tile packing: slabs by size, runs by the first principal coordinate within."""
+    """Leaves of an R-tree by sort-tile packing: slabs by size, runs by the coordinate that spreads most within."""
     order = np.argsort(sizes, kind="stable")
     slab = max(LEAF, int(np.sqrt(len(order) * LEAF)))
     leaves = []
@@ -184,13 +180,49 @@ def pack_leaves(sizes: np.ndarray, points: np.ndarray) -> list[np.ndarray]:
     return leaves
 
 
+class Tree:
+    """An R-tree over points: for each level, from the leaves to the root, the upper corners and the least and greatest sizes of its nodes. Node k has the children FAN k to FAN k + FAN - 1 of the level below."""
+
+    def __init__(self, sizes: np.ndarray, points: np.ndarray):
+        self.leaves = pack_leaves(sizes, points)
+        top = np.array([points[leaf].max(axis=0) for leaf in self.leaves])
+        least, most = (np.array([f(sizes[leaf]) for leaf in self.leaves]) for f in (np.min, np.max))
+        self.levels = [(top, least, most)]
+        while len(top) > 1:
+            at = np.arange(0, len(top), FAN)
+            top, least, most = np.maximum.reduceat(top, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)
+            self.levels.append((top, least, most))
+
+    def near_pairs(self) -> tuple[np.ndarray, int]:
+        """Pairs of leaves (a <= b, in order) whose points may reach the threshold, by descent from the root paired with itself; and how many pairs of nodes were looked at."""
+        pairs, seen = np.zeros((1, 2), np.int64), 0
+        for level in range(len(self.levels) - 1, -1, -1):
+            top, least, most = self.levels[level]
+            kept = []
+            for low in range(0, len(pairs), 1 << 14):
+                a, b = pairs[low : low + (1 << 14)].T
+                seen += len(a)
+                sizes_meet = (100 * most[a] >= PERCENT * least[b]) & (100 * most[b] >= PERCENT * least[a])
+                a, b = a[sizes_meet], b[sizes_meet]
+                kept.append(np.stack([a, b], axis=1)[reaches(np.minimum(top[a], top[b]).sum(axis=1), least[a], least[b])])
+            pairs = np.concatenate(kept) if kept else pairs[:0]
+            if level:
+                below = len(self.levels[level - 1][0])
+                step = np.arange(FAN)
+                a = np.broadcast_to(FAN * pairs[:, 0, None, None] + step[:, None], (len(pairs), FAN, FAN)).reshape(-1)
+                b = np.broadcast_to(FAN * pairs[:, 1, None, None] + step[None, :], (len(pairs), FAN, FAN)).reshape(-1)
+                real = (a <= b) & (b < below)
+                pairs = np.stack([a[real], b[real]], axis=1)
+        return pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))], seen
+
+
 def reaches(bound: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
     """Whether an intersection of this size would do: 100 i >= PERCENT (n1 + n2 - i)."""
     return (100 + PERCENT) * bound >= PERCENT * (n1 + n2)
 
 
-def link_forest(sids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links of similarity PERCENT or more that connect what is connected, found with an R-tree. sides: 0 and 1 mark the two cells of a pair, which are compared with each other only; all 0: one cell."""
+def link_forest(sids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], groups: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links of similarity PERCENT or more that connect what is connected, found with an R-tree. sides: 0 and 1 mark the two sides of a cell, which are compared with each other only; all 0: one side. groups: what is connected already."""
     m = len(sids)
     sizes = np.array([len(s) for s in sets], np.int64)
     values, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
@@ -203,7 +235,11 @@ def link_forest(sids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) ->
     code, owner = number[code[keep]], owner[keep]
     bounds = np.searchsorted(owner, np.arange(m + 1))
     width = int(shared.sum())
+    # At first a set's root is the first one of its group.
     parent = np.arange(m)
+    if groups is not None:
+        _, heads, of_set = np.unique(groups, return_index=True, return_inverse=True)
+        parent = heads[of_set]
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -221,102 +257,128 @@ def link_forest(sids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) ->
             out[r, c] = 1
         return out
 
-    leaves = pack_leaves(sizes, points)
-    top = [points[leaf].max(axis=0) for leaf in leaves]
-    least, most = [int(sizes[leaf].min()) for leaf in leaves], [int(sizes[leaf].max()) for leaf in leaves]
-    links, two_sided = [], bool(sides.any())
-    for a, first in enumerate(leaves):
-        mine, column = None, None
-        for b in range(a, len(leaves)):
-            low_a, low_b = least[a], least[b]
-            if 100 * most[a] < PERCENT * low_b or 100 * most[b] < PERCENT * low_a or not reaches(np.minimum(top[a], top[b]).sum(), low_a, low_b):
-                continue
-            second = leaves[b]
-            roots_a, roots_b = np.array([root(i) for i in first.tolist()]), np.array([root(i) for i in second.tolist()])
-            open_pairs = roots_a[:, None] != roots_b[None, :]
-            if two_sided:
-                open_pairs &= sides[first][:, None] != sides[second][None, :]
-            if a == b:
-                open_pairs &= np.arange(len(first))[:, None] < np.arange(len(second))[None, :]
-            n1, n2 = sizes[first][:, None], sizes[second][None, :]
-            open_pairs &= (100 * n1 >= PERCENT * n2) & (100 * n2 >= PERCENT * n1)
-            i, j = np.nonzero(open_pairs)
-            if not len(i):
-                continue
-            near = reaches(np.minimum(points[first[i]], points[second[j]]).sum(axis=1), sizes[first[i]], sizes[second[j]])
-            i, j = i[near], j[near]
-            if not len(i):
-                continue
-            if mine is None:  # columns: the shared shingles of the first leaf
-                column = np.full(width, -1, np.int64)
-                held = np.unique(np.concatenate([code[bounds[x] : bounds[x + 1]] for x in first.tolist()]))
-                column[held] = np.arange(len(held))
-                mine = dense(first, column)
-            other = np.zeros((len(second), mine.shape[1]), np.float32)
-            used = np.unique(j)
-            got = dense(second[used], column)
-            other[used, : got.shape[1]] = got
-            both = (mine @ other.T)[i, j].astype(np.int64)
-            hit = reaches(both, sizes[first[i]], sizes[second[j]])
-            for x, y in zip(first[i[hit]].tolist(), second[j[hit]].tolist(), strict=True):
-                p, q = root(x), root(y)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    links.append((int(sids[x]), int(sids[y])))
+    tree = Tree(sizes, points)
+    leaves, pairs = tree.leaves, tree.near_pairs()[0]
+    links, two_sided, at = [], bool(sides.any()), -1
+    for a, b in pairs.tolist():
+        first, second = leaves[a], leaves[b]
+        if a != at:
+            at, mine = a, None
+        roots_a, roots_b = np.array([root(i) for i in first.tolist()]), np.array([root(i) for i in second.tolist()])
+        open_pairs = roots_a[:, None] != roots_b[None, :]
+        if two_sided:
+            open_pairs &= sides[first][:, None] != sides[second][None, :]
+        if a == b:
+            open_pairs &= np.arange(len(first))[:, None] < np.arange(len(second))[None, :]
+        n1, n2 = sizes[first][:, None], sizes[second][None, :]
+        open_pairs &= (100 * n1 >= PERCENT * n2) & (100 * n2 >= PERCENT * n1)
+        i, j = np.nonzero(open_pairs)
+        if not len(i):
+            continue
+        near = reaches(np.minimum(points[first[i]], points[second[j]]).sum(axis=1), sizes[first[i]], sizes[second[j]])
+        i, j = i[near], j[near]
+        if not len(i):
+            continue
+        if mine is None:  # columns: the shared shingles of the first leaf
+            column = np.full(width, -1, np.int64)
+            held = np.unique(np.concatenate([code[bounds[x] : bounds[x + 1]] for x in first.tolist()]))
+            column[held] = np.arange(len(held))
+            mine = dense(first, column)
+        other = np.zeros((len(second), mine.shape[1]), np.float32)
+        used = np.unique(j)
+        got = dense(second[used], column)
+        other[used, : got.shape[1]] = got
+        both = (mine @ other.T)[i, j].astype(np.int64)
+        hit = reaches(both, sizes[first[i]], sizes[second[j]])
+        for x, y in zip(first[i[hit]].tolist(), second[j[hit]].tolist(), strict=True):
+            p, q = root(x), root(y)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                links.append((int(sids[x]), int(sids[y])))
     return links
 
 
 def _cells(batches):
-    """Links of each task's cells; rows come sorted by cell."""
+    """Links of each task's cells; rows (cell, sid, side, group, shingles) come sorted by cell."""
     key, held = None, []
 
     def links(rows):
         if len(rows) < 2:
             return []
-        return link_forest(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows]), [np.frombuffer(r[2], np.int64) for r in rows])
+        sids, sides, groups = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        return link_forest(sids, sides, [np.frombuffer(r[3], np.int64) for r in rows], groups)
 
     def out(found):
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        for cell, sid, side, blob in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for cell, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             if cell != key:
                 if found := links(held):
                     yield out(found)
                 key, held = cell, []
-            held.append((sid, side, blob))
+            held.append(row)
     if found := links(held):
         yield out(found)
 
 
+def linked_in(cells: DataFrame) -> DataFrame:
+    """Links a, b within cells: rows (cell, sid, side, group, shingles)."""
+    rows = cells.select("cell", "sid", "side", "group", "shingles").repartition("cell").sortWithinPartitions("cell")
+    return staged(rows.mapInArrow(_cells, "a long, b long"), "jaccard-links")
+
+
 def _size_class(n):
     """Sizes that can meet are in one class or in neighbouring ones."""
     return F.floor(F.ln(n.cast("double")) / float(np.log(100 / PERCENT)) + 1e-9).cast("long")
 
 
-CELLS = "array<struct<cell: string, side: int>>"
+def _tiles(counts, cls):
+    """Tiles of half a cell that this many sets of a class make; 0 for a class without any."""
+    return F.ceil(F.coalesce(F.try_element_at(counts, cls), F.lit(0)) / (CELL_ROWS // 2)).cast("long")
+
+
+def _upto(n):
+    """0 to n - 1."""
+    return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
+
+
+def large_blocks(members: DataFrame) -> DataFrame:
+    """block and counts (sets by size class) of the blocks of more than CELL_ROWS sets. members: block, n and others."""
+    by_class = members.groupBy("block", _size_class(F.col("n")).alias("class")).agg(F.count("*").alias("m"))
+    whole = by_class.groupBy("block").agg(F.sum("m").alias("m"), F.map_from_entries(F.collect_list(F.struct("class", "m"))).alias("counts"))  # some dozens of classes
+    return staged(whole.where(F.col("m") > CELL_ROWS).select("block", "counts"), "jaccard-large")
 
 
-def in_cells(members: DataFrame) -> DataFrame:
-    """members (block, sid, n and others) with the cells, and the side in each, in which a set is compared. Narrow: the sets come later."""
-    sizes = members.groupBy("block").agg(F.count("*").alias("m"))
-    rows = members.join(sizes, "block").withColumn("class", F.when(F.col("m") > CELL_ROWS, _size_class(F.col("n"))))
-    tiles = rows.where("class is not null").groupBy("block", "class").agg(F.ceil(F.count("*") / (CELL_ROWS // 2)).cast("long").alias("tiles"))
-    up = tiles.select("block", (F.col("class") + 1).alias("class"), F.col("tiles").alias("below"))
-    down = tiles.select("block", (F.col("class") - 1).alias("class"), F.col("tiles").alias("above"))
-    rows = rows.join(tiles, ["block", "class"], "left").join(up, ["block", "class"], "left").join(down, ["block", "class"], "left")
-    rows = rows.withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")))
-    zero = F.lit(0).cast("long")
-    upto = lambda c: F.when(F.coalesce(F.col(c), zero) > 0, F.sequence(zero, F.col(c) - 1)).otherwise(F.array().cast("array<long>"))
-    name = lambda *parts: F.concat_ws("/", "block", *parts)
-    own, cls = F.col("tile"), F.col("class")
-    split = F.concat(
-        F.transform(upto("tiles"), lambda k: F.struct(name(cls, F.least(own, k), cls, F.greatest(own, k)).alias("cell"), (own > k).cast("int").alias("side"))),
-        F.transform(upto("above"), lambda k: F.struct(name(cls, own, cls + 1, k).alias("cell"), F.lit(0).alias("side"))),
-        F.transform(upto("below"), lambda k: F.struct(name(cls - 1, k, cls, own).alias("cell"), F.lit(1).alias("side"))),
-    )
-    whole = F.array(F.struct(name().alias("cell"), F.lit(0).alias("side")))
-    return rows.select(*members.columns, F.when(cls.isNull(), whole).otherwise(split).cast(CELLS).alias("cells"))
+def in_tiles(members: DataFrame, large: DataFrame) -> DataFrame:
+    """members (block, sid, n and others) with class (null: all of the block is one cell) and the cells of the first step. Narrow: the sets come later."""
+    rows = members.join(large, "block", "left").withColumn("class", F.when(F.col("counts").isNotNull(), _size_class(F.col("n"))))
+    cls, counts = F.col("class"), F.col("counts")
+    name = lambda c, t: F.concat_ws("/", "block", c, t)
+    own = F.array(name(cls, F.pmod(F.xxhash64("sid"), _tiles(counts, cls))))
+    hub = F.pmod(F.xxhash64(F.lit(1), "sid"), F.lit(1 << 30)) * F.try_element_at(counts, cls) < HUBS * (1 << 30)
+    all_of = lambda c: F.transform(_upto(_tiles(counts, c)), lambda k: name(c, k))
+    everywhere = F.flatten(F.array(*(all_of(cls + d) for d in (-1, 0, 1))))
+    cells = F.when(cls.isNull(), F.array(F.col("block").cast("string"))).when(hub, F.array_union(own, everywhere)).otherwise(own)
+    return rows.select(*members.columns, "class", cells.alias("cells"))
+
+
+def open_cells(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """sid, group, cell and side of the second step, for rows (block, sid, class, group) of large blocks: side 0 has the sets outside the largest group of their block, side 1 all sets; a cell is a tile of each, of classes that can meet."""
+    groups = rows.groupBy("block", "group").agg(F.count("*").alias("m"))
+    main = groups.groupBy("block").agg(F.max_by("group", F.struct("m", "group")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+    apart = rows.join(main.select("block", "main"), "block").select(*rows.columns, (F.col("group") != F.col("main")).alias("out"))
+    apart = staged(apart, "jaccard-apart")
+    outside = apart.where("out").groupBy("block", "class").agg(F.count("*").alias("m")).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("class", "m"))).alias("outside"))
+    both = apart.join(staged(outside.join(large, "block"), "jaccard-outside"), "block")
+    cls = F.col("class")
+    name = lambda c0, t0, c1, t1: F.concat_ws("/", "block", c0, t0, c1, t1)
+    tile = lambda counts: F.pmod(F.xxhash64("sid"), _tiles(F.col(counts), cls))
+    cell = lambda c, side: F.struct(c.alias("cell"), F.lit(side).alias("side"))
+    outer = lambda c: F.transform(_upto(_tiles(F.col("counts"), c)), lambda k: cell(name(cls, tile("outside"), c, k), 0))
+    any_ = lambda c: F.transform(_upto(_tiles(F.col("outside"), c)), lambda k: cell(name(c, k, cls, tile("counts")), 1))
+    as_outer, as_any = (F.flatten(F.array(*(f(cls + d) for d in (-1, 0, 1)))) for f in (outer, any_))
+    return both.select("sid", "group", F.explode(F.when(F.col("out"), F.concat(as_outer, as_any)).otherwise(as_any)).alias("c")).select("sid", "group", "c.*")
 
 
 def several(postings: DataFrame) -> DataFrame:
@@ -342,20 +404,19 @@ def neighbours(postings: DataFrame) -> DataFrame:
     return long.unionByName(found.select("a", "b")).distinct()
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of docs: id, n_shingles and component_id (the least id reachable by links)."""
+def similar_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of docs: row (its number, by monotonically_increasing_id over the docs of steady()), id, n, root (of its component; null for an empty set) and least (no_id, id, row: the component's first row by id, nulls last)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    # Texts are found again by id; those without one by a hash of the text.
-    rows = rows.withColumn("text_key", F.when(F.col("id").isNull(), F.xxhash64("text")))
-    frequent = spark.sparkContext.broadcast(frequent_shingles(rows, "text", rows.count()))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, text, docs.count()))
     with small_batches(spark):
         described = staged(rows.mapInArrow(lambda batches: _describe(frequent.value)(batches), SETS), "jaccard-sets")
     # Equal sets are one.
     full = described.where("n > 0")
-    merged = full.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.first("prefix").alias("prefix"))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))
+    merged = full.groupBy("h1", "h2").agg(first.alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     merged = staged(merged.select("*", F.monotonically_increasing_id().alias("sid")), "jaccard-merged")
-    described, wide = staged(described.drop("prefix", "text_key"), "jaccard-rows"), described
+    described, wide = staged(described.drop("prefix"), "jaccard-rows"), described
     drop_staged(wide)
     release(spark)
     # Shingles of prefixes that two sets or more have, and the sets that have enough of them.
@@ -371,22 +432,41 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     release(spark)
     block_of = components(near)
     blocks = staged(block_of.select(F.col("node").alias("sid"), F.col("component").alias("block")).unionByName(block_of.select(F.col("component").alias("sid"), F.col("component").alias("block")).distinct()), "jaccard-blocks")
-    wanted = staged(in_cells(merged.join(blocks, "sid").select("sid", "block", "n", "least", "h1", "text_key")), "jaccard-wanted")
+    members = staged(merged.join(blocks, "sid").select("sid", "block", "n", F.col("least.row").alias("row")), "jaccard-block-members")
+    large = large_blocks(members)
+    wanted = staged(in_tiles(members, large), "jaccard-wanted")
     release(spark)
-    # The sets of block members, from the texts of their least ids. Neither side has a bound, so both are sorted.
-    key = lambda c: (F.coalesce(c, "text_key").alias("key"), F.col(c).isNull().alias("by_text"))
-    texts = rows.select("text", *key("id")).join(wanted.select(*key("least"), "sid", "h1", "cells").hint("merge"), ["key", "by_text"]).select("sid", "text", "h1", "cells")
+    # The sets of block members, from the texts of their first rows. Neither side has a bound, so both are sorted.
+    texts = rows.select("text", "row").join(wanted.select("row", "sid", "cells").hint("merge"), "row").select("sid", "text", "cells")
     with small_batches(spark):
-        sets = staged(texts.mapInArrow(_points, f"sid long, cells {CELLS}, shingles binary"), "jaccard-points", "uncompressed")
+        sets = staged(texts.mapInArrow(_points, "sid long, cells array<string>, shingles binary"), "jaccard-points", "uncompressed")
     release(spark)
-    placed = sets.select(F.explode("cells").alias("c"), "sid", "shingles").select("c.cell", "sid", "c.side", "shingles")
-    found = placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells, "a long, b long")
-    linked = components(staged(found, "jaccard-links"))
+    alone = sets.select(F.explode("cells").alias("cell"), "sid", F.lit(0).alias("side"), F.col("sid").alias("group"), "shingles")
+    links = linked_in(alone)
+    linked = components(links)
     release(spark)
-    # Components are named by the least id among their sets.
+    # The second step, for pairs of different components of one large block.
+    inside = wanted.where("class IS NOT NULL").join(linked, wanted["sid"] == linked["node"], "left").select("block", "sid", "class", F.coalesce("component", "sid").alias("group"))
+    open_ = staged(open_cells(inside, large), "jaccard-open")
+    if not open_.isEmpty():
+        linked = components(links.unionByName(linked_in(open_.join(sets.select("sid", "shingles"), "sid"))))
     root = F.coalesce("component", "sid")
     named = merged.select("sid", "h1", "h2", "least").join(linked, merged["sid"] == linked["node"], "left").select("h1", "h2", "least", root.alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_set = named.join(names, "root").select("h1", "h2", "component_id")
-    out = described.select("id", "n", "h1", "h2").join(by_set, ["h1", "h2"], "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    by_set = named.select("h1", "h2", "root").join(named.groupBy("root").agg(F.min("least").alias("least")), "root")
+    return described.join(by_set, ["h1", "h2"], "left").select("row", "id", "n", "root", "least")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of docs: id, n_shingles and component_id (the least id reachable by links)."""
+    found = similar_rows(steady(docs.select(id_col, text), "jaccard-input"), id_col, text)
+    return found.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least.id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs without those that a link, or a chain of them, connects to one with a smaller id (then row): of each component one row stays, and every row with an empty set."""
+    docs = steady(docs, "jaccard-input")
+    found = similar_rows(docs, id_col, text)
+    number, gone = fresh(docs, "row_", "gone_")
+    out = staged(found.where(F.col("row") != F.col("least.row")).select(F.col("row").alias(gone)), "near-gone")
+    left = docs.withColumn(number, F.monotonically_increasing_id())
+    return left.join(out, left[number] == out[gone], "left_anti").select(*docs.columns)
