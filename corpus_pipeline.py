@@ -1,8 +1,11 @@
 """From raw documents to packed sequences: quality rules, near duplicates, repeated passages, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of documents. Rows with a null doc_id pass the deduplicating
-stages; rows that share a doc_id stay or go together.
+return the columns of documents, whatever else these are called. The deduplicating stages tell rows apart by
+their number, so rows with a null doc_id and rows that share one are treated like others.
+Null and empty texts: the quality rules reject them; a later stage that gets one keeps it. Very long texts are
+treated whole. Ties go to the smaller doc_id, then to the earlier row; of repeated rows one stays. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import jaccard, mixing, packing, quality, substring
-from strandloom.llm._shared import WORD, fresh, ship, staged, table
+from strandloom.llm._shared import WORD, fresh, ship, staged, steady, table
 
 CAPACITY = 4096
 N_SHARDS = 64
@@ -28,25 +31,25 @@ def _aside(docs: DataFrame, taken: tuple[str, ...]) -> tuple[DataFrame, list]:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep, each as often as it stands."""
     ship(spark)
     docs, back = _aside(docs, quality.OUTPUT)
     return quality.judge(docs).where("kept").select(*back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that similarity links, the one with the least doc_id."""
+    """Of each group of documents that similarity links, the one with the least doc_id (null: last), then the earliest row."""
     ship(spark)
-    found = jaccard.similar_components(docs)
-    gone = staged(found.where(F.col("id") != F.col("component_id")).select("id").distinct(), "near-gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["id"], "left_anti")
+    return jaccard.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that an earlier one has; n_chars follows the text. A document of which nothing is left goes."""
+    """Documents without passages that an earlier row has; n_chars follows the text. A document of which nothing is left goes."""
     ship(spark)
     docs, back = _aside(docs, ("n_copied", "removed_bytes", "removed_spans"))
-    out = substring.dedup_substrings(docs)
+    docs = steady(docs, "passages-input")
+    (row,) = fresh(docs, "row_")
+    out = substring.dedup_substrings(docs.withColumn(row, F.monotonically_increasing_id()), row)
     left = out.where((F.col("removed_bytes") == 0) | F.col("text").rlike(WORD))
     names = [c.lower() for c in docs.columns]
     if "n_chars" in names:
@@ -62,7 +65,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their ids and their places in sequences of at most CAPACITY ids."""
+    """Pieces of documents with their ids and their places in sequences of at most CAPACITY ids; a null text is an empty one."""
     ship(spark)
     return packing.pack_documents(docs, CAPACITY)
 
