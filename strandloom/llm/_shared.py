@@ -122,6 +122,11 @@ def steady(df: DataFrame, name: str) -> DataFrame:
     return staged(df, name)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The size of df as Spark's own statistics have it; no job runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

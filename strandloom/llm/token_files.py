@@ -7,10 +7,11 @@ Decoding reads the control bytes through a table of 256 entries and gathers the
 data with numpy: no loop over ids.
 
 A token file set is a folder with two Parquet tables, written by Spark so that
-any store holds it: vocab (rank, id) and blocks. A block holds whole documents in
-ascending doc_id order: first (ids of all blocks before), doc_ids,
-lengths (ids of each document), n (ids in all), control and data. Documents are
-range-partitioned by doc_id; blocks are cut at BLOCK_IDS ids, and a longer
+any store holds it: vocab (rank, id) and blocks. Documents are
+range-partitioned by doc_id, into ranges whose number follows from the size of the input; a range is a folder part=0, part=1
+and so on of blocks, so the folders are in ascending order of documents. A block holds whole documents in
+ascending doc_id order: first (ids of all blocks before, by which the blocks of a folder stand in order too), doc_ids,
+lengths (ids of each document), n (ids in all), control and data. Blocks are cut at BLOCK_IDS ids, and a longer
 document is a block of its own.
 
 Defined results: a null text is an empty one and has the end id alone; null
@@ -29,13 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm._shared import new_folder, small_batches, staged
+from strandloom.llm._shared import estimated_bytes, new_folder, small_batches, staged
 from strandloom.llm.tokens import encoded, tokenizer_path
 
 BLOCK_IDS = 1 << 19
 #: Words that a worker keeps: more than by default, since encoding is most of the work.
 KEPT_WORDS = 800_000
-BLOCKS = "first long, doc_ids array<long>, lengths array<long>, n long, control binary, data binary"
+#: Bytes of the input, as Spark estimates them, in a range.
+RANGE_BYTES = 128 << 20
+BLOCKS = "part int, first long, doc_ids array<long>, lengths array<long>, n long, control binary, data binary"
 
 #: Of each control byte: the lengths of its four ranks, and where each starts.
 _LENGTHS = (np.arange(256)[:, None] >> (2 * np.arange(4)) & 3) + 1
@@ -129,7 +132,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     """The file set of docs in folder. path: a vocabulary file of the tokenizers library."""
     spark = docs.sparkSession
     path = path or tokenizer_path("word_bpe_49k.json")
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-estimated_bytes(docs.select(id_col, text)) // RANGE_BYTES))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("at"))
     ordered = narrow.repartitionByRange(parts, "doc_id", "at").sortWithinPartitions("doc_id", "at").select("doc_id", "text")
     with small_batches(spark):
@@ -149,32 +152,32 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     def block_up(batches):
         """Blocks of consecutive rows. A new one starts where a part, or the part of a file that the task reads, does."""
         held: list[tuple[int | None, np.ndarray]] = []
-        first, size = 0, 0
+        at, first, size = 0, 0, 0
 
         def flush():
             nonlocal held, size
             ids = np.concatenate([x for _, x in held])
             control, data = encode_ranks(rank_of[ids])
-            row = [[first], [[d for d, _ in held]], [[len(x) for _, x in held]], [len(ids)], [control], [data]]
+            row = [[at], [first], [[d for d, _ in held]], [[len(x) for _, x in held]], [len(ids)], [control], [data]]
             held, size = [], 0
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["first", "doc_ids", "lengths", "n", "control", "data"])
+            kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["part", "first", "doc_ids", "lengths", "n", "control", "data"])
 
         for batch in batches:
             for doc, blob, part, width, before in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 ids = np.frombuffer(blob, "<u2" if width == 2 else "<u4")
                 start = firsts[part] + before
-                if held and (start != first + size or size + len(ids) > BLOCK_IDS):
+                if held and (part != at or start != first + size or size + len(ids) > BLOCK_IDS):
                     yield flush()
                 if not held:
-                    first = start
+                    at, first = part, start
                 held.append((doc, ids))
                 size += len(ids)
         if held:
             yield flush()
 
     blocks = tokens.where("n >= 0").select("doc_id", "ids", "part", "width", "before").mapInArrow(block_up, BLOCKS)
-    blocks.write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    blocks.write.option("compression", "uncompressed").partitionBy("part").parquet(f"{folder}/blocks")
 
 
 def read_token_files(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
@@ -197,7 +200,7 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = True) ->
                     names=["doc_id", "start", "n_tokens", "ids", "ids_crc32"],
                 )
 
-    blocks = spark.read.parquet(f"{folder}/blocks").select("first", "doc_ids", "lengths", "n", "control", "data")
+    blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").select("first", "doc_ids", "lengths", "n", "control", "data")
     return blocks.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
 
 
