@@ -41,22 +41,33 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", length.cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
-def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four batches: all documents enter under two tokenizers; those with an even n_chars leave the second; English ones are revised from the first to the second; a batch comes twice."""
+def _four_batches(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Totals after four batches: all documents enter as words and under a tokenizer; those with an even n_chars leave the latter; English ones are revised from words to it; a batch comes twice."""
     from strandloom.llm._shared import new_folder
     from strandloom.llm.rollups import Rollup, changes
 
-    docs, store = table(spark, sf_dir, "documents"), Rollup(spark, new_folder(spark, "rollup"))
+    spark = docs.sparkSession
+    store = Rollup(spark, new_folder(spark, "rollup"))
     store.commit("words", changes(docs, "insert", "words-1"))
-    store.commit("pieces", changes(docs, "insert", "pieces-1"))
-    gone = changes(docs.where(F.col("n_chars") % 2 == 0), "delete", "pieces-1")
+    store.commit("pieces", changes(docs, "insert", tokenizer))
+    gone = changes(docs.where(F.col("n_chars") % 2 == 0), "delete", tokenizer)
     store.commit("withdrawn", gone)
     store.compact()
-    store.commit("revised", changes(docs.where(F.col("lang") == "en"), "revise", "pieces-1", old=("text", "words-1")))
+    store.commit("revised", changes(docs.where(F.col("lang") == "en"), "revise", tokenizer, old=("text", "words-1")))
     store.commit("withdrawn", gone)  # a batch that comes again changes nothing
     return store.totals()
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of words and of a vocabulary's tokens after four batches."""
+    return _four_batches(table(spark, sf_dir, "documents"), "word-bpe-49k")
+
+
+def token_counts_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a tokenizer that SQL can express."""
+    return _four_batches(table(spark, sf_dir, "documents"), "pieces-1")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.mixing import mix
 
@@ -110,7 +121,7 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_sharding, op2_token_files, op3_packing, op4_token_counts, op5_mixing, op6_jaccard, op7_language, op8_quality, op9_substring, op10_topk)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_sharding, op2_token_files, op3_packing, op4_token_counts, token_counts_by_pattern, op5_mixing, op6_jaccard, op7_language, op8_quality, op9_substring, op10_topk)}
 
 _OP4_SQL = r"""
 WITH counted AS (
@@ -173,4 +184,4 @@ s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) A
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_token_counts": _OP4_SQL, "op6_jaccard": _OP6_SQL, "op8_quality": _op8_sql(), "op10_topk": _OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"token_counts_by_pattern": _OP4_SQL, "op6_jaccard": _OP6_SQL, "op8_quality": _op8_sql(), "op10_topk": _OP10_SQL}

@@ -3,17 +3,21 @@
 A store is a folder in which every committed batch has a table of signed sums by
 source, language and tokenizer version: documents and tokens that an insert adds,
 a delete takes away, and a revision changes. Totals are additive, so they are the
-sum over all batches; nothing is recounted. A batch is written under its own
-name and counts once a marker beside it says so; committing a name again changes
+sum over all batches; nothing is recounted. A batch is written to a folder of its own
+and counts once a marker under its name says so and which folder it is; the marker is moved into place whole and never replaced, so of two writers of
+one name the first counts, committing a name again changes
 nothing, and a batch whose writer died before the marker is written anew. compact()
 folds committed batches into one snapshot that names them, in the same way.
 
+Tokenizer versions are either vocabulary files of the tokenizers library (VOCABULARIES), whose tokens are counted by encoding
+whole texts, or patterns (PATTERNS), counted by a column expression.
+
 Changes are rows of op (insert, delete or revise), source, lang, tokenizer and
 n_tokens; revise also has old_source, old_lang, old_tokenizer and
 old_n_tokens. Signed rows are summed within each task before they move, so a
 source with a third of all rows costs one row a task.
 
-Defined results: null source, lang and tokenizer are groups of their own; a null
+Defined results: null texts have no tokens; empty and very long ones are texts like others. Null source, lang and tokenizer are groups of their own; a null
 count is 0; groups whose documents and tokens are both 0 leave the totals. A
 store without batches has empty totals. Repeated change rows count as often as
 they stand. An unknown op raises an error when the batch is committed.
@@ -21,16 +25,22 @@ they stand. An unknown op raises an error when the batch is committed.
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm._shared import WORD, delete_path, path_exists
+from strandloom.llm._shared import WORD, delete_path, path_exists, small_batches
+from strandloom.llm.tokens import encoded, tokenizer_path
 
 KEYS = ("source", "lang", "tokenizer")
 SUMS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 #: Tokenizer versions that need no vocabulary: patterns whose matches are the tokens.
 PATTERNS = {"words-1": WORD, "pieces-1": r"[A-Za-z]+|[0-9]|[^\x20\x09-\x0DA-Za-z0-9]+"}
+#: Tokenizer versions by their vocabulary file.
+VOCABULARIES = {"word-bpe-49k": "word_bpe_49k.json"}
 
 
 def count_tokens(text: Column, tokenizer: str) -> Column:
@@ -38,9 +48,33 @@ def count_tokens(text: Column, tokenizer: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(PATTERNS[tokenizer])).cast("long"), F.lit(0).cast("long"))
 
 
+def with_counts(docs: DataFrame, wanted: list[tuple[str, str, str]]) -> DataFrame:
+    """source, lang, and for each (text column, tokenizer, name) a column of that name with the tokens of the text."""
+    columns = [F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang")]
+    columns += [(F.col(text) if kind in VOCABULARIES else count_tokens(F.col(text), kind)).alias(name) for text, kind, name in wanted]
+    rows = docs.select(*columns)
+    for k, (_, kind, name) in enumerate(wanted):
+        if kind in VOCABULARIES:
+            names = rows.columns
+            schema = ", ".join(f"{c} {'long' if c == name else t}" for c, t in rows.dtypes)
+            rows = rows.mapInArrow(_counter(tokenizer_path(VOCABULARIES[kind]), 2 + k, names), schema)
+    return rows
+
+
+def _counter(path: str, at: int, names: list[str]):
+    """Texts at a place replaced by the numbers of their tokens."""
+
+    def run(batches):
+        for part, _, sizes in encoded(batches, path, at):
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()) if k == at else part.column(k) for k in range(len(names))], names=names)
+
+    return run
+
+
 def changes(docs: DataFrame, op: str, tokenizer: str, text: str = "text", old: tuple[str, str] | None = None) -> DataFrame:
     """Change rows for docs. old, for revise: the text column and tokenizer that were counted before."""
-    rows = docs.select(F.lit(op).alias("op"), F.col("source"), F.col("lang"), F.lit(tokenizer).alias("tokenizer"), count_tokens(F.col(text), tokenizer).alias("n_tokens"), *([count_tokens(F.col(old[0]), old[1]).alias("old_n_tokens")] if old else []))
+    counted = with_counts(docs, [(text, tokenizer, "n_tokens"), *([(*old, "old_n_tokens")] if old else [])])
+    rows = counted.select(F.lit(op).alias("op"), "*", F.lit(tokenizer).alias("tokenizer"))
     if old:
         rows = rows.select("*", F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), F.lit(old[1]).alias("old_tokenizer"))
     return rows
@@ -71,11 +105,18 @@ class Rollup:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _mark(self, name: str, what: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-        out = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True)
+    def _mark(self, name: str, what: str) -> bool:
+        """Puts a marker with a text in place; False if there is one already. It is written aside and moved, which a distributed file system does at once and only where nothing stands."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path
+        done, aside = at(name), at(f"{self.folder}/aside/{uuid.uuid4().hex}")
+        fs = done.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        out = fs.create(aside, False)
         out.write(bytearray(what.encode("utf-8")))
         out.close()
+        if not fs.exists(done) and fs.rename(aside, done):
+            return True
+        fs.delete(aside, False)
+        return False
 
     def _names(self, kind: str) -> dict[str, str]:
         """Committed names with the text of their markers."""
@@ -94,8 +135,8 @@ class Rollup:
 
     def committed(self) -> set[str]:
         """Names of all batches that count."""
-        folded = {b for text in self._names("snapshots").values() for b in text.split("\n") if b}
-        return folded | set(self._names("batches"))
+        newest = self._newest()
+        return (newest[1] if newest else set()) | set(self._names("batches"))
 
     def commit(self, batch: str, rows: DataFrame) -> bool:
         """Adds the changes under a name; False if that name counts already."""
@@ -103,32 +144,43 @@ class Rollup:
             raise ValueError(f"no name for a batch: {batch!r}")
         if batch in self.committed():
             return False
-        where = f"{self.folder}/batches/{batch}"
-        signed(rows).write.mode("overwrite").parquet(where)
-        self._mark(f"{where}.done", batch)
-        return True
+        where = f"{self.folder}/batches/{batch}-{uuid.uuid4().hex[:12]}"
+        with small_batches(self.spark):
+            signed(rows).write.parquet(where)
+        if self._mark(f"{self.folder}/batches/{batch}.done", where):
+            return True
+        delete_path(self.spark, where)  # another writer was first
+        return False
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs and n_tokens over all batches that count."""
-        snapshots = self._names("snapshots")
-        newest = max(snapshots, default=None)
-        folded = set(snapshots[newest].split("\n")) if newest else set()
-        paths = [f"{self.folder}/batches/{b}" for b in sorted(self._names("batches")) if b not in folded]
-        paths += [f"{self.folder}/snapshots/{newest}"] if newest else []
+        newest = self._newest()
+        paths = [where for b, where in sorted(self._names("batches").items()) if not newest or b not in newest[1]]
+        paths += [newest[0]] if newest else []
         rows = self.spark.read.schema(SUMS).parquet(*paths) if paths else self.spark.createDataFrame([], SUMS)
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
+    def _newest(self) -> tuple[str, set[str]] | None:
+        """The folder of the newest snapshot, and the batches that it holds."""
+        snapshots = self._names("snapshots")
+        if not snapshots:
+            return None
+        where, *batches = snapshots[max(snapshots)].split("\n")
+        return where, set(batches)
+
     def compact(self) -> None:
-        """Folds all batches into a snapshot; the folded batches' tables go once it counts."""
-        names, old = sorted(self.committed()), self._names("snapshots")
-        where = f"{self.folder}/snapshots/{len(old):08d}"
-        self.totals().write.mode("overwrite").parquet(where)
-        self._mark(f"{where}.done", "\n".join(names))
-        for b in self._names("batches"):
+        """Folds all batches into a snapshot; the folded batches' tables go once it counts. A compaction that dies leaves totals as they are."""
+        names, n = sorted(self.committed()), len(self._names("snapshots"))
+        where = f"{self.folder}/snapshots/{n:08d}-{uuid.uuid4().hex[:12]}"
+        self.totals().write.parquet(where)
+        if not self._mark(f"{self.folder}/snapshots/{n:08d}.done", "\n".join([where, *names])):
+            delete_path(self.spark, where)
+            return
+        for b, folder in self._names("batches").items():
             if b in names:
                 delete_path(self.spark, f"{self.folder}/batches/{b}.done")
-                delete_path(self.spark, f"{self.folder}/batches/{b}")
+                delete_path(self.spark, folder)
 
     def exists(self) -> bool:
         return path_exists(self.spark, self.folder)
