@@ -11,10 +11,11 @@ share of that language in a softmax over the losses; a prediction is flagged as
 ambiguous where the two best are close.
 
 The classifiers are fitted on the driver on a bounded sample: at most
-SAMPLE_PER_LANGUAGE rows of each language, the first by a hash of the id (this
-is the documented bound of the fit). Fit and predictions read whole texts.
+SAMPLE_PER_LANGUAGE rows of each language and SAMPLE_ROWS in all, the first by a hash of the id, of the MOST_LANGUAGES
+most frequent languages, each with a text of at most SAMPLE_BYTES bytes (these
+are the documented bounds of the fit). Fit and predictions read whole texts.
 
-Defined results: `und` with score 0 for null texts, texts without a letter, and where
+Defined results: very long texts are predicted from all of their bytes. `und` with score 0 for null texts, texts without a letter, and where
 there was nothing to learn from. One learned language is predicted for all
 texts with letters. Ties go to the language that sorts first. Repeated rows
 get equal predictions; an empty table gives an empty table. Input columns named
@@ -34,6 +35,9 @@ from strandloom.llm.substring import slices
 BITS = 13
 BUCKETS = 1 << BITS
 SAMPLE_PER_LANGUAGE = 1_000
+SAMPLE_ROWS = 8_000
+SAMPLE_BYTES = 1 << 16
+MOST_LANGUAGES = 500
 STEPS = 150
 AMBIGUOUS = 0.2
 UNKNOWN = "und"
@@ -132,16 +136,17 @@ class Coder:
 
 def training_rows(docs: DataFrame, id_col: str, text: str, label: str, where: Column) -> list:
     """The bounded sample: rows of each language that come first by a hash. A share by the count of each language is taken first, so few rows meet for the ranking."""
-    rows = docs.where(where & F.col(label).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # one row for each language
+    rows = docs.where(where & F.col(label).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES) & F.col(text).rlike(r"\p{L}"))
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LANGUAGES).collect()}
     if not counts:
         return []
+    most = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // len(counts)))
     h = F.xxhash64(id_col)
-    share = F.element_at(F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 4 * SAMPLE_PER_LANGUAGE / n))))), F.col(label))
+    share = F.try_element_at(F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 4 * most / n))))), F.col(label))
     near = F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53) < share
-    keys = rows.where(near & F.col(text).rlike(r"\p{L}")).select(F.col(label).alias("label"), h.alias("h"), F.col(text).alias("text"))
+    keys = rows.where(near).select(F.col(label).alias("label"), h.alias("h"), F.col(text).alias("text"))
     order = Window.partitionBy("label").orderBy("h", "text")
-    found = keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_PER_LANGUAGE).collect()
+    found = keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).collect()
     return [(r["text"], r["label"]) for r in sorted(found, key=lambda r: (r["label"], r["rank"]))]
 
 
