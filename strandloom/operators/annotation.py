@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandloom.staging import stage
+
 #: Consequence terms by group, most severe first.
 HIGH_IMPACT = [
     "transcript_ablation", "splice_acceptor_variant", "splice_donor_variant", "stop_gained", "frameshift_variant", "stop_lost", "start_lost", "inframe_insertion",
@@ -75,9 +77,19 @@ def default_combos(spark: SparkSession, extra: DataFrame | None = None) -> DataF
 
 
 def rank_consequences(annotations: DataFrame, ranks: DataFrame) -> DataFrame:
-    """annotations (terms) with rank; combinations that the table lacks are added and all are ranked anew."""
+    """annotations (terms) with rank; combinations that the table (key, rank) lacks are added and all are ranked anew."""
     rows = annotations.withColumn("_key", combo_key(F.col("terms")))
-    return rows.join(ranks, rows["_key"] == ranks["key"], "left").drop("_key", "key")
+    table = extended_ranks(annotations, ranks)
+    return rows.join(table, rows["_key"] == table["key"], "left").drop("_key", "key")
+
+
+def extended_ranks(annotations: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The table of ranks, or a new one if annotations (terms) hold combinations that it lacks: of these and of its own."""
+    asked = annotations.select(combo_key(F.col("terms")).alias("key")).where("key IS NOT NULL").distinct()
+    missing = stage(asked.join(ranks, "key", "left_anti"), "combos")  # distinct annotations: hundreds
+    if missing.isEmpty():
+        return ranks
+    return stage(rank_combos(ranks.select("key").unionByName(missing).select(F.split("key", ",").alias("terms"))), "ranks")
 
 
 def most_severe(consequences: DataFrame, allele: list[str]) -> DataFrame:

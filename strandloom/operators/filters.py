@@ -62,10 +62,27 @@ def condition(text: str, fields: dict[str, str]) -> Column:
         raise ValueError(f"unknown fields {unknown}; allowed: {sorted(fields)}")
     out = F.lit(True)
     for t in triples:
-        out &= t.column(F.col(fields[t.field]))
+        on = fields[t.field]
+        if t.field == CELL:
+            out &= biosample_condition(t, on, fields["biosample_type"])
+        elif t.field == TISSUE and t.op in WIDER:
+            out &= Triple(t.field, WIDER[t.op], t.value).column(F.col(on))
+        else:
+            out &= t.column(F.col(on))
     return out
 
 
+#: Fields with a meaning of their own: a cell is looked for among the terms of biosamples that are cells, a tissue always by part of its name.
+CELL, TISSUE = "cell", "tissue"
+WIDER = {"eq": "like", "neq": "not like"}
+
+
+def biosample_condition(t: Triple, biosamples: str, kind: str) -> Column:
+    """Biosamples of a cell type, one of which has (for neq and not like: none has) the value in its term."""
+    found = biosample_is(biosamples, t.value)
+    return F.ilike(F.col(kind), F.lit("%cell%")) & (~found if t.op in ("neq", "not like") else found)
+
+
 #: Fields of track metadata and where they are kept.
 TRACK_FIELDS = {
     "data_source": "provenance.data_source",
@@ -75,7 +92,7 @@ TRACK_FIELDS = {
     "data_category": "experimental_design.data_category",
     "biosample_type": "biosample_characteristics.biosample_type",
     "tissue": "biosample_characteristics.tissue",
-    "cell": "biosample_characteristics.cell",
+    "cell": "biosample_characteristics.biosample",
 }
 
 

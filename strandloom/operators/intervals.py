@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST_BIN = 15_625
@@ -55,19 +55,27 @@ def point_join(points: DataFrame, intervals: DataFrame, keys: tuple[str, str], w
     return both.where((F.col("l_p") >= F.col("_s")) & (F.col("l_p") <= F.col("_e"))).drop("_x", "_y", "_s", "_e")
 
 
-def assign_bins(spans: DataFrame, bins: DataFrame) -> DataFrame:
-    """spans (chromosome, s, e and others) with the path of the deepest bin that contains each. On a level the candidate is found by an equality join on the cell of the span's start: cells are at most half as wide as the level's bins."""
-    levels = [(r[0], r[1]) for r in bins.groupBy("level").agg(F.min(F.col("end") - F.col("start") + 1)).collect()]  # one row for each level
-    widths = F.create_map(*(x for k, w in levels for x in (F.lit(k), F.lit(max(1, w))))) if levels else None
-    if widths is None:
-        return spans.withColumn("path", F.lit(None).cast("string"))
-    numbered = spans.withColumn("_n", F.monotonically_increasing_id())
-    tiles = bins.withColumn("_w", F.element_at(widths, F.col("level"))).withColumn("_cell", F.explode(F.sequence(F.floor(F.col("start") / F.col("_w")), F.floor(F.col("end") / F.col("_w")))))
-    cells = F.array(*(F.struct(F.lit(k).alias("level"), F.floor(F.col("s") / max(1, w)).alias("_cell")) for k, w in levels))
-    wanted = numbered.select("chromosome", "s", "e", "_n", F.explode(cells).alias("c")).select("chromosome", "s", "e", "_n", "c.level", "c._cell")
-    found = wanted.join(tiles.select("chromosome", "level", "_cell", "path", "start", "end"), ["chromosome", "level", "_cell"]).where((F.col("start") <= F.col("s")) & (F.col("e") <= F.col("end")))
-    deepest = found.groupBy("_n").agg(F.max_by("path", "level").alias("path"))
-    return numbered.join(deepest, "_n", "left").drop("_n")
+def assign_bins(spans: DataFrame, lengths: DataFrame, least: int = LEAST_BIN, clamp: bool = False) -> DataFrame:
+    """spans (chromosome, s, e and others) with the path of the deepest bin of bin_tree that contains each; null for a span that no chromosome holds. lengths: chromosome and end, a row for each chromosome. The tree is arithmetic, so it is walked from the chromosome's length in one expression and never joined. clamp: a span that passes the end of its chromosome counts as far as that."""
+    of = lengths.select("chromosome", F.col("end").cast("long").alias("_length"))
+    end = F.least("e", "_length") if clamp else F.col("e")
+    root = F.struct(F.lit(1).cast("long").alias("start"), F.col("_length").alias("end"), F.col("chromosome").alias("path"), F.lit(False).alias("done"))
+    depth = F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(F.col("_length") / least, F.lit(1.0)))).cast("int"))
+
+    def halve(bin_: Column, level: Column) -> Column:
+        half = F.floor((bin_["end"] - bin_["start"] + 1) / 2)
+        left, right = end < bin_["start"] + half, F.col("s") >= bin_["start"] + half
+        done = bin_["done"] | (half < least) | ~(left | right)
+        return F.struct(
+            F.when(done | left, bin_["start"]).otherwise(bin_["start"] + half).alias("start"),
+            F.when(~done & left, bin_["start"] + half - 1).otherwise(bin_["end"]).alias("end"),
+            F.when(done, bin_["path"]).otherwise(F.concat(bin_["path"], F.lit(".L"), level.cast("string"), F.when(left, ".B1").otherwise(".B2"))).alias("path"),
+            done.alias("done"),
+        )
+
+    inside = (F.col("s") >= 1) & (F.col("s") <= end) & (end <= F.col("_length"))
+    path = F.when(inside, F.aggregate(F.sequence(F.lit(1), depth), root, halve, lambda bin_: bin_["path"]))
+    return spans.join(of, "chromosome", "left").select(*spans.columns, path.alias("path"))
 
 
 def track_index(hits: DataFrame) -> DataFrame:

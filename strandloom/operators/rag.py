@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.strings import jaccard_words
+from strandloom.staging import stage
 
 #: Fixed values.
 STOPWORDS = ["the", "and", "of", "in", "on", "for", "with", "a", "an", "to", "by", "from", "is", "are", "was", "were", "study", "studies", "patients", "subjects", "using"]
@@ -69,12 +70,14 @@ def ontology_text(term: Column, label: Column, curie: Column, definition: Column
 
 
 def reach(edges: DataFrame, start: DataFrame, depth: int, source: str = "a", target: str = "b") -> DataFrame:
-    """Nodes within so many steps of start (node), with the least number of steps. Each step is one join of what is new."""
-    seen = start.select("node").distinct().withColumn("steps", F.lit(0))
-    new = seen
+    """Nodes within so many steps of start (node), with the least number of steps. Each step is one join of what is new, written once."""
+    new = stage(start.select("node").distinct().withColumn("steps", F.lit(0)), "reach")
+    seen = new
     for k in range(1, depth + 1):
         step = edges.join(new.select(F.col("node").alias(source)), source).select(F.col(target).alias("node")).distinct()
-        new = step.join(seen.select("node"), "node", "left_anti").withColumn("steps", F.lit(k))
+        new = stage(step.join(seen.select("node"), "node", "left_anti").withColumn("steps", F.lit(k)), "reach")
+        if new.isEmpty():
+            break
         seen = seen.unionByName(new)
     return seen
 

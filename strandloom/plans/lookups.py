@@ -59,13 +59,8 @@ def gene_associations(t: Tables):
     return hits.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select("o_orderkey", "l_linenumber", "p_name", "o_orderpriority")
 
 
-@query("SELECT p_partkey, l_orderkey, l_linenumber, coalesce(nullif(l_returnflag, 'N'), o_orderstatus) AS test_allele FROM part JOIN lineitem ON l_partkey = p_partkey LEFT JOIN orders ON o_orderkey = l_orderkey WHERE p_partkey % 100 = 1")
+@query("SELECT p_partkey, l_orderkey, l_linenumber, coalesce(nullif(l_returnflag, 'N'), o_orderstatus) AS test_allele FROM part JOIN lineitem ON l_partkey = p_partkey LEFT JOIN orders ON o_orderkey = l_orderkey", also="variant_associations_whole")
 def variant_associations(t: Tables):
-    return _associations(t, t.part.where("p_partkey % 100 = 1"))
-
-
-@query("SELECT p_partkey, l_orderkey, l_linenumber, coalesce(nullif(l_returnflag, 'N'), o_orderstatus) AS test_allele FROM part JOIN lineitem ON l_partkey = p_partkey LEFT JOIN orders ON o_orderkey = l_orderkey")
-def variant_associations_whole(t: Tables):
     return _associations(t, t.part)
 
 

@@ -45,18 +45,13 @@ def overlap_join(t: Tables):
 _PT = "SELECT l_orderkey AS k, l_linenumber AS n, l_suppkey % 25 AS c, l_orderkey * 10 + l_linenumber AS p FROM lineitem"
 
 
-def _near(t: Tables, genes: str = "true"):
+def _near(t: Tables):
     points = t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 25).alias("l_c"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("l_p"))
-    return I.point_join(points, _intervals(t, "r_").where(genes), ("l_c", "r_c"), WIDTH, 500)
+    return I.point_join(points, _intervals(t, "r_"), ("l_c", "r_c"), WIDTH, 500)
 
 
-@query(f"SELECT p.k AS l_orderkey, p.n AS l_linenumber, g.id AS gene FROM ({_PT}) p JOIN (SELECT * FROM ({_IV}) WHERE id % 50 = 0) g ON p.c = g.c AND p.p BETWEEN g.s - 500 AND g.e + 500")
+@query(f"SELECT p.k AS l_orderkey, p.n AS l_linenumber, g.id AS gene FROM ({_PT}) p JOIN ({_IV}) g ON p.c = g.c AND p.p BETWEEN g.s - 500 AND g.e + 500", also="flank_join_whole")
 def flank_join(t: Tables):
-    return _near(t, "r_id % 50 = 0").select("l_orderkey", "l_linenumber", F.col("r_id").alias("gene"))
-
-
-@query(f"SELECT p.k AS l_orderkey, p.n AS l_linenumber, g.id AS gene FROM ({_PT}) p JOIN ({_IV}) g ON p.c = g.c AND p.p BETWEEN g.s - 500 AND g.e + 500")
-def flank_join_whole(t: Tables):
     return _near(t).select("l_orderkey", "l_linenumber", F.col("r_id").alias("gene"))
 
 
@@ -65,13 +60,8 @@ def _positions(near):
     return near.groupBy(F.col("r_id").alias("gene"), where).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT g.id AS gene, CASE WHEN p.p < g.s THEN 'upstream' WHEN p.p > g.e THEN 'downstream' ELSE 'in gene' END AS relative_position, count(*) AS n FROM ({_PT}) p JOIN (SELECT * FROM ({_IV}) WHERE id % 50 = 0) g ON p.c = g.c AND p.p BETWEEN g.s - 500 AND g.e + 500 GROUP BY 1, 2")
+@query(f"SELECT g.id AS gene, CASE WHEN p.p < g.s THEN 'upstream' WHEN p.p > g.e THEN 'downstream' ELSE 'in gene' END AS relative_position, count(*) AS n FROM ({_PT}) p JOIN ({_IV}) g ON p.c = g.c AND p.p BETWEEN g.s - 500 AND g.e + 500 GROUP BY 1, 2", also="relative_position_whole")
 def relative_position(t: Tables):
-    return _positions(_near(t, "r_id % 50 = 0"))
-
-
-@query(f"SELECT g.id AS gene, CASE WHEN p.p < g.s THEN 'upstream' WHEN p.p > g.e THEN 'downstream' ELSE 'in gene' END AS relative_position, count(*) AS n FROM ({_PT}) p JOIN ({_IV}) g ON p.c = g.c AND p.p BETWEEN g.s - 500 AND g.e + 500 GROUP BY 1, 2")
-def relative_position_whole(t: Tables):
     return _positions(_near(t))
 
 
@@ -92,8 +82,15 @@ WITH RECURSIVE b(chromosome, path, level, s, e) AS (
 """
 
 
+_LENGTHS = [(f"chr{k}", 1_000_000 * k) for k in (1, 2, 3)]
+
+
 def _tree(t: Tables):
-    return I.bin_tree(t.spark, [(f"chr{k}", 1_000_000 * k) for k in (1, 2, 3)])
+    return I.bin_tree(t.spark, _LENGTHS)
+
+
+def _lengths(t: Tables):
+    return t.spark.createDataFrame(_LENGTHS, "chromosome string, end long")
 
 
 @query(_TREE + "SELECT chromosome, path, level, s AS start, e AS \"end\" FROM b")
@@ -111,12 +108,12 @@ def _spans(t: Tables):
 
 @query(_TREE + f"SELECT x.id, max_by(b.path, b.level) AS path FROM ({_SPANS}) x LEFT JOIN b ON b.chromosome = x.chromosome AND b.s <= x.s AND x.e <= b.e GROUP BY x.id")
 def bin_assign(t: Tables):
-    return I.assign_bins(_spans(t), _tree(t)).select("id", "path")
+    return I.assign_bins(_spans(t), _lengths(t)).select("id", "path")
 
 
 @query(_TREE + f", a AS (SELECT x.id, x.s, x.e, max_by(b.path, b.level) AS path FROM ({_SPANS}) x LEFT JOIN b ON b.chromosome = x.chromosome AND b.s <= x.s AND x.e <= b.e GROUP BY ALL) SELECT id % 10 AS track_id, path, count(*) AS num_hits, min(s) AS first_start, max(e) AS last_end FROM a GROUP BY 1, 2")
 def track_interval_index(t: Tables):
-    return I.track_index(I.assign_bins(_spans(t), _tree(t)).withColumn("track_id", F.col("id") % 10))
+    return I.track_index(I.assign_bins(_spans(t), _lengths(t)).withColumn("track_id", F.col("id") % 10))
 
 
 @query("SELECT * FROM (SELECT 'order' AS kind, o_orderkey AS id, o_orderkey * 10 AS start, o_orderkey * 10 + 5 AS \"end\" FROM orders WHERE o_orderkey = 7 UNION ALL SELECT 'part', p_partkey, p_partkey, p_partkey + p_size FROM part WHERE p_partkey = 7) ORDER BY kind NULLS LAST LIMIT 1")
@@ -131,16 +128,11 @@ def zero_one_based(t: Tables):
     return _intervals(t).select("id", R.zero_based(F.col("s")).alias("zero_start"), F.col("e").alias("zero_end"), R.length(F.col("s"), F.col("e")).alias("length"))
 
 
-@query(f"SELECT id, 'chr' || (c + 1) || ':' || s || '-' || e || CASE WHEN id % 2 = 0 THEN ':-' ELSE '' END AS region, 'chr' || (c + 1) AS chromosome, s AS start FROM ({_IV}) WHERE c < 22")
-def region_format(t: Tables):
-    return _formatted(_intervals(t).where("c < 22"))
-
-
 _NAME = "CASE WHEN c = 22 THEN 'chrX' WHEN c = 23 THEN 'chrY' WHEN c = 24 THEN 'chrM' ELSE 'chr' || (c + 1) END"
 
 
-@query(f"SELECT id, {_NAME} || ':' || s || '-' || e || CASE WHEN id % 2 = 0 THEN ':-' ELSE '' END AS region, {_NAME} AS chromosome, s AS start FROM ({_IV})")
-def region_format_whole(t: Tables):
+@query(f"SELECT id, {_NAME} || ':' || s || '-' || e || CASE WHEN id % 2 = 0 THEN ':-' ELSE '' END AS region, {_NAME} AS chromosome, s AS start FROM ({_IV})", also="region_format_whole")
+def region_format(t: Tables):
     return _formatted(_intervals(t))
 
 
@@ -156,21 +148,13 @@ def _formatted(rows):
     return parsed.select("id", "region", "p.chromosome", "p.start")
 
 
-@query(f"SELECT id, CASE WHEN c = 22 THEN 23 WHEN c = 23 THEN 24 WHEN c = 24 THEN 25 ELSE CAST(c + 1 AS INTEGER) END AS ord, row_number() OVER (ORDER BY CASE WHEN c = 22 THEN 23 WHEN c = 23 THEN 24 WHEN c = 24 THEN 25 ELSE c + 1 END, s, id) AS place FROM ({_IV}) WHERE id <= 5000")
+@query(f"SELECT id, CASE WHEN c = 22 THEN 23 WHEN c = 23 THEN 24 WHEN c = 24 THEN 25 ELSE CAST(c + 1 AS INTEGER) END AS ord, row_number() OVER (ORDER BY CASE WHEN c = 22 THEN 23 WHEN c = 23 THEN 24 WHEN c = 24 THEN 25 ELSE c + 1 END, s, id) AS place FROM ({_IV})", also="chrom_sort_whole")
 def chrom_sort(t: Tables):
-    from pyspark.sql import Window
-
-    rows = _intervals(t).where("id <= 5000").withColumn("ord", R.chromosome_order(_chromosome()).cast("int"))
-    return rows.select("id", "ord", F.row_number().over(Window.orderBy("ord", "s", "id")).cast("long").alias("place"))
-
-
-@query(f"SELECT id, CASE WHEN c = 22 THEN 23 WHEN c = 23 THEN 24 WHEN c = 24 THEN 25 ELSE CAST(c + 1 AS INTEGER) END AS ord, row_number() OVER (ORDER BY CASE WHEN c = 22 THEN 23 WHEN c = 23 THEN 24 WHEN c = 24 THEN 25 ELSE c + 1 END, s, id) AS place FROM ({_IV})")
-def chrom_sort_whole(t: Tables):
     """Places within each chromosome, after the rows of the chromosomes before it, so that no task sorts all rows."""
     from pyspark.sql import Window
 
     rows = _intervals(t).withColumn("ord", R.chromosome_order(_chromosome()).cast("int"))
-    ends = rows.groupBy("ord").agg(F.count("*").alias("n"))  # one row for each chromosome
+    ends = rows.groupBy("ord").agg(F.count("*").alias("n"))  # one row for each of 25 chromosomes
     before = ends.select("ord", (F.sum("n").over(Window.orderBy("ord")) - F.col("n")).alias("before"))
     inside = F.row_number().over(Window.partitionBy("ord").orderBy("s", "id"))
     return rows.withColumn("inside", inside).join(F.broadcast(before), "ord").select("id", "ord", (F.col("inside") + F.col("before")).cast("long").alias("place"))
@@ -181,14 +165,8 @@ def informative_tracks(t: Tables):
     return t.events.where(F.col("value").between(20, 60)).groupBy(F.col("user_id").alias("track_id")).agg(F.count("*").alias("num_overlaps"))
 
 
-@query("SELECT r.track_id, coalesce(c.n, 0) AS n FROM (SELECT unnest(range(0, 200)) AS track_id) r LEFT JOIN (SELECT user_id AS track_id, count(*) AS n FROM events WHERE value > 50 GROUP BY 1) c USING (track_id)")
+@query("SELECT user_id AS track_id, count(*) FILTER (WHERE value > 50) AS n FROM events WHERE user_id IS NOT NULL GROUP BY 1", also="counts_with_zeros_whole")
 def counts_with_zeros(t: Tables):
-    counts = t.events.where("value > 50").groupBy(F.col("user_id").alias("track_id")).agg(F.count("*").alias("n"))
-    return I.counts_with_zeros(t.spark.range(200).select(F.col("id").alias("track_id")), counts, "track_id", "n")
-
-
-@query("SELECT user_id AS track_id, count(*) FILTER (WHERE value > 50) AS n FROM events WHERE user_id IS NOT NULL GROUP BY 1")
-def counts_with_zeros_whole(t: Tables):
     tracks = t.events.where("user_id is not null").select(F.col("user_id").alias("track_id"))
     counts = t.events.where("value > 50").groupBy(F.col("user_id").alias("track_id")).agg(F.count("*").alias("n"))
     return I.counts_with_zeros(tracks.distinct(), counts, "track_id", "n")

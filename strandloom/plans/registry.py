@@ -20,14 +20,14 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-def query(sql: str | None = None, name: str | None = None):
-    """Registers a function of Tables under its name, with the SQL it must agree with."""
+def query(sql: str | None = None, name: str | None = None, also: str | None = None):
+    """Registers a function of Tables under its name (and another one), with the SQL it must agree with."""
 
     def register(f):
-        key = name or f.__name__
-        QUERIES[key] = lambda spark, folder: f(Tables(spark, folder))
-        if sql:
-            ORACLE_SQL[key] = sql
+        for key in filter(None, (name or f.__name__, also)):
+            QUERIES[key] = lambda spark, folder: f(Tables(spark, folder))
+            if sql:
+                ORACLE_SQL[key] = sql
         return f
 
     return register

@@ -10,9 +10,9 @@ from strandloom.plans.registry import Tables, query
 _STOP = ", ".join(f"'{w}'" for w in rag.STOPWORDS)
 
 
-@query(f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9\\-]+')) AS token FROM documents WHERE lang = 'en') WHERE length(token) > 1 AND token NOT IN ({_STOP}) GROUP BY 1")
+@query(f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9\\-]+')) AS token FROM documents) WHERE length(token) > 1 AND token NOT IN ({_STOP}) GROUP BY 1")
 def tokenize_freq(t: Tables):
-    return t.documents.where("lang = 'en'").select(F.explode(rag.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return t.documents.select(F.explode(rag.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, upper(sha256(text)) AS digest FROM documents")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.staging import stage
 from strandloom.functions.regions import CHROMOSOMES, chromosome
 from strandloom.functions.strings import parse_info
 from strandloom.operators.annotation import allele_frequencies
@@ -106,21 +107,23 @@ XREF_CATEGORIES = {
 }
 
 
+def _cell(group: str, label: str):
+    return lambda v: F.struct(F.lit(group).alias("category"), F.lit(label).alias("label"), v.alias("value"))
+
+
 def unpivot_xrefs(docs: DataFrame, key: str = "ensembl_gene_id") -> DataFrame:
     """gene, category, label and value rows of wide documents; lists become rows, blanks and dates are left out."""
-    parts = []
     category = {label: name for name, labels in XREF_CATEGORIES.items() for label in labels}
+    cells = []
     for name, kind in docs.dtypes:
         if name.startswith("date_") or name in (*XREF_SKIP, key):
             continue
-        value = F.explode(F.transform(F.col(name), lambda x: x.cast("string"))) if kind.startswith("array") else F.col(name).cast("string")
+        values = F.transform(F.col(name), lambda x: x.cast("string")) if kind.startswith("array") else F.array(F.col(name).cast("string"))
         label = f"{name[:-4]}_id" if name.endswith("_ids") else name
-        rows = docs.where(F.col(name).isNotNull()).select(F.col(key).alias("gene_id"), F.lit(category.get(name.replace(".", "_").replace("-", "_"), "resource_link")).alias("category"), F.lit(label).alias("label"), value.alias("value"))
-        parts.append(rows.where(F.trim("value") != ""))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        group = category.get(name.replace(".", "_").replace("-", "_"), "resource_link")
+        cells.append(F.transform(F.coalesce(values, F.array().cast("array<string>")), _cell(group, label)))
+    rows = docs.select(F.col(key).alias("gene_id"), F.explode(F.flatten(F.array(*cells))).alias("x"))
+    return rows.select("gene_id", "x.*").where(F.trim("value") != "")
 
 
 def strip_version(text: Column) -> Column:
@@ -161,16 +164,16 @@ def read_merges(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.concat(F.lit("rs"), "refsnp_id").alias("ref_snp_id"), F.concat(F.lit("rs"), F.get("merged_snapshot_data.merged_into", F.lit(0))).alias("merged_into"), history.alias("history"))
 
 
-def resolve_merges(aliases: DataFrame, rounds: int = 20) -> DataFrame:
-    """ref_snp_id and the identifier at the end of its chain of merges: pointers are doubled, so 2^rounds links are followed."""
-    links = aliases.select("ref_snp_id", "merged_into")
-    for _ in range(rounds):
+def resolve_merges(aliases: DataFrame) -> DataFrame:
+    """ref_snp_id and the identifier at the end of its chain of merges, null where the chain runs into a cycle and so has no end. Pointers are doubled; each round is written once, and as many rounds as the longest chain can need end it."""
+    links = stage(aliases.select("ref_snp_id", "merged_into"), "merges")
+    for _ in range(max(1, links.count()).bit_length() + 1):
         nxt = links.select(F.col("ref_snp_id").alias("merged_into"), F.col("merged_into").alias("_next"))
-        joined = links.join(nxt, "merged_into", "left")
+        joined = stage(links.join(nxt, "merged_into", "left"), "merges")
         if joined.where("_next is not null").isEmpty():
-            break
+            return links
         links = joined.select("ref_snp_id", F.coalesce("_next", "merged_into").alias("merged_into"))
-    return links
+    return joined.select("ref_snp_id", F.when(F.col("_next").isNull(), F.col("merged_into")).alias("merged_into"))
 
 
 def read_owl(spark: SparkSession, path: str) -> DataFrame:
