@@ -9,11 +9,11 @@ from strandloom.llm._shared import staged
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """Each node's neighbours (the larger ones, or itself and the smaller ones) are linked to the least of all. Only minima are joined back, so a hub's rows can be split."""
+    """Each node's neighbours (the larger ones, or itself and the smaller ones) are linked to the least of all. Only minima are joined back, from a table, so a hub's rows can be split or need not move."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if not large:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "links-least")
     pairs = both.join(least, "a")
     if large:
         out = pairs.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -28,7 +28,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and component (the least node reachable) for all nodes of the links a, b (long, not null) but the least ones of their components."""
+    """node and component (the least node reachable) for all nodes of the links a, b (long) but the least ones of their components. Links with a null and links of a node with itself say nothing; repeated ones count once; without links the result is empty."""
     edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = _state(edges)
     while state[0]:

@@ -22,7 +22,7 @@ counted again, so what a task returns is a forest and not all pairs of a group.
 A block of more than CELL_ROWS sets is searched in two steps. First it is cut by size class (sizes that differ by
 more than the threshold allows never meet) and hash into tiles, and each tile is
 searched alone, together with the block's HUBS sets of least hash, which connect tiles of one family. Then only pairs
-from different components are left: sets outside the block's largest component meet all others, in cells of a tile
+from different components are left: sets outside the block's largest component meet each other and that component, in cells of a tile
 each. A block that is one family costs one pass over its sets, whatever its size.
 
 Defined results: null texts and texts without words have an empty set, link with
@@ -49,7 +49,7 @@ SHINGLE = 5
 #: Similarity in percent.
 PERCENT = 80
 DIMS = 64
-LEAF = 32
+LEAF = 64
 FAN = 8
 PREFIX_PARTS = 16
 #: Lists of at most so many sets are taken pair by pair.
@@ -162,9 +162,10 @@ def _points(batches):
 
 
 def count_points(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """A row of DIMS group counts for each of n sets."""
+    """A row of DIMS group counts for each of n sets, in the narrowest type that holds them."""
     group = (values.view(np.uint64) >> np.uint64(64 - 6)).astype(np.int64)
-    return np.bincount(owner * DIMS + group, minlength=n * DIMS).reshape(n, DIMS).astype(np.int32)
+    counts = np.bincount(owner * DIMS + group, minlength=n * DIMS).reshape(n, DIMS)
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
 
 
 def pack_leaves(sizes: np.ndarray, points: np.ndarray) -> list[np.ndarray]:
@@ -204,7 +205,7 @@ class Tree:
                 seen += len(a)
                 sizes_meet = (100 * most[a] >= PERCENT * least[b]) & (100 * most[b] >= PERCENT * least[a])
                 a, b = a[sizes_meet], b[sizes_meet]
-                kept.append(np.stack([a, b], axis=1)[reaches(np.minimum(top[a], top[b]).sum(axis=1), least[a], least[b])])
+                kept.append(np.stack([a, b], axis=1)[reaches(np.minimum(top[a], top[b]).sum(axis=1, dtype=np.int64), least[a], least[b])])
             pairs = np.concatenate(kept) if kept else pairs[:0]
             if level:
                 below = len(self.levels[level - 1][0])
@@ -272,11 +273,10 @@ def link_forest(sids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], gro
             open_pairs &= np.arange(len(first))[:, None] < np.arange(len(second))[None, :]
         n1, n2 = sizes[first][:, None], sizes[second][None, :]
         open_pairs &= (100 * n1 >= PERCENT * n2) & (100 * n2 >= PERCENT * n1)
-        i, j = np.nonzero(open_pairs)
-        if not len(i):
+        if not open_pairs.any():
             continue
-        near = reaches(np.minimum(points[first[i]], points[second[j]]).sum(axis=1), sizes[first[i]], sizes[second[j]])
-        i, j = i[near], j[near]
+        bound = np.minimum(points[first][:, None, :], points[second][None, :, :]).sum(axis=2, dtype=np.int32)
+        i, j = np.nonzero(open_pairs & reaches(bound.astype(np.int64), n1, n2))
         if not len(i):
             continue
         if mine is None:  # columns: the shared shingles of the first leaf
@@ -363,22 +363,31 @@ def in_tiles(members: DataFrame, large: DataFrame) -> DataFrame:
     return rows.select(*members.columns, "class", cells.alias("cells"))
 
 
-def open_cells(rows: DataFrame, large: DataFrame) -> DataFrame:
-    """sid, group, cell and side of the second step, for rows (block, sid, class, group) of large blocks: side 0 has the sets outside the largest group of their block, side 1 all sets; a cell is a tile of each, of classes that can meet."""
+def open_cells(rows: DataFrame) -> DataFrame:
+    """sid, group, cell and side of the second step, for rows (block, sid, class, group) of large blocks. Sets outside the largest group of their block are tiled, and so are the sets of that group; a cell is two tiles, one of them outside, of classes that can meet."""
     groups = rows.groupBy("block", "group").agg(F.count("*").alias("m"))
     main = groups.groupBy("block").agg(F.max_by("group", F.struct("m", "group")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
-    apart = rows.join(main.select("block", "main"), "block").select(*rows.columns, (F.col("group") != F.col("main")).alias("out"))
-    apart = staged(apart, "jaccard-apart")
-    outside = apart.where("out").groupBy("block", "class").agg(F.count("*").alias("m")).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("class", "m"))).alias("outside"))
-    both = apart.join(staged(outside.join(large, "block"), "jaccard-outside"), "block")
-    cls = F.col("class")
-    name = lambda c0, t0, c1, t1: F.concat_ws("/", "block", c0, t0, c1, t1)
-    tile = lambda counts: F.pmod(F.xxhash64("sid"), _tiles(F.col(counts), cls))
-    cell = lambda c, side: F.struct(c.alias("cell"), F.lit(side).alias("side"))
-    outer = lambda c: F.transform(_upto(_tiles(F.col("counts"), c)), lambda k: cell(name(cls, tile("outside"), c, k), 0))
-    any_ = lambda c: F.transform(_upto(_tiles(F.col("outside"), c)), lambda k: cell(name(c, k, cls, tile("counts")), 1))
-    as_outer, as_any = (F.flatten(F.array(*(f(cls + d) for d in (-1, 0, 1)))) for f in (outer, any_))
-    return both.select("sid", "group", F.explode(F.when(F.col("out"), F.concat(as_outer, as_any)).otherwise(as_any)).alias("c")).select("sid", "group", "c.*")
+    apart = staged(rows.join(main.select("block", "main"), "block").select(*rows.columns, (F.col("group") != F.col("main")).alias("out")), "jaccard-apart")
+    by_class = apart.groupBy("block", "class").agg(F.count(F.when(F.col("out"), 1)).alias("outs"), F.count(F.when(~F.col("out"), 1)).alias("mains"))
+    counts = by_class.groupBy("block").agg(*(F.map_from_entries(F.collect_list(F.struct("class", c))).alias(c) for c in ("outs", "mains")))
+    both = apart.join(staged(counts, "jaccard-outside"), "block")
+    cls, outs, mains = F.col("class"), F.col("outs"), F.col("mains")
+    name = lambda kind, c0, t0, c1, t1: F.concat_ws("/", "block", F.lit(kind), c0, t0, c1, t1)
+    mine = lambda counts: F.pmod(F.xxhash64("sid"), _tiles(counts, cls))
+    cells = lambda counts, c, f: F.transform(_upto(_tiles(counts, c)), f)
+    cell = lambda where, side: F.struct(where.alias("cell"), side.cast("int").alias("side"))
+    zero, one = F.lit(0), F.lit(1)
+    own = mine(outs)
+    among = [
+        cells(outs, cls, lambda k: cell(name("o", cls, F.least(own, k), cls, F.greatest(own, k)), own > k)),
+        cells(outs, cls + 1, lambda k: cell(name("o", cls, own, cls + 1, k), zero)),
+        cells(outs, cls - 1, lambda k: cell(name("o", cls - 1, k, cls, own), one)),
+    ]
+    to_main = lambda c: cells(mains, c, lambda k: cell(name("m", cls, own, c, k), zero))
+    from_main = lambda c: cells(outs, c, lambda k: cell(name("m", c, k, cls, mine(mains)), one))
+    near = (cls - 1, cls, cls + 1)
+    of_row = F.when(F.col("out"), F.flatten(F.array(*among, *map(to_main, near)))).otherwise(F.flatten(F.array(*map(from_main, near))))
+    return both.select("sid", "group", F.explode(of_row).alias("c")).select("sid", "group", "c.*")
 
 
 def several(postings: DataFrame) -> DataFrame:
@@ -447,7 +456,7 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     release(spark)
     # The second step, for pairs of different components of one large block.
     inside = wanted.where("class IS NOT NULL").join(linked, wanted["sid"] == linked["node"], "left").select("block", "sid", "class", F.coalesce("component", "sid").alias("group"))
-    open_ = staged(open_cells(inside, large), "jaccard-open")
+    open_ = staged(open_cells(inside), "jaccard-open")
     if not open_.isEmpty():
         linked = components(links.unionByName(linked_in(open_.join(sets.select("sid", "shingles"), "sid"))))
     root = F.coalesce("component", "sid")

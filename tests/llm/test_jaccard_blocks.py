@@ -34,7 +34,7 @@ def sets_of(rng, n):
 
 def test_descent_keeps_what_can_reach():
     rng = np.random.default_rng(3)
-    sets = sets_of(rng, 900)
+    sets = sets_of(rng, 4000)
     sets += [np.unique(np.concatenate([s[: int(0.95 * len(s))], rng.integers(-(2**62), 2**62, 2)])) for s in sets[:80]]
     sizes = np.array([len(s) for s in sets])
     points = jaccard.count_points(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets))
@@ -44,9 +44,9 @@ def test_descent_keeps_what_can_reach():
     leaf_of = {int(i): k for k, leaf in enumerate(tree.leaves) for i in leaf}
     kept = {tuple(p) for p in pairs.tolist()}
     for i in range(80):
-        both = len(np.intersect1d(sets[i], sets[900 + i]))
-        if 100 * both >= 80 * (len(sets[i]) + len(sets[900 + i]) - both):
-            assert tuple(sorted((leaf_of[i], leaf_of[900 + i]))) in kept
+        both = len(np.intersect1d(sets[i], sets[4000 + i]))
+        if 100 * both >= 80 * (len(sets[i]) + len(sets[4000 + i]) - both):
+            assert tuple(sorted((leaf_of[i], leaf_of[4000 + i]))) in kept
     every = len(tree.leaves) * (len(tree.leaves) + 1) // 2
     assert len(kept) < 0.5 * every  # what the tree leaves out
     assert len(jaccard.link_forest(np.arange(len(sets)), np.zeros(len(sets), int), sets)) >= 60
