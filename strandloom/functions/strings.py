@@ -130,3 +130,71 @@ def stable_uuid(column: Column) -> Column:
         return values.map(lambda v: None if v is None else str(uuid.uuid5(uuid.NAMESPACE_DNS, hashlib.sha256(v.encode("utf-8")).hexdigest())))
 
     return make(column)
+
+
+def as_text(column: Column, kind: str, null: str = "NA", false_is_null: bool = False) -> Column:
+    """Any value as text: lists joined by commas, maps and structs as JSON, dates as year-month-day, null as a word; false too if wanted. kind: the column's Spark type."""
+    if kind.startswith("array"):
+        text = F.array_join(F.transform(column, lambda x: x.cast("string")), ",", null)
+    elif kind.startswith(("map", "struct")):
+        text = F.to_json(column)
+    elif kind in ("date", "timestamp", "timestamp_ntz"):
+        text = F.date_format(column, "yyyy-MM-dd")
+    else:
+        text = column.cast("string")
+    if kind == "boolean" and false_is_null:
+        text = F.when(column, text)
+    return F.coalesce(text, F.lit(null))
+
+
+def thousands(x: Column) -> Column:
+    """A whole number with commas."""
+    return F.format_number(x, 0)
+
+
+def fixed(x: Column, digits: int = 2) -> Column:
+    """A plain decimal number with so many places and no commas."""
+    return F.format_string(f"%.{digits}f", x.cast("double"))
+
+
+def joined(items: Column, separator: str = ",", distinct: bool = False) -> Column:
+    """A list as text; a set of its values, in order of their first place, if wanted."""
+    return F.array_join(F.transform(F.array_distinct(items) if distinct else items, lambda x: x.cast("string")), separator)
+
+
+def found_in(items: Column, word: Column, ignore_case: bool = False) -> Column:
+    """The items that hold a word."""
+    low = (lambda c: F.lower(c)) if ignore_case else (lambda c: c)
+    return F.filter(items, lambda x: F.contains(low(x), low(word)))
+
+
+def any_in_text(items: Column, text: Column) -> Column:
+    """Whether a text holds one of the items."""
+    return F.exists(items, lambda x: F.contains(text, x))
+
+
+def numbered_items(items: Column) -> Column:
+    """A map from item to its place, from 1; of equal items the last counts."""
+    pairs = F.transform(items, lambda x, i: F.struct(x.alias("key"), (i + 1).alias("value")))
+    last = F.filter(pairs, lambda p: F.size(F.filter(pairs, lambda q: (q["key"] == p["key"]) & (q["value"] > p["value"]))) == 0)
+    return F.map_from_entries(last)
+
+
+def pruned(fields: Column, drop: list[str] | None = None) -> Column:
+    """A map without its null and empty values, and without the named keys."""
+    return F.map_filter(fields, lambda k, v: v.isNotNull() & (v != "") & ~k.isin(drop or [""]))
+
+
+def none_left(values: Column) -> Column:
+    """Whether a list has nothing but nulls."""
+    return F.size(F.array_compact(values)) == 0
+
+
+def pubmed_curie(url: Column) -> Column:
+    """PMID:n of a PubMed address."""
+    return F.concat(F.lit("PMID:"), F.nullif(F.regexp_extract(url, r"(\d+)/?$", 1), F.lit("")))
+
+
+def term_id(uri: Column) -> Column:
+    """The id behind the last slash of a term's address."""
+    return F.substring_index(uri, "/", -1)

@@ -125,3 +125,25 @@ def frequency_rows(variants: DataFrame, column: str = "allele_frequencies") -> D
     """source, population and frequency rows of nested frequency maps."""
     outer = variants.select(*[c for c in variants.columns if c != column], F.explode(column).alias("datasource", "populations"))
     return outer.select(*[c for c in outer.columns if c != "populations"], F.explode("populations").alias("population", "frequency"))
+
+
+def ranked_document(consequences: DataFrame, ranks: DataFrame, key: list[str]) -> DataFrame:
+    """key, allele and an array of consequences for each kind, by rank then the annotator's order. consequences: key columns, kind, allele, terms and vep_order; combinations that the table lacks are ranked anew."""
+    rows = rank_consequences(consequences, ranks)
+    item = F.struct("rank", "vep_order", "terms", is_coding(F.col("terms")).alias("is_coding"))
+    wanted = [F.array_sort(F.collect_list(F.when(F.col("kind") == kind, item))).alias(kind) for kind in KINDS]
+    return rows.groupBy(*key, "allele").agg(*wanted)  # a variant's consequences
+
+
+#: Colours of the impacts on pages.
+IMPACT_COLOURS = {"HIGH": "#ff00ff", "MODERATE": "#f59300", "LOW": "#377eb8", "MODIFIER": "#377eb8"}
+
+
+def consequence_summary(terms: Column, impact: Column, gene_id: Column, gene_symbol: Column, transcript: Column | None = None, codons: Column | None = None, amino_acids: Column | None = None) -> Column:
+    """What a page says of a predicted consequence: terms, impact with its colour (null for an unknown one), whether it is coding, gene (null without an id), transcript, codon and amino acid change."""
+    table = F.create_map(*(x for k, v in IMPACT_COLOURS.items() for x in (F.lit(k), F.lit(v))))
+    known = F.when(F.upper(impact).isin(*IMPACT_COLOURS), F.upper(impact))
+    none = F.lit(None).cast("string")
+    gene = F.when(gene_id.isNotNull(), F.struct(gene_id.alias("id"), gene_symbol.alias("gene_symbol")))
+    rest = [(none if c is None else c).alias(n) for n, c in (("impacted_transcript", transcript), ("codon_change", codons), ("amino_acid_change", amino_acids))]
+    return F.struct(terms.alias("consequence_terms"), known.alias("impact"), F.try_element_at(table, known).alias("colour"), is_coding(terms).alias("is_coding"), gene.alias("impacted_gene"), *rest)

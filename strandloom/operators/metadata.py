@@ -2,16 +2,100 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def clean_key(name: str) -> str:
-    """Snake case without `#`, `(s)` as s."""
-    import re
+#: Template keys that have another name in records.
+RENAMED = {
+    "antibody": "antibody_target",
+    "date_added_to_filer": "filer_release_date",
+    "downloaded_date": "download_date",
+    "processed_file_md5": "md5sum",
+    "raw_file_md5": "raw_file_md5sum",
+    "technical_replicate": "technical_replicates",
+}
+
 
+def clean_key(name: str) -> str:
+    """Snake case without `#`, `(s)` as s; some keys are renamed."""
     plain = name.strip().replace("(s)", "s").replace("#", "")
-    return re.sub(r"[\s]+", "_", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", plain)).lower()
+    key = re.sub(r"[\s]+", "_", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", plain)).lower()
+    return RENAMED.get(key, key)
+
+
+def clean_keys(rows: DataFrame) -> DataFrame:
+    """A template's rows under clean column names."""
+    return rows.toDF(*map(clean_key, rows.columns))
+
+
+def name_and_description(track_name: Column, file_url: Column) -> Column:
+    """name (up to a note on peaks or bed files in brackets) and description of a track; from the file's name where there is none."""
+    of_file = F.replace(F.replace(F.substring_index(file_url, "/", -1), F.lit(".bed.gz"), F.lit("")), F.lit("_"), F.lit(" "))
+    name = F.get(F.split(track_name, r"\s[(\[][^()\[\]]*?eak\)\s|\s\(bed[^()\[\]]*[)\]]\s"), F.lit(0))
+    return F.struct(F.coalesce(name, of_file).alias("name"), F.coalesce(track_name, of_file).alias("description"))
+
+
+def biosample(cell_type: Column, term_id: Column, kind: Column, tissue: Column, system: Column, life_stage: Column, file_name: Column) -> Column:
+    """Biosample characteristics of a template row; null without a cell type. A number is no cell type: the file's name up to its first full stop stands for it. Terms without an id get one from their name."""
+    term = F.when(cell_type.try_cast("double").isNotNull(), F.replace(F.substring_index(F.coalesce(F.try_url_decode(file_name), file_name), ".", 1), F.lit(":"), F.lit(" - "))).otherwise(cell_type)
+    named = lambda t, curie: F.struct(t.alias("term"), curie.alias("curie"))
+    return F.when(
+        cell_type.isNotNull(),
+        F.struct(
+            F.array(named(term, F.coalesce(term_id, F.concat(F.lit("#FILER-biosample:"), term)))).alias("biosample"),
+            F.when(tissue.isNotNull(), F.array(named(tissue, F.concat(F.lit("#FILER-tissue:"), tissue)))).alias("tissue"),
+            F.when(system.isNotNull(), F.array(system)).alias("system"),
+            F.when(life_stage.isNotNull(), named(life_stage, F.concat(F.lit("FILER-lifestage:"), life_stage))).alias("life_stage"),
+            F.when(kind.isNotNull(), F.array(biosample_type(kind))).alias("biosample_type"),
+        ),
+    )
+
+
+def feature_type(assay: Column, analysis: Column, output_type: Column, classification: Column, description: Column) -> Column:
+    """What a track's features are: by its assay, else its analysis, its classification, its output type."""
+    out, cls = F.lower(output_type), F.lower(classification)
+    by_assay = (
+        F.when(assay.contains("QTL"), assay)
+        .when(assay.contains("TF"), "transcription factor binding site")
+        .when(assay.contains("Histone"), "histone modification")
+        .when(assay.isin("Small RNA-seq", "short total RNA-seq"), "small non-coding RNA")
+        .when(assay.isin("FAIRE-seq", "DNase-seq", "ATAC-seq"), "chromatin accessibility")
+        .when(assay == "PRO-seq", "enhancer")
+        .when(assay.isin("eCLIP", "iCLIP", "RIP-seq"), "protein-RNA crosslink or binding sites")
+    )
+    noted = F.nullif(F.regexp_extract(description, "All (.+) annotation", 1), F.lit(""))
+    by_analysis = F.when((analysis == "annotation") & out.contains("gene"), "gene").when((analysis == "annotation") & out.contains("variant"), "variant").when(analysis == "annotation", noted).when(analysis.contains("QTL"), analysis)
+    chip = cls.contains("chip-seq") | cls.contains("chia-pet")
+    by_class = (
+        F.when(cls.contains("histone-mark"), "histone modification")
+        .when(chip & cls.contains("ctcfl"), "CTCFL-binding site")
+        .when(chip & cls.contains("ctcf"), "CTCF-binding site")
+        .when(chip & cls.startswith("tf "), "transcription factor binding site")
+        .when(chip & cls.contains("chromhmm"), "enhancer")
+        .when(cls == "rna-pet clusters", "RNA-PET cluster")
+    )
+    state = F.split(output_type, " at ")
+    by_output = (
+        F.when(out.contains("enhancer"), "enhancer")
+        .when(output_type.contains("methylation state"), F.concat_ws(" ", F.get(state, F.lit(1)), F.get(state, F.lit(0))))
+        .when(out.contains("microrna target"), "microRNA target")
+        .when(output_type.contains("microRNA"), "microRNA")
+        .when(output_type.contains("exon"), "exon")
+        .when(output_type.contains("transcription start sites") | output_type.contains("TSS"), "transcription start site")
+        .when(output_type.contains("transcribed fragments"), "transcribed fragment")
+        .when(output_type.isin("clusters", "ChromHMM", "Genomic Partition"), F.lit(None))
+        .when(output_type.startswith("Chromatin"), out)
+        .otherwise(output_type)
+    )
+    return F.coalesce(by_assay, by_analysis, by_class, by_output)
+
+
+def without_repeated_type(text: Column, kind: Column) -> Column:
+    """A QTL track's text without its feature type said twice in a row."""
+    return F.when(kind.contains("QTL"), F.replace(text, F.concat_ws(" ", kind, kind), kind)).otherwise(text)
 
 
 def clean_value(text: Column) -> Column:
@@ -26,6 +110,7 @@ def genome_build(text: Column) -> Column:
 
 
 def assay_and_analysis(assay: Column, classification: Column) -> Column:
+    """assay and analysis of the templates' one field. The words are fixed values of the templates."""
     a = F.replace(assay, F.lit("-Seq"), F.lit("-seq"))
     chrom, note, qtl, dnase = a.contains("ChromHMM"), F.lower(a) == "annotation", a.isin("eQTL", "sQTL"), a.contains("DNase")
     by_class = F.when(classification == "ChIP-seq consolidated ChromHMM", "ChromHMM")
@@ -72,6 +157,7 @@ def captured(text: Column, pattern: str) -> Column:
 
 
 def biosample_type(text: Column) -> Column:
+    """The type of a biosample. The words are fixed values of the templates and of the vocabulary."""
     low = F.lower(text)
     return (
         F.when(low == "embryonic stem cell derived", "ESC cell line")

@@ -141,3 +141,39 @@ def set_ops_arrays(t: Tables):
 def stable_ids(t: Tables):
     """Digests that Spark and the oracle lack: BLAKE2b and version-5 UUIDs."""
     return t.part.select("p_partkey", S.blake2b(F.col("p_name"), 4).alias("digest"), S.stable_uuid(F.col("p_name")).alias("uuid"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'NA' END AS flag, coalesce(p_size || ',' || p_partkey, 'NA') AS list, '{\"a\":' || p_size || '}' AS map, '2024-03-05' AS day FROM part WHERE p_size IS NOT NULL")
+def as_text(t: Tables):
+    rows = t.part.where("p_size IS NOT NULL")
+    flag, items, fields, day = F.col("p_size") % 2 == 0, F.array(F.col("p_size").cast("long"), F.col("p_partkey").cast("long")), F.create_map(F.lit("a"), F.col("p_size")), F.to_date(F.lit("2024-03-05"))
+    return rows.select("p_partkey", S.as_text(flag, "boolean", false_is_null=True).alias("flag"), S.as_text(items, "array<bigint>").alias("list"), S.as_text(fields, "map<string,int>").alias("map"), S.as_text(day, "date").alias("day"))
+
+
+@query("SELECT o_orderkey, format('{:,}', o_orderkey * 1001) AS commas, printf('%.2f', o_totalprice) AS plain, printf('%.2e', o_totalprice) AS sci FROM orders WHERE o_totalprice > 0")
+def number_formats(t: Tables):
+    return t.orders.where("o_totalprice > 0").select("o_orderkey", S.thousands(F.col("o_orderkey") * 1001).alias("commas"), S.fixed(F.col("o_totalprice")).alias("plain"), S.sci_notation(F.col("o_totalprice")).alias("sci"))
+
+
+@query("""
+SELECT p_partkey, array_to_string(w, '|') AS joined, len(list_filter(w, lambda x: contains(x, 'e'))) AS n_found, len(list_filter(w, lambda x: contains(lower(x), 'e'))) AS n_found_any_case,
+  list_position(w, w[1]) AS first_place, len(list_distinct(w)) AS n_distinct, len(list_filter(w, lambda x: contains(p_type, x))) > 0 AS in_type
+FROM (SELECT *, string_split(p_name, ' ') AS w FROM part WHERE p_name IS NOT NULL)""")
+def list_helpers(t: Tables):
+    w = F.split("p_name", " ")
+    numbered = S.numbered_items(F.array_distinct(w))
+    return t.part.where("p_name IS NOT NULL").select("p_partkey", S.joined(w, "|").alias("joined"), F.size(S.found_in(w, F.lit("e"))).alias("n_found"), F.size(S.found_in(w, F.lit("E"), True)).alias("n_found_any_case"), F.element_at(numbered, F.get(w, F.lit(0))).alias("first_place"), F.size(F.split(S.joined(w, " ", distinct=True), " ")).alias("n_distinct"), S.any_in_text(w, F.col("p_type")).alias("in_type"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'a=' || c_custkey ELSE 'a=' || c_custkey || ';b=x' END AS info, c_custkey % 4 = 0 AS nothing FROM customer")
+def pruned_map(t: Tables):
+    k = F.col("c_custkey")
+    fields = F.create_map(F.lit("a"), k.cast("string"), F.lit("b"), F.when(k % 3 == 0, "").otherwise("x"), F.lit("c"), F.lit(None).cast("string"), F.lit("d"), F.lit("dropped"))
+    return t.customer.select("c_custkey", S.info_string(S.pruned(fields, ["d"])).alias("info"), S.none_left(F.array(F.when(k % 4 > 0, k))).alias("nothing"))
+
+
+@query("SELECT c_custkey, 'PMID:' || (10000000 + c_custkey) AS pubmed, 'EFO_' || c_custkey AS trait FROM customer")
+def citation_ids(t: Tables):
+    n = F.col("c_custkey")
+    url = F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), (n + 10000000).cast("string"), F.when(n % 2 == 0, "/").otherwise(""))
+    return t.customer.select("c_custkey", S.pubmed_curie(url).alias("pubmed"), S.term_id(F.concat(F.lit("http://www.ebi.ac.uk/efo/EFO_"), n.cast("string"))).alias("trait"))

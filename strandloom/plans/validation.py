@@ -111,3 +111,56 @@ def file_format(t: Tables):
     k = F.col("p_size") % 3
     text = F.when(k == 0, "bed6").when(k == 1, "bed bed3+").otherwise("bed bed4 narrowPeak")
     return t.part.select("p_partkey", M.format_and_schema(text).alias("f")).select("p_partkey", "f.*")
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'track ' || p_partkey WHEN 1 THEN 'track ' || p_partkey ELSE 'f ' || p_partkey END AS name, CASE p_size % 4 WHEN 0 THEN 'track ' || p_partkey || ' (bed3+ file) more' WHEN 1 THEN 'track ' || p_partkey || ' [idr_peak) more' ELSE 'f ' || p_partkey END AS description FROM part WHERE p_size IS NOT NULL")
+def track_names(t: Tables):
+    k, n = F.col("p_size") % 4, F.col("p_partkey").cast("string")
+    name = F.when(k == 0, F.concat(F.lit("track "), n, F.lit(" (bed3+ file) more"))).when(k == 1, F.concat(F.lit("track "), n, F.lit(" [idr_peak) more")))
+    url = F.concat(F.lit("https://x.org/d/f_"), n, F.lit(".bed.gz"))
+    return t.part.where("p_size IS NOT NULL").select("p_partkey", M.name_and_description(name, url).alias("n")).select("p_partkey", "n.*")
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'a b - c' || p_partkey WHEN 1 THEN 'neuron' END AS term, CASE p_size % 3 WHEN 0 THEN 'CL:' || p_partkey WHEN 1 THEN '#FILER-biosample:neuron' END AS curie, CASE WHEN p_size % 3 < 2 THEN 'cell line' END AS type, CASE WHEN p_size % 3 = 1 THEN '#FILER-tissue:brain' END AS tissue FROM part WHERE p_size IS NOT NULL")
+def biosample_rules(t: Tables):
+    k, n = F.col("p_size") % 3, F.col("p_partkey").cast("string")
+    cell = F.when(k == 0, "12.5").when(k == 1, "neuron")
+    made = M.biosample(cell, F.when(k == 0, F.concat(F.lit("CL:"), n)), F.when(k == 0, "Timecourse").otherwise("Immortalized cell line"), F.when(k == 1, "brain"), F.lit("nervous"), F.lit(None).cast("string"), F.concat(F.lit("a%20b:c"), n, F.lit(".x.bed")))
+    b = t.part.where("p_size IS NOT NULL").select("p_partkey", made.alias("b"))
+    return b.select("p_partkey", F.get("b.biosample", F.lit(0))["term"].alias("term"), F.get("b.biosample", F.lit(0))["curie"].alias("curie"), F.get("b.biosample_type", F.lit(0)).alias("type"), F.get("b.tissue", F.lit(0))["curie"].alias("tissue"))
+
+
+#: assay, analysis, output type, classification, description, and what the features are.
+_TRACK_KINDS = [
+    ("eQTL", None, None, None, None, "eQTL"),
+    ("TF ChIP-seq", None, "peaks", None, None, "transcription factor binding site"),
+    ("ATAC-seq", None, "peaks", None, None, "chromatin accessibility"),
+    (None, "annotation", "Gene models", None, None, "gene"),
+    (None, "annotation", "other", None, "All lncRNA annotations", "lncRNA"),
+    (None, "sQTL", None, None, None, "sQTL"),
+    ("ChIP-seq", None, "peaks", "ChIP-seq CTCF clusters", None, "CTCF-binding site"),
+    ("ChIP-seq", None, "peaks", "TF ChIP-seq peaks", None, "transcription factor binding site"),
+    ("RNA-seq", None, "methylation state at CpG", None, None, "CpG methylation state"),
+    ("RNA-seq", None, "TSS clusters", None, None, "transcription start site"),
+    ("RNA-seq", None, "Chromatin interactions", None, None, "chromatin interactions"),
+    ("RNA-seq", None, "clusters", None, None, None),
+    ("RNA-seq", None, "footprints", None, None, "footprints"),
+]
+
+
+@query(f"SELECT c_custkey, {' '.join(['CASE c_custkey % 13', *(f'WHEN {k} THEN ' + (repr(r[5]) if r[5] else 'NULL') for k, r in enumerate(_TRACK_KINDS)), 'END'])} AS feature_type FROM customer")
+def feature_types(t: Tables):
+    kinds = t.spark.createDataFrame([(k, *r[:5]) for k, r in enumerate(_TRACK_KINDS)], "k long, assay string, analysis string, output_type string, classification string, description string")
+    rows = t.customer.join(kinds, F.col("c_custkey") % 13 == F.col("k"))
+    return rows.select("c_custkey", M.feature_type(*map(F.col, ("assay", "analysis", "output_type", "classification", "description"))).alias("feature_type"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'x pQTL INDEL' ELSE 'x pQTL pQTL INDEL' END AS text FROM part WHERE p_size IS NOT NULL")
+def qtl_text(t: Tables):
+    kind = F.when(F.col("p_size") % 2 == 0, "pQTL").otherwise("region")
+    return t.part.where("p_size IS NOT NULL").select("p_partkey", M.without_repeated_type(F.lit("x pQTL pQTL INDEL"), kind).alias("text"))
+
+
+@query("SELECT o_orderkey AS order_key, o_custkey AS technical_replicates, o_orderstatus AS antibody_target, o_totalprice AS md5sum FROM orders")
+def template_keys(t: Tables):
+    return M.clean_keys(t.orders.select(F.col("o_orderkey").alias("orderKey"), F.col("o_custkey").alias("technicalReplicate(s)"), F.col("o_orderstatus").alias("#Antibody"), F.col("o_totalprice").alias("Processed File MD5")))
