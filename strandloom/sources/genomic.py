@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.staging import stage
 from strandloom.functions.regions import CHROMOSOMES, chromosome
 from strandloom.functions.strings import parse_info
 from strandloom.operators.annotation import allele_frequencies
 from strandloom.sources.tables import read_lines
+from strandloom.staging import stage
 
 VCF = ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format"]
 GAF = [
@@ -40,6 +40,27 @@ def search_vcf(rows: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
     return rows.where((bare == chrom.removeprefix("chr")) & F.col("pos").between(start, end))
 
 
+def count_vcf(rows: DataFrame, regions: DataFrame) -> DataFrame:
+    """chromosome, start, end and the number of rows there, for many regions at once."""
+    from strandloom.operators.intervals import point_join
+
+    points = rows.select(F.regexp_replace("chrom", "^chr", "").alias("l_c"), F.col("pos").alias("l_p"))
+    spans = regions.select(F.regexp_replace("chromosome", "^chr", "").alias("r_c"), F.col("start").alias("r_s"), F.col("end").alias("r_e"), "chromosome", "start", "end")
+    found = point_join(points, spans, ("l_c", "r_c"), 1 << 16).groupBy("chromosome", "start", "end").agg(F.count("*").alias("n"))
+    return regions.select("chromosome", "start", "end").distinct().join(found, ["chromosome", "start", "end"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def rename_contigs(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """VCF rows under other contig names. names: old and new; contigs without a new name are left out."""
+    return rows.join(names, rows["chrom"] == names["old"]).select(F.col("new").alias("chrom"), *[rows[c] for c in rows.columns if c != "chrom"])
+
+
+def split_by_chromosome(rows: DataFrame, path: str) -> None:
+    """VCF lines of each chromosome in a folder of its own, sorted by position."""
+    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.coalesce("id", F.lit(".")), "ref", "alt")
+    rows.select(F.col("chrom").alias("chromosome"), "pos", line.alias("line")).repartition("chromosome").sortWithinPartitions("chromosome", "pos").select("chromosome", "line").write.partitionBy("chromosome").text(path)
+
+
 def dbsnp_frequencies(variants: DataFrame) -> DataFrame:
     """per_alt rows with the FREQ entry of the info map as population frequencies of the row's allele."""
     return variants.withColumn("allele_frequencies", allele_frequencies(F.try_element_at("info", F.lit("FREQ")), F.col("alt_index") + 1))
@@ -184,6 +205,26 @@ def read_owl(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(curie.alias("curie"), F.col("`_rdf:about`").alias("term_iri"), F.coalesce("`rdfs:label`", curie).alias("term"), F.col("`obo:IAO_0000115`").alias("definition"), F.array_sort(F.col("`oboInOwl:hasExactSynonym`")).alias("synonyms"))
 
 
+def read_owl_triples(spark: SparkSession, path: str) -> DataFrame:
+    """subject, predicate and object of the superclasses and annotations of an ontology's classes."""
+    schema = "`_rdf:about` string, `rdfs:subClassOf` array<struct<`_rdf:resource`: string>>, `rdfs:label` string, `obo:IAO_0000115` string, `oboInOwl:hasExactSynonym` array<string>"
+    raw = spark.read.format("xml").option("rowTag", "owl:Class").schema(schema).load(path).where("`_rdf:about` is not null")
+    curie = lambda c: F.replace(F.substring_index(c, "/", -1), F.lit("_"), F.lit(":"))
+    said = lambda p, c: F.when(c.isNotNull(), F.struct(F.lit(p).alias("predicate"), c.alias("object")))
+    listed = lambda p, c, f: F.transform(F.coalesce(c, F.array().cast(f)), lambda x: F.struct(F.lit(p).alias("predicate"), (x if f == "array<string>" else curie(x["_rdf:resource"])).alias("object")))
+    single = F.array_compact(F.array(said("label", F.col("`rdfs:label`")), said("definition", F.col("`obo:IAO_0000115`"))))
+    supers = listed("subClassOf", F.filter("`rdfs:subClassOf`", lambda x: x["_rdf:resource"].isNotNull()), "array<struct<`_rdf:resource`: string>>")
+    synonyms = listed("synonym", F.col("`oboInOwl:hasExactSynonym`"), "array<string>")
+    return raw.select(curie(F.col("`_rdf:about`")).alias("subject"), F.explode(F.concat(single, supers, synonyms)).alias("t")).select("subject", "t.*")
+
+
+def term_fallbacks(triples: DataFrame) -> DataFrame:
+    """curie, term and definition of the subjects of triples: the label, else a synonym, else the curie; the definition, else the label."""
+    best = lambda p: F.min(F.when(F.col("predicate") == p, F.col("object")))
+    rows = triples.groupBy(F.col("subject").alias("curie")).agg(best("label").alias("label"), best("synonym").alias("synonym"), best("definition").alias("definition"))
+    return rows.select("curie", F.coalesce("label", "synonym", "curie").alias("term"), F.coalesce("definition", "label").alias("definition"))
+
+
 def read_xml_records(spark: SparkSession, path: str) -> DataFrame:
     """schema, table, record number and a map of fields of generic record files; a field that comes twice in a record is an error."""
     schema = "_schema string, _name string, Record array<struct<Field: array<struct<_name: string, _VALUE: string>>>>"

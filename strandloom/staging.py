@@ -20,11 +20,9 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, which goes when the driver's Python ends."""
-    spark = df.sparkSession
+def new_place(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder for a table or files, which go when the driver's Python ends."""
     where = f"{shared_folder(spark)}/steps/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(where)
 
     def drop() -> None:
         try:
@@ -34,4 +32,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
             pass
 
     atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(where)
+    return where
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder."""
+    where = new_place(df.sparkSession, name)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def text_files(df: DataFrame, name: str) -> str:
+    """The path of text files with the lines of df's one column."""
+    where = new_place(df.sparkSession, name)
+    df.write.text(where)
+    return where
