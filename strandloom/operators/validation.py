@@ -23,8 +23,45 @@ def _values(rule: dict) -> list:
     return [v for part in rule.get("oneOf", []) for v in (part.get("enum") or ([part["const"]] if "const" in part else []))]
 
 
+def _resolved(rule: dict, root: dict) -> dict:
+    """A rule with its reference into the schema's own definitions looked up."""
+    while "$ref" in rule:
+        at = root
+        for part in rule["$ref"].removeprefix("#/").split("/"):
+            at = at[part]
+        rule = {**at, **{k: v for k, v in rule.items() if k != "$ref"}}
+    return rule
+
+
+def holds(rule: dict, column: Column, case_insensitive: bool = True) -> Column:
+    """Whether a value that is there meets the enum, const, pattern and not of a rule."""
+    text, out = column.cast("string"), F.lit(True)
+    low = (lambda c: F.lower(c)) if case_insensitive else (lambda c: c)
+    if allowed := ([rule["const"]] if "const" in rule else _values(rule)):
+        out &= low(text).isin([str(v).lower() if case_insensitive else str(v) for v in allowed if v is not None])
+    if "pattern" in rule:
+        out &= F.rlike(text, F.lit(rule["pattern"]))
+    if "not" in rule:
+        out &= ~holds(rule["not"], column, case_insensitive)
+    return out
+
+
+def _conditional(part: dict, root: dict, columns: list[str], case_insensitive: bool) -> Column | None:
+    """The messages of an if-then-else rule. A condition holds where all fields that it names are filled and meet it."""
+    rules = {n: _resolved(r, root) for n, r in part["if"].get("properties", {}).items()}
+    if not set(rules) <= set(columns):
+        return None
+    met = F.lit(True)
+    for name, rule in rules.items():
+        met &= F.col(name).isNotNull() & F.coalesce(holds(rule, F.col(name), case_insensitive), F.lit(False))
+    for name in part["if"].get("required", []):
+        met &= F.col(name).isNotNull() if name in columns else F.lit(False)
+    inner = lambda k: errors({**part.get(k, {}), "definitions": root.get("definitions", {})}, columns, case_insensitive)
+    return F.when(met, inner("then")).otherwise(inner("else"))
+
+
 def errors(schema: dict | str, columns: list[str], case_insensitive: bool = True) -> Column:
-    """The messages of a row, an array."""
+    """The messages of a row, an array. Rules of fields, references to definitions, and conditions (if, then, else; alone or in allOf)."""
     schema = json.loads(schema) if isinstance(schema, str) else schema
     found = []
     message = lambda bad, *parts: F.when(bad, F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]))
@@ -36,6 +73,7 @@ def errors(schema: dict | str, columns: list[str], case_insensitive: bool = True
             continue
         c = F.col(name)
         text = c.cast("string")
+        rule = _resolved(rule, schema)
         if allowed := [v for v in _values(rule) if v is not None]:
             known = F.lower(text).isin([str(v).lower() for v in allowed]) if case_insensitive else text.isin([str(v) for v in allowed])
             found.append(message(c.isNotNull() & ~known, f"field `{name}` has the value ", text, f"; allowed: {', '.join(map(str, allowed))}"))
@@ -49,9 +87,17 @@ def errors(schema: dict | str, columns: list[str], case_insensitive: bool = True
             found.append(message(text.try_cast("double") > rule["maximum"], f"field `{name}` is above {rule['maximum']}"))
         kinds = rule.get("type", [])
         kinds = [kinds] if isinstance(kinds, str) else kinds
+        if "minLength" in rule:
+            short = F.length(text) < rule["minLength"]
+            found.append(message(short | (c.isNull() if "null" not in kinds else F.lit(False)), f"field `{name}` is shorter than {rule['minLength']}"))
+        if kinds == ["null"]:
+            found.append(message(c.isNotNull(), f"field `{name}` must be empty, not ", text))
         if kinds and "string" not in kinds and {"number", "integer"} & set(kinds):
             found.append(message(c.isNotNull() & text.try_cast("double").isNull(), f"field `{name}` has the value ", text, ", which is no number"))
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    lists = [F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")]
+    parts = [p for p in [schema, *schema.get("allOf", [])] if "if" in p]
+    lists += [c for p in parts if (c := _conditional(p, schema, columns, case_insensitive)) is not None]
+    return F.concat(*lists)
 
 
 def file_errors(schema: dict, columns: list[str]) -> list[str]:

@@ -164,3 +164,27 @@ def qtl_text(t: Tables):
 @query("SELECT o_orderkey AS order_key, o_custkey AS technical_replicates, o_orderstatus AS antibody_target, o_totalprice AS md5sum FROM orders")
 def template_keys(t: Tables):
     return M.clean_keys(t.orders.select(F.col("o_orderkey").alias("orderKey"), F.col("o_custkey").alias("technicalReplicate(s)"), F.col("o_orderstatus").alias("#Antibody"), F.col("o_totalprice").alias("Processed File MD5")))
+
+
+#: Archives need a list of their files; a sample is named for files of one sample, and for no others.
+_MANIFEST = {
+    "definitions": {"filled": {"type": "string", "minLength": 1}},
+    "properties": {"status": {"enum": ["F", "O", "P"]}},
+    "allOf": [
+        {"if": {"properties": {"file": {"pattern": r".+\.zip$"}}}, "then": {"properties": {"files": {"$ref": "#/definitions/filled"}}, "required": ["files"]}},
+        {"if": {"properties": {"status": {"enum": ["F"]}}}, "then": {"properties": {"sample": {"$ref": "#/definitions/filled"}}}},
+        {"if": {"properties": {"status": {"not": {"enum": ["F"]}}}}, "then": {"properties": {"sample": {"type": "null"}}}},
+    ],
+}
+
+
+@query("""
+WITH m AS (SELECT o_orderkey, 'f' || o_orderkey || CASE o_orderkey % 3 WHEN 0 THEN '.zip' ELSE '.txt' END AS file, CASE WHEN o_orderkey % 2 = 0 THEN 'list' END AS files, o_orderstatus AS status, CASE WHEN o_orderkey % 5 < 3 THEN 'S' || o_custkey END AS sample FROM orders)
+SELECT o_orderkey, 'required field `files` is empty' AS message FROM m WHERE file LIKE '%.zip' AND files IS NULL
+UNION ALL SELECT o_orderkey, 'field `files` is shorter than 1' FROM m WHERE file LIKE '%.zip' AND files IS NULL
+UNION ALL SELECT o_orderkey, 'field `sample` is shorter than 1' FROM m WHERE status = 'F' AND sample IS NULL
+UNION ALL SELECT o_orderkey, 'field `sample` must be empty, not ' || sample FROM m WHERE status <> 'F' AND sample IS NOT NULL""")
+def conditional_rules(t: Tables):
+    k, n = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    rows = t.orders.select("o_orderkey", F.concat(F.lit("f"), n, F.when(k % 3 == 0, ".zip").otherwise(".txt")).alias("file"), F.when(k % 2 == 0, "list").alias("files"), F.col("o_orderstatus").alias("status"), F.when(k % 5 < 3, F.concat(F.lit("S"), F.col("o_custkey").cast("string"))).alias("sample"))
+    return D.validate(rows, _MANIFEST, "o_orderkey")
