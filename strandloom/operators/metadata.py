@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 #: Template keys that have another name in records.
 RENAMED = {
     "antibody": "antibody_target",
-    "date_added_to_filer": "filer_release_date",
     "downloaded_date": "download_date",
     "processed_file_md5": "md5sum",
     "raw_file_md5": "raw_file_md5sum",
@@ -23,7 +22,7 @@ def clean_key(name: str) -> str:
     """Snake case without `#`, `(s)` as s; some keys are renamed."""
     plain = name.strip().replace("(s)", "s").replace("#", "")
     key = re.sub(r"[\s]+", "_", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", plain)).lower()
-    return RENAMED.get(key, key)
+    return RENAMED.get(key, re.sub(r"^date_added_to_(\w+)$", r"\1_release_date", key))
 
 
 def clean_keys(rows: DataFrame) -> DataFrame:
@@ -38,17 +37,17 @@ def name_and_description(track_name: Column, file_url: Column) -> Column:
     return F.struct(F.coalesce(name, of_file).alias("name"), F.coalesce(track_name, of_file).alias("description"))
 
 
-def biosample(cell_type: Column, term_id: Column, kind: Column, tissue: Column, system: Column, life_stage: Column, file_name: Column) -> Column:
-    """Biosample characteristics of a template row; null without a cell type. A number is no cell type: the file's name up to its first full stop stands for it. Terms without an id get one from their name."""
+def biosample(cell_type: Column, term_id: Column, kind: Column, tissue: Column, system: Column, life_stage: Column, file_name: Column, namespace: str = "track") -> Column:
+    """Biosample characteristics of a template row; null without a cell type. A number is no cell type: the file's name up to its first full stop stands for it. Terms without an id get one from their name in a namespace."""
     term = F.when(cell_type.try_cast("double").isNotNull(), F.replace(F.substring_index(F.coalesce(F.try_url_decode(file_name), file_name), ".", 1), F.lit(":"), F.lit(" - "))).otherwise(cell_type)
     named = lambda t, curie: F.struct(t.alias("term"), curie.alias("curie"))
     return F.when(
         cell_type.isNotNull(),
         F.struct(
-            F.array(named(term, F.coalesce(term_id, F.concat(F.lit("#FILER-biosample:"), term)))).alias("biosample"),
-            F.when(tissue.isNotNull(), F.array(named(tissue, F.concat(F.lit("#FILER-tissue:"), tissue)))).alias("tissue"),
+            F.array(named(term, F.coalesce(term_id, F.concat(F.lit(f"#{namespace}-biosample:"), term)))).alias("biosample"),
+            F.when(tissue.isNotNull(), F.array(named(tissue, F.concat(F.lit(f"#{namespace}-tissue:"), tissue)))).alias("tissue"),
             F.when(system.isNotNull(), F.array(system)).alias("system"),
-            F.when(life_stage.isNotNull(), named(life_stage, F.concat(F.lit("FILER-lifestage:"), life_stage))).alias("life_stage"),
+            F.when(life_stage.isNotNull(), named(life_stage, F.concat(F.lit(f"{namespace}-lifestage:"), life_stage))).alias("life_stage"),
             F.when(kind.isNotNull(), F.array(biosample_type(kind))).alias("biosample_type"),
         ),
     )
@@ -185,3 +184,26 @@ def browser_config(schema: Column, url: Column) -> Column:
     part = lambda k: F.nullif(F.split_part(schema, F.lit("|"), F.lit(k)), F.lit(""))
     kind = F.coalesce(part(2), F.lit("annotation"))
     return F.struct(part(1).alias("format"), kind.alias("type"), url.alias("url"), F.concat(url, F.lit(".tbi")).alias("index_url"), (kind == "qtl").alias("autoscale"))
+
+
+def track_records(rows: DataFrame, base: str, marker: str, namespace: str = "track") -> DataFrame:
+    """Records from the rows of a template, whose columns are texts under their own names: keys and values cleaned, names, builds, biosamples, design, provenance and files in structs. A column that the template lacks is null."""
+    rows = clean_keys(rows)
+    rows = rows.select(*(clean_value(F.col(c)).alias(c) for c in rows.columns))
+    c = lambda name: F.col(name) if name in rows.columns else F.lit(None).cast("string")
+    named = name_and_description(c("track_name"), internal_url(c("processed_file_download_url"), base, marker))
+    design, source, file = assay_and_analysis(c("assay"), c("classification")), source_and_version(c("data_source")), format_and_schema(c("file_format"))
+    kind = feature_type(design["assay"], design["analysis"], c("output_type"), c("classification"), c("track_description"))
+    record = rows.select(
+        c("identifier").alias("track_id"),
+        without_repeated_type(named["name"], kind).alias("name"),
+        without_repeated_type(named["description"], kind).alias("description"),
+        F.when(c("genome_build").isNotNull(), genome_build(c("genome_build"))).alias("genome_build"),
+        kind.alias("feature_type"),
+        F.coalesce(c("track_type") == "downloadOnly", F.lit(False)).alias("is_download_only"),
+        biosample(c("cell_type"), c("biosamples_term_id"), c("biosample_type"), c("tissue_category"), c("system_category"), c("life_stage"), c("file_name"), namespace).alias("biosample_characteristics"),
+        F.struct(design["assay"].alias("assay"), design["analysis"].alias("analysis"), c("antibody_target").alias("antibody_target"), data_category(c("data_category")).alias("data_category"), c("output_type").alias("output_type")).alias("experimental_design"),
+        F.struct(source["source"].alias("data_source"), source["version"].alias("data_source_version"), c("download_date").alias("download_date")).alias("provenance"),
+        F.struct(c("file_name").alias("file_name"), internal_url(c("processed_file_download_url"), base, marker).alias("url"), c("md5sum").alias("md5sum"), file["format"].alias("file_format"), file["schema"].alias("file_schema"), c("file_size").try_cast("long").alias("file_size")).alias("file_properties"),
+    )
+    return record.where("track_id IS NOT NULL")

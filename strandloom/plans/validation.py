@@ -121,7 +121,7 @@ def track_names(t: Tables):
     return t.part.where("p_size IS NOT NULL").select("p_partkey", M.name_and_description(name, url).alias("n")).select("p_partkey", "n.*")
 
 
-@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'a b - c' || p_partkey WHEN 1 THEN 'neuron' END AS term, CASE p_size % 3 WHEN 0 THEN 'CL:' || p_partkey WHEN 1 THEN '#FILER-biosample:neuron' END AS curie, CASE WHEN p_size % 3 < 2 THEN 'cell line' END AS type, CASE WHEN p_size % 3 = 1 THEN '#FILER-tissue:brain' END AS tissue FROM part WHERE p_size IS NOT NULL")
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'a b - c' || p_partkey WHEN 1 THEN 'neuron' END AS term, CASE p_size % 3 WHEN 0 THEN 'CL:' || p_partkey WHEN 1 THEN '#track-biosample:neuron' END AS curie, CASE WHEN p_size % 3 < 2 THEN 'cell line' END AS type, CASE WHEN p_size % 3 = 1 THEN '#track-tissue:brain' END AS tissue FROM part WHERE p_size IS NOT NULL")
 def biosample_rules(t: Tables):
     k, n = F.col("p_size") % 3, F.col("p_partkey").cast("string")
     cell = F.when(k == 0, "12.5").when(k == 1, "neuron")
@@ -188,3 +188,21 @@ def conditional_rules(t: Tables):
     k, n = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
     rows = t.orders.select("o_orderkey", F.concat(F.lit("f"), n, F.when(k % 3 == 0, ".zip").otherwise(".txt")).alias("file"), F.when(k % 2 == 0, "list").alias("files"), F.col("o_orderstatus").alias("status"), F.when(k % 5 < 3, F.concat(F.lit("S"), F.col("o_custkey").cast("string"))).alias("sample"))
     return D.validate(rows, _MANIFEST, "o_orderkey")
+
+
+@query("""
+SELECT 'T' || p_partkey AS track_id, 'track ' || p_partkey AS name, CASE WHEN p_size % 2 = 0 THEN 'GRCh38' ELSE 'GRCh37' END AS genome_build, CASE p_size % 3 WHEN 0 THEN 'eQTL' WHEN 1 THEN 'chromatin accessibility' ELSE 'peaks' END AS feature_type,
+  p_size % 5 = 0 AS is_download_only, CASE WHEN p_size % 4 > 0 THEN 'cell' || p_size END AS term, CASE p_size % 3 WHEN 1 THEN 'ATAC-seq' WHEN 2 THEN 'RNA-seq' END AS assay, 'SRC' AS data_source, 'v' || p_size AS version,
+  'https://here.org/d/f' || p_partkey || '.bed.gz' AS url, 'bed' AS format, CAST(p_partkey AS BIGINT) AS size
+FROM part WHERE p_size IS NOT NULL""")
+def track_records(t: Tables):
+    """Records from a template."""
+    k, s, n = F.col("p_partkey"), F.col("p_size"), F.col("p_partkey").cast("string")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    template = t.part.where("p_size IS NOT NULL").select(
+        text("T", n).alias("identifier"), text("track%20", n).alias("trackName"), F.when(s % 2 == 0, "hg38").otherwise("hg19").alias("Genome build"), F.when(s % 3 == 0, "eQTL").when(s % 3 == 1, "ATAC-Seq").otherwise("RNA-Seq").alias("assay"),
+        F.lit("peaks").alias("Output type"), F.when(s % 5 == 0, "downloadOnly").otherwise("NA").alias("track type"), F.when(s % 4 > 0, text("cell", s)).otherwise("Not applicable").alias("cellType"), text("SRC_v", s).alias("Data Source"),
+        text("wget https://there.org/x/data/d/f", n, ".bed.gz").alias("Processed file download url"), F.lit("bed bed3+").alias("File format"), n.alias("File size"), F.lit("abc").alias("Processed File MD5"),
+    )
+    r = M.track_records(template, "https://here.org", "data")
+    return r.select("track_id", "name", "genome_build", "feature_type", "is_download_only", F.get("biosample_characteristics.biosample", F.lit(0))["term"].alias("term"), "experimental_design.assay", "provenance.data_source", F.col("provenance.data_source_version").alias("version"), "file_properties.url", F.col("file_properties.file_format").alias("format"), F.col("file_properties.file_size").alias("size"))
