@@ -14,7 +14,7 @@ ascending doc_id order: first (ids of all blocks before, by which the blocks of
 lengths (ids of each document), n (ids in all), control and data. Blocks are cut at BLOCK_IDS ids, and a longer
 document is a block of its own.
 
-Defined results: a null text is an empty one and has the end id alone; null
+Defined results: very long texts are encoded whole; a null text is an empty one and has the end id alone; null
 doc_ids come first; rows with equal doc_ids keep the order of the input, and
 repeated rows are encoded as often as they stand. An empty table gives an
 empty file set. Only the id and the text are read.

@@ -6,11 +6,16 @@ and every distinct word is encoded once by the library; a bounded dictionary in
 each Python worker keeps the ids. A word that ends in ASCII punctuation after a
 letter is looked up in two parts, since the pre-tokeniser splits there too.
 Special tokens that stand in a text literally are one id each, as in the library. The
-ids equal those of encoding the whole text; tests hold both against each other.
+ids equal those of encoding the whole text; tests hold both against each other. A vocabulary file whose normaliser or
+pre-tokeniser is another one is used through the library on whole texts.
+
+Defined results: null and empty texts have no ids; a very long text is encoded whole, in a slice of its own; repeated texts
+have equal ids, and no ids depend on other texts or on what the dictionary holds. Without texts there are no ids.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -18,6 +23,9 @@ from itertools import repeat
 import numpy as np
 import pyarrow.compute as pc
 
+#: The normaliser and the splitting of a vocabulary whose texts can be taken word by word.
+_NORMALISER = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words kept in a worker unless said otherwise; past it new words are dropped again after their batch.
 MOST_WORDS = 400_000
 COMMON_WORDS = 2_000
@@ -53,6 +61,15 @@ def vocabulary_size(path: str) -> int:
     return max(Tokenizer.from_file(path).get_vocab().values()) + 1
 
 
+def takes_words(path: str) -> bool:
+    """Whether texts can be encoded word by word: the file's normaliser and pre-tokeniser are the ones that this module knows."""
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    normaliser, splitting = parts.get("normalizer") or {}, parts.get("pre_tokenizer") or {}
+    first = (splitting.get("pretokenizers") or [{}])[0]
+    return [n["type"] for n in normaliser.get("normalizers", [])] == _NORMALISER and first.get("pattern", {}).get("Regex") == _SPLIT and first.get("invert") is True
+
+
 class WordEncoder:
     """Ids of texts by way of their words."""
 
@@ -63,6 +80,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = takes_words(path)
         self.special = {t.content: k for k, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.most = most
@@ -140,6 +158,9 @@ class WordEncoder:
         """Ids of all texts one after another (int32), and how many each has; null is an empty text."""
         if not texts:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        if not self.by_words:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], np.int32), np.array(list(map(len, found)), np.int64)
         # bytes.lower() touches A to Z only, which the vocabulary's own lower-casing maps alike.
         joined = (b" " + _BETWEEN + b" ").join((t or "").encode("utf-8") for t in texts).lower()
         if any(x.lower().encode("utf-8") in joined for x in self.special) and any(self.cut_special.search(t or "") for t in texts):
