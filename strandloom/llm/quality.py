@@ -5,7 +5,7 @@ The measures are Column expressions over the words and lines of the whole
 text, so a verdict costs one scan and no shuffle; no user function runs.
 
 Defined results: a null or empty text has no words, all counts are 0 and
-base_failed is true. Other columns, repeated rows and ties don't matter;
+base_failed is true. A very long text is measured whole. Other columns, repeated rows and ties don't matter;
 an empty table gives an empty table. Columns of the input whose names clash
 with a measure are replaced in the output by the measure.
 """
