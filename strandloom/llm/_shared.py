@@ -10,6 +10,7 @@ import zipfile
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +96,11 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def let_go() -> None:
+    """Gives what the batches before took back to the system: a worker keeps it otherwise, also while it waits for its next task."""
+    pa.default_memory_pool().release_unused()
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000):
     """Texts go to Python by so many rows while the block runs, which must execute what it builds: batches of the default size hold too many long texts at once."""

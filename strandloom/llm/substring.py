@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm._shared import fresh, release, small_batches, staged
+from strandloom.llm._shared import fresh, let_go, release, small_batches, staged
 
 #: A chunk ends at one word in MEAN_WORDS, on average.
 MEAN_WORDS = 5
@@ -156,6 +156,7 @@ def slices(batches, text_at: int):
             part = batch.slice(low, high - low)
             yield part, [t or b"" for t in part.column(text_at).cast(pa.binary()).to_pylist()]
             low = high
+        let_go()
 
 
 def _spots(text_hash: np.ndarray, place: np.ndarray) -> np.ndarray:

@@ -23,6 +23,8 @@ from itertools import repeat
 import numpy as np
 import pyarrow.compute as pc
 
+from strandloom.llm._shared import let_go
+
 #: The normaliser and the splitting of a vocabulary whose texts can be taken word by word.
 _NORMALISER = ["NFC", "Replace", "Lowercase"]
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -203,7 +205,7 @@ def encoder(path: str, most: int = MOST_WORDS) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def encoded(batches: Iterator, path: str, text_at: int, bytes_at_once: int = 3 << 20, most: int = MOST_WORDS) -> Iterator:
+def encoded(batches: Iterator, path: str, text_at: int, bytes_at_once: int = 1 << 20, most: int = MOST_WORDS) -> Iterator:
     """For each slice of a batch: the slice, the ids of its texts in a row, and their numbers."""
     words = encoder(path, most)
     for batch in batches:
@@ -215,3 +217,4 @@ def encoded(batches: Iterator, path: str, text_at: int, bytes_at_once: int = 3 <
             part = batch.slice(low, high - low)
             yield part, *words.encode(part.column(text_at).to_pylist())
             low = high
+        let_go()
