@@ -127,6 +127,12 @@ def frequency_rows(variants: DataFrame, column: str = "allele_frequencies") -> D
     return outer.select(*[c for c in outer.columns if c != "populations"], F.explode("populations").alias("population", "frequency"))
 
 
+def with_populations(rows: DataFrame, populations: DataFrame) -> DataFrame:
+    """frequency_rows with the display name of their population (populations: datasource, source_id, display_name), by source and id; an unknown population keeps its id."""
+    known = populations.select("datasource", F.col("source_id").alias("population"), "display_name")
+    return rows.join(known, ["datasource", "population"], "left").withColumn("display_name", F.coalesce("display_name", "population"))
+
+
 def ranked_document(consequences: DataFrame, ranks: DataFrame, key: list[str]) -> DataFrame:
     """key, allele and an array of consequences for each kind, by rank then the annotator's order. consequences: key columns, kind, allele, terms and vep_order; combinations that the table lacks are ranked anew."""
     rows = rank_consequences(consequences, ranks)

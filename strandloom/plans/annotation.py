@@ -134,3 +134,9 @@ def colocated_pick(t: Tables):
     k = F.col("p_size") % 3
     lists = F.when(k == 0, F.array(v("COSV1", 0.3))).when(k == 1, F.array(v("rs1", 0.1), v("rs2", 0.2), v("COSV2", 0.9))).otherwise(F.array(v("rs1", 0.1), v("COSV2", 0.9)))
     return t.part.select("p_partkey", A.colocated_frequencies(lists).alias("frequency"))
+
+
+@query("SELECT p_partkey, datasource, population, CASE population WHEN 'aa' THEN 'African American' ELSE population END AS display_name, frequency FROM (SELECT p_partkey, 'GnomAD' AS datasource, 'gnomad_afr' AS population, p_size / 100 AS frequency FROM part UNION ALL SELECT p_partkey, 'ESP', 'aa', p_size / 200 FROM part UNION ALL SELECT p_partkey, '1000Genomes', 'EUR', p_size / 400 FROM part)")
+def frequency_populations(t: Tables):
+    names = t.spark.createDataFrame([("ESP", "aa", "African American"), ("GnomAD", "aa", "other")], "datasource string, source_id string, display_name string")
+    return A.with_populations(frequency_table(t), names)

@@ -49,6 +49,15 @@ class Plugin:
     def preprocess(self, spark: SparkSession) -> None:
         """Before a run, in mode PREPROCESS only."""
 
+    def on_run_start(self, store: Warehouse, run_id: str) -> None:
+        """Before the rows of a run are extracted."""
+
+    def on_run_complete(self, store: Warehouse, run_id: str, counts: dict[str, int]) -> None:
+        """After all tables of a run are written."""
+
+    def on_undo(self, store: Warehouse, run_id: str) -> None:
+        """Before the tables of a run are dropped."""
+
     def transform(self, rows: DataFrame) -> DataFrame:
         return rows
 
@@ -124,6 +133,7 @@ def run_plugin(plugin: Plugin, store: Warehouse, mode: Mode = Mode.RUN, resume:
     if mode is Mode.UNDO:
         if not run_id:
             raise ValueError("undo needs a run id")
+        plugin.on_undo(store, run_id)
         for name in reversed(plugin.tables):  # children first
             store.drop(name, run_id)
         store.log(run_id=run_id, plugin=plugin.name, params=json.dumps(plugin.params, sort_keys=True, default=str), status="SUCCESS", operation="UNDO", rows=0, seconds=0.0)
@@ -133,11 +143,13 @@ def run_plugin(plugin: Plugin, store: Warehouse, mode: Mode = Mode.RUN, resume:
         if mode is Mode.PREPROCESS:
             plugin.preprocess(store.spark)
         else:
+            plugin.on_run_start(store, run_id)
             rows = plugin.transform(plugin.extract(store.spark))
             if resume and (loaded := store.table(plugin.tables[0])) is not None and plugin.key in loaded.columns:
                 rows = rows.join(loaded.select(plugin.key).distinct(), plugin.key, "left_anti")
             for name, part in plugin.load(rows).items():
                 counts[name] = part.count() if mode is Mode.DRY_RUN else store.write(name, run_id, part, plugin.batch_size)
+            plugin.on_run_complete(store, run_id, counts)
         status = "SUCCESS"
     except Exception:
         for name in reversed(plugin.tables):

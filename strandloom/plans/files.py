@@ -199,3 +199,20 @@ def association_files(t: Tables):
     S.write_associations(t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), full, brief, ["o_orderkey", "o_totalprice"])
     read = lambda name, path: (df := t.spark.read.csv(path, sep=TAB, header=True)).agg(F.count("*").alias("n")).select(F.lit(name).alias("file"), "n", F.lit(len(df.columns)).alias("columns"))
     return read("full", full).unionByName(read("brief", brief))
+
+
+@query("SELECT 'chr' || (o_custkey % 3 + 1) || chr(9) || o_orderkey || chr(9) || (o_orderkey + 5) || chr(9) || coalesce(nullif(o_orderstatus, 'F'), '.') || chr(9) || o_custkey AS line FROM orders UNION ALL SELECT '#chrom' || chr(9) || 'chromStart' || chr(9) || 'chromEnd' || chr(9) || 'name' || chr(9) || 'o_custkey'")
+def bed_lines(t: Tables):
+    """A BED file's own columns come first, whatever their order in the table."""
+    rows = t.orders.select("o_custkey", F.nullif("o_orderstatus", F.lit("F")).alias("status"), F.col("o_orderkey").alias("from"), (F.col("o_orderkey") + 5).alias("to"), _text("chr", F.col("o_custkey") % 3 + 1).alias("chromosome"))
+    return S.bed_rows(rows, {"chromosome": "chrom", "from": "chromStart", "to": "chromEnd", "status": "name"}, header=True)
+
+
+@query("SELECT * FROM (VALUES ('c_custkey', 'C custkey', 'number', 0), ('c_name', 'C name', 'text', 1), ('parts', 'Parts', 'json', 2)) v(\"column\", title, type, place)")
+def table_columns(t: Tables):
+    return S.table_view(t.customer.select("c_custkey", "c_name", F.array("c_nationkey").alias("parts")))
+
+
+@query("SELECT c_name FROM customer WHERE c_custkey = 5")
+def single_lookup(t: Tables):
+    return S.one_record(t.customer, ["c_name"], {"c_custkey": 5})

@@ -167,7 +167,9 @@ def read_kgml(spark: SparkSession, path: str) -> DataFrame:
 
 def read_reactome(spark: SparkSession, path: str, species: str = "Homo sapiens") -> DataFrame:
     """Genes of each pathway of a species."""
-    rows = spark.read.csv(path, sep="\t", schema="gene_id string, pathway_id string, pathway_url string, pathway_name string, evidence_code string, species string")
+    lines = read_lines(spark, path)
+    whole = F.when(F.size(F.split("line", "\t", -1)) != 6, F.raise_error(F.concat(F.lit("no pathway line of six fields: "), F.col("line")))).otherwise(F.col("line"))
+    rows = _columns(lines.select(whole.alias("line")), ["gene_id", "pathway_id", "pathway_url", "pathway_name", "evidence_code", "species"])
     kept = rows.where((F.col("species") == species) & F.startswith("gene_id", F.lit("ENSG")))
     return kept.groupBy("pathway_id", "pathway_name").agg(F.array_sort(F.collect_set("gene_id")).alias("genes"))
 

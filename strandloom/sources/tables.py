@@ -92,6 +92,39 @@ def filtered(df: DataFrame, columns: list[str], where: dict[str, object] | None
     return df.select(*columns)
 
 
+def one_record(df: DataFrame, columns: list[str], where: dict[str, object]) -> DataFrame:
+    """The row that a lookup by equality finds; several rows are an error when the result is read, none is none."""
+    found = filtered(df, [*columns], where) if set(where) <= set(columns) else filtered(df, [*columns, *(c for c in where if c not in columns)], where).select(*columns)
+    few = found.limit(2)
+    n = few.agg(F.count("*").alias("_n"))
+    checked = few.crossJoin(n).withColumn("_n", F.when(F.col("_n") > 1, F.raise_error(F.lit("several rows for a lookup of one"))).otherwise(F.col("_n")))  # two rows at most
+    return checked.where("_n = 1").select(*columns)
+
+
+#: The first columns of a BED file, in their order.
+BED_COLUMNS = ["chrom", "chromStart", "chromEnd", "name", "score", "strand"]
+
+
+def bed_rows(df: DataFrame, names: dict[str, str], header: bool = False) -> DataFrame:
+    """Lines of a BED file in column `line`: its own columns first, in their order and under the names that names gives them (column to BED name), then the others. Null is a full stop. header: a first line of names, in a row of its own."""
+    of = {bed: c for c, bed in names.items()}
+    columns = [of[b] for b in BED_COLUMNS if b in of] + [c for c in df.columns if c not in names]
+    lines = df.select(bed_row(columns).alias("line"))
+    if not header:
+        return lines
+    first = df.sparkSession.createDataFrame([("#" + "\t".join(names.get(c, c) for c in columns),)], "line string")
+    return first.unionByName(lines)
+
+
+def table_view(df: DataFrame) -> DataFrame:
+    """column, title, type and place of the columns of a table response: numbers are told apart from text, titles come from the fields' metadata or their names."""
+    kinds = {"string": "text", "boolean": "boolean", "date": "date"}
+    numeric = ("int", "bigint", "smallint", "tinyint", "float", "double")
+    kind = lambda t: "number" if t in numeric or t.startswith("decimal") else kinds.get(t, "json" if t.startswith(("struct", "array", "map")) else "text")
+    rows = [(f.name, f.metadata.get("title", f.name.replace("_", " ").capitalize()), kind(f.dataType.simpleString()), k) for k, f in enumerate(df.schema)]
+    return df.sparkSession.createDataFrame(rows, "column string, title string, type string, place int")
+
+
 def text_row(columns: list[str], null: str = "NA", sep: str = "\t") -> Column:
     """A row as one line of text."""
     return F.concat_ws(sep, *(F.coalesce(F.col(c).cast("string"), F.lit(null)) for c in columns))

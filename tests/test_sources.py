@@ -101,3 +101,39 @@ def test_stream(spark, sf, tmp_path):
     unique = ingest.distinct_in_bin(ingest.dropped_files(spark, f"{tmp_path}/in", schema), "ts", ["event_type"], "400 days")
     ingest.load_batches(unique, ingest.append_batches(f"{tmp_path}/u"), f"{tmp_path}/cp2").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/u").select("event_type").distinct().count() == events.select("event_type").distinct().count()
+
+
+def test_lookup_of_one(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k int, v string")
+    assert [r["v"] for r in S.one_record(rows, ["v"], {"k": 1}).collect()] == ["a"] and S.one_record(rows, ["v"], {"k": 9}).count() == 0
+    with pytest.raises(Exception, match="several rows"):
+        S.one_record(rows, ["v"], {"k": 2}).collect()
+
+
+def test_pathway_lines_are_checked(spark, tmp_path):
+    with pytest.raises(Exception, match="six fields"):
+        G.read_reactome(spark, _write(tmp_path, "r.txt", "ENSG1\tR-1\tx\n")).collect()
+
+
+def test_hooks_of_a_run(spark, tmp_path):
+    said = []
+
+    class Hooked(E.Plugin):
+        name, tables, key = "hooked", ("t",), "id"
+
+        def extract(self, spark):
+            return spark.range(3)
+
+        def on_run_start(self, store, run_id):
+            said.append(("start", run_id))
+
+        def on_run_complete(self, store, run_id, counts):
+            said.append(("complete", counts["t"]))
+
+        def on_undo(self, store, run_id):
+            said.append(("undo", store.table("t").count()))
+
+    store = E.Warehouse(spark, str(tmp_path / "w"))
+    run_id, _ = E.run_plugin(Hooked(), store)
+    E.run_plugin(Hooked(), store, E.Mode.UNDO, run_id=run_id)
+    assert said == [("start", run_id), ("complete", 3), ("undo", 3)]
