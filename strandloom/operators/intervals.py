@@ -28,10 +28,18 @@ def bucketed(df: DataFrame, start: str, end: str, width: int, name: str) -> Data
     return df.withColumn(name, F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: tuple[str, str], width: int, flank: int = 0) -> DataFrame:
+def bucket_width(intervals: DataFrame, start: str, end: str, least: int = 64) -> int:
+    """A width that nine in ten intervals don't pass: each is in two buckets at most."""
+    found = intervals.agg(F.percentile_approx(F.col(end) - F.col(start) + 1, 0.9)).first()[0]
+    return max(least, int(found or 0))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: tuple[str, str], width: int | None = None, flank: int = 0) -> DataFrame:
     """Pairs of overlapping intervals on one chromosome. Each side has columns key, s and e (named by its prefix, `l_` or `r_`: see below); the hash join is on key and bucket, and a pair counts only in the first bucket that both touch, so it comes once. Intervals over more than MOST_BUCKETS buckets go by coarse buckets of their own.
 
-    left: keys[0], l_s, l_e; right: keys[1], r_s, r_e. flank widens the right side."""
+    left: keys[0], l_s, l_e; right: keys[1], r_s, r_e. flank widens the right side. width: of the buckets; without one it follows from the lengths of both sides."""
+    if width is None:
+        width = max(bucket_width(left, "l_s", "l_e"), bucket_width(right, "r_s", "r_e") + 2 * flank)
     right = right.withColumn("_s", F.col("r_s") - flank).withColumn("_e", F.col("r_e") + flank)
     coarse = width * MOST_BUCKETS
 

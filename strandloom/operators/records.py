@@ -86,7 +86,7 @@ def locations(asked: DataFrame, genes: DataFrame, variants: DataFrame) -> DataFr
     return told.select("key").join(regions.unionByName(g).unionByName(v), "key", "left")
 
 
-def in_regions(asked: DataFrame, features: DataFrame, width: int = BUCKET) -> DataFrame:
+def in_regions(asked: DataFrame, features: DataFrame, width: int | None = BUCKET) -> DataFrame:
     """key, feature columns and relation for the features (chromosome, start, end and others) that overlap regions asked for (key, chromosome, start, end)."""
     left = asked.select("key", F.col("chromosome").alias("l_c"), F.col("start").alias("l_s"), F.col("end").alias("l_e"))
     right = features.withColumns({"r_c": F.col("chromosome"), "r_s": F.col("start"), "r_e": F.col("end")})

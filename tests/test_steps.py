@@ -55,3 +55,16 @@ def test_cells_and_tissues(spark):
     ids = lambda text: {r["id"] for r in tracks.where(filters.condition(text, filters.TRACK_FIELDS)).collect()}
     assert ids("cell eq astrocyte") == {1} and ids("cell neq astrocyte") == {3} and ids("cell like glia") == {3}
     assert ids("tissue eq brain") == {1, 2} and ids("tissue neq brain") == {4} and ids("tissue like cort and assay eq ATAC") == {1}
+
+
+def test_overlaps_without_a_width(spark):
+    rng = random.Random(9)
+    span = lambda k: (k, rng.choice("ab"), (s := rng.randrange(50_000)), s + rng.choice([0, 3, 200, 5_000, 40_000]))
+    left, right = [span(k) for k in range(120)], [span(k) for k in range(150)]
+    l_rows = spark.createDataFrame(left, "l_id long, l_c string, l_s long, l_e long")
+    r_rows = spark.createDataFrame(right, "r_id long, r_c string, r_s long, r_e long")
+    for flank in (0, 100):
+        found = sorted((r["l_id"], r["r_id"]) for r in intervals.overlap_join(l_rows, r_rows, ("l_c", "r_c"), flank=flank).collect())
+        assert found == sorted((a[0], b[0]) for a in left for b in right if a[1] == b[1] and a[2] <= b[3] + flank and b[2] - flank <= a[3])
+    none = intervals.overlap_join(l_rows.limit(0), r_rows, ("l_c", "r_c"))
+    assert none.count() == 0
