@@ -355,7 +355,7 @@ def in_tiles(members: DataFrame, large: DataFrame) -> DataFrame:
     rows = members.join(large, "block", "left").withColumn("class", F.when(F.col("counts").isNotNull(), _size_class(F.col("n"))))
     cls, counts = F.col("class"), F.col("counts")
     name = lambda c, t: F.concat_ws("/", "block", c, t)
-    own = F.array(name(cls, F.pmod(F.xxhash64("sid"), _tiles(counts, cls))))
+    own = F.array(name(cls, F.pmod(F.xxhash64("sid"), F.greatest(_tiles(counts, cls), F.lit(1)))))
     hub = F.pmod(F.xxhash64(F.lit(1), "sid"), F.lit(1 << 30)) * F.try_element_at(counts, cls) < HUBS * (1 << 30)
     all_of = lambda c: F.transform(_upto(_tiles(counts, c)), lambda k: name(c, k))
     everywhere = F.flatten(F.array(*(all_of(cls + d) for d in (-1, 0, 1))))
@@ -373,7 +373,7 @@ def open_cells(rows: DataFrame) -> DataFrame:
     both = apart.join(staged(counts, "jaccard-outside"), "block")
     cls, outs, mains = F.col("class"), F.col("outs"), F.col("mains")
     name = lambda kind, c0, t0, c1, t1: F.concat_ws("/", "block", F.lit(kind), c0, t0, c1, t1)
-    mine = lambda counts: F.pmod(F.xxhash64("sid"), _tiles(counts, cls))
+    mine = lambda counts: F.pmod(F.xxhash64("sid"), F.greatest(_tiles(counts, cls), F.lit(1)))
     cells = lambda counts, c, f: F.transform(_upto(_tiles(counts, c)), f)
     cell = lambda where, side: F.struct(where.alias("cell"), side.cast("int").alias("side"))
     zero, one = F.lit(0), F.lit(1)
