@@ -198,3 +198,26 @@ def pubmed_curie(url: Column) -> Column:
 def term_id(uri: Column) -> Column:
     """The id behind the last slash of a term's address."""
     return F.substring_index(uri, "/", -1)
+
+
+def is_number(text: Column) -> Column:
+    """Whether a text is a number, also one that isn't finite."""
+    return text.try_cast("double").isNotNull()
+
+
+def is_integer(text: Column) -> Column:
+    return F.coalesce(F.rlike(text, F.lit(r"^\s*[+-]?\d+\s*$")), F.lit(False))
+
+
+def is_float(text: Column) -> Column:
+    """A number that isn't written as a whole one."""
+    return is_number(text) & ~is_integer(text)
+
+
+#: Ways to write a day, the usual one first.
+DATES = ("yyyy-MM-dd", "MM/dd/yyyy", "yyyyMMdd", "d MMM yyyy")
+
+
+def to_day(text: Column) -> Column:
+    """The day of a text in one of DATES; else null."""
+    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)).cast("date") for f in DATES))

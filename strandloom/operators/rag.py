@@ -111,5 +111,17 @@ def spark_embed(docs: DataFrame, embed, text: str = "text", batch: int = 128) ->
     return docs.mapInPandas(run, T.StructType([*docs.schema, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
 
 
+def embedded_text(tracks: DataFrame, key: str, exclude: list[str] | None = None) -> DataFrame:
+    """key, text and its digest: a row as JSON without the fields that exclude names or whose metadata say `exclude_from_embeddings`."""
+    kept = [f.name for f in tracks.schema if f.name not in (exclude or []) and not f.metadata.get("exclude_from_embeddings")]
+    return tracks.select(key, F.to_json(F.struct(*kept)).alias("text")).withColumn("digest", F.sha2("text", 256))
+
+
+def chunk_rows(texts: DataFrame, key: str, most: int = CHUNK_CHARS) -> DataFrame:
+    """key, place (from 0), chunk and its digest of texts (key, text)."""
+    rows = texts.select(key, F.posexplode(chunks(sentences(F.col("text")), most)).alias("place", "chunk"))
+    return rows.withColumn("digest", F.sha2("chunk", 256))
+
+
 def known_terms(spark: SparkSession, rows: list[tuple[str, str, list[str]]]) -> DataFrame:
     return spark.createDataFrame(rows, "curie string, term string, synonyms array<string>")

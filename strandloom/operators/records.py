@@ -99,6 +99,13 @@ def oriented(identifier: Column, test_allele: Column) -> Column:
     return F.when(F.split_part(identifier, F.lit(":"), F.lit(4)) == test_allele, identifier).otherwise(V.swap_alleles(identifier))
 
 
+def variant_list(asked: DataFrame, variants: DataFrame, of: str) -> DataFrame:
+    """key and variant_id of the variants of a resource ("adsp": flagged as such; "dbsnp": with a refSNP id) in regions asked for (key, chromosome, start, end)."""
+    mine = variants.where(F.coalesce("is_adsp_variant", F.lit(False)) if of == "adsp" else F.col("ref_snp_id").isNotNull())
+    spans = mine.withColumns({"start": F.col("position"), "end": F.col("position") + F.col("length") - 1})
+    return in_regions(asked, spans).select("key", "variant_id")
+
+
 def variant_details(variants: DataFrame, genes: DataFrame) -> DataFrame:
     """What a page shows of variants (variant_id, ref_snp_id, variant_class, is_adsp_variant, consequence, impact, impacted_gene, is_coding): one struct `details` beside variant_id. A gene that is not known is null."""
     symbol = genes.select(F.col("gene_id").alias("_g"), F.col("symbol").alias("_symbol"))

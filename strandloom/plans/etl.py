@@ -20,6 +20,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.staging import stage
+
 LEDGER = "run_id string, plugin string, params string, status string, operation string, rows long, seconds double"
 
 
@@ -116,6 +118,15 @@ class Warehouse:
         rows.observe(seen, F.count("*").alias("n")).write.option("maxRecordsPerFile", max(batch_size, 1) * 200).mode("overwrite").parquet(f"{self.folder}/{name}/run_id={run_id}")
         return seen.get["n"]
 
+    def update(self, name: str, changes: DataFrame, key: str) -> None:
+        """New values for the rows whose key comes in changes, in the runs that loaded them. The table is read whole before its runs are replaced."""
+        rows = self.table(name)
+        new = changes.select(F.col(key).alias("_key"), F.struct(*[c for c in changes.columns if c != key]).alias("_new"))
+        joined = rows.join(new, rows[key] == new["_key"], "left")
+        values = [F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(rows[c]).alias(c) if c in changes.columns and c != key else rows[c] for c in rows.columns]
+        updated = stage(joined.select(*values), f"update-{name}")
+        updated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{self.folder}/{name}")
+
     def drop(self, name: str, run_id: str) -> None:
         self._delete(f"{self.folder}/{name}/run_id={run_id}")
 

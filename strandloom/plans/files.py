@@ -72,14 +72,25 @@ def vcf_split(t: Tables):
 
 @query("SELECT 'ENSG' || c_custkey AS gene_id, 'S' || c_custkey AS symbol, 'chr' || (c_custkey % 22 + 1) AS chromosome, CASE WHEN c_custkey % 5 = 0 THEN 'ncRNA_gene' ELSE 'protein_coding' END AS gene_type, CAST(CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 1 END AS INTEGER) AS n_transcripts, CASE WHEN c_custkey % 3 > 0 THEN 'ENSP' || c_custkey END AS protein FROM customer WHERE c_custkey % 7 <> 6")
 def gff_genes(t: Tables):
+    first = F.get(F.get("transcripts", F.lit(0))["proteins"], F.lit(0))
+    return _models(t).select("gene_id", "symbol", "chromosome", "gene_type", F.when(F.col("transcripts").isNotNull(), F.size("transcripts")).alias("n_transcripts"), first.alias("protein"))
+
+
+def _models(t: Tables):
     k = F.col("c_custkey")
     row = lambda kind, attributes: F.concat_ws(TAB, F.when(k % 7 == 6, "KI27").otherwise((k % 22 + 1).cast("string")), F.lit("e"), F.lit(kind), k.cast("string"), (k + 90).cast("string"), F.lit("."), F.lit("."), F.lit("."), attributes)
     gene = row("gene", _text("ID=gene:ENSG", k, ";Name=S", k, ";biotype=", F.when(k % 5 == 0, "misc_RNA").otherwise("protein_coding")))
     parts = [row("mRNA", _text("ID=transcript:ENST", k, ";Parent=gene:ENSG", k)), row("exon", _text("Parent=transcript:ENST", k, ";exon_id=ENSE", k)), row("CDS", _text("ID=CDS:ENSP", k, ";Parent=transcript:ENST", k, ";protein_id=ENSP", k))]
     lines = t.customer.select(F.explode(F.when(k % 3 == 0, F.array(gene)).otherwise(F.array(gene, *parts))))
-    models = G.gene_models(G.read_gff3(t.spark, text_files(lines, "gff")))
-    first = F.get(F.get("transcripts", F.lit(0))["proteins"], F.lit(0))
-    return models.select("gene_id", "symbol", "chromosome", "gene_type", F.when(F.col("transcripts").isNotNull(), F.size("transcripts")).alias("n_transcripts"), first.alias("protein"))
+    return G.gene_models(G.read_gff3(t.spark, text_files(lines, "gff")))
+
+
+@query("SELECT 'chr' || (c_custkey % 22 + 1) AS chromosome, 'ENSG' || c_custkey AS gene FROM customer WHERE c_custkey % 7 <> 6")
+def gene_documents(t: Tables):
+    """A JSON document for each gene, written by chromosome and read again."""
+    where = new_place(t.spark, "genes")
+    G.gene_documents(_models(t)).write.partitionBy("chromosome").text(where)
+    return t.spark.read.text(where).select("chromosome", F.get_json_object("value", "$.gene_id").alias("gene"))
 
 
 @query("SELECT 'P' || l_suppkey AS db_object_id, 'GO:' || l_partkey % 50 AS go_id, array_to_string(list_sort(list_distinct(list(CASE l_linenumber % 2 WHEN 0 THEN 'IEA' ELSE 'IDA' END || ';enables;PMID:1'))), '|') AS evidence FROM lineitem GROUP BY 1, 2")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandloom.operators import rag
 from strandloom.plans import etl
 from strandloom.plans.registry import Tables, query
 from strandloom.staging import new_place
@@ -67,3 +68,22 @@ def stream_windows(t: Tables):
     counts = ingest.windowed_counts(_dropped(t), "ts", "event_type", "1 day", "0 seconds")
     ingest.load_batches(counts, ingest.append_batches(out), new_place(t.spark, "stream-state")).awaitTermination()
     return t.spark.read.parquet(out).select(F.col("window.start").alias("day"), "event_type", "n")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new ' || c_custkey ELSE c_name END AS c_name, c_nationkey FROM customer WHERE NOT (c_nationkey % 2 = 0)")
+def load_update(t: Tables):
+    """New names for every third customer in a table that runs have loaded."""
+    store = _loaded(t)
+    changed = t.customer.where("c_custkey % 3 = 0").select("c_custkey", F.concat(F.lit("new "), F.col("c_custkey").cast("string")).alias("c_name"))
+    store.update("customer", changed, "c_custkey")
+    return store.table("customer").select("c_custkey", "c_name", "c_nationkey")
+
+
+@query("""
+WITH d AS (SELECT n_nationkey, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' AS text FROM nation)
+SELECT n_nationkey, 0 AS place, text AS chunk, sha256(text) AS digest, sha256(text) AS whole FROM d""")
+def track_chunks(t: Tables):
+    """Rows as texts without the fields that are left out, and their chunks."""
+    texts = rag.embedded_text(t.nation.select("n_nationkey", "n_name", "n_regionkey"), "n_nationkey", ["n_regionkey"])
+    rows = rag.chunk_rows(texts, "n_nationkey")
+    return rows.join(texts.select("n_nationkey", F.col("digest").alias("whole")), "n_nationkey")

@@ -173,3 +173,14 @@ def qtl_rows(t: Tables):
     qtls = t.lineitem.join(ids, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("T"), (F.col("l_suppkey") % 40).cast("string")).alias("track_id"), "l_orderkey", "l_linenumber", "variant_id", F.when(F.col("l_linenumber") % 2 == 0, "T").otherwise("A").alias("test_allele"), F.concat(F.lit("ENSG"), F.col("l_suppkey").cast("string")).alias("target"))
     rows = records.qtl_rows(qtls, _genes(t), records.variant_details(_consequences(t), _genes(t)))
     return rows.select("track_id", "l_orderkey", "l_linenumber", F.col("target_gene.gene_symbol").alias("target_symbol"), F.col("details.type").alias("variant_type"), "variant_id")
+
+
+_NEAR = "SELECT n_nationkey, 'N' || n_nationkey AS key, 'chr' || (n_nationkey % 22 + 1) AS c, CAST(n_nationkey AS BIGINT) * 9000 + 100 AS lo, CAST(n_nationkey AS BIGINT) * 9000 + 150000 AS hi FROM nation"
+
+
+@query(f"SELECT 'adsp' AS resource, key, variant_id FROM ({_NEAR}) JOIN ({_VARIANTS}) v ON v.chromosome = c AND v.position <= hi AND v.position + v.length - 1 >= lo WHERE p_partkey % 4 = 0 UNION ALL SELECT 'dbsnp', key, variant_id FROM ({_NEAR}) JOIN ({_VARIANTS}) v ON v.chromosome = c AND v.position <= hi AND v.position + v.length - 1 >= lo WHERE ref_snp_id IS NOT NULL")
+def variant_lists(t: Tables):
+    k = F.col("n_nationkey")
+    asked = t.nation.select(F.concat(F.lit("N"), k.cast("string")).alias("key"), F.concat(F.lit("chr"), (k % 22 + 1).cast("string")).alias("chromosome"), (k.cast("long") * 9000 + 100).alias("start"), (k.cast("long") * 9000 + 150000).alias("end"))
+    of = lambda name: records.variant_list(asked, _consequences(t), name).select(F.lit(name).alias("resource"), "key", "variant_id")
+    return of("adsp").unionByName(of("dbsnp"))

@@ -177,3 +177,12 @@ def citation_ids(t: Tables):
     n = F.col("c_custkey")
     url = F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), (n + 10000000).cast("string"), F.when(n % 2 == 0, "/").otherwise(""))
     return t.customer.select("c_custkey", S.pubmed_curie(url).alias("pubmed"), S.term_id(F.concat(F.lit("http://www.ebi.ac.uk/efo/EFO_"), n.cast("string"))).alias("trait"))
+
+
+@query("""
+SELECT c_custkey, text, text IN ('1.5', '-3', 'nan') AS is_number, text = '-3' AS is_integer, text IN ('1.5', 'nan') AS is_float, CASE WHEN text IN ('2024-03-05', '03/05/2024', '20240305', '5 Mar 2024') THEN DATE '2024-03-05' END AS day
+FROM (SELECT c_custkey, ['1.5', '-3', 'nan', 'x', '2024-03-05', '03/05/2024', '5 Mar 2024'][CAST(c_custkey % 7 AS INTEGER) + 1] AS text FROM customer)""")
+def typed_texts(t: Tables):
+    texts = F.array(*map(F.lit, ("1.5", "-3", "nan", "x", "2024-03-05", "03/05/2024", "5 Mar 2024")))
+    text = F.get(texts, (F.col("c_custkey") % 7).cast("int"))
+    return t.customer.select("c_custkey", text.alias("text"), S.is_number(text).alias("is_number"), S.is_integer(text).alias("is_integer"), S.is_float(text).alias("is_float"), S.to_day(text).alias("day"))

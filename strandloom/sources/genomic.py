@@ -99,6 +99,11 @@ def gene_models(features: DataFrame) -> DataFrame:
     return genes.where(F.col("gene_type").isNotNull()).join(nested, "gene_id", "left")
 
 
+def gene_documents(models: DataFrame) -> DataFrame:
+    """chromosome and one JSON document for each gene model, for a sink that is partitioned by chromosome."""
+    return models.select("chromosome", F.to_json(F.struct(*[c for c in models.columns if c != "chromosome"])).alias("document"))
+
+
 def read_gaf(spark: SparkSession, path: str) -> DataFrame:
     rows = _columns(read_lines(spark, path, "!"), GAF)
     return rows.withColumn("with_or_from", F.filter(F.split("with_or_from", r"\|"), lambda x: x != ""))
