@@ -10,6 +10,7 @@ from __future__ import annotations
 import enum
 import json
 import re
+import shlex
 import subprocess
 import time
 import uuid
@@ -244,7 +245,8 @@ def run_pipeline(stages: list[Stage], store: Warehouse, params: dict | None = No
 
     def one(stage: Stage, task: Task) -> str:
         if task.type == "SHELL":
-            subprocess.run(interpolate(task.command, params or {}), shell=True, check=True)
+            words = shlex.split(task.command)  # before parameters are put in, so none of them can add a word or a command
+            subprocess.run([str(interpolate(w, params or {})) for w in words], check=True)
         elif task.type == "PLUGIN":
             run_plugin(registry.get(task.plugin)(**interpolate(task.params, params or {})), store, mode)
         else:
