@@ -107,3 +107,19 @@ def test_chunks(spark):
     text = "One two. " * 10 + "Last one here!"
     got = one(spark, rag.chunks(rag.sentences(F.lit(text)), 30))
     assert all(len(c) <= 30 for c in got) and " ".join(got) == text
+
+
+def test_digests_against_python(spark):
+    import hashlib
+    import uuid
+
+    names = ["track_chr1.bed", "track_chr22.bed", "", "other é", None]
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    for r in rows.select("name", S.blake2b(F.col("name")).alias("b"), S.stable_uuid(F.col("name")).alias("u"), metadata.shard_key(F.col("name")).alias("k")).collect():
+        n = r["name"]
+        if n is None:
+            assert r["b"] is None and r["u"] is None and r["k"] is None
+            continue
+        assert r["b"] == hashlib.blake2b(n.encode(), digest_size=20).hexdigest()
+        assert r["u"] == str(uuid.uuid5(uuid.NAMESPACE_DNS, hashlib.sha256(n.encode()).hexdigest()))
+        assert r["k"] == "SHARD_GROUP_" + hashlib.sha512(re.sub(r"chr(\d{1,2}|[XYM]|MT)", "_", n).encode()).hexdigest()[:6].upper()
