@@ -112,6 +112,31 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from strandloom.llm import byte_bpe
+
+    how = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *how).select("doc_id", "ids")
+    out = byte_bpe.decode(ids, *how)
+    digest = F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").cast("binary"), 256)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.whitening import fit, whiten
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return whiten(vectors, fit(vectors))
+
+
 def _shipped(query):
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +146,7 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_sharding, op2_token_files, op3_packing, op4_token_counts, token_counts_by_pattern, op5_mixing, op6_jaccard, op7_language, op8_quality, op9_substring, op10_topk)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_sharding, op2_token_files, op3_packing, op4_token_counts, token_counts_by_pattern, op5_mixing, op6_jaccard, op7_language, op8_quality, op9_substring, op10_topk, op11_filter_audit, op12_byte_bpe, op13_whitening)}
 
 _OP4_SQL = r"""
 WITH counted AS (
@@ -184,4 +209,32 @@ s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) A
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"token_counts_by_pattern": _OP4_SQL, "op6_jaccard": _OP6_SQL, "op8_quality": _op8_sql(), "op10_topk": _OP10_SQL}
+_OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+least AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+marks AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INTEGER)) AS good, max(CAST(coalesce(toxic = 1, false) AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+         + (CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 4 ELSE 0 END)
+         + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN doc_id > first THEN 16 ELSE 0 END) AS mask
+  FROM d JOIN least USING (text) LEFT JOIN marks USING (doc_id)),
+counts AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+           WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+steps AS (
+  SELECT o, step, 1 << (ascii(o[step]) - 65) AS bit, CAST(coalesce(list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(o[k]) - 65))), 0) AS INTEGER) AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+sums AS (
+  SELECT part, o, step, bit, coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS removed,
+         coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS toxic_lost
+  FROM counts, steps GROUP BY part, o, step, bit)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM sums
+"""
+
+ORACLE_SQL: dict[str, str] = {"token_counts_by_pattern": _OP4_SQL, "op6_jaccard": _OP6_SQL, "op8_quality": _op8_sql(), "op10_topk": _OP10_SQL, "op11_filter_audit": _OP11_SQL}
