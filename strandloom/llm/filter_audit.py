@@ -26,8 +26,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm._shared import estimated_bytes
-
 FILTERS = "ABCDE"
 #: The bit of each filter in a mask.
 BIT = {name: 1 << k for k, name in enumerate(FILTERS)}
@@ -35,8 +33,8 @@ COPY = BIT["E"]
 MIN_WORDS = 200
 #: Bytes of different texts that a task holds while it reads.
 HELD_BYTES = 32 << 20
-#: Bytes of the input in each partition of texts, about.
-PARTITION_BYTES = 32 << 20
+#: Bytes of texts in each partition that they are routed to, about.
+PARTITION_BYTES = 64 << 20
 #: Null ids of one side of the join with labels are dealt out by so many numbers.
 SALTS = 1024
 
@@ -109,10 +107,9 @@ def failed_filters(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long"), F.col(text), F.col(source).cast("string"))
     read = rows.rdd.mapPartitions(_read)
-    # Spark says 2^63 - 1 or more where it knows no size; then there are as many partitions as tasks that read.
-    size = estimated_bytes(docs)
-    parts = read.getNumPartitions() if size >= 1 << 60 else size // PARTITION_BYTES
-    parts = max(parts, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Texts decide how many partitions there are, and Spark's estimate knows files at most, which are compressed.
+    size = rows.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    parts = max(size // PARTITION_BYTES, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     routed = read.repartitionAndSortWithinPartitions(parts, lambda key: key[0])
     return spark.createDataFrame(routed.mapPartitions(_copies), "id long, part string, mask int, n long", verifySchema=False)
 
