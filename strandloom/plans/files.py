@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.plans.registry import Tables, query
+from strandloom.sources import blocks as B
 from strandloom.sources import genomic as G
 from strandloom.sources import tables as S
 from strandloom.staging import new_place, text_files
@@ -60,14 +61,47 @@ def vcf_frequencies(t: Tables):
     return rows.select("pos", "alt", of("KG").alias("kg"), of("GnomAD").alias("gnomad"))
 
 
-@query("SELECT CASE p_partkey % 3 WHEN 0 THEN 'chr1' ELSE 'chr2' END AS chromosome, count(*) AS n, min(p_partkey * 10) AS first_pos FROM part WHERE p_partkey % 3 < 2 AND p_size IS NOT NULL GROUP BY 1")
+def _vcf_text(t: Tables) -> str:
+    """The path of whole VCF lines, some with samples, without an order, and a header."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    line = F.concat_ws(TAB, (k % 3 + 1).cast("string"), (k * 10).cast("string"), _text("rs", k), F.repeat(F.lit("A"), (s % 5 + 1).cast("int")), F.lit("T"), (s * 2).cast("string"), F.lit("q10"), _text("AF=0.", s, ";DB;N=", k), F.when(s % 2 == 0, _text("GT", TAB, "0/1")).otherwise("GT"))
+    header = t.spark.createDataFrame([("##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT",)], "line string")
+    return text_files(header.unionByName(t.part.where("p_size IS NOT NULL").select(line.alias("line"))), "vcf-lines")
+
+
+_LINE = "concat_ws(chr(9), {c}, p_partkey * 10, 'rs' || p_partkey, repeat('A', CAST(p_size % 5 + 1 AS BIGINT)), 'T', p_size * 2, 'q10', 'AF=0.' || p_size || ';DB;N=' || p_partkey, CASE WHEN p_size % 2 = 0 THEN 'GT' || chr(9) || '0/1' ELSE 'GT' END)"
+
+
+@query(f"SELECT CAST(p_partkey % 3 + 1 AS VARCHAR) AS chromosome, p_partkey * 10 AS position, {_LINE.format(c='p_partkey % 3 + 1')} AS line FROM part WHERE p_size IS NOT NULL")
 def vcf_split(t: Tables):
-    """Contigs renamed (one has no new name), lines split by chromosome, and read again."""
-    names = t.spark.createDataFrame([("1", "chr1"), ("2", "chr2")], "old string, new string")
+    """Lines split by chromosome into indexed files, read again: every line as it was."""
     where = new_place(t.spark, "vcf-split")
-    G.split_by_chromosome(G.rename_contigs(_vcf(t), names), where)
-    back = t.spark.read.text(where)
-    return back.groupBy("chromosome").agg(F.count("*").alias("n"), F.min(F.split_part("value", F.lit(TAB), F.lit(2)).cast("long")).alias("first_pos"))
+    B.split_by_chromosome(t.spark, _vcf_text(t), where)
+    return B.read_blocks(t.spark, where).select("chromosome", "position", "line")
+
+
+@query(f"SELECT CASE p_partkey % 3 WHEN 0 THEN '1' ELSE '2' END AS chromosome, count(*) AS n, min(p_partkey * 10) AS first_pos, max({_LINE.format(c=chr(39) + 'chr' + chr(39) + ' || CASE p_partkey % 3 WHEN 0 THEN 1 ELSE 2 END')}) AS last_line FROM part WHERE p_partkey % 3 < 2 AND p_size IS NOT NULL GROUP BY 1")
+def vcf_rename(t: Tables):
+    """Contigs renamed (one has no new name) on the way to indexed files."""
+    names = t.spark.createDataFrame([("1", "chr1"), ("2", "chr2")], "old string, new string")
+    where = new_place(t.spark, "vcf-rename")
+    B.split_by_chromosome(t.spark, _vcf_text(t), where, names)
+    return B.read_blocks(t.spark, where).groupBy("chromosome").agg(F.count("*").alias("n"), F.min("position").alias("first_pos"), F.max("line").alias("last_line"))
+
+
+@query("SELECT p_partkey * 10 AS position, p_partkey * 10 + p_size % 5 AS stop FROM part WHERE p_size IS NOT NULL AND p_partkey % 3 = 1 AND p_partkey * 10 <= 3000 AND p_partkey * 10 + p_size % 5 >= 103")
+def vcf_indexed_region(t: Tables):
+    """A region of indexed files: only its blocks are read."""
+    where = new_place(t.spark, "vcf-region")
+    header, lines = B.vcf_lines(t.spark, _vcf_text(t))
+    B.write_blocks(lines, header, where)
+    return B.read_region(t.spark, where, "chr2", 103, 3000).select("position", "stop")
+
+
+@query("SELECT CAST(p_partkey % 3 + 1 AS VARCHAR) AS CHROM, CAST(p_partkey * 10 AS VARCHAR) AS POS, CAST(p_size * 2 AS VARCHAR) AS QUAL, '0.' || p_size AS AF, '1' AS DB, '.' AS none FROM part WHERE p_size IS NOT NULL")
+def vcf_fields(t: Tables):
+    fields = B.extract_fields(B.vcf_lines(t.spark, _vcf_text(t))[1], ["CHROM", "POS", "QUAL", "INFO/AF", "INFO/DB", "INFO/XX"])
+    return fields.withColumnsRenamed({"INFO/AF": "AF", "INFO/DB": "DB", "INFO/XX": "none"})
 
 
 @query("SELECT 'ENSG' || c_custkey AS gene_id, 'S' || c_custkey AS symbol, 'chr' || (c_custkey % 22 + 1) AS chromosome, CASE WHEN c_custkey % 5 = 0 THEN 'ncRNA_gene' ELSE 'protein_coding' END AS gene_type, CAST(CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 1 END AS INTEGER) AS n_transcripts, CASE WHEN c_custkey % 3 > 0 THEN 'ENSP' || c_custkey END AS protein FROM customer WHERE c_custkey % 7 <> 6")

@@ -50,17 +50,6 @@ def count_vcf(rows: DataFrame, regions: DataFrame) -> DataFrame:
     return regions.select("chromosome", "start", "end").distinct().join(found, ["chromosome", "start", "end"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def rename_contigs(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """VCF rows under other contig names. names: old and new; contigs without a new name are left out."""
-    return rows.join(names, rows["chrom"] == names["old"]).select(F.col("new").alias("chrom"), *[rows[c] for c in rows.columns if c != "chrom"])
-
-
-def split_by_chromosome(rows: DataFrame, path: str) -> None:
-    """VCF lines of each chromosome in a folder of its own, sorted by position."""
-    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.coalesce("id", F.lit(".")), "ref", "alt")
-    rows.select(F.col("chrom").alias("chromosome"), "pos", line.alias("line")).repartition("chromosome").sortWithinPartitions("chromosome", "pos").select("chromosome", "line").write.partitionBy("chromosome").text(path)
-
-
 def dbsnp_frequencies(variants: DataFrame) -> DataFrame:
     """per_alt rows with the FREQ entry of the info map as population frequencies of the row's allele."""
     return variants.withColumn("allele_frequencies", allele_frequencies(F.try_element_at("info", F.lit("FREQ")), F.col("alt_index") + 1))
