@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.operators import rag
+from strandloom.operators import rag, vector_index
 from strandloom.plans.registry import Tables, query
 
 _STOP = ", ".join(f"'{w}'" for w in rag.STOPWORDS)
@@ -71,3 +71,32 @@ def term_upsert(t: Tables):
     new = t.customer.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("id"), F.lit("new").alias("value"), F.lit(1).alias("line"))
     extra = t.spark.createDataFrame([(9000000, "added", 2), (9000000, "late", 3)], "id long, value string, line int")
     return rag.upsert(old, new.unionByName(extra), "id")
+
+
+_NEAREST = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.e, v.e) AS c FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(c, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS rank FROM s) WHERE rank <= 10"""
+
+
+def _asked(t: Tables):
+    return t.embeddings.where(F.col("vec_id") % 50 == 0)
+
+
+@query(_NEAREST)
+def vector_index_exact(t: Tables):
+    """The ten nearest rows of every fiftieth one, all lists asked: nothing is missed."""
+    index = vector_index.build(t.embeddings, "vec_id", "embedding")
+    found = index.search(_asked(t), "vec_id", "embedding", 10, index.lists)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("SELECT true AS reached, true AS fewer_lists, count(*) AS n_queries FROM embeddings WHERE vec_id % 50 = 0")
+def vector_index_recall(t: Tables):
+    """With the probes that tuning on all of these queries finds, the recall is measured against the exact results."""
+    index = vector_index.build(t.embeddings, "vec_id", "embedding")
+    asked = _asked(t)
+    probes, _ = index.tune(asked, "vec_id", "embedding", 10, recall=0.9, sample=1 << 30)
+    search = lambda n: index.search(asked, "vec_id", "embedding", 10, n)
+    share = vector_index.recall(search(probes), search(index.lists))
+    return asked.agg(F.count("*").alias("n_queries")).select(F.lit(share >= 0.9).alias("reached"), F.lit(probes < index.lists).alias("fewer_lists"), "n_queries")
