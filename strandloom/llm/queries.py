@@ -43,17 +43,19 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _four_batches(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Totals after four batches: all documents enter as words and under a tokenizer; those with an even n_chars leave the latter; English ones are revised from words to it; a batch comes twice."""
-    from strandloom.llm._shared import new_folder
-    from strandloom.llm.rollups import Rollup, changes
+    from strandloom.llm._shared import new_folder, staged
+    from strandloom.llm.rollups import Rollup, counted_changes, with_counts
 
     spark = docs.sparkSession
     store = Rollup(spark, new_folder(spark, "rollup"))
-    store.commit("words", changes(docs, "insert", "words-1"))
-    store.commit("pieces", changes(docs, "insert", tokenizer))
-    gone = changes(docs.where(F.col("n_chars") % 2 == 0), "delete", tokenizer)
+    rows = docs.select("source", "lang", "text", F.col("n_chars").alias("chars"))
+    counted = staged(with_counts(rows, [("text", "words-1", "words"), ("text", tokenizer, "tokens")], keep=("chars",)), "counted")
+    store.commit("words", counted_changes(counted, "insert", "words-1", "words"))
+    store.commit("pieces", counted_changes(counted, "insert", tokenizer, "tokens"))
+    gone = counted_changes(counted.where(F.col("chars") % 2 == 0), "delete", tokenizer, "tokens")
     store.commit("withdrawn", gone)
     store.compact()
-    store.commit("revised", changes(docs.where(F.col("lang") == "en"), "revise", tokenizer, old=("text", "words-1")))
+    store.commit("revised", counted_changes(counted.where(F.col("lang") == "en"), "revise", tokenizer, "tokens", old=("words", "words-1")))
     store.commit("withdrawn", gone)  # a batch that comes again changes nothing
     return store.totals()
 

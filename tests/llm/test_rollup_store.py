@@ -62,6 +62,7 @@ def test_a_compaction_that_dies(spark, docs, monkeypatch):
     store.commit("a", rollups.changes(docs, "insert", "words-1"))
     store.commit("b", rollups.changes(docs.where(F.col("doc_id") == 1), "delete", "words-1"))
     before = rows_of(store)
+    store.compact()  # deletes nothing yet: what it folds stays for readers
     with monkeypatch.context() as m:
         m.setattr(rollups, "delete_path", lambda *a: (_ for _ in ()).throw(OSError("gone")))
         with pytest.raises(OSError, match="gone"):
@@ -80,3 +81,50 @@ def test_two_writers_of_one_name(spark, docs, monkeypatch):
         m.setattr(rollups.Rollup, "committed", lambda self: set())  # looked before the first one had its marker
         assert not other.commit("a", rollups.changes(docs, "insert", "words-1"))
     assert rows_of(store) == once
+
+
+def test_a_commit_during_compaction_counts_once(spark, docs, monkeypatch):
+    store = rollups.Rollup(spark, new_folder(spark, "test-rollup"))
+    store.commit("a", rollups.changes(docs, "insert", "words-1"))
+    marked = rollups.Rollup._mark
+
+    def commit_first(self, name, what):
+        if "/snapshots/" in name:
+            with monkeypatch.context() as m:
+                m.setattr(rollups.Rollup, "_mark", marked)
+                assert self.commit("b", rollups.changes(docs, "insert", "words-1"))
+        return marked(self, name, what)
+
+    summed = rollups.Rollup._sums
+
+    def commit_between(self, *state):
+        out = summed(self, *state)
+        self.commit("c", rollups.changes(docs, "insert", "words-1"))
+        return out
+
+    once = rows_of(store)
+    with monkeypatch.context() as m:
+        m.setattr(rollups.Rollup, "_mark", commit_first)
+        m.setattr(rollups.Rollup, "_sums", commit_between)
+        store.compact()
+    three = {k: (3 * n, 3 * t) for k, (n, t) in once.items()}
+    assert rows_of(store) == three and store.committed() == {"a", "b", "c"}
+    store.compact()
+    store.compact()
+    assert rows_of(store) == three and len(store._names("snapshots")) == 2 and not store._names("batches")
+
+
+def test_readers_and_writers_across_compactions(spark, docs):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = rollups.Rollup(spark, new_folder(spark, "test-rollup"))
+    store.commit("a", rollups.changes(docs, "insert", "words-1"))
+    before, once = store.totals(), rows_of(store)
+    store.compact()
+    assert {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in before.collect()} == once
+    with ThreadPoolExecutor(4) as pool:
+        won = list(pool.map(lambda _: rollups.Rollup(spark, store.folder).commit("b", rollups.changes(docs, "insert", "words-1")), range(4)))
+    assert sum(won) == 1 and rows_of(store) == {k: (2 * n, 2 * t) for k, (n, t) in once.items()}
+    with ThreadPoolExecutor(8) as pool:
+        marks = list(pool.map(lambda k: store._mark(f"{store.folder}/batches/one.done", str(k)), range(24)))
+    assert sum(marks) == 1
