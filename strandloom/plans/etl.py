@@ -1,8 +1,8 @@
 """Load plugins, their run ledger, and pipelines of stages and tasks.
 
-A plugin is extract, transform and load over DataFrames. A run stages its rows as
-Parquet below the table's folder under its run id, so a run counts as a whole,
-undo drops one folder, and a resumed run leaves out ids that are loaded already.
+A plugin is extract, transform and load over DataFrames. Tables are versioned (operators.versions): what a run writes to all its tables
+counts with one version, undo is another version without its rows, and a resumed run leaves out ids that are loaded already. Every run, dry run,
+failure and undo is an entry of the log.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.staging import stage
+from strandloom.operators.versions import Pending, Versions
 
 LEDGER = "run_id string, plugin string, params string, status string, operation string, rows long, seconds double"
 
@@ -94,81 +94,74 @@ class Registry:
 REGISTRY = Registry()
 
 
-@dataclass
 class Warehouse:
-    """Tables as folders of runs, and the ledger of runs."""
-
-    spark: SparkSession
-    folder: str
-
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    """Tables that runs load, and the ledger of runs."""
 
-    def _delete(self, path: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self.versions = Versions(spark, folder)
 
-    def table(self, name: str) -> DataFrame | None:
-        path = f"{self.folder}/{name}"
-        return self.spark.read.option("basePath", path).parquet(path) if self._exists(path) else None
+    def table(self, name: str, version: int | None = None) -> DataFrame | None:
+        """The rows of all runs that count, with their run_id (string)."""
+        return self.versions.table(name, version)
 
-    def write(self, name: str, run_id: str, rows: DataFrame, batch_size: int) -> int:
-        """Rows of a run, counted while they are written."""
-        seen = Observation()
-        rows.observe(seen, F.count("*").alias("n")).write.option("maxRecordsPerFile", max(batch_size, 1) * 200).mode("overwrite").parquet(f"{self.folder}/{name}/run_id={run_id}")
-        return seen.get["n"]
+    def write(self, pending: Pending, name: str, run_id: str, rows: DataFrame, key: str | None = None, batch_size: int = 0) -> int:
+        """Writes the rows of a run; they count once its version is committed."""
+        kept = rows.select(*[c for c in rows.columns if c.lower() != "run_id"], F.lit(run_id).alias("run_id"))
+        self.versions.write(pending, name, kept, key, max(batch_size, 0) * 200)
+        return pending.rows(name)
 
-    def update(self, name: str, changes: DataFrame, key: str) -> None:
-        """New values for the rows whose key comes in changes, in the runs that loaded them. The table is read whole before its runs are replaced."""
-        rows = self.table(name)
-        new = changes.select(F.col(key).alias("_key"), F.struct(*[c for c in changes.columns if c != key]).alias("_new"))
-        joined = rows.join(new, rows[key] == new["_key"], "left")
-        values = [F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(rows[c]).alias(c) if c in changes.columns and c != key else rows[c] for c in rows.columns]
-        updated = stage(joined.select(*values), f"update-{name}")
-        updated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{self.folder}/{name}")
+    def update(self, name: str, changes: DataFrame, key: str) -> dict:
+        """New values for the rows whose key comes in changes, in the runs that loaded them."""
+        return self.versions.update(name, changes, key)
 
-    def drop(self, name: str, run_id: str) -> None:
-        self._delete(f"{self.folder}/{name}/run_id={run_id}")
-
-    def log(self, **row) -> None:
-        frame = self.spark.createDataFrame([tuple(row[c.split()[0]] for c in LEDGER.split(", "))], LEDGER)
-        frame.coalesce(1).write.mode("append").parquet(f"{self.folder}/_ledger")
+    def log(self, pending: Pending | None = None, **row) -> int:
+        return self.versions.commit(pending or Pending(), {"ledger": row})
 
     def ledger(self) -> DataFrame:
-        path = f"{self.folder}/_ledger"
-        return self.spark.read.schema(LEDGER).parquet(path) if self._exists(path) else self.spark.createDataFrame([], LEDGER)
+        rows = self.versions.entries().select("version", F.from_json(F.get_json_object("entry", "$.ledger"), LEDGER).alias("l"))
+        return rows.where(F.col("l.run_id").isNotNull()).select("l.*")
 
 
 def run_plugin(plugin: Plugin, store: Warehouse, mode: Mode = Mode.RUN, resume: bool = False, run_id: str | None = None) -> tuple[str, dict[str, int]]:
-    """The run's id and rows by table. resume: records whose key is loaded already are left out."""
+    """The run's id and rows by table. resume: records whose key is loaded already are left out. A run id that counts already is refused; one that failed or was undone can come again."""
+    about = {"plugin": plugin.name, "params": json.dumps(plugin.params, sort_keys=True, default=str)}
     if mode is Mode.UNDO:
         if not run_id:
             raise ValueError("undo needs a run id")
         plugin.on_undo(store, run_id)
-        for name in reversed(plugin.tables):  # children first
-            store.drop(name, run_id)
-        store.log(run_id=run_id, plugin=plugin.name, params=json.dumps(plugin.params, sort_keys=True, default=str), status="SUCCESS", operation="UNDO", rows=0, seconds=0.0)
+        store.versions.undo(run_id, {"ledger": {"run_id": run_id, **about, "status": "SUCCESS", "operation": "UNDO", "rows": 0, "seconds": 0.0}})
         return run_id, {}
-    run_id, began, counts, status = run_id or uuid.uuid4().hex[:12], time.time(), {}, "FAIL"
+    run_id, began, counts, status, pending = run_id or uuid.uuid4().hex[:12], time.time(), {}, "FAIL", Pending()
+    entry = lambda: {"run_id": run_id, **about, "status": status, "operation": mode.name, "rows": sum(counts.values()), "seconds": time.time() - began}
     try:
         if mode is Mode.PREPROCESS:
             plugin.preprocess(store.spark)
         else:
+            if mode is Mode.RUN and any(run_id in f["runs"] for files in store.versions.state().files.values() for f in files.values()):
+                raise ValueError(f"run {run_id} is loaded already")
             plugin.on_run_start(store, run_id)
             rows = plugin.transform(plugin.extract(store.spark))
             if resume and (loaded := store.table(plugin.tables[0])) is not None and plugin.key in loaded.columns:
                 rows = rows.join(loaded.select(plugin.key).distinct(), plugin.key, "left_anti")
             for name, part in plugin.load(rows).items():
-                counts[name] = part.count() if mode is Mode.DRY_RUN else store.write(name, run_id, part, plugin.batch_size)
-            plugin.on_run_complete(store, run_id, counts)
+                counts[name] = part.count() if mode is Mode.DRY_RUN else store.write(pending, name, run_id, part, plugin.key, plugin.batch_size)
         status = "SUCCESS"
-    except Exception:
-        for name in reversed(plugin.tables):
-            store.drop(name, run_id)
+        store.log(pending, **entry())  # all tables of the run count from here on
+    except BaseException:
+        store.versions.abandon(pending)  # what this call wrote, and nothing else
+        status = "FAIL"
+        store.log(**entry())
         raise
-    finally:
-        store.log(run_id=run_id, plugin=plugin.name, params=json.dumps(plugin.params, sort_keys=True, default=str), status=status, operation=mode.name, rows=sum(counts.values()), seconds=time.time() - began)
+    if mode in (Mode.RUN, Mode.DRY_RUN):
+        try:
+            plugin.on_run_complete(store, run_id, counts)
+        except Exception:
+            if mode is Mode.RUN:
+                store.versions.undo(run_id)
+            status = "FAIL"
+            store.log(**entry())
+            raise
     return run_id, counts
 
 

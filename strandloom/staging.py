@@ -47,3 +47,35 @@ def text_files(df: DataFrame, name: str) -> str:
     where = new_place(df.sparkSession, name)
     df.write.text(where)
     return where
+
+
+def file_system(spark: SparkSession, where: str) -> tuple:
+    """Hadoop's path and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def create_once(spark: SparkSession, where: str, text: str) -> bool:
+    """A small file that comes into place whole, or False if there is one. Local file systems link it there, which fails where something stands; others rename at once and only where nothing does."""
+    done, fs = file_system(spark, where)
+    aside, _ = file_system(spark, f"{where}.{uuid.uuid4().hex}.aside")
+    fs.mkdirs(done.getParent())
+    out = fs.create(aside, False)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    jvm, arrays = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        if fs.getScheme() == "file":
+            local = lambda p: jvm.java.nio.file.Paths.get(p.toUri().getPath(), arrays(jvm.java.lang.String, 0))
+            jvm.java.nio.file.Files.createLink(local(done), local(aside))
+        else:
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(done.toUri(), spark._jsc.hadoopConfiguration())
+            context.rename(aside, done, arrays(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        return True
+    except Exception as e:
+        if "AlreadyExists" not in str(e):
+            raise
+        return False
+    finally:
+        if fs.exists(aside):
+            fs.delete(aside, False)
