@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandloom.operators import filters, gwas, paging
+from strandloom.operators import filters, gwas, paging, text_index
 from strandloom.operators.metadata import browser_config, shard_url
-from strandloom.plans.registry import Tables, query
+from strandloom.plans.registry import ORACLE_SQL, Tables, query
 
 _PART = {"brand": "p_brand", "type": "p_type", "size": "p_size", "name": "p_name"}
 _DOC = {"lang": "lang", "source": "source"}
@@ -157,3 +157,21 @@ def best_by_category(t: Tables):
 @query("SELECT page_id, CASE WHEN lower(url) LIKE '%alzheimer%' THEN 'AD' WHEN lower(url) LIKE '%biomarker%' THEN 'Biomarker' WHEN regexp_matches(lower(url), 'dementia|parkinson|palsy') THEN 'ADRD' ELSE 'Other' END AS category FROM pages")
 def trait_category(t: Tables):
     return t.pages.select("page_id", gwas.trait_category(F.col("url")).alias("category"))
+
+
+@query(ORACLE_SQL["site_search"])
+def indexed_site_search(t: Tables):
+    """The site search by way of trigram indexes: only the texts that hold the word's trigrams are tested."""
+
+    def lookup(df, kind, key, name, exact, word):
+        found = text_index.build(df, key, name).contains(word)
+        hit = F.ilike(F.col("text"), F.lit(exact))
+        return found.select(F.lit(kind).alias("record_type"), F.col("id").cast("string").alias("id"), F.col("text").alias("display"), F.when(hit, 1).otherwise(4).alias("match_rank"))
+
+    return lookup(t.customer, "customer", "c_custkey", "c_name", "customer#000000001", "00001").unionByName(lookup(t.supplier, "supplier", "s_suppkey", "s_name", "customer#000000001", "00001"))
+
+
+@query(ORACLE_SQL["keyword_regex"])
+def indexed_keyword_regex(t: Tables):
+    found = text_index.build(t.documents, "doc_id", "text").matching("the[a-z]+ and", ignore_case=True)
+    return t.documents.join(found.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "lang")
