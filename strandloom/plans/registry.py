@@ -33,4 +33,4 @@ def query(sql: str | None = None, name: str | None = None, also: str | None = No
     return register
 
 
-from strandloom.plans import aggregates, annotation, files, loads, lookups, records, regions, scalars, search, sequences, shapes, texts, validation  # noqa: E402, F401
+from strandloom.plans import aggregates, annotation, files, graphs, loads, lookups, records, regions, scalars, search, sequences, shapes, texts, validation  # noqa: E402, F401
