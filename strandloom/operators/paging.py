@@ -18,8 +18,16 @@ def total_pages(n: int, size: int = PAGE_SIZE) -> int:
     return pages
 
 
+def page_count(n: Column, size: int = PAGE_SIZE) -> Column:
+    """total_pages() of a column: null where more would be asked for than are served."""
+    pages = F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
+    return F.when(pages <= MOST_PAGES, pages)
+
+
 def page(df: DataFrame, order: list[Column], number: int = 0, size: int = PAGE_SIZE) -> DataFrame:
-    """Page number (from 0) in an order that must be total."""
+    """Page number (from 0) in an order that must be total. Only MOST_PAGES are served: a later one would sort and skip without a bound."""
+    if not 0 <= number < MOST_PAGES:
+        raise ValueError(f"page {number}; the first {MOST_PAGES} are served")
     return df.orderBy(*order).offset(number * size).limit(size)
 
 

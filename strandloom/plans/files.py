@@ -227,14 +227,18 @@ def json_config(t: Tables):
     return S.read_json_record(t.spark, text_files(lines.coalesce(1), "config")).select("build", "n")
 
 
-@query("SELECT n_name || '|in|' || replace(r_name, ' ', '_') AS triple FROM nation JOIN region ON r_regionkey = n_regionkey")
+@query("""SELECT n_name || ' a-b/c' AS subject, 'in' AS predicate, r_name AS object, 'iri' AS object_kind FROM nation JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT n_name || ' a-b/c', 'says', 'a "' || n_name || '" \\n ' || chr(10) || chr(9) || ' end', 'literal' FROM nation""")
 def triples_file(t: Tables):
-    """N-Triples written and read again."""
-    rows = t.nation.join(t.region, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("n_name").alias("subject"), F.lit("in").alias("predicate"), F.col("r_name").alias("object"))
+    """N-Triples with names that need encoding and literals that need escapes, written and read again."""
+    rows = t.nation.join(t.region, F.col("r_regionkey") == F.col("n_regionkey"))
+    name = F.concat("n_name", F.lit(" a-b/c"))
+    said = F.concat(F.lit('a "'), "n_name", F.lit('" \\n \n\t end'))
+    triples = rows.select(name.alias("subject"), F.lit("in").alias("predicate"), F.col("r_name").alias("object"), F.lit("iri").alias("object_kind"))
+    triples = triples.unionByName(rows.select(name.alias("subject"), F.lit("says").alias("predicate"), said.alias("object"), F.lit("literal").alias("object_kind")))
     where = new_place(t.spark, "triples")
-    S.write_triples(rows, where)
-    part = lambda k: F.regexp_replace(F.split_part("value", F.lit(" "), F.lit(k)), "^<http://example.org/|>$", "")
-    return t.spark.read.text(where).select(F.concat_ws("|", part(1), part(2), part(3)).alias("triple"))
+    S.write_triples(triples, where)
+    return S.read_ntriples(t.spark, where)
 
 
 @query("SELECT 'full' AS file, count(*) AS n, 4 AS columns FROM orders UNION ALL SELECT 'brief', count(*), 2 FROM orders")

@@ -87,3 +87,14 @@ def track_chunks(t: Tables):
     texts = rag.embedded_text(t.nation.select("n_nationkey", "n_name", "n_regionkey"), "n_nationkey", ["n_regionkey"])
     rows = rag.chunk_rows(texts, "n_nationkey")
     return rows.join(texts.select("n_nationkey", F.col("digest").alias("whole")), "n_nationkey")
+
+
+@query("SELECT user_id, event_id // 500 AS bin, count(DISTINCT event_type) AS n FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2")
+def stream_distinct_by_bin(t: Tables):
+    """Types of events of each user, once in each bin of 500 events, from files that come in order."""
+    folder, out = new_place(t.spark, "ordered"), new_place(t.spark, "stream")
+    t.events.where("user_id IS NOT NULL").select("event_id", "user_id", "event_type").repartitionByRange(4, "event_id").write.parquet(folder)
+    stream = ingest.dropped_files(t.spark, folder, "event_id long, user_id long, event_type string", files_at_once=1000)
+    rows = ingest.distinct_by_bin(stream, "event_id", ["user_id", "event_type"], 500)
+    ingest.load_batches(rows, ingest.append_batches(out), new_place(t.spark, "stream-state")).awaitTermination()
+    return t.spark.read.parquet(out).groupBy("user_id", "bin").agg(F.count("*").alias("n"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.functions import regions as R
+from strandloom.operators import bin_cube
 from strandloom.operators import intervals as I
+from strandloom.operators.ordering import places
 from strandloom.plans.registry import Tables, query
 
 WIDTH = 4096
@@ -150,14 +152,22 @@ def _formatted(rows):
 
 @query(f"SELECT id, CASE WHEN c = 22 THEN 23 WHEN c = 23 THEN 24 WHEN c = 24 THEN 25 ELSE CAST(c + 1 AS INTEGER) END AS ord, row_number() OVER (ORDER BY CASE WHEN c = 22 THEN 23 WHEN c = 23 THEN 24 WHEN c = 24 THEN 25 ELSE c + 1 END, s, id) AS place FROM ({_IV})", also="chrom_sort_whole")
 def chrom_sort(t: Tables):
-    """Places within each chromosome, after the rows of the chromosomes before it, so that no task sorts all rows."""
-    from pyspark.sql import Window
-
+    """Places in the order of chromosomes and starts; no task sorts a whole chromosome."""
     rows = _intervals(t).withColumn("ord", R.chromosome_order(_chromosome()).cast("int"))
-    ends = rows.groupBy("ord").agg(F.count("*").alias("n"))  # one row for each of 25 chromosomes
-    before = ends.select("ord", (F.sum("n").over(Window.orderBy("ord")) - F.col("n")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("ord").orderBy("s", "id"))
-    return rows.withColumn("inside", inside).join(F.broadcast(before), "ord").select("id", "ord", (F.col("inside") + F.col("before")).cast("long").alias("place"))
+    return places(rows, [], [F.col("ord"), F.col("s"), F.col("id")]).select("id", "ord", "place")
+
+
+_REGIONS = "SELECT s_suppkey AS region, s_suppkey % 25 AS c, s_suppkey * 997 % 40000 + 1 AS a, s_suppkey * 997 % 40000 + 1 + s_suppkey * 131 % 30000 AS b FROM supplier"
+
+
+@query(f"SELECT r.region, CASE WHEN i.e - i.s >= 700 THEN 'sv' ELSE 'small' END AS feature, count(*) AS n FROM ({_REGIONS}) r JOIN ({_IV}) i ON i.c = r.c AND i.s <= r.b AND i.e >= r.a AND i.s >= 1 GROUP BY 1, 2")
+def region_totals(t: Tables):
+    """Features that overlap each of many regions, from a cube of bins."""
+    k = F.col("s_suppkey")
+    start = k * 997 % 40000 + 1
+    regions = t.supplier.select(k.alias("region"), (k % 25).cast("string").alias("chromosome"), start.alias("start"), (start + k * 131 % 30000).alias("end"))
+    spans = _intervals(t).select(F.col("c").cast("string").alias("chromosome"), "s", "e", F.when(F.col("e") - F.col("s") >= 700, "sv").otherwise("small").alias("feature"))
+    return bin_cube.region_counts(bin_cube.build(spans, ["feature"], 512), regions)
 
 
 @query("SELECT user_id AS track_id, count(*) AS num_overlaps FROM events WHERE value BETWEEN 20 AND 60 GROUP BY 1")

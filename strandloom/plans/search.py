@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandloom.operators import filters, gwas, paging, text_index
 from strandloom.operators.metadata import browser_config, shard_url
+from strandloom.operators.ordering import places
 from strandloom.plans.registry import ORACLE_SQL, Tables, query
 
 _PART = {"brand": "p_brand", "type": "p_type", "size": "p_size", "name": "p_name"}
@@ -151,7 +151,7 @@ def shard_expand(t: Tables):
 @query(f"SELECT o_orderkey, {_CATEGORY} AS category, row_number() OVER (PARTITION BY {_CATEGORY} ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders WHERE o_totalprice > 300000")
 def best_by_category(t: Tables):
     rows = _orders_with_category(t).where("o_totalprice > 300000")
-    return rows.select("o_orderkey", "category", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long").alias("place"))
+    return places(rows, ["category"], [F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_orderkey", "category", "place")
 
 
 @query("SELECT page_id, CASE WHEN lower(url) LIKE '%alzheimer%' THEN 'AD' WHEN lower(url) LIKE '%biomarker%' THEN 'Biomarker' WHEN regexp_matches(lower(url), 'dementia|parkinson|palsy') THEN 'ADRD' ELSE 'Other' END AS category FROM pages")
@@ -175,3 +175,11 @@ def indexed_site_search(t: Tables):
 def indexed_keyword_regex(t: Tables):
     found = text_index.build(t.documents, "doc_id", "text").matching("the[a-z]+ and", ignore_case=True)
     return t.documents.join(found.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "lang")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE 'G' || l_partkey = 'G15' OR CASE WHEN l_partkey % 2 = 0 THEN 'S' || l_suppkey END = 'G15'")
+def impacted_gene(t: Tables):
+    """Rows whose consequence is on a gene, by its id or symbol; some have no symbol."""
+    gene = F.struct(F.concat(F.lit("G"), F.col("l_partkey").cast("string")).alias("id"), F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))).alias("symbol"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.struct(gene.alias("gene")).alias("consequence"))
+    return rows.where(filters.impacts_gene("consequence", "G15")).select("l_orderkey", "l_linenumber")

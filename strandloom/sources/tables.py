@@ -141,6 +141,34 @@ def write_associations(df: DataFrame, full: str, brief: str, pvalue_columns: lis
 
 
 def write_triples(triples: DataFrame, path: str, base: str = "http://example.org/") -> None:
-    """subject, predicate, object as N-Triples."""
-    node = lambda c: F.concat(F.lit(f"<{base}"), F.regexp_replace(F.col(c), r"[^A-Za-z0-9_]", "_"), F.lit(">"))
-    triples.select(F.concat_ws(" ", node("subject"), node("predicate"), node("object"), F.lit("."))).write.text(path)
+    """subject, predicate, object as N-Triples (which are Turtle too). An object_kind column may say literal or blank of an object; everything else is an IRI: names are percent-encoded below base, and whole http IRIs stay."""
+    plain = lambda c: F.regexp_replace(F.url_encode(F.col(c)), r"\+", "%20")
+    whole = lambda c: F.regexp_replace(F.col(c), r"[\x00-\x20<>\"{}|^`\\\\]", "")
+    blank = lambda c: F.startswith(F.col(c), F.lit("_:"))
+    node = lambda c: F.when(blank(c), F.concat(F.lit("_:b"), F.hex(F.substr(c, F.lit(3))))).when(F.col(c).rlike("^https?://"), F.concat(F.lit("<"), whole(c), F.lit(">"))).otherwise(F.concat(F.lit(f"<{base}"), plain(c), F.lit(">")))
+    text = F.col("object")
+    for sign, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(sign), F.lit(escaped))
+    kind = F.col("object_kind") if "object_kind" in triples.columns else F.lit("iri")
+    thing = F.when(kind == "literal", F.concat(F.lit('"'), text, F.lit('"'))).otherwise(node("object"))
+    rows = triples.where("subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL")
+    rows.select(F.concat_ws(" ", node("subject"), node("predicate"), thing, F.lit("."))).write.text(path)
+
+
+def read_ntriples(spark: SparkSession, path: str, base: str = "http://example.org/") -> DataFrame:
+    """subject, predicate, object and object_kind of N-Triples: names below base decoded, other IRIs whole, blank nodes as `_:` and their text, literals unescaped (a language or type is dropped)."""
+    line = F.trim("value")
+    part = lambda k: F.regexp_extract(line, r'^(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*")', k)
+
+    def node(c: Column) -> Column:
+        iri = F.substr(c, F.lit(2), F.length(c) - 2)
+        own = F.concat(F.lit("_:"), F.coalesce(F.unhex(F.regexp_extract(c, "^_:b([0-9A-F]+)$", 1)).cast("string"), F.lit("")))
+        return F.when(F.startswith(c, F.lit("_:")), F.when(c.rlike("^_:b([0-9A-F]{2})+$"), own).otherwise(c)).when(F.startswith(iri, F.lit(base)), F.url_decode(F.substr(iri, F.lit(len(base) + 1)))).otherwise(iri)
+
+    # Escapes are undone in one pass: a backslash that was escaped can't begin another escape.
+    inner = F.substr(part(3), F.lit(2), F.length(part(3)) - 2)
+    pieces = F.regexp_extract_all(inner, F.lit(r"(?s)(\\.|[^\\]+)"), 1)
+    plain = F.array_join(F.transform(pieces, lambda x: F.when(x == "\\n", "\n").when(x == "\\r", "\r").when(x == "\\t", "\t").when(F.startswith(x, F.lit("\\")), F.substr(x, F.lit(2))).otherwise(x)), "")
+    literal = F.startswith(part(3), F.lit('"'))
+    rows = spark.read.text(path).where(line.rlike(r"^(<|_:)"))
+    return rows.select(node(part(1)).alias("subject"), node(part(2)).alias("predicate"), F.when(literal, plain).otherwise(node(part(3))).alias("object"), F.when(literal, "literal").when(F.startswith(part(3), F.lit("_:")), "blank").otherwise("iri").alias("object_kind"))
