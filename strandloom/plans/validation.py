@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import metadata as M
 from strandloom.operators import validation as D
+from strandloom.operators.nested_validation import validate_nested
 from strandloom.plans.registry import Tables, query
 from strandloom.sources import genomic, tables
 
@@ -206,3 +207,22 @@ def track_records(t: Tables):
     )
     r = M.track_records(template, "https://here.org", "data")
     return r.select("track_id", "name", "genome_build", "feature_type", "is_download_only", F.get("biosample_characteristics.biosample", F.lit(0))["term"].alias("term"), "experimental_design.assay", "provenance.data_source", F.col("provenance.data_source_version").alias("version"), "file_properties.url", F.col("file_properties.file_format").alias("format"), F.col("file_properties.file_size").alias("size"))
+
+
+_NESTED = {"required": ["name"], "properties": {"name": {"minLength": 4}, "about": {"properties": {"size": {"type": "integer", "maximum": 40}, "words": {"contains": {"pattern": "^(red|blue)$"}, "items": {"maxLength": 5}}}}}, "if": {"properties": {"name": {"pattern": "^red"}}}, "then": {"properties": {"about": {"properties": {"size": {"minimum": 10}}}}}}
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_name, p_size, string_split(p_name, ' ') AS w FROM part),
+m AS (
+  SELECT p_partkey, unnest(list_filter([
+    CASE WHEN length(p_name) < 4 THEN '$.name: shorter than 4' END, CASE WHEN p_size > 40 THEN '$.about.size: above 40' END,
+    CASE WHEN NOT list_contains(w, 'red') AND NOT list_contains(w, 'blue') THEN '$.about.words: holds no item that it must' END,
+    CASE WHEN p_name LIKE 'red%' AND p_size < 10 THEN '$.about.size: below 10' END], lambda x: x IS NOT NULL)
+    || list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN length(w[i]) > 5 THEN '$.about.words[' || (i - 1) || ']: longer than 5' END), lambda x: x IS NOT NULL)) AS message FROM p)
+SELECT p_partkey, message FROM m""")
+def nested_schema(t: Tables):
+    """Errors of nested records with their paths."""
+    about = F.struct(F.col("p_size").alias("size"), F.split("p_name", " ").alias("words"))
+    rows = t.part.select("p_partkey", F.struct(F.col("p_name").alias("name"), about.alias("about")).alias("record"))
+    return validate_nested(rows, _NESTED, "p_partkey", "record")
