@@ -12,6 +12,7 @@ import json
 import re
 import shlex
 import subprocess
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -232,26 +233,103 @@ def plan(stages: list[Stage], only: list[str] | None = None, skip: list[str] | N
     return out
 
 
-def run_pipeline(stages: list[Stage], store: Warehouse, params: dict | None = None, registry: Registry = REGISTRY, mode: Mode = Mode.RUN, **selection) -> list[str]:
-    """Runs a plan; tasks of a parallel stage are submitted together. The first failure ends it."""
+class Cancelled(RuntimeError):
+    """A task that was stopped since a sibling failed."""
+
+
+def finished_tasks(store: Warehouse, pipeline: str) -> set[str]:
+    """stage.task names that a pipeline's record has as finished."""
+    rows = store.versions.entries().select(F.get_json_object("entry", "$.task.pipeline").alias("p"), F.get_json_object("entry", "$.task.name").alias("name"))
+    return {r["name"] for r in rows.where(F.col("p") == pipeline).select("name").distinct().collect()}
+
+
+class _Running:
+    """A task on its way: its Spark jobs carry a tag, its process is known, so both can be stopped."""
+
+    def __init__(self, store: Warehouse, stop: threading.Event):
+        self.context, self.stop, self.tag, self.process = store.spark.sparkContext, stop, f"task-{uuid.uuid4().hex}", None
+
+    def shell(self, words: list[str]) -> None:
+        self.process = subprocess.Popen(words)
+        try:
+            while self.process.poll() is None:
+                if self.stop.wait(0.05):
+                    self.process.kill()
+                    self.process.wait()
+                    raise Cancelled(words[0])
+        finally:
+            if self.process.poll() is None:
+                self.process.kill()
+        if self.process.returncode:
+            raise subprocess.CalledProcessError(self.process.returncode, words)
+
+    def cancel(self) -> None:
+        self.context.cancelJobsWithTag(self.tag)
+
+    def __enter__(self):
+        self.context.addJobTag(self.tag)
+        return self
+
+    def __exit__(self, *_):
+        self.context.removeJobTag(self.tag)
+
+
+def run_pipeline(stages: list[Stage], store: Warehouse, params: dict | None = None, registry: Registry = REGISTRY, mode: Mode = Mode.RUN, retries: int = 0, pipeline: str | None = None, resume: bool = False, **selection) -> list[str]:
+    """Runs a plan; tasks of a parallel stage are submitted together, and one that fails stops the others: their Spark jobs are cancelled by tag, their processes ended. What fails is tried again so many times.
+
+    pipeline: the name under which finished tasks are recorded in the store's log; with resume those that it has are left out. The names of the tasks that ran, in order of the plan."""
+    if resume and not pipeline:
+        raise ValueError("resume needs the pipeline's name")
+    before = finished_tasks(store, pipeline) if resume else set()
     done: list[str] = []
 
-    def one(stage: Stage, task: Task) -> str:
+    def once(task: Task, running: _Running) -> None:
         if task.type == "SHELL":
             words = shlex.split(task.command)  # before parameters are put in, so none of them can add a word or a command
-            subprocess.run([str(interpolate(w, params or {})) for w in words], check=True)
+            running.shell([str(interpolate(w, params or {})) for w in words])
         elif task.type == "PLUGIN":
             run_plugin(registry.get(task.plugin)(**interpolate(task.params, params or {})), store, mode)
         else:
             raise NotImplementedError(f"tasks of type {task.type}")
-        return f"{stage.name}.{task.name}"
+
+    def one(stage: Stage, task: Task, stop: threading.Event, all_running: list[_Running]) -> str:
+        name = f"{stage.name}.{task.name}"
+        for left in reversed(range(retries + 1)):
+            running = _Running(store, stop)
+            all_running.append(running)
+            try:
+                if stop.is_set():
+                    raise Cancelled(name)
+                with running:
+                    once(task, running)
+                break
+            except Exception as e:
+                if stop.is_set() or isinstance(e, (Cancelled, NotImplementedError, KeyError)):
+                    raise
+                if not left:
+                    stop.set()  # siblings end with this one
+                    for other in all_running:
+                        if other is not running:
+                            other.cancel()
+                    raise
+        if pipeline and mode is Mode.RUN:
+            store.versions.commit(Pending(), {"task": {"pipeline": pipeline, "name": name}})
+        return name
 
     for stage, tasks in plan(stages, **selection):
-        if stage.parallel:
+        tasks = [t for t in tasks if f"{stage.name}.{t.name}" not in before]
+        stop, all_running = threading.Event(), []
+        if stage.parallel and len(tasks) > 1:
             with ThreadPoolExecutor(len(tasks)) as pool:
-                done += list(pool.map(lambda t: one(stage, t), tasks))  # noqa: B023
+                found = [pool.submit(one, stage, t, stop, all_running) for t in tasks]
+            errors = [e for f in found if (e := f.exception())]
+            # The one that failed by itself, not those that it stopped.
+            own = [e for e in errors if not isinstance(e, Cancelled) and "cancelled" not in str(e).lower()]
+            if errors:
+                raise (own or errors)[0]
+            done += [f.result() for f in found]
         else:
-            done += [one(stage, t) for t in tasks]
+            done += [one(stage, t, stop, all_running) for t in tasks]
     return done
 
 
