@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,7 +140,7 @@ class Store:
     size: int = PAGE_SIZE
 
     def _one(self, key: str) -> DataFrame:
-        return self.genes.sparkSession.createDataFrame([(key,)], "key string")
+        return self.genes.sparkSession.createDataFrame(pa.table({"key": pa.array([key], pa.string())}))
 
     def gene(self, key: str) -> DataFrame:
         """The record of a gene by symbol, Ensembl id or Entrez id."""
@@ -181,14 +182,13 @@ class Store:
         return page(found, [F.col("p_value"), *(F.col(c) for c in found.columns if c != "p_value")], number, self.size)
 
     def search(self, text: str, most: int | None = None) -> DataFrame:
-        """What a text finds: a region's genes, else genes and variants of that name; at most so many, each with the number that there are."""
-        told = self._one(text).select(infer_location(F.col("key")).alias("l")).first()["l"]
-        if told and told["kind"] == REGION:
-            found = self.region(text).select(F.lit(GENE).alias("record_type"), F.col("gene_id").alias("id"), F.col("symbol").alias("display"))
-        else:
-            g = self.gene(text).select(F.lit(GENE).alias("record_type"), F.col("gene_id").alias("id"), F.col("symbol").alias("display"))
-            v = self.variant(text).select(F.lit(VARIANT).alias("record_type"), F.col("variant_id").alias("id"), F.coalesce("ref_snp_id", "variant_id").alias("display"))
-            found = g.unionByName(v)
+        """What a text finds: a region's genes and variants, else genes and variants of that name; at most so many, each with the number that there are."""
+        told = self._one(text).select(infer_location(F.col("key")).alias("l")).first()["l"]  # of a local row: no job runs
+        named = told is None or told["kind"] != REGION
+        genes, variants = (self.gene(text), self.variant(text)) if named else (self.region(text), self.region(text, VARIANT))
+        g = genes.select(F.lit(GENE).alias("record_type"), F.col("gene_id").alias("id"), F.col("symbol").alias("display"))
+        v = variants.select(F.lit(VARIANT).alias("record_type"), F.col("variant_id").alias("id"), F.coalesce("ref_snp_id", "variant_id").alias("display"))
+        found = g.unionByName(v)
         counted = found.crossJoin(found.agg(F.count("*").alias("num_results")))  # one row
         ordered = counted.orderBy("record_type", "display", "id")
         return ordered if most is None else ordered.limit(most)

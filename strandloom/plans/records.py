@@ -139,11 +139,25 @@ def gene_association_page(t: Tables):
     return _store(t).gene_associations("ENSG10")
 
 
-@query(f"SELECT 'gene' AS record_type, gene_id AS id, symbol AS display, count(*) OVER () AS num_results FROM ({_GENES}) WHERE chromosome = 'chr3' AND s <= 900000 AND e >= 5000 ORDER BY record_type, display, id LIMIT 5")
+_SEARCHED = "SELECT 'gene' AS record_type, gene_id AS id, symbol AS display FROM ({g}) WHERE chromosome = 'chr3' AND s <= {e} AND e >= {s} UNION ALL SELECT 'variant', variant_id, coalesce(ref_snp_id, variant_id) FROM ({v}) WHERE chromosome = 'chr3' AND position <= {e} AND position + length >= {s}"
+
+
+@query(f"SELECT *, count(*) OVER () AS num_results FROM ({_SEARCHED.format(g=_GENES, v=_VARIANTS, s=5000, e=900000)}) ORDER BY record_type, display, id LIMIT 5")
 def search_limited(t: Tables):
     return _store(t).search("chr3:5000-900000", 5)
 
 
+@query(f"SELECT *, count(*) OVER () AS num_results FROM ({_SEARCHED.format(g=_GENES, v=_VARIANTS, s=1500, e=60000)})")
+def search_region(t: Tables):
+    """Genes and variants of a region."""
+    return _store(t).search("3:1500-60000")
+
+
+@query(f"SELECT 'variant' AS record_type, variant_id AS id, 'rs11' AS display, count(*) OVER () AS num_results FROM ({_VARIANTS}) WHERE ref_snp_id = 'rs11'")
+def search_name(t: Tables):
+    return _store(t).search("RS11")
+
+
 @query(f"SELECT variant_id, split_part(variant_id, ':', 1) || ':' || (position - 1) || '-' || position AS span FROM ({_VARIANTS})")
 def variant_qtl_span(t: Tables):
     return _variants(t).select("variant_id", records.variant_span(F.col("variant_id")).alias("span"))
