@@ -88,7 +88,8 @@ def normalised(variants: DataFrame, sequence: DataFrame, size: int = CHUNK) -> D
     rows = trimmed(variants.drop(*clash))
     one_sided = (F.col("ref_") == "") != (F.col("alt_") == "")
     rows = rows.withColumns({"seed": F.when(one_sided, F.concat("ref_", "alt_")), "left_shift": F.lit(0).cast("long"), "right_shift": F.lit(0).cast("long"), "left_open": one_sided, "right_open": one_sided})
-    done, rolling = rows.where(~one_sided), rows.where(one_sided)
+    rows = stage(rows, "trimmed")  # both parts read it
+    done, rolling = rows.where("NOT left_open"), rows.where("left_open")
     out = [done]
     while True:
         # Nearly all rolls end in their first chunk; a long repeat takes a round for each chunk.

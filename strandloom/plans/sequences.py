@@ -11,7 +11,7 @@ from strandloom.sources.sequences import in_chunks, read_fasta
 from strandloom.staging import stage, text_files
 
 #: Parts in a sequence, and bases in a chunk: small, so that repeats run over the ends of chunks.
-PARTS, SIZE = 100, 64
+PARTS, SIZE = 100, 256
 _LETTERS, _BASES = "abcdefghijklmnopqrstuvwxyz ", "AACAACAGACAATAACAGACAACATAC"
 _CONTIGS = f"""contigs AS (SELECT 'c' || CAST(p_partkey // {PARTS} AS VARCHAR) AS name, string_agg(translate(p_name, '{_LETTERS}', '{_BASES}'), '' ORDER BY p_partkey) AS s FROM part GROUP BY 1)"""
 
