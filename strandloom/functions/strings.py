@@ -1,4 +1,4 @@
-"""Column functions over strings, numbers, lists and maps. All run in the JVM but the two digests that Spark lacks."""
+"""Column functions over strings, numbers, lists and maps. All run in the JVM but what Spark lacks: two digests, and numbers rounded as C's printf does."""
 
 from __future__ import annotations
 
@@ -84,13 +84,22 @@ def alphabetize(text: Column, separator: str = ",") -> Column:
     return F.array_join(F.array_sort(F.split(text, separator)), separator)
 
 
+def _printf(x: Column, form: str) -> Column:
+    """A float as C's printf writes it, by an Arrow-batched function: the exact binary value is rounded, a tie to the even digit. Spark's own formats round the shortest decimal text instead, a tie upwards."""
+    @F.pandas_udf("string")
+    def shown(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: form % v)
+
+    return F.when(x.isNotNull(), shown(x.cast("double")))
+
+
 def sci_notation(x: Column, digits: int = 2) -> Column:
-    return F.format_string(f"%.{digits}e", x)
+    return _printf(x, f"%.{digits}e")
 
 
 def frequency_format(f: Column) -> Column:
     """0 as `0`, below a thousandth in scientific notation with one digit, else three decimals."""
-    return F.when(f == 0, F.lit("0")).when((f > 0) & (f < 0.001), F.format_string("%.1e", f)).otherwise(F.round(f, 3).cast("string"))
+    return F.when(f == 0, F.lit("0")).when((f > 0) & (f < 0.001), sci_notation(f, 1)).otherwise(F.round(f, 3).cast("string"))
 
 
 def sanitise(text: Column) -> Column:
@@ -154,7 +163,7 @@ def thousands(x: Column) -> Column:
 
 def fixed(x: Column, digits: int = 2) -> Column:
     """A plain decimal number with so many places and no commas."""
-    return F.format_string(f"%.{digits}f", x.cast("double"))
+    return _printf(x, f"%.{digits}f")
 
 
 def joined(items: Column, separator: str = ",", distinct: bool = False) -> Column:

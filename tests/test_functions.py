@@ -123,3 +123,11 @@ def test_digests_against_python(spark):
         assert r["b"] == hashlib.blake2b(n.encode(), digest_size=20).hexdigest()
         assert r["u"] == str(uuid.uuid5(uuid.NAMESPACE_DNS, hashlib.sha256(n.encode()).hexdigest()))
         assert r["k"] == "SHARD_GROUP_" + hashlib.sha512(re.sub(r"chr(\d{1,2}|[XYM]|MT)", "_", n).encode()).hexdigest()[:6].upper()
+
+
+def test_number_formats_round_as_printf(spark):
+    values = [198500.0, 65450.0, 9725.0, -9725.0, 0.125, 2.675, 1.005, 70368744177664.375, 1e22, 1e-310, -0.0, 0.00025, 0.00015, float("inf"), float("nan"), None]
+    frame = spark.createDataFrame([(n, v) for n, v in enumerate(values)], "n int, v double")
+    found = frame.select(S.sci_notation(F.col("v")), S.fixed(F.col("v")), S.sci_notation(F.col("v"), 0)).orderBy("n").collect()
+    assert [tuple(r) for r in found] == [(None,) * 3 if v is None else (f"{v:.2e}", f"{v:.2f}", f"{v:.0e}") for v in values]
+    assert [one(spark, S.frequency_format(F.lit(v))) for v in (0.0, 0.00025, 0.000125)] == ["0", f"{0.00025:.1e}", f"{0.000125:.1e}"]
