@@ -25,6 +25,8 @@ from strandloom.staging import new_place, stage
 #: Rows that centroids are fitted on, rounds of the fit, and the most lists: bounds of the model.
 FIT_ROWS, FIT_ROUNDS, MOST_LISTS = 20_000, 8, 4096
 BLOCK_ROWS, BLOCK_QUERIES = 1024, 256
+#: Bytes of a task's products with the centroids, and of the rows that it makes of them, at once.
+SLICE_BYTES = 8 << 20
 
 _BLOCK = "list int, ids array<long>, vectors array<float>"
 _FOUND = "query_id long, id long, similarity double"
@@ -76,17 +78,19 @@ def fit_centroids(rows: DataFrame, lists: int, rounds: int = FIT_ROUNDS, sample:
     return centroids
 
 
-def _nearest_lists(centroids: np.ndarray, probes: int):
-    """Rows of id, vector and list, by the rank of the list: the nearest ones of each vector."""
+def _nearest_lists(centroids: np.ndarray, probes: int, vectors: bool = True):
+    """Rows of id, vector (if wanted) and list, by the rank of the list: the nearest ones of each vector. Batches are taken in slices, as each of their rows becomes so many as there are probes."""
+    probes = min(probes, len(centroids))
+    step = max(1, SLICE_BYTES // (16 * len(centroids) + probes * (16 + vectors * 4 * centroids.shape[1])))
 
     def run(batches):
-        for batch in batches:
-            x = _matrix(batch.column(1))
-            order = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :probes]
-            n = order.shape[1]
-            rows = np.repeat(np.arange(len(x)), n)
-            columns = [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(order.ravel().astype(np.int32)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(x)))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "vector", "list", "rank"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                order = np.argsort(-(_matrix(batch.column(1)) @ centroids.T), axis=1, kind="stable")[:, :probes]
+                rows = pa.array(np.repeat(np.arange(len(order)), probes))
+                columns = [batch.column(c).take(rows) for c in range(1 + vectors)] + [pa.array(order.ravel().astype(np.int32)), pa.array(np.tile(np.arange(probes, dtype=np.int32), len(order)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", *["vector"] * vectors, "list", "rank"])
 
     return run
 
@@ -137,10 +141,11 @@ class VectorIndex:
 
     def tune(self, queries: DataFrame, key: str, vector: str, k: int, recall: float = 0.9, sample: int = 200) -> tuple[int, float]:
         """The least number of probes whose recall on a sample of the queries reaches the wanted one, and that recall. Measured against exact results: where each exact neighbour's list comes in the query's order of lists."""
-        some = queries.withColumn("h_", F.xxhash64(key)).orderBy("h_", key).limit(sample).drop("h_")
+        some = queries.select(key, vector).withColumn("h_", F.xxhash64(key)).orderBy("h_", key).limit(sample).drop("h_")
+        some = stage(some.repartition(queries.sparkSession.sparkContext.defaultParallelism), "tuned-on")  # a limit leaves one partition
         exact = stage(self.search(some, key, vector, k, self.lists).select("query_id", "id"), "exact")
         lists = self.blocks.select("list", F.explode("ids").alias("id")).join(exact.select("id").distinct(), "id").distinct()
-        ranks = usable(some, key, vector, self.centroids.shape[1]).mapInArrow(_nearest_lists(self.centroids, self.lists), "id long, vector array<float>, list int, rank int").select(F.col("id").alias("query_id"), "list", "rank")
+        ranks = usable(some, key, vector, self.centroids.shape[1]).mapInArrow(_nearest_lists(self.centroids, self.lists, False), "id long, list int, rank int").withColumnRenamed("id", "query_id")
         hits = exact.join(lists, "id").join(ranks, ["query_id", "list"]).groupBy("rank").agg(F.count("*").alias("n")).orderBy("rank").collect()  # a row for each list at most
         total, seen = sum(r["n"] for r in hits), 0
         for r in hits:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandloom.operators import vector_index as V
@@ -71,3 +72,18 @@ def test_saved_and_empty(spark, frame, index, tmp_path):
     assert found(again.search(queries, "id", "v", 3, 2)) == found(index.search(queries, "id", "v", 3, 2)) and set(found(again.search(queries, "id", "v", 3, 2))) == {4}
     empty = V.build(frame.limit(0), "id", "v")
     assert empty.lists == 0 and empty.search(queries, "id", "v", 3, 1).collect() == []
+
+
+@pytest.mark.parametrize("probes", [1, 40, 200])
+def test_batches_of_probes_are_bounded(probes):
+    """A batch's copies for its lists don't grow with the number of lists."""
+    rnd = np.random.default_rng(5)
+    centroids, x = rnd.normal(size=(200, 16)), rnd.normal(size=(3000, 16)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(list(x), pa.list_(pa.float32()))], names=["id", "vector"])
+    made = list(V._nearest_lists(centroids, probes)([batch.slice(0, 1700), batch.slice(1700)]))
+    assert max(b.nbytes for b in made) <= 9 << 20
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    wanted = np.argsort(-(unit @ centroids.T), axis=1, kind="stable")[:, :probes]
+    table = pa.Table.from_batches(made)
+    assert np.array_equal(table["id"].to_numpy(), np.repeat(np.arange(3000), probes)) and np.array_equal(table["list"].to_numpy(), wanted.ravel())
+    assert np.array_equal(table["rank"].to_numpy(), np.tile(np.arange(probes), 3000)) and table["vector"][-1].as_py() == x[-1].tolist()
