@@ -1,7 +1,8 @@
 """A trigram index for `ILIKE '%x%'` and regular expressions.
 
 A text that matches a pattern holds the trigrams of the pattern's literal runs. The index keeps, for each trigram of lower-case ASCII characters and each bucket of rows, the ids
-that hold it; buckets have about BUCKET_ROWS rows, so no list is longer, whatever a trigram's frequency. A pattern is compiled to a tree of
+that hold it; buckets have about BUCKET_ROWS rows, so no list is longer, whatever a trigram's frequency. Texts are shuffled once, into the order of their buckets, and each task makes the lists of the
+buckets that it reads, so lists are never shuffled; where two tasks share a bucket, or one holds more than RUN_PAIRS pairs, its lists come in parts, which a search puts together. A pattern is compiled to a tree of
 and / or over trigrams; of the trigrams that must all be there the rarest ones are looked up. In each bucket the lists are intersected and joined to candidates, and the
 candidates' texts, and no others, are tested with the pattern itself, so results equal those of a scan. Texts are stored in order of buckets, so a search reads the row groups of its candidates'
 buckets.
@@ -16,6 +17,8 @@ import re
 import warnings
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +31,15 @@ with warnings.catch_warnings():
 
 #: Rows in a bucket, about; trigrams of an `and` that are looked up; buckets that are named in a scan's filter (more are joined only).
 BUCKET_ROWS, LOOKED_UP, NAMED_BUCKETS = 4096, 4, 1000
+#: Pairs of a trigram and a row that a task gathers before it writes their lists, and bytes of text that it cuts into trigrams at once.
+RUN_PAIRS, PIECE_BYTES = 2 << 20, 1 << 20
 #: Alternatives of a set of characters that are spelled out.
 SPELLED = 4
 #: Java's patterns that Python's parser reads otherwise, or not at all.
 _FOREIGN = re.compile(r"\\[QEGpPXRhHNK]|\(\?[a-zA-Z]*u|\(\?<[^=!]|\(\?>|[*+?}]\+|&&|\\x\{|\[[^\]]*\[|\(\?x|\(\?[a-zA-Z]*[xd]")
 
+_POSTINGS = "gram string, bucket int, ids array<long>"
+
 
 @dataclass(frozen=True)
 class Need:
@@ -165,6 +172,7 @@ class TextIndex:
             return None
         need = self.needed(need)
         some = self.postings.where(F.col("gram").isin(sorted(grams_of(need))))
+        some = some.groupBy("bucket", "gram").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))  # parts of a list
         lists = some.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("gram", "ids"))).alias("lists"))  # a few lists of a bucket
         return lists.select("bucket", F.explode(_candidates(need, F.col("lists"))).alias("id"))
 
@@ -186,6 +194,74 @@ class TextIndex:
         return self._tested(need_of_pattern(pattern), F.rlike(F.col("text"), F.lit(f"(?i){pattern}" if ignore_case else pattern)))
 
 
+def _codes(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places (in starts) and codes of the distinct trigrams of ASCII characters of each text, in order. text: the bytes of all of them; starts: where each begins, and the end."""
+    if len(text) < 3:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x = text.astype(np.int64)
+    at = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    fine = ((x[:-2] | x[1:-1] | x[2:]) < 128) & (at[:-2] == at[2:])  # bytes of other characters are 128 or more
+    found = np.unique((at[:-2] << 21 | x[:-2] << 14 | x[1:-1] << 7 | x[2:])[fine])
+    return found >> 21, found & ((1 << 21) - 1)
+
+
+def _pieces(texts: pa.Array):
+    """Bounds of the rows that are cut into trigrams at once, with their bytes and where each row begins in them; a longer text by itself, in overlapping parts."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    row = 0
+    while row < len(texts):
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE_BYTES, "right")) - 1)
+        first, last = offsets[row], offsets[end]
+        if last - first <= PIECE_BYTES:
+            yield row, data[first:last], offsets[row : end + 1] - first
+        else:
+            for begin in range(first, last - 2, PIECE_BYTES):
+                part = data[begin : min(begin + PIECE_BYTES + 2, last)]
+                yield row, part, np.array([0, len(part)])
+        row = end
+
+
+def _lists(batches):
+    """Lists of the ids of each trigram and bucket, from rows of bucket, id and lower-case text in order of buckets and ids."""
+    now, ids, codes, held = None, [], [], 0
+
+    def run():
+        row, code = np.concatenate(ids), np.concatenate(codes)
+        order = np.lexsort((row, code))
+        row, code = row[order], code[order]
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])  # rows that share an id, parts of a text
+        row, code = row[new], code[new]
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        gram = code[first]
+        spelled = np.stack([gram >> 14, gram >> 7 & 127, gram & 127], axis=1).astype(np.uint8).tobytes()
+        grams = pa.StringArray.from_buffers(len(gram), pa.py_buffer(np.arange(0, 3 * len(gram) + 1, 3, dtype=np.int32)), pa.py_buffer(spelled))
+        return pa.RecordBatch.from_arrays([grams, pa.array(np.full(len(gram), now, np.int32)), pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(row))], names=["gram", "bucket", "ids"])
+
+    for batch in batches:
+        bucket, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            if start == end:
+                continue
+            if held and bucket[start] != now:
+                yield run()
+                ids, codes, held = [], [], 0
+            now = int(bucket[start])
+            for row, text, starts in _pieces(batch.column(2).slice(start, end - start).cast(pa.string())):
+                place, code = _codes(text, starts)
+                if not len(code):
+                    continue
+                ids.append(key[start + row + place])
+                codes.append(code.astype(np.int32))
+                held += len(code)
+                if held >= RUN_PAIRS:
+                    yield run()
+                    ids, codes, held = [], [], 0
+    if held:
+        yield run()
+
+
 def build(df: DataFrame, key: str, text: str, folder: str | None = None) -> TextIndex:
     """An index of all texts of df in a folder (one of its own if none is given)."""
     spark, folder = df.sparkSession, folder or new_place(df.sparkSession, "text-index")
@@ -194,12 +270,9 @@ def build(df: DataFrame, key: str, text: str, folder: str | None = None) -> Text
     rows = rows.select(F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"), "id", "text")
     rows.repartitionByRange("bucket", "id").sortWithinPartitions("bucket", "id").write.parquet(f"{folder}/texts")
     texts = spark.read.schema(rows.schema).parquet(f"{folder}/texts")
-    # One pass over a text finds all its overlapping trigrams.
-    grams = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?s)(?=([\x00-\x7f]{3}))"), 1))
-    pairs = texts.select("bucket", "id", F.explode(grams).alias("gram"))
-    lists = pairs.groupBy("gram", "bucket").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    lists.repartitionByRange("gram", "bucket").sortWithinPartitions("gram", "bucket").write.parquet(f"{folder}/postings")
-    postings = spark.read.parquet(f"{folder}/postings")
+    lists = texts.select("bucket", "id", F.lower("text").alias("text")).mapInArrow(_lists, _POSTINGS)
+    lists.sortWithinPartitions("gram", "bucket").write.parquet(f"{folder}/postings")
+    postings = spark.read.schema(_POSTINGS).parquet(f"{folder}/postings")
     counts = postings.groupBy("gram").agg(F.sum(F.size("ids")).alias("n"))
     counts.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{folder}/counts")
     spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{folder}/about")
@@ -208,4 +281,4 @@ def build(df: DataFrame, key: str, text: str, folder: str | None = None) -> Text
 
 def load(spark: SparkSession, folder: str) -> TextIndex:
     read = lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}")
-    return TextIndex(read("postings", "gram string, bucket int, ids array<long>"), read("counts", "gram string, n long"), read("texts", "bucket int, id long, text string"), read("about", "buckets int").first()[0])
+    return TextIndex(read("postings", _POSTINGS), read("counts", "gram string, n long"), read("texts", "bucket int, id long, text string"), read("about", "buckets int").first()[0])

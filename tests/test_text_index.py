@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,3 +66,46 @@ def test_a_search_reads_its_buckets_only(index):
     assert "EqualTo(bucket," in plan or "In(bucket" in plan  # pushed to the scan of the texts
     candidates = index.candidates(need_of_pattern("a second text")).collect()
     assert {r["id"] for r in candidates} == {5}
+
+
+def test_parts_of_lists_are_put_together(texts, index, monkeypatch):
+    """Tiny runs and pieces: a bucket's lists come in many parts, a long text in overlapping ones."""
+    monkeypatch.setattr(X, "BUCKET_ROWS", 400)
+    cut = X.build(texts.select("id", "text"), "id", "text")
+    parts = index.postings.select("gram", "bucket", F.explode("ids").alias("x")).select("gram", "bucket", F.array("x").alias("ids"))
+    for pattern in ("amyl[oi]id", "tau|beta", "a second text"):
+        assert rows(replace(index, postings=parts).matching(pattern)) == rows(index.matching(pattern))
+    whole = lambda df: {r["gram"]: sorted(r["ids"]) for r in df.groupBy("gram").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids")).collect()}
+    batches = texts.where("id IS NOT NULL AND text IS NOT NULL").orderBy("id").select(F.lit(0).cast("int"), "id", F.lower("text")).toArrow().to_batches()
+    plain = {}
+    for k, text in ((r["id"], r["t"]) for r in texts.where("id IS NOT NULL AND text IS NOT NULL").select("id", F.lower("text").alias("t")).collect()):
+        for j in range(len(text) - 2):
+            if text[j : j + 3].isascii():
+                plain.setdefault(text[j : j + 3], set()).add(k)
+    plain = {g: sorted(k) for g, k in plain.items()}
+    assert whole(cut.postings) == plain and whole(index.postings) == plain
+    for run, piece in ((7, 50), (1000, 3), (1 << 20, 1 << 20)):
+        monkeypatch.setattr(X, "RUN_PAIRS", run)
+        monkeypatch.setattr(X, "PIECE_BYTES", piece)
+        found = {}
+        for b in X._lists(iter(batches)):
+            for r in b.to_pylist():
+                found.setdefault(r["gram"], set()).update(r["ids"])
+        assert {g: sorted(k) for g, k in found.items()} == plain
+
+
+def test_lists_are_not_shuffled(spark, tmp_path):
+    """A build shuffles about the texts, not the trigrams' lists too."""
+    rnd = random.Random(4)
+    rows = spark.createDataFrame([(k, "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(500))) for k in range(3000)], "id long, text string").repartition(3)
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def shuffled():
+        bus.waitUntilEmpty()
+        return store.executorSummary("driver").totalShuffleWrite()
+
+    before = shuffled()
+    rows.write.parquet(f"{tmp_path}/rows")
+    own = shuffled() - before
+    X.build(spark.read.parquet(f"{tmp_path}/rows"), "id", "text")
+    assert 0 < shuffled() - before - own < 3 * 3000 * 500
