@@ -4,7 +4,10 @@ Centroids are fitted by k-means on a bounded sample, round by round: tasks sum t
 then put on the list of its nearest centroid; lists are stored as blocks of at most BLOCK_ROWS vectors, ranged by list and id, so a list that holds a third
 of all rows is many blocks. A search asks the `probes` nearest lists of each query: blocks of queries meet blocks of their lists by an equality join, each pair
 is one matrix product with its own best k, and the best of these are left. Scores are exact; what can be missed is a
-neighbour on a list that was not asked. With as many probes as lists nothing is, and `tune` finds the least number of probes that reaches a recall.
+neighbour on a list that was not asked. With as many probes as lists nothing is: blocks are then dealt into a fixed number of parts, and each part gets the queries
+once. `tune` finds the least number of probes that reaches a recall.
+
+Spark's estimates don't know that queries are copied for the lists they ask, and adaptive execution doesn't take a broadcast back. So these joins are merge joins by a hint: no copies go through the driver.
 
 Rows with a null id, and vectors that are null, of length zero, with null or non-finite components, or with another number of components than the centroids, are not in the index, and queries like
 that have no results. Equal scores go to the smaller id. A query's own id is not its neighbour.
@@ -25,11 +28,15 @@ from strandloom.staging import new_place, stage
 #: Rows that centroids are fitted on, rounds of the fit, and the most lists: bounds of the model.
 FIT_ROWS, FIT_ROUNDS, MOST_LISTS = 20_000, 8, 4096
 BLOCK_ROWS, BLOCK_QUERIES = 1024, 256
+#: Neighbours that a task holds before it merges them.
+HELD_ROWS = 1 << 20
+#: Parts for each core that blocks are dealt into where queries meet all of them.
+CORE_PARTS = 3
 #: Bytes of a task's products with the centroids, and of the rows that it makes of them, at once.
 SLICE_BYTES = 8 << 20
 
 _BLOCK = "list int, ids array<long>, vectors array<float>"
-_FOUND = "query_id long, id long, similarity double"
+_FOUND = "query_id long, id long, similarity double, list int"
 
 
 def usable(df: DataFrame, key: str, vector: str, dim: int | None = None) -> DataFrame:
@@ -71,17 +78,17 @@ def fit_centroids(rows: DataFrame, lists: int, rounds: int = FIT_ROUNDS, sample:
         parts = taken.select("vector").mapInArrow(sums, "list int, total array<double>")
         places = parts.select("list", F.posexplode("total")).groupBy("list", "pos").agg(F.sum("col").alias("s"))
         new = centroids.copy()
-        for r in places.collect():  # one number for each component of each centroid
-            new[r["list"], r["pos"]] = r["s"]
+        met = places.toArrow()  # one number for each component of each centroid
+        new[met["list"].to_numpy(), met["pos"].to_numpy()] = met["s"].to_numpy()
         norms = np.linalg.norm(new, axis=1, keepdims=True)
         centroids = np.where(norms > 0, new / np.where(norms > 0, norms, 1), centroids)
     return centroids
 
 
-def _nearest_lists(centroids: np.ndarray, probes: int, vectors: bool = True):
-    """Rows of id, vector (if wanted) and list, by the rank of the list: the nearest ones of each vector. Batches are taken in slices, as each of their rows becomes so many as there are probes."""
+def _nearest_lists(centroids: np.ndarray, probes: int):
+    """Rows of id, vector and list, by the rank of the list: the nearest ones of each vector. Batches are taken in slices, as each of their rows becomes so many as there are probes."""
     probes = min(probes, len(centroids))
-    step = max(1, SLICE_BYTES // (16 * len(centroids) + probes * (16 + vectors * 4 * centroids.shape[1])))
+    step = max(1, SLICE_BYTES // (16 * len(centroids) + probes * (16 + 4 * centroids.shape[1])))
 
     def run(batches):
         for whole in batches:
@@ -89,8 +96,27 @@ def _nearest_lists(centroids: np.ndarray, probes: int, vectors: bool = True):
                 batch = whole.slice(start, step)
                 order = np.argsort(-(_matrix(batch.column(1)) @ centroids.T), axis=1, kind="stable")[:, :probes]
                 rows = pa.array(np.repeat(np.arange(len(order)), probes))
-                columns = [batch.column(c).take(rows) for c in range(1 + vectors)] + [pa.array(order.ravel().astype(np.int32)), pa.array(np.tile(np.arange(probes, dtype=np.int32), len(order)))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", *["vector"] * vectors, "list", "rank"])
+                columns = [batch.column(c).take(rows) for c in range(2)] + [pa.array(order.ravel().astype(np.int32)), pa.array(np.tile(np.arange(probes, dtype=np.int32), len(order)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "vector", "list", "rank"])
+
+    return run
+
+
+def _ranks(centroids: np.ndarray):
+    """query_id, id and rank of rows of query_id, vector and exact (structs of id and list): where each id's list comes in the query's order of lists."""
+    step = max(1, SLICE_BYTES // (24 * len(centroids)))
+
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                order = np.argsort(-(_matrix(batch.column(1)) @ centroids.T), axis=1, kind="stable")
+                places = np.empty_like(order)
+                np.put_along_axis(places, order, np.arange(len(centroids))[None, :], axis=1)
+                exact = batch.column(2)
+                rows, flat = np.repeat(np.arange(len(order)), exact.value_lengths().to_numpy()), exact.flatten()
+                ranks = places[rows, flat.field("list").to_numpy()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), flat.field("id"), pa.array(ranks.astype(np.int32))], names=["query_id", "id", "rank"])
 
     return run
 
@@ -132,21 +158,35 @@ class VectorIndex:
         """query_id, rank (from 1), id and similarity: the k nearest on the probed lists."""
         if not self.lists:
             return queries.sparkSession.createDataFrame([], "query_id long, rank int, id long, similarity double")
-        asked = usable(queries, key, vector, self.centroids.shape[1]).mapInArrow(_nearest_lists(self.centroids, probes), "id long, vector array<float>, list int, rank int")
-        of = _blocked(asked, BLOCK_QUERIES).withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors"})
-        pairs = of.join(self.blocks, "list").select("query_ids", "query_vectors", "ids", "vectors")
-        found = pairs.mapInArrow(_best(k), _FOUND)
+        return self._found(queries, key, vector, k, probes).select("query_id", "rank", "id", "similarity")
+
+    def _found(self, queries: DataFrame, key: str, vector: str, k: int, probes: int) -> DataFrame:
+        """The columns of search, and the list that a row was found on."""
+        asked, names = usable(queries, key, vector, self.centroids.shape[1]), {"ids": "query_ids", "vectors": "query_vectors"}
+        if probes < self.lists:
+            asked = asked.mapInArrow(_nearest_lists(self.centroids, probes), "id long, vector array<float>, list int, rank int")
+            pairs = self.blocks.join(_blocked(asked, BLOCK_QUERIES).withColumnsRenamed(names).hint("merge"), "list")
+        else:
+            parts = CORE_PARTS * queries.sparkSession.sparkContext.defaultParallelism
+            of = _blocked(asked.withColumn("list", F.lit(0)), BLOCK_QUERIES).drop("list").withColumnsRenamed(names)
+            of = of.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+            pairs = self.blocks.withColumn("part", F.pmod(F.hash("list", "ids"), F.lit(parts))).join(of.hint("merge"), "part")
+        found = pairs.select("query_ids", "query_vectors", "ids", "vectors", "list").mapInArrow(_best(k), _FOUND)
         order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     def tune(self, queries: DataFrame, key: str, vector: str, k: int, recall: float = 0.9, sample: int = 200) -> tuple[int, float]:
         """The least number of probes whose recall on a sample of the queries reaches the wanted one, and that recall. Measured against exact results: where each exact neighbour's list comes in the query's order of lists."""
+        if not self.lists:
+            return 0, 1.0
         some = queries.select(key, vector).withColumn("h_", F.xxhash64(key)).orderBy("h_", key).limit(sample).drop("h_")
         some = stage(some.repartition(queries.sparkSession.sparkContext.defaultParallelism), "tuned-on")  # a limit leaves one partition
-        exact = stage(self.search(some, key, vector, k, self.lists).select("query_id", "id"), "exact")
-        lists = self.blocks.select("list", F.explode("ids").alias("id")).join(exact.select("id").distinct(), "id").distinct()
-        ranks = usable(some, key, vector, self.centroids.shape[1]).mapInArrow(_nearest_lists(self.centroids, self.lists, False), "id long, list int, rank int").withColumnRenamed("id", "query_id")
-        hits = exact.join(lists, "id").join(ranks, ["query_id", "list"]).groupBy("rank").agg(F.count("*").alias("n")).orderBy("rank").collect()  # a row for each list at most
+        exact = stage(self._found(some, key, vector, k, self.lists).select("query_id", "id", "list"), "exact")
+        of = exact.groupBy("query_id").agg(F.collect_list(F.struct("id", "list")).alias("exact"))  # k of a query at most
+        asked = usable(some, key, vector, self.centroids.shape[1]).join(of.hint("merge"), F.col("id") == F.col("query_id"))
+        ranks = asked.select("query_id", "vector", "exact").mapInArrow(_ranks(self.centroids), "query_id long, id long, rank int")
+        least = ranks.groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
+        hits = least.groupBy("rank").agg(F.count("*").alias("n")).orderBy("rank").collect()  # a row for each list at most
         total, seen = sum(r["n"] for r in hits), 0
         for r in hits:
             seen += r["n"]
@@ -161,26 +201,44 @@ class VectorIndex:
 
 
 def _best(k: int):
-    """The k nearest of each query of a block in a block of rows."""
+    """The k nearest of each query of a block in a block of rows; a task merges what it finds, and holds HELD_ROWS or a block's at most."""
+
+    def merged(held):
+        query_ids, ids, scores, lists = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((ids, -scores, query_ids))
+        of = query_ids[order]
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        kept = order[np.arange(len(of)) - np.repeat(first, np.diff(np.r_[first, len(of)])) < k]
+        return query_ids[kept], ids[kept], scores[kept], lists[kept]
 
     def run(batches):
+        held, n = [], 0
         for batch in batches:
-            for query_ids, q, ids, x in zip(*(batch.column(c) for c in range(4)), strict=True):
+            for query_ids, q, ids, x, at in zip(*(batch.column(c) for c in range(5)), strict=True):
                 query_ids, ids = query_ids.values.to_numpy(), ids.values.to_numpy()
                 unit = lambda v, n: (m := v.values.to_numpy().astype(np.float64).reshape(n, -1)) / np.linalg.norm(m, axis=1, keepdims=True)
                 scores = unit(q, len(query_ids)) @ unit(x, len(ids)).T
-                scores[query_ids[:, None] == ids[None, :]] = -np.inf
-                # Ids of a block ascend, so a stable order gives ties to the smaller id, and k of each block are enough.
-                columns = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(query_ids)), columns.shape[1])
-                columns = columns.ravel()
-                fine = np.isfinite(scores[rows, columns])
-                rows, columns = rows[fine], columns[fine]
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[rows]), pa.array(ids[columns]), pa.array(scores[rows, columns])], names=["query_id", "id", "similarity"])
+                scores[(query_ids[:, None] == ids[None, :]) | ~np.isfinite(scores)] = -np.inf
+                # All that reach the k-th score, so that merging gives ties to the smaller id.
+                least = np.partition(scores, -k, axis=1)[:, -k, None] if len(ids) > k else -np.inf
+                rows, columns = np.nonzero((scores >= least) & (scores > -np.inf))
+                held.append((query_ids[rows], ids[columns], scores[rows, columns], np.full(len(rows), at.as_py(), np.int32)))
+                n += len(rows)
+                if n >= HELD_ROWS:
+                    held = [merged(held)]
+                    if (n := len(held[0][0])) > HELD_ROWS // 2:
+                        yield _found_batch(held[0])
+                        held, n = [], 0
+        if n:
+            yield _found_batch(merged(held))
 
     return run
 
 
+def _found_batch(columns: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "similarity", "list"])
+
+
 def build(df: DataFrame, key: str, vector: str, lists: int | None = None, folder: str | None = None) -> VectorIndex:
     """An index over all rows of df, kept in a folder (one of its own if none is given). lists: about the square root of the number of rows unless given."""
     spark, folder = df.sparkSession, folder or new_place(df.sparkSession, "vector-index")
@@ -203,6 +261,7 @@ def load(spark: SparkSession, folder: str) -> VectorIndex:
 
 def recall(found: DataFrame, exact: DataFrame) -> float:
     """The share of the exact neighbours that were found."""
-    both = exact.select("query_id", "id").distinct().join(found.select("query_id", "id", F.lit(1).alias("hit")).distinct(), ["query_id", "id"], "left")
+    hits = found.select("query_id", "id", F.lit(1).alias("hit")).distinct().hint("merge")
+    both = exact.select("query_id", "id").distinct().join(hits, ["query_id", "id"], "left")
     row = both.agg(F.count("*").alias("n"), F.count("hit").alias("hits")).first()
     return row["hits"] / row["n"] if row["n"] else 1.0

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from strandloom.operators import vector_index as V
+from strandloom.staging import stage
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +90,59 @@ def test_batches_of_probes_are_bounded(probes):
     table = pa.Table.from_batches(made)
     assert np.array_equal(table["id"].to_numpy(), np.repeat(np.arange(3000), probes)) and np.array_equal(table["list"].to_numpy(), wanted.ravel())
     assert np.array_equal(table["rank"].to_numpy(), np.tile(np.arange(probes), 3000)) and table["vector"][-1].as_py() == x[-1].tolist()
+
+
+def test_no_copies_go_through_the_driver(spark, frame, rows, index):
+    """However small the queries are in their file, what is made of them for the lists is never broadcast."""
+    queries = stage(frame.where("id % 3 = 0"), "asked")
+    x = np.array([np.float32(v) for _, v in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = exact(rows, range(0, 1500, 3), 10)
+    on = {i: r["list"] for r in index.blocks.select("list", "ids").collect() for i in r["ids"]}
+    ranks = np.sort([np.argsort(-(index.centroids @ x[q]), kind="stable").tolist().index(on[i]) for q in near for i in near[q]])
+    wanted = int(ranks[math.ceil(0.9 * len(ranks)) - 1]) + 1
+    limits = {"spark.sql.maxBroadcastTableSize": "1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}  # one that is planned raises
+    for name, value in limits.items():
+        spark.conf.set(name, value)
+    try:
+        assert index.tune(queries, "id", "v", 10, 0.9, sample=1 << 30) == (wanted, np.count_nonzero(ranks < wanted) / len(ranks))
+        assert found(index.search(queries, "id", "v", 10, 24)) == near
+        assert set(found(index.search(queries, "id", "v", 10, wanted))) == set(near)
+    finally:
+        for name in limits:
+            spark.conf.unset(name)
+
+
+def test_tuning_an_empty_index(frame):
+    assert V.build(frame.limit(0), "id", "v").tune(frame, "id", "v", 3) == (0, 1.0)
+
+
+@pytest.mark.parametrize("most", [1, 500, 1 << 20])
+def test_tasks_merge_what_they_find(monkeypatch, most):
+    """A task's rows grow with its queries and not with the blocks that they meet; equal scores go to the smaller id, also between blocks."""
+    monkeypatch.setattr(V, "HELD_ROWS", most)
+    rnd = np.random.default_rng(7)
+    q, x = rnd.choice([-1, 1], size=(20, 4)).astype(np.float32), rnd.choice([-1, 1], size=(2000, 4)).astype(np.float32)  # many ties, all products exact
+    blocks = [np.arange(n, n + 50) for n in range(0, 2000, 50)][::-1]
+    columns = [pa.array([list(range(20))] * 40, pa.list_(pa.int64())), pa.array([q.ravel()] * 40, pa.list_(pa.float32())), pa.array([list(b) for b in blocks], pa.list_(pa.int64())), pa.array([x[b].ravel() for b in blocks], pa.list_(pa.float32())), pa.array([int(b[0]) // 50 for b in blocks], pa.int32())]
+    batch = pa.RecordBatch.from_arrays(columns, names=["query_ids", "query_vectors", "ids", "vectors", "list"])
+    made = pa.Table.from_batches(V._best(6)([batch.slice(0, 13), batch.slice(13)])).to_pylist()
+    assert most < 1 << 20 or len(made) == 120
+    scores = q.astype(np.float64) @ x.astype(np.float64).T / 4
+    scores[np.arange(20), np.arange(20)] = -np.inf
+    for n in range(20):
+        best = sorted(((-r["similarity"], r["id"]) for r in made if r["query_id"] == n))[:6]
+        assert [i for _, i in best] == np.lexsort((np.arange(2000), -scores[n]))[:6].tolist()
+    assert all(r["list"] == r["id"] // 50 for r in made)
+
+
+@pytest.mark.parametrize("most", [1, 3000, 8 << 20])
+def test_ranks_of_lists_in_slices(monkeypatch, most):
+    monkeypatch.setattr(V, "SLICE_BYTES", most)
+    rnd = np.random.default_rng(11)
+    centroids, x = rnd.normal(size=(30, 8)), rnd.normal(size=(50, 8)).astype(np.float32)
+    exact = [[{"id": 100 * q + n, "list": int(at)} for n, at in enumerate(rnd.integers(0, 30, size=q % 4))] for q in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(list(x), pa.list_(pa.float32())), pa.array(exact, pa.list_(pa.struct([("id", pa.int64()), ("list", pa.int32())])))], names=["query_id", "vector", "exact"])
+    order = np.argsort(-(x.astype(np.float64) @ centroids.T), axis=1).tolist()
+    wanted = [(q, e["id"], order[q].index(e["list"])) for q in range(50) for e in exact[q]]
+    assert [tuple(r.values()) for r in pa.Table.from_batches(V._ranks(centroids)([batch.slice(0, 21), batch.slice(21)])).to_pylist()] == wanted
