@@ -183,14 +183,14 @@ def lines_between(file, low: int, high: int) -> Iterator[bytes]:
             break
         start = skip
         while True:
+            if begun is None and (at, start) >= (last, within):
+                return
             end = text.find(b"\n", start)
             if end < 0:
                 if start < len(text):
                     begun = (at, start) if begun is None else begun
                     rest += text[start:]
                 break
-            if begun is None and (at, start) >= (last, within):
-                return
             yield rest + text[start:end]
             rest, begun, start = b"", None, end + 1
         at, skip = after, 0

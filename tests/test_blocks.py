@@ -130,3 +130,20 @@ def test_split_keeps_lines_and_headers(spark, tmp_path):
     (tmp_path / "b.vcf").write_text("chr1\tx\t.\tC\tG\t.\tPASS\t.\n")
     with pytest.raises(Exception, match="no position"):
         B.split_by_chromosome(spark, f"{tmp_path}/b.vcf", f"{tmp_path}/out2")
+
+
+@pytest.mark.parametrize("block", [7, 64, 300])
+def test_a_cut_at_any_line_reads_each_line_once(block):
+    """Also where the line at the cut is the last of its block and runs on into the next ones."""
+    rnd = random.Random(4)
+    out = io.BytesIO()
+    writer = B.BlockWriter(out, block)
+    lines, places = [f"chr1\t{k + 1}\t.\tA\tT\t{'z' * rnd.choice([0, 5, 40, 150, 900])}" for k in range(120)], []
+    for x in lines:
+        places.append(writer.place())
+        writer.write(x)
+    writer.close()
+    end = writer.at << 16
+    for n, cut in enumerate(places):
+        assert [x.decode() for x in B.lines_between(out, 0, cut)] == lines[:n]
+        assert [x.decode() for x in B.lines_between(out, cut, end)] == lines[n:]
